@@ -1,0 +1,64 @@
+"""The queries of this subpackage and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bpe, chat, language_id, lm, matroska, mixing, quality, token_files
+from .common import documents
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_token_files(documents(spark, sf_dir)).digests()
+
+
+def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.stored_media_digests(documents(spark, sf_dir))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(documents(spark, sf_dir))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_languages(documents(spark, sf_dir))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.with_quality(documents(spark, sf_dir)).select(*names)
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.read_back(chat.format_chats(chat.chat_records(rows.unionByName(extra))))
+
+
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(documents(spark, sf_dir))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "op1_token_files": op1_token_files,
+        "op2_matroska": op2_matroska,
+        "op3_bpe": op3_bpe,
+        "op4_language_id": op4_language_id,
+        "op7_mixing": op7_mixing,
+        "op8_quality": op8_quality,
+        "op9_chat": op9_chat,
+        "op10_lm": op10_lm,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
