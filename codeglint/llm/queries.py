@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, lm, matroska, mixing, quality, token_files
+from . import bpe, chat, language_id, lm, matroska, mixing, pii, quality, token_files
 from .common import documents
 
 
@@ -27,6 +27,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_languages(documents(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_matroska": op2_matroska,
         "op3_bpe": op3_bpe,
         "op4_language_id": op4_language_id,
+        "op6_pii": op6_pii,
         "op7_mixing": op7_mixing,
         "op8_quality": op8_quality,
         "op9_chat": op9_chat,
