@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zlib
@@ -17,6 +18,7 @@ WORD = r"[^ \x09-\x0D]+"
 VOCABULARY = "word_bpe_49k.json"
 
 _own_dirs: dict[str, str] = {}
+_kept: dict[object, object] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +79,19 @@ def fold_of(key: object, modulus: int) -> int:
     return zlib.crc32(b"" if key is None else str(key).encode()) % modulus
 
 
+def per_worker(key: object, build):
+    """build(), kept for the later tasks of this Python worker, which keeps the last few such things only."""
+    if key not in _kept:
+        while len(_kept) >= 4:
+            _kept.pop(next(iter(_kept)))
+        _kept[key] = build()
+    return _kept[key]
+
+
+def digest(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def chunks(items: list, n: int) -> Iterator[list]:
     for i in range(0, len(items), n):
         yield items[i : i + n]

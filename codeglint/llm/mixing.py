@@ -66,58 +66,85 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, max_e
     return t.withColumn("target", F.least(F.col("cap"), F.coalesce(final, F.lit(0.0)) * F.col("weight"))).select("source", "source_size", "n_rows", "target")
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> dict[str, Column]:
+    text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    return {"_id": key, "_source": F.col(f"`{source_col}`"), "_size": word_count(text), "_key": -F.log(uniform(key, seed)) / quality_weight(text)}
+
+
+def _bin() -> Column:
+    # 1 - exp(-key) lies in (0, 1) and grows with the key
+    return F.floor((1.0 - F.exp(-F.col("_key"))) * F.col("n_bins")).cast("long")
+
+
+def _place() -> Column:
+    """A row's place in its source's order; rows alike in key, id and size are taken together."""
+    return F.struct(F.col("_key"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_size"))
+
+
+def with_source(df: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
+    """df with the columns of its source's row; a table of few sources is broadcast."""
+    side = sources.withColumnRenamed("source", "_of")
+    return df.join(F.broadcast(side) if small else side, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
+def source_plan(rows: DataFrame, weights: Sequence[float], max_epochs: int) -> tuple[DataFrame, bool]:
+    """Per source of rows (_id, _source, _size, _key): source_size, target, epochs, left (words beyond the epochs), n_bins, cut
+    (the bin in which the picks end) and last (the last pick there, or null); and whether the table is small."""
+    sums = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
+    targets = source_targets(sums, weights, max_epochs)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    targets = targets.withColumn("epochs", epochs).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
+    targets = stored(targets.withColumn("n_bins", F.ceil(F.col("n_rows") / BIN_ROWS)).drop("n_rows"), "mix-targets")
+    small = targets.count() <= BROADCAST_SOURCES
+    binned = with_source(rows, targets, small).withColumn("_bin", _bin())
+    bins = binned.groupBy("_source", "_bin").agg(F.sum("_size").alias("bin_size"), F.first("left").alias("left"))
+    earlier = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)))
+    # the picks end in the last bin that begins below what is left
+    cuts = bins.filter(F.col("before") < F.col("left")).groupBy(F.col("_source").alias("source")).agg(F.max("_bin").alias("cut"), F.max_by("before", "_bin").alias("cut_before"))
+    cuts = stored(cuts, "mix-cuts")
+    running = Window.partitionBy("_source").orderBy(_place()).rowsBetween(Window.unboundedPreceding, -1)
+    edge = with_source(binned, cuts, small).filter(F.col("_bin") == F.col("cut"))
+    edge = edge.withColumn("start", F.col("cut_before") + F.coalesce(F.sum("_size").over(running), F.lit(0)))
+    last = edge.filter(F.col("start") + F.col("_size") / 2.0 <= F.col("left")).groupBy("_source").agg(F.max(_place()).alias("last"))
+    plan = with_source(targets.withColumn("_source", F.col("source")).drop("source"), cuts.select("source", "cut"), small)
+    plan = with_source(plan, last.withColumnRenamed("_source", "source"), small)
+    return stored(plan.withColumnRenamed("_source", "source"), "mix-plan"), small
+
+
+def _with_plan(df: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
+    b = _bin()
+    picked = (b < F.col("cut")) | ((b == F.col("cut")) & F.col("last").isNotNull() & (_place() <= F.col("last")))
+    return with_source(df, plan, small).withColumn("picked", F.coalesce(picked, F.lit(False)))
+
+
 def mixed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
 ) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, epochs, picked, taken.
 
-    size: the text's words (null: 0).  taken = size * (epochs + picked).  Null ids and equal ids draw the same u as their
-    equals; ties go by id, then size.  An empty table gives an empty result.  Texts are read once and never shuffled.
+    size: the text's words (null: 0).  taken = size * (epochs + picked).  The picks of a source are the prefix in key order
+    whose end is nearest to what is left.  Null ids and equal ids draw the same u as their equals.  An empty table gives an
+    empty result.  Texts are read once and never shuffled.
     """
-    d = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        (-F.log(uniform(F.col(id_col), seed)) / quality_weight(F.col(text_col))).alias("key"),
-    )
-    d = stored(d, "mix-sizes")
-    sums = d.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
-    targets = source_targets(sums, weights, max_epochs)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = targets.withColumn("epochs", epochs)
-    targets = targets.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
-    targets = stored(targets.withColumn("n_bins", F.ceil(F.col("n_rows") / BIN_ROWS)), "mix-targets")
-    small = targets.count() <= BROADCAST_SOURCES
+    rows = stored(docs.select(*[c.alias(n) for n, c in _keyed(docs, id_col, text_col, source_col, seed).items()]), "mix-sizes")
+    out = _with_plan(rows, *source_plan(rows, weights, max_epochs))
+    taken = F.col("_size") * (F.col("epochs") + F.col("picked").cast("long"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", "epochs", "picked", taken.cast("long").alias("taken"))
 
-    def with_source(df: DataFrame, side: DataFrame) -> DataFrame:
-        side = side.withColumnRenamed("source", "_source")
-        return df.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
-    d = with_source(d, targets)
-    # 1 - exp(-key) lies in (0, 1) and grows with the key
-    d = d.withColumn("bin", F.floor((1.0 - F.exp(-F.col("key"))) * F.col("n_bins")).cast("long"))
-    bins = d.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("left").alias("left"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
-    # the cut lies in the last bin that begins below what is left
-    cuts = bins.filter(F.col("before") < F.col("left")).groupBy("source").agg(F.max("bin").alias("cut"), F.max_by("before", "bin").alias("cut_before"))
-    d = with_source(d, stored(cuts, "mix-cuts"))
-    inside = F.coalesce(F.col("bin") == F.col("cut"), F.lit(False))
-    running = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = d.filter(inside).withColumn("start", F.col("cut_before") + F.coalesce(F.sum("size").over(running), F.lit(0)))
-    at_cut = at_cut.withColumn("picked", F.col("start") + F.col("size") / 2.0 <= F.col("left")).drop("start")
-    rest = d.filter(~inside).withColumn("picked", F.coalesce(F.col("bin") < F.col("cut"), F.lit(False)))
-    out = rest.unionByName(at_cut)
-    taken = F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "picked", taken.cast("long").alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
+) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs.
 
-    A document of no words is taken as often as its source's complete epochs say.
+    A document of no words is taken as often as its place in the order says.  Texts are not shuffled.
     """
-    m = mixed(docs, id_col, text_col, source_col, **options)
-    times = m.groupBy("doc_id").agg(F.max(F.col("epochs") + F.col("picked").cast("long")).cast("int").alias("_times"))
-    times = times.withColumnRenamed("doc_id", "_id").filter("_times > 0")
-    joined = docs.join(times, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = _keyed(docs, id_col, text_col, source_col, seed)
+    rows = stored(docs.select(*[c.alias(n) for n, c in keyed.items()]), "mix-sizes")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in keyed.items()])
+    out = _with_plan(packed, *source_plan(rows, weights, max_epochs))
+    times = F.col("epochs").cast("int") + F.col("picked").cast("int")
+    return out.select("_row", F.explode(F.array_repeat(F.lit(0), times))).select("_row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, lm, matroska, mixing, pii, quality, token_files
+from . import bpe, chat, language_id, lm, matroska, mixing, near_dup, pii, quality, token_files
 from .common import documents
 
 
@@ -27,6 +27,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_languages(documents(spark, sf_dir))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir), near_dup.Settings(words=3, of=85))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_matroska": op2_matroska,
         "op3_bpe": op3_bpe,
         "op4_language_id": op4_language_id,
+        "op5_near_dup": op5_near_dup,
         "op6_pii": op6_pii,
         "op7_mixing": op7_mixing,
         "op8_quality": op8_quality,

@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_bytes, vocabulary_json
+from .common import digest, per_worker, shared_path, text_bytes, vocabulary_json
 
 #: The id that ends a document.
 END_ID = 1
 #: Distinct words that a worker keeps with their ids; it starts afresh beyond.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: Documents whose unknown words go to the encoder together.
 GROUP = 64
 #: Stands for a null document id, which comes first.
@@ -177,7 +177,8 @@ def write_token_files(
     def write(batches):
         import pyarrow as pa
 
-        encoder, shard = WordEncoder(vocabulary, dtype), TaskContext.get().partitionId()
+        encoder = per_worker(("encoder", digest(vocabulary)), lambda: WordEncoder(vocabulary, dtype))
+        shard = TaskContext.get().partitionId()
         end, lengths, ids = np.array([end_id], dtype).tobytes(), [], []
 
         def encoded():
