@@ -12,13 +12,14 @@ import json
 import os
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, vocabulary_json
+from .common import digest, per_worker, text_bytes, vocabulary_json
 
 #: Entries that a worker keeps of words and of fragments each; it starts afresh beyond.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 #: Documents that are encoded together.
 GROUP = 64
 
@@ -47,6 +48,7 @@ class ForcedBoundaryBPE:
         self.added = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.find_added = re.compile("|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
+        self.decimal = {i: str(i) for i in self.tokens}
         self.inside = self.pairs_inside()
         self.cache_entries, self.words, self.fragments = cache_entries, {}, {}
 
@@ -58,34 +60,27 @@ class ForcedBoundaryBPE:
 
     def split(self, word: str) -> list[str]:
         """The word cut at every forced boundary."""
-        parts, start = [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in self.inside:
-                parts.append(word[start:i])
-                start = i
-        parts.append(word[start:])
-        return parts
+        inside = self.inside
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Applies the merges in order of rank, the leftmost first among equals."""
-        ranks = self.ranks
-        while len(symbols) > 1:
-            best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, 1 << 60))
-            if best not in ranks:
-                break
-            out, i, n = [], 0, len(symbols)
-            while i < n:
-                if i + 1 < n and symbols[i] == best[0] and symbols[i + 1] == best[1]:
-                    out.append(best[0] + best[1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+        rank, none = self.ranks.get, 1 << 60
+        ranks = [rank(p, none) for p in zip(symbols, symbols[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((symbols[i], symbols[i + 1]), none)
         return symbols
 
-    def fragment(self, part: str, last: bool) -> list[int]:
-        key = (part, last)
+    def fragment(self, part: str, last: bool) -> bytes:
+        """ids of a fragment, which bears the word's end if it is the last."""
+        key = part + "\0" if last else part
         ids = self.fragments.get(key)
         if ids is None:
             symbols = list(part)
@@ -93,57 +88,51 @@ class ForcedBoundaryBPE:
                 symbols[-1] += self.end
             if len(self.fragments) >= self.cache_entries:
                 self.fragments.clear()
-            ids = self.fragments[key] = [self.vocab[s] for s in self.merged(symbols)]
+            ids = self.fragments[key] = np.array([self.vocab[s] for s in self.merged(symbols)], "<u4").tobytes()
         return ids
 
-    def pre_token(self, word: str) -> list[int]:
+    def pre_token(self, word: str) -> bytes:
         parts = self.split(word)
-        ids: list[int] = []
-        for part in parts[:-1]:
-            ids += self.fragment(part, False)
-        return ids + self.fragment(parts[-1], True)
+        if len(parts) == 1:
+            return self.fragment(word, True)
+        return b"".join([*(self.fragment(p, False) for p in parts[:-1]), self.fragment(parts[-1], True)])
 
-    def plain(self, text: str) -> list[int]:
+    def plain(self, text: str) -> bytes:
         """ids of a text without added tokens."""
         if self.normalizer is not None:
             text = self.normalizer.normalize_str(text)
-        ids: list[int] = []
-        for word, _ in self.pre_tokenizer.pre_tokenize_str(text) if text else ():
-            ids += self.pre_token(word)
-        return ids
+        return b"".join([self.pre_token(word) for word, _ in self.pre_tokenizer.pre_tokenize_str(text)]) if text else b""
 
-    def encode_word(self, text: str) -> list[int]:
+    def encode_word(self, text: str) -> bytes:
         if self.find_added is None or not self.find_added.search(text):
             return self.plain(text)
         ids, at = [], 0
         for m in self.find_added.finditer(text):
-            ids += self.plain(text[at : m.start()]) + [self.added[m[0]]]
+            ids += [self.plain(text[at : m.start()]), np.array([self.added[m[0]]], "<u4").tobytes()]
             at = m.end()
-        return ids + self.plain(text[at:])
+        return b"".join([*ids, self.plain(text[at:])])
 
     def encode(self, text: bytes) -> list[int]:
         """ids of a whole text: of its runs between ASCII white space, each done once, as no pre-token crosses white space."""
-        known, ids = self.words, []
-        words = text.split()
-        for w in set(words).difference(known):
-            if len(known) >= self.cache_entries:
-                known.clear()
-                return self.encode_alone(words)
+        words, known = text.split(), self.words
+        new = set(words).difference(known)
+        if len(known) + len(new) > self.cache_entries:
+            known.clear()
+            new = set(words)
+        for w in new:
             known[w] = self.encode_word(w.decode())
-        for x in map(known.__getitem__, words):
-            ids += x
-        return ids
-
-    def encode_alone(self, words: list[bytes]) -> list[int]:
-        """A text at which the cache ran full."""
-        own = {w: self.encode_word(w.decode()) for w in set(words)}
-        return [i for w in words for i in own[w]]
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of ids joined by spaces, which is what a vocabulary file without a decoder stands for."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+def worker_bpe(vocabulary: str) -> ForcedBoundaryBPE:
+    """The encoder of this Python worker, with what it has remembered."""
+    return per_worker(("bpe", digest(vocabulary)), lambda: ForcedBoundaryBPE(vocabulary))
+
+
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """One row per row of docs: the id column and ids array<int>.  Null texts count as empty: no ids.  Nothing is shuffled."""
     vocabulary = vocabulary or vocabulary_json()
@@ -151,7 +140,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     def work(batches):
         import pyarrow as pa
 
-        bpe = ForcedBoundaryBPE(vocabulary)
+        bpe = worker_bpe(vocabulary)
         for b in batches:
             texts = text_bytes(b.column(1))
             for a in range(0, len(texts), GROUP):
@@ -168,7 +157,7 @@ def decoded(ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabu
     def work(batches):
         import pyarrow as pa
 
-        bpe = ForcedBoundaryBPE(vocabulary)
+        bpe = worker_bpe(vocabulary)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
 
@@ -186,8 +175,8 @@ def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def work(batches):
         import pyarrow as pa
 
-        bpe = ForcedBoundaryBPE(vocabulary)
-        decimal = {i: str(i) for i in bpe.tokens}
+        bpe = worker_bpe(vocabulary)
+        decimal = bpe.decimal
         for b in batches:
             n, a, d = [], [], []
             for t in text_bytes(b.column(1)):
