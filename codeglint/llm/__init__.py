@@ -5,6 +5,6 @@ Nothing else in the library imports this subpackage.  ``queries()`` and ``oracle
 
 from __future__ import annotations
 
-from .queries import oracle_sql, queries
+from .registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
