@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import findings
+from . import findings, graphs
 
-_MODULES = (findings,)
+_MODULES = (findings, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
