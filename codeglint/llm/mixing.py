@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored
-from .quality import SPACE_CHARS, SYMBOLS
+from .common import WORD, stored
+from .quality import ANY_SYMBOL, solid_characters
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_EPOCHS = 3
@@ -27,15 +27,13 @@ BROADCAST_SOURCES = 100_000
 
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
-    t = F.trim(F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS, " " * 6))
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SPACES))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def quality_weight(text: Column) -> Column:
     """0.5 to 2: 2 for text without symbols, falling with their share of the characters that aren't space; 0.5 from a tenth on."""
     t = F.coalesce(text, F.lit(""))
-    solid = F.length(F.translate(t, SPACE_CHARS, ""))
-    symbols = F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
+    solid, symbols = solid_characters(t), F.regexp_count(t, F.lit(ANY_SYMBOL))
     share = F.when(solid > 0, symbols / solid).otherwise(F.lit(1.0))
     return F.greatest(F.lit(0.5), 2.0 - 15.0 * share)
 

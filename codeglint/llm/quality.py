@@ -11,10 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, WORD
 
 SYMBOLS = "#*$%&|<>"
-SPACE_CHARS = " \t\n\x0b\f\r"
+ANY_SYMBOL, ANY_SPACE = f"[{SYMBOLS}]", r"[ \x09-\x0D]"
 #: Frequent function words of English, German, French and Spanish (fixed values).
 STOP_WORDS = (
     "the", "of", "and", "to", "in", "is", "that", "for", "it", "on", "with", "was", "a", "by", "or", "are", "an", "be",
@@ -49,6 +49,11 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def solid_characters(text: Column) -> Column:
+    """Code points that aren't space."""
+    return F.length(text) - F.regexp_count(text, F.lit(ANY_SPACE))
+
+
 def repeated_words(words: Column) -> Column:
     """How many words lie in 3-word windows that occur twice or more in the array.
 
@@ -84,7 +89,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, SPACES), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))
     counts = F.transform(
         F.array(F.struct(words.alias("w"), lines.alias("l"))),
         lambda s: F.struct(
@@ -98,8 +103,8 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = docs.withColumns(
         {
             "_counts": F.element_at(counts, 1),
-            "word_chars": F.length(F.translate(text, SPACE_CHARS, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "word_chars": solid_characters(text).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(ANY_SYMBOL)).cast("long"),
         }
     )
     names = ("n_words", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words")
