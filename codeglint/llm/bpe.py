@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, per_worker, text_bytes, vocabulary_json
+from .common import digest, per_worker, slices, text_bytes, vocabulary_json
 
 #: Entries that a worker keeps of words and of fragments each; it starts afresh beyond.
 CACHE_ENTRIES = 500_000
@@ -141,10 +141,8 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
         import pyarrow as pa
 
         bpe = worker_bpe(vocabulary)
-        for b in batches:
-            texts = text_bytes(b.column(1))
-            for a in range(0, len(texts), GROUP):
-                yield pa.RecordBatch.from_arrays([b.column(0)[a : a + GROUP], pa.array([bpe.encode(t) for t in texts[a : a + GROUP]], pa.list_(pa.int32()))], names=[id_col, "ids"])
+        for b in slices(batches, GROUP):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.encode(t) for t in text_bytes(b.column(1))], pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     d = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text"))
     return d.mapInArrow(work, f"`{id_col}` {d.schema[id_col].dataType.simpleString()}, ids array<int>")
@@ -177,7 +175,7 @@ def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         bpe = worker_bpe(vocabulary)
         decimal = bpe.decimal
-        for b in batches:
+        for b in slices(batches, 1000):
             n, a, d = [], [], []
             for t in text_bytes(b.column(1)):
                 ids = bpe.encode(t)

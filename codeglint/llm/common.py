@@ -6,8 +6,6 @@ import hashlib
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,9 +90,11 @@ def digest(text: str) -> str:
     return hashlib.md5(text.encode()).hexdigest()
 
 
-def chunks(items: list, n: int) -> Iterator[list]:
-    for i in range(0, len(items), n):
-        yield items[i : i + n]
+def slices(batches, rows: int):
+    """Arrow batches in parts of so many rows: what Python holds of a batch at once stays small."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
 
 
 def text_bytes(column) -> list[bytes]:

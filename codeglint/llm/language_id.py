@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, text_bytes
+from .common import fold, slices, text_bytes
 
 UNDETERMINED = "und"
 HIDDEN, WINDOW = 8, 64
@@ -246,18 +246,14 @@ def predicted(docs: DataFrame, model: Frozen | None, id_col: str = "doc_id", tex
     def work(batches):
         import pyarrow as pa
 
-        for b in batches:
-            texts = text_bytes(b.column(1))
-            for a in range(0, len(texts), 128):
-                part = texts[a : a + 128]
-                langs, scores = [UNDETERMINED] * len(part), [0.0] * len(part)
-                if model is not None:
-                    lettered = [i for i, t in enumerate(part) if has_letter(t)]
-                    if lettered:
-                        for i, p in zip(lettered, model.documents([part[i] for i in lettered])):
-                            langs[i], scores[i] = model.langs[int(p.argmax())], min(1.0, float(p.max()))
-                rest = [b.column(k)[a : a + 128] for k in range(2, b.num_columns)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[a : a + 128], *rest, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", *[f.name for f in b.schema][2:], "lang_pred", "score"])
+        for b in slices(batches, 128):
+            part = text_bytes(b.column(1))
+            langs, scores = [UNDETERMINED] * len(part), [0.0] * len(part)
+            lettered = [i for i, t in enumerate(part) if has_letter(t)] if model is not None else []
+            if lettered:
+                for i, p in zip(lettered, model.documents([part[i] for i in lettered])):
+                    langs[i], scores[i] = model.langs[int(p.argmax())], min(1.0, float(p.max()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", *[f.name for f in b.schema][2:], "lang_pred", "score"])
 
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("_text"), *extra)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[2:])

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import slices, stored, text_bytes
 
 #: Bytes of a packet: 24 ms of 8-bit mono at 8 kHz.
 PACKET = 192
@@ -297,11 +297,9 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def work(batches):
         import pyarrow as pa
 
-        for b in batches:
-            texts = text_bytes(b.column(1))
-            for a in range(0, len(texts), 256):
-                part = texts[a : a + 256]
-                yield pa.RecordBatch.from_arrays([b.column(0)[a : a + 256], pa.array([len(t) for t in part], pa.int64()), pa.array([write_media(padded(t), lacing=lacing) for t in part], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for b in slices(batches, 256):
+            part = text_bytes(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in part], pa.int64()), pa.array([write_media(padded(t), lacing=lacing) for t in part], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("_text"))
     return d.mapInArrow(work, "doc_id long, n_bytes long, media binary")
@@ -352,7 +350,7 @@ def media_digests(media: DataFrame) -> DataFrame:
 
         kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2
         names = [x.split(" ")[0] for x in schema.split(", ")]
-        for b in batches:
+        for b in slices(batches, 256):
             out = []
             for i, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 m = read_media(data)

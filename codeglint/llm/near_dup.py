@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lowered, per_worker, stored, text_bytes
+from .common import lowered, per_worker, slices, stored, text_bytes
 
 #: A bucket of up to so many members gives all its pairs.
 SMALL = 8
@@ -134,7 +134,7 @@ def prepared(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFr
         import pyarrow as pa
 
         sh = per_worker(("shingler", s), lambda: Shingler(s))
-        for b in batches:
+        for b in slices(batches, 1000):
             out = []
             for i, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
                 x = sh.shingles(t)
@@ -143,8 +143,8 @@ def prepared(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFr
                     continue
                 sig = sh.signature(x)
                 out.append((i, len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), sig.tobytes(), sh.band_keys(sig)))
-            for at in range(0, len(out), 1000):
-                c = list(zip(*out[at : at + 1000]))
+            if out:
+                c = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.list_(pa.int64()))], names=["id", "n_shingles", "digest", "sig", "bands"])
 
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -158,10 +158,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, s: Settings, id_col: str, text
         import pyarrow as pa
 
         sh = per_worker(("shingler", s), lambda: Shingler(s))
-        for b in batches:
-            texts = text_bytes(b.column(1))
-            for at in range(0, len(texts), 200):
-                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + 200], pa.array([sh.shingles(t).tobytes() for t in texts[at : at + 200]], pa.binary())], names=["id", "shingles"])
+        for b in slices(batches, 200):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sh.shingles(t).tobytes() for t in text_bytes(b.column(1))], pa.binary())], names=["id", "shingles"])
 
     few = ids.count() <= BROADCAST_IDS
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))

@@ -11,7 +11,10 @@ a temporary name and renamed, with the same bytes at every attempt, so a task ma
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,18 +22,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest, per_worker, shared_path, text_bytes, vocabulary_json
+from .common import digest, per_worker, shared_path, slices, text_bytes, vocabulary_json
 
 #: The id that ends a document.
 END_ID = 1
 #: Distinct words that a worker keeps with their ids; it starts afresh beyond.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Documents whose unknown words go to the encoder together.
 GROUP = 64
 #: Stands for a null document id, which comes first.
 NULL_ID = -(2**63)
 
 
+_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: The byte alphabet of byte-level vocabularies, for the bytes that Latin letters have.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+assert sys.byteorder == "little"
+
+
 class WordEncoder:
     """ids of whole texts by the tokenizers library, which sees each distinct word once.
 
@@ -46,27 +56,52 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype(dtype or width(self.tokenizer.get_vocab_size(with_added_tokens=True)))
-        self.cache_words, self.known = cache_words, {}
+        self.cache_words, self.known, self.cores, self.code = cache_words, {}, {}, {2: "H", 4: "I"}[self.dtype.itemsize]
         self.check()
 
     def check(self) -> None:
-        probe = "Ab, c12 'll\n\td's  é ́x"
+        probe = "Ab, c12 'll\n\td's  é ́x"
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
         parts = [i for w in probe.encode().split() for i in self.tokenizer.encode(w.decode(), add_special_tokens=False).ids]
         if whole != parts:
             raise ValueError("this vocabulary's tokens depend on white space: words can't be encoded alone")
+        self.stops = {x: array(self.code, self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in ("", ",", ".")}
+        plain = True  # until a probe tells
+        for word in ("the", "Straße", "ÉTÉ.", "señorîta,", "internationalisation", "ÿþ", "x", "Zz."):
+            ids = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            plain = plain and self.letters(_LETTERS.fullmatch(word)) == ids
+        self.plain = plain
+
+    def letters(self, m: re.Match) -> bytes:
+        """ids of a word of Latin letters with a comma or stop behind, which is one pre-token and one more: the library's
+        model alone, without normaliser and pre-tokenizer."""
+        core = m[1].lower()
+        ids = self.cores.get(core)
+        if ids is None:
+            if len(self.cores) >= self.cache_words // 2:
+                self.cores.clear()
+            tokens = self.tokenizer.model.tokenize(core.encode().decode("latin-1").translate(_BYTE_LETTERS))
+            ids = self.cores[core] = array(self.code, [t.id for t in tokens]).tobytes()
+        return ids + self.stops[m[2]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes of self.dtype."""
         words, new = [t.split() for t in texts], set()
         for ws in words:
             new.update(ws)
-        missing = list(new.difference(self.known))
+        missing = new.difference(self.known)
         if len(self.known) + len(missing) > self.cache_words:
             self.known.clear()
-            missing = list(new)
-        for e, w in zip(self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), missing, strict=True):
-            self.known[w] = np.array(e.ids, self.dtype).tobytes()
+            missing = new
+        rest = []
+        for w in missing:
+            m = _LETTERS.fullmatch(text := w.decode()) if self.plain else None
+            if m is None:
+                rest.append((w, text))
+            else:
+                self.known[w] = self.letters(m)
+        for e, (w, _) in zip(self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), rest, strict=True):
+            self.known[w] = array(self.code, e.ids).tobytes()
         return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
 
@@ -182,13 +217,11 @@ def write_token_files(
         end, lengths, ids = np.array([end_id], dtype).tobytes(), [], []
 
         def encoded():
-            for b in batches:
-                keys, texts = b.column(0).to_pylist(), text_bytes(b.column(1))
-                ids.extend(NULL_ID if i is None else i for i in keys)
-                for a in range(0, len(texts), GROUP):
-                    for x in encoder.encode(texts[a : a + GROUP]):
-                        lengths.append((len(x) + len(end)) // len(end))
-                        yield x + end
+            for b in slices(batches, GROUP):
+                ids.extend(NULL_ID if i is None else i for i in b.column(0).to_pylist())
+                for x in encoder.encode(text_bytes(b.column(1))):
+                    lengths.append((len(x) + len(end)) // len(end))
+                    yield x + end
 
         parts = encoded()
         first = next(parts, None)
