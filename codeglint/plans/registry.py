@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import findings, graphs
+from . import findings, graphs, telemetry
 
-_MODULES = (findings, graphs)
+_MODULES = (findings, graphs, telemetry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
