@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import findings, graphs, telemetry
+from . import analysis, findings, graphs, telemetry
 
-_MODULES = (findings, graphs, telemetry)
+_MODULES = (findings, graphs, telemetry, analysis)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
