@@ -204,8 +204,8 @@ SQL = {
     "truncated_texts": f"""WITH d AS ({_TEXT}), h AS (SELECT doc_id, text, substr(text, 1, 300) AS h FROM d), l AS (SELECT *, CASE WHEN contains(h, chr(10)) THEN 300 - instr(reverse(h), chr(10)) ELSE -1 END AS last FROM h),
         t AS (SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN last > 0 AND 300 - last < 50 THEN substr(h, 1, last) || '...' ELSE h || '...' END AS t FROM l) SELECT doc_id, length(t) AS size, md5(t) AS digest FROM t""",
     "keyword_jaccard": f"""WITH d AS ({_TEXT}), k AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(substr(text, 1, 2000)), '[\\p{{L}}\\p{{N}}_]+')) AS k FROM d), b AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM k),
-        j AS (SELECT doc_id, CASE WHEN len(k) = 0 AND len(p) = 0 THEN 1.0 WHEN len(k) = 0 OR len(p) = 0 THEN 0.0 ELSE len(list_intersect(k, p)) * 1.0 / len(list_distinct(list_concat(k, p))) END AS j, len(k) * len(p) AS both, len(list_intersect(list_intersect(k, p), [{", ".join(f"'{w}'" for w in X.IMPORTANT_WORDS)}])) AS n FROM b WHERE p IS NOT NULL)
-        SELECT doc_id, round(j, 6) AS jaccard, round(CASE WHEN both = 0 THEN 0.0 ELSE least(1.0, j + 0.1 * n) END, 6) AS similarity FROM j""",
+        j AS (SELECT doc_id, CASE WHEN len(k) = 0 AND len(p) = 0 THEN 1.0 WHEN len(k) = 0 OR len(p) = 0 THEN 0.0 ELSE len(list_intersect(k, p)) * 1.0 / len(list_distinct(list_concat(k, p))) END AS j, len(k) * len(p) AS sized, len(list_intersect(list_intersect(k, p), [{", ".join(f"'{w}'" for w in X.IMPORTANT_WORDS)}])) AS n FROM b WHERE p IS NOT NULL)
+        SELECT doc_id, round(j, 6) AS jaccard, round(CASE WHEN sized = 0 THEN 0.0 ELSE least(1.0, j + 0.1 * n) END, 6) AS similarity FROM j""",
     "context_windows_merged": f"""WITH d AS ({_TEXT}), l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
         w AS (SELECT doc_id, greatest(pos - 3, 1) AS start_line, least(pos + 3, n_lines) AS end_line FROM l WHERE regexp_matches(line, '[|<>]|!!')), x AS (SELECT *, round(start_line % 10 / 10.0, 6) AS relevance, start_line % 11 = 0 AS important FROM w),
         f AS (SELECT *, CASE WHEN start_line <= max(end_line) OVER (PARTITION BY doc_id ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM x WHERE NOT important), i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS island FROM f),
