@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 import zlib
@@ -15,6 +16,11 @@ WORD = r"[^ \x09-\x0D]+"
 #: The vocabulary that encoders take unless told otherwise.
 VOCABULARY = "word_bpe_49k.json"
 
+#: A word of Latin letters with a comma or stop behind, and the byte alphabet of byte-level vocabularies for its bytes.
+LATIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 _own_dirs: dict[str, str] = {}
 _kept: dict[object, object] = {}
 
@@ -77,6 +83,11 @@ def fold_of(key: object, modulus: int) -> int:
     return zlib.crc32(b"" if key is None else str(key).encode()) % modulus
 
 
+def byte_letters(text: str) -> str:
+    """text's UTF-8 in the byte alphabet."""
+    return text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+
+
 def per_worker(key: object, build):
     """build(), kept for the later tasks of this Python worker, which keeps the last few such things only."""
     if key not in _kept:

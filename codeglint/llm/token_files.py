@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest, per_worker, shared_path, slices, text_bytes, vocabulary_json
+from .common import LATIN_WORD, byte_letters, digest, per_worker, shared_path, slices, text_bytes, vocabulary_json
 
 #: The id that ends a document.
 END_ID = 1
@@ -34,10 +34,6 @@ GROUP = 64
 NULL_ID = -(2**63)
 
 
-_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-#: The byte alphabet of byte-level vocabularies, for the bytes that Latin letters have.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 assert sys.byteorder == "little"
 
 
@@ -69,7 +65,7 @@ class WordEncoder:
         plain = True  # until a probe tells
         for word in ("the", "Straße", "ÉTÉ.", "señorîta,", "internationalisation", "ÿþ", "x", "Zz."):
             ids = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-            plain = plain and self.letters(_LETTERS.fullmatch(word)) == ids
+            plain = plain and self.letters(LATIN_WORD.fullmatch(word)) == ids
         self.plain = plain
 
     def letters(self, m: re.Match) -> bytes:
@@ -80,7 +76,7 @@ class WordEncoder:
         if ids is None:
             if len(self.cores) >= self.cache_words // 2:
                 self.cores.clear()
-            tokens = self.tokenizer.model.tokenize(core.encode().decode("latin-1").translate(_BYTE_LETTERS))
+            tokens = self.tokenizer.model.tokenize(byte_letters(core))
             ids = self.cores[core] = array(self.code, [t.id for t in tokens]).tobytes()
         return ids + self.stops[m[2]]
 
@@ -95,7 +91,7 @@ class WordEncoder:
             missing = new
         rest = []
         for w in missing:
-            m = _LETTERS.fullmatch(text := w.decode()) if self.plain else None
+            m = LATIN_WORD.fullmatch(text := w.decode()) if self.plain else None
             if m is None:
                 rest.append((w, text))
             else:
