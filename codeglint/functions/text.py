@@ -135,8 +135,9 @@ def complexity(code: Column) -> Column:
 
 
 def branch_complexity(code: Column) -> Column:
-    """1 and a point for each branching construct of JavaScript."""
-    return 1 + F.regexp_count(code, F.lit(r"\b(if|for|while|case|catch)\b|&&|\|\||\?"))
+    """Of JavaScript: 1 and a point for each control word, catch and ternary of a line."""
+    count = lambda p: F.regexp_count(code, F.lit(p))
+    return 1 + count(r"\b(if|while|for|switch)\b") + count(r"\bcatch\b") + count(r"\?\s*.*\s*:")
 
 
 def visibility(name: Column) -> Column:

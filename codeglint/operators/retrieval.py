@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, by: str = "cosine")
     by: cosine, or l2 for 1 - squared distance / 100, not below 0.
     """
     import numpy as np
-    import pandas as pd
 
     out, schema = None, "query_id long, vec_id long, similarity double"
     ids = [r.query_id for r in queries.select("query_id").orderBy("query_id").collect()]
@@ -111,7 +111,6 @@ def structure_ratio(a: str, b: str) -> float:
 
 def with_structure_ratio(pairs: DataFrame, a: str, b: str, out: str = "structure") -> DataFrame:
     """pairs with the structure ratio of two columns; block matching has no expression, so it runs on Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
