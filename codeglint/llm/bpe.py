@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, per_worker, slices, text_bytes, vocabulary_json
+from .common import LATIN_WORD, byte_letters, digest, per_worker, slices, text_bytes, vocabulary_json
 
 #: Entries that a worker keeps of words and of fragments each; it starts afresh beyond.
 CACHE_ENTRIES = 500_000
@@ -50,7 +50,8 @@ class ForcedBoundaryBPE:
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
         self.decimal = {i: str(i) for i in self.tokens}
         self.inside = self.pairs_inside()
-        self.cache_entries, self.words, self.fragments = cache_entries, {}, {}
+        self.cache_entries, self.words, self.older, self.fragments = cache_entries, {}, {}, {}
+        self.latin = self.latin_words_are_plain()
 
     def pairs_inside(self) -> set[str]:
         """All pairs of adjacent byte characters inside vocabulary tokens, the suffix left out."""
@@ -58,6 +59,15 @@ class ForcedBoundaryBPE:
         bare = (t[:-cut] if cut and t.endswith(self.end) and len(t) > cut else t for t in self.vocab)
         return {t[i : i + 2] for t in bare for i in range(len(t) - 1)}
 
+    def latin_words_are_plain(self) -> bool:
+        """Whether normaliser and pre-tokenizer make of a word of Latin letters with a stop behind its lower-case bytes and the stop."""
+        for word in ("the", "Straße", "ÉTÉ.", "señorîta,", "ÿþ", "x", "Zz."):
+            m = LATIN_WORD.fullmatch(word)
+            text = self.normalizer.normalize_str(word) if self.normalizer is not None else word
+            if [t for t, _ in self.pre_tokenizer.pre_tokenize_str(text)] != [byte_letters(m[1].lower()), *m[2]]:
+                return False
+        return True
+
     def split(self, word: str) -> list[str]:
         """The word cut at every forced boundary."""
         inside = self.inside
@@ -104,6 +114,9 @@ class ForcedBoundaryBPE:
         return b"".join([self.pre_token(word) for word, _ in self.pre_tokenizer.pre_tokenize_str(text)]) if text else b""
 
     def encode_word(self, text: str) -> bytes:
+        if self.latin and (m := LATIN_WORD.fullmatch(text)):
+            ids = self.pre_token(byte_letters(m[1].lower()))
+            return ids + self.pre_token(m[2]) if m[2] else ids
         if self.find_added is None or not self.find_added.search(text):
             return self.plain(text)
         ids, at = [], 0
@@ -114,13 +127,12 @@ class ForcedBoundaryBPE:
 
     def encode(self, text: bytes) -> list[int]:
         """ids of a whole text: of its runs between ASCII white space, each done once, as no pre-token crosses white space."""
-        words, known = text.split(), self.words
-        new = set(words).difference(known)
-        if len(known) + len(new) > self.cache_entries:
-            known.clear()
-            new = set(words)
-        for w in new:
-            known[w] = self.encode_word(w.decode())
+        if len(self.words) > self.cache_entries // 2:
+            self.older, self.words = self.words, {}
+        words, known, older = text.split(), self.words, self.older
+        for w in set(words).difference(known):
+            ids = older.get(w)
+            known[w] = self.encode_word(w.decode()) if ids is None else ids
         return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
