@@ -5,7 +5,7 @@ Every feature is an expression over the text, so a scan computes all of them in
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -82,56 +82,58 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) >= 4, found).otherwise(F.lit(0)).cast("long")
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the counts n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stop_words and n_repeat_words.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words")
 
-    A null text counts as empty: every count is 0.  Columns of docs that have one of these names are replaced.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+
+def counts(text: Column) -> Column:
+    """struct of COUNTS over a text; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(text, SPACES), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(WORD)))
-    counts = F.transform(
-        F.array(F.struct(words.alias("w"), lines.alias("l"))),
-        lambda s: F.struct(
-            F.size(s["w"]).cast("long").alias("n_words"),
-            F.size(s["l"]).cast("long").alias("n_lines"),
-            (F.size(s["l"]) - F.size(F.array_distinct(s["l"]))).cast("long").alias("n_dup_lines"),
-            F.size(F.filter(s["w"], lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-            repeated_words(s["w"]).alias("n_repeat_words"),
-        ),
-    )
-    out = docs.withColumns(
-        {
-            "_counts": F.element_at(counts, 1),
-            "word_chars": solid_characters(text).cast("long"),
-            "n_symbols": F.regexp_count(text, F.lit(ANY_SYMBOL)).cast("long"),
-        }
-    )
-    names = ("n_words", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words")
-    return out.withColumns({n: F.col("_counts")[n] for n in names}).drop("_counts")
+    whole = F.struct(words.alias("w"), lines.alias("l"), solid_characters(text).alias("c"), F.regexp_count(text, F.lit(ANY_SYMBOL)).alias("s"))
+
+    def counted(x: Column) -> Column:
+        values = (
+            F.size(x["w"]), x["c"], x["s"], F.size(x["l"]), F.size(x["l"]) - F.size(F.array_distinct(x["l"])),
+            F.size(F.filter(x["w"], lambda w: F.lower(w).isin(*STOP_WORDS))), repeated_words(x["w"]),
+        )
+        return F.struct(*[v.cast("long").alias(n) for n, v in zip(COUNTS, values)])
+
+    return F.element_at(F.transform(F.array(whole), counted), 1)
 
 
-def features() -> dict[str, Column]:
-    """The features that rules may name, over the columns of measured()."""
-    words = F.col("n_words").cast("double")
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with COUNTS.  A null text counts as empty: every count is 0.  Columns of docs that have one of these names are replaced."""
+    out = docs.withColumn("_counts", counts(F.col(f"`{text_col}`")))
+    return out.withColumns({n: F.col("_counts")[n] for n in COUNTS}).drop("_counts")
+
+
+def features(c: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """The features that rules may name; c gives a count by its name."""
+    words = c("n_words").cast("double")
     return {
         "n_words": words,
-        "mean_word_length": _ratio(F.col("word_chars"), words),
-        "symbol_ratio": _ratio(F.col("n_symbols"), F.col("word_chars")),
-        "stop_word_ratio": _ratio(F.col("n_stop_words"), words),
-        "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("n_lines")),
-        "repeat_word_ratio": _ratio(F.col("n_repeat_words"), words),
+        "mean_word_length": _ratio(c("word_chars"), words),
+        "symbol_ratio": _ratio(c("n_symbols"), c("word_chars")),
+        "stop_word_ratio": _ratio(c("n_stop_words"), words),
+        "dup_line_ratio": _ratio(c("n_dup_lines"), c("n_lines")),
+        "repeat_word_ratio": _ratio(c("n_repeat_words"), words),
     }
 
 
-def verdict(rules: Sequence[Rule] = RULES) -> Column:
+def verdict(rules: Sequence[Rule] = RULES, c: Callable[[str], Column] = F.col) -> Column:
     """True where every rule of the table holds."""
-    known, passed = features(), F.lit(True)
+    known, passed = features(c), F.lit(True)
     for r in rules:
         passed = passed & known[r.feature].between(r.low, r.high)
     return passed
 
 
+def base_failed(c: Callable[[str], Column] = F.col) -> Column:
+    """Under 50 words, or over half of them repeated."""
+    return (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words"))
+
+
 def with_quality(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """docs with the counts of measured(), base_failed and kept.
 
@@ -139,11 +141,13 @@ def with_quality(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule]
     empty texts fail; an empty table gives an empty result; other columns stay, whatever their names, unless they clash
     with a count, which replaces them.
     """
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measured(docs, text_col).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return measured(docs, text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of docs that pass, with the columns of docs."""
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    return with_quality(marked, "_text", rules).filter("kept").select("_row.*")
+    """The rows of docs that pass, with the columns of docs.
+
+    The condition binds the counts once: a filter evaluates each mention of an expression anew.
+    """
+    passes = F.exists(F.array(counts(F.col(f"`{text_col}`"))), lambda x: ~base_failed(x.getField) & verdict(rules, x.getField))
+    return docs.filter(passes)
