@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, findings, graphs, telemetry
+from . import analysis, findings, graphs, knowledge, telemetry
 
-_MODULES = (findings, graphs, telemetry, analysis)
+_MODULES = (findings, graphs, telemetry, analysis, knowledge)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
