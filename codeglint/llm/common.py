@@ -21,6 +21,9 @@ LATIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
+#: Rows of an Arrow batch in what stored() runs: rows may be long texts or pairs of shingle sets.
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+
 _own_dirs: dict[str, str] = {}
 _kept: dict[object, object] = {}
 
@@ -57,7 +60,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, and a lost executor loses nothing."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -89,10 +97,9 @@ def byte_letters(text: str) -> str:
 
 
 def per_worker(key: object, build):
-    """build(), kept for the later tasks of this Python worker, which keeps the last few such things only."""
+    """build(), kept for the later tasks of this Python worker, which keeps only the last such thing."""
     if key not in _kept:
-        while len(_kept) >= 4:
-            _kept.pop(next(iter(_kept)))
+        _kept.clear()
         _kept[key] = build()
     return _kept[key]
 
@@ -108,6 +115,21 @@ def slices(batches, rows: int):
             yield b.slice(a, rows)
 
 
+def sized_slices(batches, column: int, rows: int, size: int):
+    """Arrow batches in parts of at most so many rows, and so many bytes of a text column beyond the first row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = total[at - 1] if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(total, done + size, "right"))))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 of an Arrow string column; null counts as empty."""
     import pyarrow as pa

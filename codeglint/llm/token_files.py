@@ -22,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LATIN_WORD, byte_letters, digest, per_worker, shared_path, slices, text_bytes, vocabulary_json
+from .common import LATIN_WORD, byte_letters, digest, per_worker, shared_path, sized_slices, vocabulary_json
 
 #: The id that ends a document.
 END_ID = 1
 #: Distinct words that a worker keeps with their ids; it starts afresh beyond.
 CACHE_WORDS = 1_000_000
-#: Documents whose unknown words go to the encoder together.
-GROUP = 64
+#: Documents, and bytes of text, that are encoded together: each of their distinct words is looked up once.
+GROUP, GROUP_BYTES = 1000, 4 << 20
 #: Stands for a null document id, which comes first.
 NULL_ID = -(2**63)
 
@@ -69,36 +69,74 @@ class WordEncoder:
         self.plain = plain
 
     def letters(self, m: re.Match) -> bytes:
-        """ids of a word of Latin letters with a comma or stop behind, which is one pre-token and one more: the library's
-        model alone, without normaliser and pre-tokenizer."""
+        """ids of a word of Latin letters with a comma or stop behind, which is one pre-token and one more."""
         core = m[1].lower()
-        ids = self.cores.get(core)
-        if ids is None:
-            if len(self.cores) >= self.cache_words // 2:
-                self.cores.clear()
-            tokens = self.tokenizer.model.tokenize(byte_letters(core))
-            ids = self.cores[core] = array(self.code, [t.id for t in tokens]).tobytes()
-        return ids + self.stops[m[2]]
+        return (self.cores.get(core) or self.core(core)) + self.stops[m[2]]
+
+    def core(self, word: str) -> bytes:
+        """ids of a lower-case word of Latin letters: by the library's model alone, without normaliser and pre-tokenizer."""
+        if len(self.cores) >= self.cache_words // 2:
+            self.cores.clear()
+        ids = self.cores[word] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(byte_letters(word))]).tobytes()
+        return ids
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words as bytes of self.dtype."""
+        known, cores, stops, rest = self.known, self.cores, self.stops, []
+        if len(known) > self.cache_words:
+            known.clear()
+        matched = LATIN_WORD.fullmatch if self.plain else lambda text: None
+        out = list(map(known.get, words))
+        for i, w in enumerate(words):
+            if out[i] is not None:
+                continue
+            text = w.decode()
+            m = matched(text)
+            if m is None:
+                rest.append((i, w, text))
+                continue
+            word, stop = m.groups()
+            word = word.lower()
+            ids = cores.get(word) or self.core(word)
+            out[i] = known[w] = ids + stops[stop] if stop else ids
+        for e, (i, w, _) in zip(self.tokenizer.encode_batch_fast([t for _, _, t in rest], add_special_tokens=False), rest, strict=True):
+            out[i] = known[w] = array(self.code, e.ids).tobytes()
+        return out
+
+    def encode_column(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of an Arrow string column: the ids of all texts one after another, end_id behind each.
+
+        Words are split and numbered by Arrow; their ids are gathered by position, so Python meets distinct words only.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        numbered = lists.flatten().dictionary_encode()
+        names = numbered.dictionary
+        words = names.cast(pa.large_binary() if pa.types.is_large_string(names.type) else pa.binary()).to_pylist()
+        ids = [*self.ids_of(words), np.array([end_id], self.dtype).tobytes()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        begins = np.cumsum(sizes) - sizes
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        at = np.insert(numbered.indices.to_numpy().astype(np.int64), offsets[1:], len(words))
+        lengths = sizes[at]
+        ends = np.cumsum(lengths)
+        place = np.repeat(begins[at] - (ends - lengths), lengths)
+        place += np.arange(len(place))
+        last = ends[offsets[1:] + np.arange(len(texts))]
+        return np.frombuffer(b"".join(ids), self.dtype)[place], np.diff(last, prepend=0)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as bytes of self.dtype."""
-        words, new = [t.split() for t in texts], set()
-        for ws in words:
-            new.update(ws)
-        missing = new.difference(self.known)
-        if len(self.known) + len(missing) > self.cache_words:
-            self.known.clear()
-            missing = new
-        rest = []
-        for w in missing:
-            m = LATIN_WORD.fullmatch(text := w.decode()) if self.plain else None
-            if m is None:
-                rest.append((w, text))
-            else:
-                self.known[w] = self.letters(m)
-        for e, (w, _) in zip(self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), rest, strict=True):
-            self.known[w] = array(self.code, e.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        """The ids of each text as bytes of self.dtype, without an end."""
+        import pyarrow as pa
+
+        flat, lengths = self.encode_column(pa.array([t.decode() for t in texts], pa.string()), 0)
+        stops = np.cumsum(lengths)
+        return [flat[e - n : e - 1].tobytes() for e, n in zip(stops.tolist(), lengths.tolist())]
 
 
 def width(vocabulary_size: int) -> str:
@@ -210,23 +248,23 @@ def write_token_files(
 
         encoder = per_worker(("encoder", digest(vocabulary)), lambda: WordEncoder(vocabulary, dtype))
         shard = TaskContext.get().partitionId()
-        end, lengths, ids = np.array([end_id], dtype).tobytes(), [], []
+        lengths, ids = [], []
 
         def encoded():
-            for b in slices(batches, GROUP):
-                ids.extend(NULL_ID if i is None else i for i in b.column(0).to_pylist())
-                for x in encoder.encode(text_bytes(b.column(1))):
-                    lengths.append((len(x) + len(end)) // len(end))
-                    yield x + end
+            for b in sized_slices(batches, 1, GROUP, GROUP_BYTES):
+                ids.append(np.array([NULL_ID if i is None else i for i in b.column(0).to_pylist()], "<i8"))
+                flat, n = encoder.encode_column(b.column(1), end_id)
+                lengths.append(n)
+                yield flat.tobytes()
 
         parts = encoded()
         first = next(parts, None)
         if first is None:
             return
         put(f"{uri}/{shard:06d}.tokens", (x for some in ([first], parts) for x in some))
-        put(f"{uri}/{shard:06d}.ids", [np.array(ids, "<i8").tobytes()])
-        put(f"{uri}/{shard:06d}.lengths", [np.array(lengths, "<u8").tobytes()])
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "documents": pa.array([len(ids)], pa.int64()), "tokens": pa.array([sum(lengths)], pa.int64())})
+        put(f"{uri}/{shard:06d}.ids", [x.tobytes() for x in ids])
+        put(f"{uri}/{shard:06d}.lengths", [x.astype("<u8").tobytes() for x in lengths])
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "documents": pa.array([sum(map(len, ids))], pa.int64()), "tokens": pa.array([int(sum(n.sum() for n in lengths))], pa.int64())})
 
     p = spark._jvm.org.apache.hadoop.fs.Path(uri)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
