@@ -188,13 +188,16 @@ def code_tokens(text: Column) -> Column:
 
 
 def finding_similarity(a: Mapping[str, Column], b: Mapping[str, Column]) -> Column:
-    """Weighted similarity of two findings given as type, path, line, description, snippet, severity."""
+    """Weighted similarity of two findings given as type, path, line, severity, words (of the description) and tokens (of the
+    snippet), or description and snippet in place of these two."""
     w = rules.SIMILARITY_WEIGHTS
+    words = [x["words"] if "words" in x else word_set(x["description"]) for x in (a, b)]
+    tokens = [x["tokens"] if "tokens" in x else code_tokens(x["snippet"]) for x in (a, b)]
     total = (
         type_similarity(a["type"], b["type"]) * w["type"]
         + location_similarity(a["path"], a["line"], b["path"], b["line"]) * w["location"]
-        + jaccard(word_set(a["description"]), word_set(b["description"])) * w["description"]
-        + jaccard(code_tokens(a["snippet"]), code_tokens(b["snippet"])) * w["code_pattern"]
+        + jaccard(*words) * w["description"]
+        + jaccard(*tokens) * w["code_pattern"]
         + severity_similarity(a["severity"], b["severity"]) * w["severity"]
     )
     return clamp(total)

@@ -46,8 +46,12 @@ def risk_by(findings: DataFrame, column: str) -> DataFrame:
 
 
 def similar_pairs(findings: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
-    """Pairs of a block (a shared key) whose similarity reaches the threshold; each pair once, by id."""
-    names = {"type": "type", "path": "file_path", "line": "start_line", "description": "description", "snippet": "snippet", "severity": "severity"}
+    """Pairs of a block (a shared key) whose similarity reaches the threshold; each pair once, by id.
+
+    Word and token sets are made once a finding, before the join.
+    """
+    names = {"type": "type", "path": "file_path", "line": "start_line", "words": "words", "tokens": "tokens", "severity": "severity"}
+    findings = findings.withColumns({"words": S.word_set(F.col("description")), "tokens": S.code_tokens(F.col("snippet"))})
     a = findings.select(*block, *[F.col(c).alias(f"a_{c}") for c in ["id", *names.values()]])
     b = findings.select(*block, *[F.col(c).alias(f"b_{c}") for c in ["id", *names.values()]])
     pairs = a.join(b, list(block)).filter("a_id < b_id")

@@ -196,7 +196,44 @@ _TASKS = A.with_roles("source_files") + f""", g AS (SELECT path, {_LINES} AS n_l
     k(plan, task_type, priority) AS (VALUES {", ".join(f"('{plan}', '{t}', {n})" for plan, ts in rules.TASK_PLANS.items() for t, n in ts)}),
     t AS (SELECT md5(concat_ws('|', task_type, risk, grp, batch)) AS task_id, task_type, priority, risk, grp, files, CASE task_type WHEN 'syntax_check' THEN 0.5 WHEN 'logic_analysis' THEN 2.0 WHEN 'security_scan' THEN 3.0 ELSE 1.5 END * CASE WHEN n_lines > 1000 THEN 1.3 ELSE 1.0 END AS seconds FROM b JOIN k USING (plan))"""
 
+def _profile_sql() -> str:
+    """Pattern match of snippet s (lower case) for type k, as in operators.validation.pattern_match."""
+    parts = []
+    for name, (words, dangerous) in rules.PATTERN_PROFILES.items():
+        meant = " OR ".join(f"contains(k, '{w}')" for w in (name, *name.split()))
+        parts.append(f"CASE WHEN {meant} THEN {_count('s', words)} / CAST({len(words)} AS DOUBLE) * 0.6 + least(1.0, {_count('s', dangerous)} / CAST({max(1.0, len(dangerous) * 0.5)} AS DOUBLE)) * 0.4 ELSE 0.0 END")
+    best = f"greatest({', '.join(parts)})"
+    return f"CASE WHEN {best} > 0 THEN {best} ELSE least(0.6, {_count('s', rules.GENERIC_SECURITY_WORDS)} / 10.0) END"
+
+
+def _confidence_sql() -> str:
+    length = "CASE WHEN length(snippet) BETWEEN 20 AND 500 THEN 1.0 WHEN length(snippet) < 20 THEN length(snippet) / 20.0 ELSE greatest(0.3, 1.0 - (length(snippet) - 500) / 1000.0) END"
+    shape = f"least(1.0, {_count('snippet', '{}()[];')} / 5.0)"
+    named = "least(1.0, len(list_filter(tw, lambda w: contains(s, w))) / CAST(greatest(1, len(tw)) AS DOUBLE))"
+    place = "CASE WHEN contains(lower(file_path), 'test') OR contains(lower(file_path), 'example') OR contains(lower(file_path), 'demo') OR contains(lower(file_path), 'mock') OR contains(lower(file_path), 'temp') THEN 0.3 ELSE 1.0 END"
+    deep = f"least(1.0, {_count('s', ('if', 'for', 'while', 'try', 'catch', 'function', 'class'))} / 3.0)"
+    quality = f"least(1.0, greatest(0.0, 0.5 + {length} * 0.2 + {shape} * 0.15 + {named} * 0.25 + {place} * 0.15 + {deep} * 0.25))"
+    history = "CASE k " + " ".join(f"WHEN '{n}' THEN {v}" for n, v in rules.DEFAULT_ACCURACIES.items()) + f" ELSE {rules.DEFAULT_ACCURACY} END"
+    overlap = "len(list_intersect({0}, sw)) / CAST(greatest(1, len({0})) AS DOUBLE)"
+    place_fits = "CASE WHEN contains(k, 'sql') OR contains(k, 'command') OR contains(k, 'path') THEN 1.0 ELSE 0.0 END"
+    wanted, found = "CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.6 WHEN 'low' THEN 0.4 ELSE 0.5 END", f"least(1.0, {_count('s', ('if', 'for', 'while', 'try', 'function', 'class', 'import'))} / 5.0)"
+    meaning = f"least(1.0, greatest(0.0, 0.5 + ({overlap.format('dw')} + {overlap.format('tw')}) / 2 * 0.3 + {place_fits} * 0.1 + (1 - abs({wanted} - {found})) * 0.1))"
+    models = "start_line % 4"
+    cross = f"CASE WHEN {models} > 0 THEN least(1.0, greatest(0.0, CASE WHEN confidence > 0.5 THEN 0.4 ELSE 0.0 END + least(1.0, {models} / 3.0) * 0.2 + confidence * 0.25 + CASE WHEN {models} > 1 THEN least(1.0, greatest(0.0, 1 - 0.1 / greatest(0.1, confidence))) * 0.15 ELSE 0.0 END)) ELSE 0.5 END"
+    w = rules.CONFIDENCE_WEIGHTS
+    factors = {"code_quality": quality, "pattern_match": _profile_sql(), "historical_accuracy": history, "semantic_coherence": meaning, "cross_validation": cross}
+    total = " + ".join(f"CAST({x} AS DOUBLE) * {w[n]}" for n, x in factors.items())
+    return f"""{_FIND}, x AS (SELECT *, lower(snippet) AS s, lower(type) AS k, string_split(type, ' ') AS tw, list_distinct(string_split(lower(snippet), ' ')) AS sw, list_distinct(string_split(type || ' near cursor.execute(select', ' ')) AS dw FROM f),
+        y AS (SELECT type, severity, round(({total}) / {sum(w[n] for n in factors)}, 6) AS score FROM x) SELECT type, severity, count(*) AS n, round(avg(score), 5) AS mean, round(min(score), 5) AS low, round(max(score), 5) AS high FROM y GROUP BY 1, 2"""
+
+
+_SIMILAR = """, q AS (SELECT id, type, list_distinct(regexp_extract_all(lower(snippet), '[\\p{L}\\p{N}_]+')) AS w FROM f WHERE start_line % 10 = 1), c(case_id, c_type, code) AS (VALUES ('c1', 'sql injection', 'cursor.execute(select from where)'), ('c2', 'xss', 'document write script'), ('c3', 'injection', 'os.system(cmd)'), ('c4', 'sql injection', 'execute select or')),
+    d AS (SELECT *, list_distinct(regexp_extract_all(lower(code), '[\\p{L}\\p{N}_]+')) AS v FROM c), j AS (SELECT id, case_id, round(len(list_intersect(w, v)) * 1.0 / len(list_distinct(list_concat(w, v))), 6) AS s FROM q JOIN d ON type = c_type OR (type NOT IN (SELECT c_type FROM c) AND (contains(type, c_type) OR contains(c_type, type)))),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, case_id) AS rank FROM j WHERE s >= 0.3) SELECT case_id, rank, count(*) AS n, CAST(max(s) AS DOUBLE) AS similarity FROM r WHERE rank <= 10 GROUP BY 1, 2"""
+
 SQL = {
+    "confidence_scores": _confidence_sql(),
+    "similar_cases": _FIND + _SIMILAR,
     "token_counts": f"WITH d AS ({_TEXT}), t AS (SELECT lang, CAST(floor(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) * 1.3) AS BIGINT) AS t FROM d) SELECT lang, count(*) AS n, CAST(sum(t) AS BIGINT) AS tokens, max(t) AS most FROM t GROUP BY lang",
     "char_chunks": f"WITH d AS ({_TEXT}), c AS (SELECT doc_id, text, unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - 1000) / 800.0) AS BIGINT)))) AS pos FROM d WHERE length(text) > 0) SELECT doc_id, pos, length(substr(text, pos * 800 + 1, 1000)) AS size, md5(substr(text, pos * 800 + 1, 1000)) AS digest FROM c",
     "nesting_depth": """WITH b AS (SELECT page_id, string_split(regexp_replace(html, '[^{}()\\[\\]]', '', 'g'), '') AS c FROM pages), e AS (SELECT page_id, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM b), s AS (SELECT page_id, i, CASE WHEN c IN ('{', '(', '[') THEN 1 WHEN c IN ('}', ')', ']') THEN -1 ELSE 0 END AS d FROM e),

@@ -22,11 +22,16 @@ def scan_findings_by_type(spark: SparkSession, sf: str) -> DataFrame:
 
 def cvss_scores(spark: SparkSession, sf: str) -> DataFrame:
     f = A.findings(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    m = S.cvss_metrics(S.cvss_template(F.col("type")))
-    base = S.cvss_base(m)
+    # in steps: an expression mentioned many times is then computed once
+    f = f.withColumn("template", S.cvss_template(F.col("type")))
+    f = f.withColumns(S.cvss_metrics(F.col("template")))
+    m = {n: F.col(n) for n in rules.CVSS_METRICS}
+    f = f.withColumns({"exploitability": S.cvss_exploitability(m), "impact": S.cvss_impact(m), "vector": S.cvss_vector(m)})
+    f = f.withColumn("base_score", F.round(F.least(F.lit(10.0), F.col("exploitability") + F.col("impact")), 1))
+    base = F.col("base_score")
     return f.select(
-        "type", "n", F.round(S.cvss_exploitability(m), 6).alias("exploitability"), F.round(S.cvss_impact(m), 6).alias("impact"), base.alias("base_score"),
-        S.cvss_severity(base).alias("severity"), S.cvss_vector(m).alias("vector"), S.cvss_threat(base, F.lit("P")).alias("threat"),
+        "type", "n", F.round("exploitability", 6).alias("exploitability"), F.round("impact", 6).alias("impact"), "base_score",
+        S.cvss_severity(base).alias("severity"), "vector", S.cvss_threat(base, F.lit("P")).alias("threat"),
         S.cvss_environmental(base, F.lit("L"), F.lit("M"), F.lit("H")).alias("environmental"),
     )
 
