@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import LATIN_WORD, byte_letters, digest, per_worker, slices, text_bytes, vocabulary_json
 
 #: Entries that a worker keeps of words and of fragments each; it starts afresh beyond.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 #: Documents that are encoded together.
 GROUP = 64
 

@@ -23,12 +23,11 @@ SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 4
 STEPS, BATCH, RATE = 500, 256, 0.02
 #: Windows that prediction advances together.
 WIDE = 1024
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(_ASCII_LETTER.search(text) or _LETTER.search(text.decode()))
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode()))
 
 
 @dataclass

@@ -28,12 +28,12 @@ from .common import lowered, per_worker, slices, stored, text_bytes
 SMALL = 8
 #: Members from which a large bucket's central member is chosen.
 CENTRAL_SAMPLE = 64
-#: Members of a block in the search of large buckets: outside the main component, and all.
-MINOR_BLOCK, PROBE_BLOCK = 256, 2048
+#: Members of a block in the search of large buckets: outside the main component, and all; and about how many bytes of sets.
+MINOR_BLOCK, PROBE_BLOCK, BLOCK_BYTES = 256, 2048, 16 << 20
 #: Up to so many ids (8 bytes each) are broadcast to fetch their texts; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: Distinct words that a worker keeps with their hashes.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 _ONE = np.uint64(1)
 
 
@@ -286,12 +286,10 @@ def searched(mixed_members: DataFrame, s: Settings) -> DataFrame:
     first of the bands that its signatures share.
     """
     k, rows = s.hashes, s.rows
-    block = F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.col("n_minor") / MINOR_BLOCK), F.lit(1)))
-    probe = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.ceil(F.col("n_all") / PROBE_BLOCK), F.lit(1)))
-    side = mixed_members.withColumn("minor_block", block).withColumn("probe_block", probe)
+    n_minors = F.greatest(F.ceil(F.col("n_minor") / MINOR_BLOCK), F.ceil(F.col("minor_bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    n_probes = F.greatest(F.ceil(F.col("n_all") / PROBE_BLOCK), F.ceil(F.col("all_bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    side = mixed_members.withColumn("minor_block", F.pmod(F.xxhash64("id"), n_minors)).withColumn("probe_block", F.pmod(F.xxhash64("id", F.lit(1)), n_probes))
     columns = ["key", "mb", "pb", "is_minor", "id", "component", "sig", "shingles"]
-    n_probes = F.greatest(F.ceil(F.col("n_all") / PROBE_BLOCK), F.lit(1)).cast("int")
-    n_minors = F.greatest(F.ceil(F.col("n_minor") / MINOR_BLOCK), F.lit(1)).cast("int")
     minors = side.filter("minor").withColumn("pb", F.explode(F.sequence(F.lit(0), n_probes - 1))).withColumn("mb", F.col("minor_block").cast("int")).withColumn("is_minor", F.lit(True))
     probes = side.withColumn("mb", F.explode(F.sequence(F.lit(0), n_minors - 1))).withColumn("pb", F.col("probe_block").cast("int")).withColumn("is_minor", F.lit(False))
 
@@ -353,6 +351,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(banded.join(shared, "key"), "dup-members")
     large = members.filter(F.col("n") > SMALL)
+    sizes = p.filter("digest is not null").groupBy("id").agg(F.max("n_shingles").alias("size"))
     pairs = small_pairs(members).union(central_pairs(large, sigs, s)).distinct()
     pairs = stored(unpruned(with_both(pairs, sigs, "sig", "sig"), s), "dup-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -360,10 +359,11 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     sets = stored(shingle_sets(docs, ids, s, id_col, text_col), "dup-sets")
     links = stored(verified(with_both(pairs, sets, "shingles", "set"), s), "dup-links")
     found = components(links, "dup-first")
-    placed = large.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    by = placed.groupBy("key", "component").count()
-    by = by.groupBy("key").agg(F.count(F.lit(1)).alias("n_comps"), F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n_all"), F.max("count").alias("most"))
-    by = by.filter("n_comps > 1").withColumn("n_minor", F.col("n_all") - F.col("most"))
+    placed = large.join(found, "id", "left").join(sizes, "id").select("key", "id", F.coalesce("component", "id").alias("component"), "size")
+    by = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("sizes"))
+    main = F.max_by(F.struct("component", "count", "sizes"), F.struct("count", "component"))
+    by = by.groupBy("key").agg(F.count(F.lit(1)).alias("n_comps"), main.alias("m"), F.sum("count").alias("n_all"), (8 * F.sum("sizes")).alias("all_bytes")).filter("n_comps > 1")
+    by = by.select("key", F.col("m.component").alias("main"), "n_all", "all_bytes", (F.col("n_all") - F.col("m.count")).alias("n_minor"), (F.col("all_bytes") - 8 * F.col("m.sizes")).alias("minor_bytes"))
     open_members = placed.join(by, "key").withColumn("minor", F.col("component") != F.col("main"))
     open_members = open_members.join(sigs, "id").join(sets, "id")
     more = stored(searched(open_members, s), "dup-more-links")
