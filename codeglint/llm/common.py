@@ -29,7 +29,13 @@ _kept: dict[object, object] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if its files give fewer tasks than there are cores: a file of one row group is one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def vocabulary_json(path: str | None = None) -> str:

@@ -20,7 +20,7 @@ UNDETERMINED = "und"
 HIDDEN, WINDOW = 8, 64
 #: Bound of the training sample: about so many rows, and so many windows of each.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 4
-STEPS, BATCH, RATE = 500, 256, 0.02
+STEPS, BATCH, RATE = 300, 256, 0.02
 #: Windows that prediction advances together.
 WIDE = 1024
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
