@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions import scoring as S
 from ..functions import text as X
 
 #: Query vectors that one block holds; each block meets every vector once, with its own top k kept per task.
