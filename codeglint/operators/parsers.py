@@ -201,6 +201,24 @@ def python_calls(path: str, code: str) -> list[tuple]:
     return out
 
 
+def js_calls(path: str, code: str, language: str) -> list[tuple]:
+    """Calls of JavaScript and TypeScript by line patterns, with the innermost unit around them; definitions are no calls."""
+    units = [u for u in line_units(path, code, language) if u[3] in ("function", "method")]
+    heads = {(u[4], u[2].split(".")[-1]) for u in units}
+    out = []
+    for n, line in enumerate(code.split("\n"), 1):
+        if line.strip().startswith(("//", "*", "/*")):
+            continue
+        for m in re.finditer(r"(?:([A-Za-z_$][\w$]*)\.)?([A-Za-z_$][\w$]*)\s*\(", line):
+            owner, name = m[1], m[2]
+            if name in JS_CONTROL or (not owner and (n, name) in heads):
+                continue
+            around = max((u for u in units if u[4] <= n <= u[5]), key=lambda u: (u[4], -u[5]), default=None)
+            callee = f"{owner}.{name}" if owner and owner != "this" else name
+            out.append((path, around[2] if around else None, callee, "method" if owner else "direct", 0.8, n, None, None))
+    return out
+
+
 def python_imports(path: str, code: str) -> list[tuple]:
     """(path, module, name, kind) of imports: direct or from."""
     try:
@@ -268,7 +286,8 @@ def code_units(files: DataFrame) -> DataFrame:
 
 
 def calls(files: DataFrame) -> DataFrame:
-    return _rows(files, CALL, lambda p, c, _: python_calls(p, c), "python")
+    """Calls of Python and JavaScript files."""
+    return _rows(files.filter(F.col("language").isin("python", "javascript", "typescript")), CALL, lambda p, c, k: python_calls(p, c) if k == "python" else js_calls(p, c, k))
 
 
 def imports(files: DataFrame) -> DataFrame:

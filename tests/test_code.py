@@ -59,6 +59,7 @@ def test_calls_and_edges(files):
     e = {(r.src, r.dst): r.type for r in parsers.call_edges(files).collect()}
     assert e["app.py::handler", "db.py::run"] == "indirect" and e["app.py::careful", "safe.py::clean"] == "direct"
     assert e["cli.py::main", "cli.py::main"] == "recursive" and e["app.py::View.show", "app.py::View.draw"] == "method"
+    assert e["util.js::f", "util.js::load"] == "direct" and not any(a.startswith("util.js::load") for a, _ in e)
     assert ("app.py::inner", "helper") in e and ("db.py::delete_all", "db.py::run") in e
 
 
