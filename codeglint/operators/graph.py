@@ -5,6 +5,8 @@ Loops run on the driver, one round of joins at a time over stored tables; only c
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from ..functions.scoring import taint_effect, taint_start, taint_step
 from ..storage import stored
 
 
-def distances(edges: DataFrame, max_depth: int, starts: DataFrame | None = None) -> DataFrame:
-    """(src, dst, depth): the least number of edges from src to dst, 1 to max_depth; starts (src) limits the sources.
+def distances(edges: DataFrame, max_depth: int | None, starts: DataFrame | None = None) -> DataFrame:
+    """(src, dst, depth): the least number of edges from src to dst, 1 to max_depth, or any with None; starts (src) limits the sources.
 
     A frontier is joined with the edges and stripped of pairs already known; the loop ends when nothing is new.
     """
@@ -22,7 +24,7 @@ def distances(edges: DataFrame, max_depth: int, starts: DataFrame | None = None)
     frontier = stored(first.withColumn("depth", F.lit(1)), "frontier")
     parts = [frontier]
     step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for depth in range(2, max_depth + 1):
+    for depth in count(2) if max_depth is None else range(2, max_depth + 1):
         known = parts[0]
         for p in parts[1:]:
             known = known.unionByName(p)
@@ -37,6 +39,22 @@ def distances(edges: DataFrame, max_depth: int, starts: DataFrame | None = None)
     return out
 
 
+def nearest_start(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, depth): nodes that some start (src) reaches by one edge or more, and the least number of edges, however many.
+
+    Only nodes are kept, not pairs, so every node and edge is met once.
+    """
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
+    frontier = stored(edges.join(starts.select("src").distinct(), "src", "left_semi").select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(1)), "frontier")
+    out = frontier
+    for depth in count(2):
+        found = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = stored(found.join(out, "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        if frontier.isEmpty():
+            return out
+        out = out.unionByName(frontier)
+
+
 def reachable(edges: DataFrame, max_depth: int) -> DataFrame:
     """Distinct (src, dst) joined by a path of at most max_depth edges."""
     return distances(edges, max_depth).select("src", "dst")

@@ -89,7 +89,7 @@ def taint_flows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sanitisation_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of sanitised flows by source type, over all flows."""
+    """Share of sanitised flows by source type, over the first 5 flows of each pair."""
     f = _flows(spark, sf)
     return f.groupBy("source_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("level") == 1).alias("sanitized"), F.round(F.count_if(F.col("level") == 1) / F.count(F.lit(1)), 6).alias("coverage"))
 
@@ -117,7 +117,21 @@ def missing_auth(spark: SparkSession, sf: str) -> DataFrame:
     return used.join(covered, "dst", "left_anti").select(F.col("dst").alias("node"))
 
 
-QUERIES = {f.__name__: f for f in (reachability, bfs_depth, simple_paths, shortest_paths, components, cycles, topo_layers, degree_centrality, graph_statistics, impact_scope, taint_flows, sanitisation_coverage, unprotected_pairs, missing_auth)}
+def auth_distance_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensitive nodes of the graph of all orders, with how far off the nearest authenticating node is; null where none reaches it."""
+    e = A.calls(spark, sf, 1)
+    p = A.table(spark, sf, "part")
+    sensitive, auth = p.filter("p_size % 6 = 0").select(F.col("p_partkey").alias("node")), p.filter("p_size % 6 = 1").select(F.col("p_partkey").alias("src"))
+    used = e.select(F.col("dst").alias("node")).distinct().join(sensitive, "node", "left_semi")
+    return used.join(G.nearest_start(e, auth), "node", "left").select("node", F.col("depth").cast("long").alias("depth"))
+
+
+def degree_centrality_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Degrees in the graph of all orders."""
+    return G.degrees(A.calls(spark, sf, 1))
+
+
+QUERIES = {f.__name__: f for f in (reachability, bfs_depth, simple_paths, shortest_paths, components, cycles, topo_layers, degree_centrality, graph_statistics, impact_scope, taint_flows, sanitisation_coverage, unprotected_pairs, missing_auth, auth_distance_whole, degree_centrality_whole)}
 
 _W = A.with_roles("calls")
 _REC = "WITH RECURSIVE " + A.SQL["calls"]

@@ -68,11 +68,14 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct directed edges src, dst: successive parts of orders whose key is divisible by 60, without self loops."""
+def calls(spark: SparkSession, sf_dir: str, every: int = 60) -> DataFrame:
+    """Distinct directed edges src, dst: successive parts of orders whose key is divisible by `every` (1: all), no self loops.
+
+    The SQL has the edges of every=60.
+    """
     from pyspark.sql import Window
 
-    t = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 60 == 0)
+    t = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % every == 0)
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return t.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")).filter("dst is not null and src <> dst").distinct()
 
