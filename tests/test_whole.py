@@ -1,7 +1,8 @@
 """Queries over whole tables against brute force."""
 
 from codeglint.operators import graph
-from codeglint.plans import graphs
+from codeglint.operators.knowledge import packed_paragraphs
+from codeglint.plans import graphs, knowledge
 
 
 def whole_calls(spark, sf):
@@ -34,3 +35,9 @@ def test_distances_have_no_bound(spark):
     start = spark.createDataFrame([(0,)], "src int")
     assert {r.dst: r.depth for r in graph.distances(e, None, start).collect()} == {i: i for i in range(1, 13)}
     assert {r.node: r.depth for r in graph.nearest_start(e, start).collect()} == {i: i for i in range(1, 13)}
+
+
+def test_paragraph_chunks_of_all_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((r.doc_id, n, len(c)) for r in docs for n, c in enumerate(packed_paragraphs((r.text or "").replace("\n", "\n\n"), 120, 30)))
+    assert sorted(map(tuple, knowledge.paragraph_chunks(spark, sf).collect())) == want
