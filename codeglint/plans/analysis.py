@@ -38,9 +38,18 @@ def truncated_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    """Keyword similarity of each document with the one before it in its source."""
+    """Keyword similarity of each document with the one before it in its source, by their first 2000 characters as in the SQL."""
+    return _keyword_jaccard(_docs(spark, sf).withColumn("text", F.substring("text", 1, 2000)))
+
+
+def keyword_jaccard_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by their whole texts."""
+    return _keyword_jaccard(_docs(spark, sf))
+
+
+def _keyword_jaccard(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("source").orderBy("doc_id")
-    d = _docs(spark, sf).withColumn("k", X.tokens(F.substring("text", 1, 2000))).withColumn("before", F.lag("k").over(w)).filter("before is not null")
+    d = docs.select("doc_id", "source", X.tokens(F.col("text")).alias("k")).withColumn("before", F.lag("k").over(w)).filter("before is not null")
     return d.select("doc_id", F.round(S.jaccard(F.col("k"), F.col("before"), 1.0, 0.0), 6).alias("jaccard"), F.round(X.keyword_similarity(F.col("k"), F.col("before")), 6).alias("similarity"))
 
 
@@ -173,7 +182,7 @@ def message_history(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, char_chunks, nesting_depth, truncated_texts, keyword_jaccard, context_windows_merged, html_script_blocks, file_risks, fp_rules, fp_rule_rates, fp_combined, learned_patterns, confidence_scores,
+    for f in (token_counts, char_chunks, nesting_depth, truncated_texts, keyword_jaccard, keyword_jaccard_whole, context_windows_merged, html_script_blocks, file_risks, fp_rules, fp_rule_rates, fp_combined, learned_patterns, confidence_scores,
               time_decayed_accuracy, cosine_topk, l2_topk, practice_match, similar_cases, planned_tasks, task_schedule, task_batches, breaker_states, ema_success, message_history)
 }
 

@@ -1,8 +1,12 @@
 """Queries over whole tables against brute force."""
 
+import re
+
+import pytest
+
 from codeglint.operators import graph
 from codeglint.operators.knowledge import packed_paragraphs
-from codeglint.plans import graphs, knowledge
+from codeglint.plans import analysis, graphs, knowledge
 
 
 def whole_calls(spark, sf):
@@ -41,3 +45,19 @@ def test_paragraph_chunks_of_all_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want = sorted((r.doc_id, n, len(c)) for r in docs for n, c in enumerate(packed_paragraphs((r.text or "").replace("\n", "\n\n"), 120, 30)))
     assert sorted(map(tuple, knowledge.paragraph_chunks(spark, sf).collect())) == want
+
+
+def test_keywords_of_whole_texts(spark, sf):
+    words = {r.doc_id: (r.source, set(re.findall(r"\w+", (r.text or "").lower()))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want, last = {}, {}
+    for i, (source, k) in sorted(words.items()):
+        if source in last:
+            p = last[source]
+            want[i] = 1.0 if not k and not p else len(k & p) / len(k | p)
+        last[source] = k
+    got = {r.doc_id: (r.jaccard, r.similarity) for r in analysis.keyword_jaccard_whole(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for i, j in want.items():
+        assert got[i][0] == pytest.approx(j, abs=2e-6)
+    first = {r.doc_id: r.jaccard for r in analysis.keyword_jaccard(spark, sf).collect()}
+    assert any(abs(first[i] - want[i]) > 0.01 for i in want)
