@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.scoring import contains_any
 from ..functions.text import matches_any
-from .graph import distances
+from ..storage import stored
+from .graph import distances, nearest_start
 from .parsers import call_edges, code_units
 
 
@@ -35,29 +36,37 @@ def taint_ends(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sources, sinks.withColumn("danger", F.when(F.col("sink_type").isin(*rules.HIGH_DANGER_SINKS), "high").otherwise("medium"))
 
 
-def cross_file_findings(nodes: DataFrame, edges: DataFrame, max_depth: int = 8, scope: str = "unit") -> DataFrame:
+def cross_file_findings(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None, scope: str = "unit") -> DataFrame:
     """type, severity, source_file, target_file, source, target, depth, confidence, cwe, owasp of unprotected paths between files.
 
     Protection is a pattern in the code of any node on the way, the ends included: nodes that have it are taken out of the
-    graph before reachability is computed, so an unprotected pair is one still joined.
+    graph before reachability is computed, so an unprotected pair is one still joined.  Pairs that no path of calls joins, protected
+    or not, count as joined if the sink's file imports the input's module and mentions a call of it; their depth is null.
+    max_depth bounds the calls of a path; None takes all.
     """
     out = None
     inputs = matching(nodes, rules.INPUT_PATTERNS, scope).select(F.col("node").alias("src"), F.col("path").alias("source_file"))
+    imported = import_related(nodes).join(inputs.select("src"), "src", "left_semi")
+    imported = stored(imported.join(distances(edges, None, inputs).select("src", "dst"), ["src", "dst"], "left_anti"), "imported")
     for kind, r in rules.CROSS_FILE.items():
         safe = nodes.filter(contains_any(F.lower("code"), r["protection"])).select("node")
         open_edges = edges.select("src", "dst").join(safe.withColumnRenamed("node", "src"), "src", "left_anti").join(safe.withColumnRenamed("node", "dst"), "dst", "left_anti")
         sinks = matching(nodes, r["sink"], scope).select(F.col("node").alias("dst"), F.col("path").alias("target_file"))
-        pairs = distances(open_edges.select("src", "dst"), max_depth, inputs).join(inputs, "src").join(sinks, "dst").filter("source_file <> target_file")
+        open_imports = imported.join(safe.withColumnRenamed("node", "src"), "src", "left_anti").join(safe.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        joined = distances(open_edges.select("src", "dst"), max_depth, inputs).unionByName(open_imports.select("src", "dst", F.lit(None).cast("int").alias("depth")))
+        pairs = joined.join(inputs, "src").join(sinks, "dst").filter("source_file <> target_file")
         found = pairs.select(F.lit(kind).alias("type"), F.lit(r["severity"]).alias("severity"), "source_file", "target_file", F.col("src").alias("source"), F.col("dst").alias("target"), "depth", F.lit(r["confidence"]).alias("confidence"), F.lit(r["cwe"]).alias("cwe"), F.lit(r["owasp"]).alias("owasp"))
         out = found if out is None else out.unionByName(found)
     return out.unionByName(unauthorised(nodes, edges, max_depth, scope))
 
 
-def unauthorised(nodes: DataFrame, edges: DataFrame, max_depth: int = 8, scope: str = "unit") -> DataFrame:
-    """Sensitive nodes that no authenticating node reaches, as findings."""
+def unauthorised(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None, scope: str = "unit") -> DataFrame:
+    """Sensitive nodes that no authenticating node reaches, by calls or by import_related, as findings."""
     sensitive = matching(nodes, rules.SENSITIVE_PATTERNS, scope).select("node", "path")
     auth = matching(nodes, rules.AUTH_PATTERNS, scope).select(F.col("node").alias("src"))
-    covered = distances(edges.select("src", "dst"), max_depth, auth).select(F.col("dst").alias("node")).union(auth).distinct()
+    reached = nearest_start(edges, auth) if max_depth is None else distances(edges, max_depth, auth).select(F.col("dst").alias("node"))
+    imported = import_related(nodes).join(auth, "src", "left_semi").select("dst")
+    covered = reached.select("node").union(imported).union(auth).distinct()
     bare, r = sensitive.join(covered, "node", "left_anti"), rules.AUTH_BYPASS
     return bare.select(
         F.lit("Cross-File Authorization Bypass").alias("type"), F.lit(r["severity"]).alias("severity"), F.col("path").alias("source_file"), F.col("path").alias("target_file"), F.col("node").alias("source"),
@@ -75,7 +84,7 @@ def import_related(nodes: DataFrame) -> DataFrame:
     return a.join(b, "stem").filter("a <> b").filter(F.contains("file_code", F.col("call"))).select("src", "dst").distinct()
 
 
-def audit(files: DataFrame, max_depth: int = 8) -> DataFrame:
+def audit(files: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Findings of a tree of files: units, calls, cross-file paths."""
     nodes = entities(files)
     return cross_file_findings(nodes, call_edges(files), max_depth)

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from codeglint.operators import graph
+from codeglint.operators import detect, graph
 from codeglint.operators.knowledge import packed_paragraphs
 from codeglint.plans import analysis, graphs, knowledge
 
@@ -61,3 +61,31 @@ def test_keywords_of_whole_texts(spark, sf):
         assert got[i][0] == pytest.approx(j, abs=2e-6)
     first = {r.doc_id: r.jaccard for r in analysis.keyword_jaccard(spark, sf).collect()}
     assert any(abs(first[i] - want[i]) > 0.01 for i in want)
+
+
+def tree(spark, nodes):
+    return spark.createDataFrame([(n, p, n.split("::")[1], c, whole) for n, p, c, whole in nodes], "node string, path string, name string, code string, file_code string")
+
+
+def test_audit_follows_long_paths(spark):
+    """An input and an authenticating caller twelve calls off."""
+    codes = {0: "request.args", 12: "cursor.execute(x)"}
+    nodes = tree(spark, [(f"m{i}::f{i}", f"m{i}.py", codes.get(i, "pass"), "") for i in range(13)])
+    e = spark.createDataFrame([(f"m{i}::f{i}", f"m{i + 1}::f{i + 1}") for i in range(12)], "src string, dst string")
+    got = {(r.type, r.source, r.target, r.depth) for r in detect.cross_file_findings(nodes, e).collect()}
+    assert ("Cross-File SQL Injection", "m0::f0", "m12::f12", 12) in got
+    guarded = tree(spark, [(f"m{i}::f{i}", f"m{i}.py", {0: "authenticate(user)", 12: "delete_user(x)"}.get(i, "pass"), "") for i in range(13)])
+    alone = {r.source for r in detect.unauthorised(guarded, e.limit(0)).collect()}
+    assert alone and not {r.source for r in detect.unauthorised(guarded, e).collect()}
+
+
+def test_audit_follows_imports(spark):
+    """A pair without a path of calls, joined by an import; not so where an end is protected or a protected path joins it."""
+    sink = "import web\nq = web.form()\n"
+    nodes = tree(spark, [("web.py::form", "web.py", "request.args", ""), ("db.py::run", "db.py", "cursor.execute(x)", sink), ("safe.py::go", "safe.py", "cursor.execute(escape(x))", sink), ("mid.py::clean", "mid.py", "escape(x)", "")])
+    sql = lambda e: {(r.source, r.target, r.depth) for r in detect.cross_file_findings(nodes, e).filter("type like '%SQL%'").collect()}
+    edges = spark.createDataFrame([("web.py::form", "mid.py::clean"), ("mid.py::clean", "db.py::run")], "src string, dst string")
+    assert sql(edges.limit(0)) == {("web.py::form", "db.py::run", None)}
+    assert sql(edges) == set()
+    auth = tree(spark, [("auth.py::check", "auth.py", "authenticate(user)", ""), ("a.py::f", "a.py", "delete(x)", "import auth\nauth.check(x)\n"), ("b.py::g", "b.py", "delete(x)", "")])
+    assert {r.source for r in detect.unauthorised(auth, edges.limit(0)).collect()} == {"b.py::g"}
