@@ -136,6 +136,21 @@ def l2_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.nearest(v, q, 5, "l2").select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def cosine_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest of all vectors to each whose id is divisible by 50."""
+    return _topk_whole(spark, sf, "cosine")
+
+
+def l2_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _topk_whole(spark, sf, "l2")
+
+
+def _topk_whole(spark, sf, by):
+    v = A.table(spark, sf, "embeddings")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.nearest(v, q, 5, by).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def practice_match(spark: SparkSession, sf: str) -> DataFrame:
     f = _findings(spark, sf).select("id", F.lit("general").alias("language"), F.concat_ws(" ", F.lit("chmod 777"), "snippet", F.lit("md5(password) SELECT a + 'x'")).alias("content"))
     return R.practice_matches(f).groupBy("rule", "type", "severity").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
@@ -183,7 +198,7 @@ def message_history(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (token_counts, char_chunks, nesting_depth, truncated_texts, keyword_jaccard, keyword_jaccard_whole, context_windows_merged, html_script_blocks, file_risks, fp_rules, fp_rule_rates, fp_combined, learned_patterns, confidence_scores,
-              time_decayed_accuracy, cosine_topk, l2_topk, practice_match, similar_cases, planned_tasks, task_schedule, task_batches, breaker_states, ema_success, message_history)
+              time_decayed_accuracy, cosine_topk, cosine_topk_whole, l2_topk, l2_topk_whole, practice_match, similar_cases, planned_tasks, task_schedule, task_batches, breaker_states, ema_success, message_history)
 }
 
 _TEXT = "SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents"

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 from codeglint.operators import detect, graph
@@ -89,3 +90,21 @@ def test_audit_follows_imports(spark):
     assert sql(edges) == set()
     auth = tree(spark, [("auth.py::check", "auth.py", "authenticate(user)", ""), ("a.py::f", "a.py", "delete(x)", "import auth\nauth.check(x)\n"), ("b.py::g", "b.py", "delete(x)", "")])
     assert {r.source for r in detect.unauthorised(auth, edges.limit(0)).collect()} == {"b.py::g"}
+
+
+def test_nearest_of_every_fiftieth_vector(spark, sf):
+    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()}
+    got = {}
+    for r in analysis.cosine_topk_whole(spark, sf).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.similarity)
+    assert sorted(got) == [i for i in sorted(rows) if i % 50 == 0]
+    for i, s in got.items():
+        q = rows[i]
+        every = sorted((float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)) for k, v in rows.items()), reverse=True)
+        others = sorted((float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)) for k, v in rows.items() if k != i), reverse=True)
+        assert s == pytest.approx((every if s[0] > 0.999999 else others)[: len(s)], abs=2e-6)
+    far = {r.query_id: r.similarity for r in analysis.l2_topk_whole(spark, sf).filter("rank = 5").collect()}
+    assert far.keys() == got.keys()
+    for i, s in far.items():
+        near = sorted((max(0.0, 1 - float(((rows[i] - v) ** 2).sum()) / 100) for v in rows.values()), reverse=True)
+        assert s == pytest.approx(near[4], abs=2e-6)
