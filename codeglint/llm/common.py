@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import tempfile
+import threading
 import uuid
 import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +21,21 @@ VOCABULARY = "word_bpe_49k.json"
 
 #: A word of Latin letters with a comma or stop behind, and the byte alphabet of byte-level vocabularies for its bytes.
 LATIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: The letters of LATIN_WORD, and ASCII white space.
+LATIN_LETTERS = [chr(c) for c in range(256) if LATIN_WORD.fullmatch(chr(c))]
+ASCII_SPACE = " \t\n\x0b\x0c\r"
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 #: Rows of an Arrow batch in what stored() runs: rows may be long texts or pairs of shingle sets.
 ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
+#: Short rows that one file of a stored table holds.
+FILE_ROWS = 20_000
+
+_lock = threading.Lock()
+_inside: dict[str, int] = {}
+_before: dict[str, str] = {}
 _own_dirs: dict[str, str] = {}
 _kept: dict[object, object] = {}
 
@@ -63,27 +75,56 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, and a lost executor loses nothing."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Bounds the rows of an Arrow batch while jobs run; the last of several at once puts the setting back."""
+    app = spark.sparkContext.applicationId
+    with _lock:
+        if not _inside.get(app):
+            _before[app] = spark.conf.get(ARROW_ROWS)
+            rows = int(_before[app])
+            spark.conf.set(ARROW_ROWS, str(min(BATCH_ROWS, rows) if rows > 0 else BATCH_ROWS))
+        _inside[app] = _inside.get(app, 0) + 1
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
-        spark.conf.set(ARROW_ROWS, before)
-    return spark.read.schema(df.schema).parquet(path)
+        with _lock:
+            _inside[app] -= 1
+            if not _inside[app]:
+                spark.conf.set(ARROW_ROWS, _before.pop(app))
+
+
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts lineage, and a lost executor loses nothing.
+
+    files: into how many files at most; see files_for().
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    with small_batches(spark):
+        (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
 
+def files_for(spark: SparkSession, rows: int) -> int:
+    """Files for a table of about so many short rows: as many as the rows need, and two for each core at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Deletes a path of the shared folder."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that stored() gave and that no later result reads."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
-def stored_path(df: DataFrame) -> str:
-    """Root of a table that stored() gave."""
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+def new_name(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def fold(key: Column | str, modulus: int) -> Column:
@@ -102,6 +143,20 @@ def byte_letters(text: str) -> str:
     return text.encode().decode("latin-1").translate(_BYTE_LETTERS)
 
 
+def splits_at_space(tokenizer) -> bool:
+    """Whether a vocabulary's normaliser and pre-tokenizer drop ASCII white space and join nothing across it, by probes of each space
+    between letters, digits, marks, accents and quotes."""
+
+    def parts(text: str) -> list[str]:
+        text = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer is not None else text
+        return [t for t, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] if text else []
+
+    if tokenizer.pre_tokenizer is None:
+        return False
+    ends = ("a", "Z", "7", "'", "'s", "!", "\u0301", "é", "ß", "\u4e00", "\U0001f600", "\u200d", "\x1c", "-", "<|x|>")
+    return all(parts(f"{x}{gap}{y}") == parts(x) + parts(y) for x in ends for y in ends for gap in (*ASCII_SPACE, " \n", "  "))
+
+
 def per_worker(key: object, build):
     """build(), kept for the later tasks of this Python worker, which keeps only the last such thing."""
     if key not in _kept:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lowered, per_worker, slices, stored, text_bytes
+from .common import dropped, files_for, lowered, new_name, per_worker, slices, stored, text_bytes
 
 #: A bucket of up to so many members gives all its pairs.
 SMALL = 8
@@ -30,8 +30,11 @@ SMALL = 8
 CENTRAL_SAMPLE = 64
 #: Members of a block in the search of large buckets: outside the main component, and all; and about how many bytes of sets.
 MINOR_BLOCK, PROBE_BLOCK, BLOCK_BYTES = 256, 2048, 16 << 20
-#: Up to so many ids (8 bytes each) are broadcast to fetch their texts; beyond, the join shuffles.
+#: Up to so many ids (8 bytes each) are broadcast to fetch their texts or components; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: An id is a hub from HUB links on, or from one link in HUBS of all ids on if that is more: so there are at most HUBS times the
+#: mean number of links of an id.
+HUB, HUBS = 100_000, 100_000
 #: Distinct words that a worker keeps with their hashes.
 CACHE_WORDS = 300_000
 _ONE = np.uint64(1)
@@ -226,30 +229,53 @@ def with_both(pairs: DataFrame, side: DataFrame, value: str, name: str) -> DataF
     return pairs
 
 
+def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, n: int) -> DataFrame:
+    """rows with `value`: what table (id, p, degree) of n rows says of `key`; every key is there.
+
+    A small table is broadcast.  Of a larger one the rows of many neighbours are, whose number is bounded as their neighbours
+    are rows of their own: a hub's rows stay where they are, and the others are joined by a shuffle without hot keys.
+    """
+    side = table.select(F.col("id").alias(key), F.col("p").alias(value))
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(side), key)
+    hubs = table.filter(F.col("degree") >= max(HUB, n // HUBS)).select(F.col("id").alias(key), F.col("p").alias(value))
+    found = rows.join(F.broadcast(hubs), key, "left")
+    return found.filter(F.col(value).isNotNull()).unionByName(found.filter(F.col(value).isNull()).drop(value).join(side, key))
+
+
 def components(links: DataFrame, name: str = "component") -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id reachable.
 
     Each round sends every id to its smallest neighbour, twice, and contracts the links; the number of rounds is logarithmic in
-    the size of a component, and nothing but counts reaches the driver.
+    the size of a component, and nothing but counts reaches the driver.  Rounds write as many files as their rows need.
     """
+    spark = links.sparkSession
     edges = stored(links.select("a", "b").filter("a != b").distinct(), f"{name}-links")
-    assigned = None
-    while True:
+    steps, done = [], []
+    while n := edges.count():
+        files = files_for(spark, n)
         both = edges.union(edges.select("b", "a"))
-        parent = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("p"))
-        parent = stored(parent, f"{name}-parents")
-        up = parent.select(F.col("id").alias("p"), F.col("p").alias("pp"))
-        parent = stored(parent.join(up, "p", "left").select("id", F.coalesce("pp", "p").alias("p")), f"{name}-parents")
-        step = parent.select(F.col("id").alias("component"), F.col("p"))
-        if assigned is None:
-            assigned = parent.withColumnRenamed("p", "component")
-        else:
-            assigned = stored(assigned.join(step, "component", "left").select("id", F.coalesce("p", "component").alias("component")), f"{name}-assigned")
-        pa, pb = parent.select(F.col("id").alias("a"), F.col("p").alias("x")), parent.select(F.col("id").alias("b"), F.col("p").alias("y"))
-        lifted = edges.join(pa, "a").join(pb, "b").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = stored(lifted.distinct(), f"{name}-links")
-        if edges.isEmpty():
-            return assigned
+        nearest = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("p"), F.count(F.lit(1)).alias("degree"))
+        nearest = stored(nearest, f"{name}-nearest", files)
+        ids = nearest.count()
+        step = nearest.select("id", "degree", "p")
+        parent = looked_up(step.withColumnRenamed("p", "x"), "x", nearest, "p", ids).select("id", "p", "degree")
+        parent = stored(parent, f"{name}-parents", files)
+        lifted = looked_up(looked_up(edges, "a", parent, "x", ids), "b", parent, "y", ids)
+        lifted = lifted.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        done += [edges, nearest]
+        edges = stored(lifted.distinct(), f"{name}-links", files)
+        steps.append((parent, ids))
+    if not steps:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    # every id of a later round is the component of some id of the one before
+    assigned = steps[0][0].select("id", F.col("p").alias("component"))
+    for parent, ids in steps[1:]:
+        later = parent.select(F.col("id").alias("component"), "p")
+        assigned = assigned.join(F.broadcast(later) if ids <= BROADCAST_IDS else later, "component", "left").select("id", F.coalesce("p", "component").alias("component"))
+    assigned = stored(assigned, f"{name}-assigned", files_for(spark, steps[0][1]))
+    dropped(edges, *done, *(p for p, _ in steps))
+    return assigned
 
 
 def small_pairs(members: DataFrame) -> DataFrame:
@@ -342,33 +368,39 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     id follows the component of its set, and is never kept.  An empty table gives an empty result.
     """
     p = stored(prepared(docs, s, id_col, text_col), "dup-prepared")
-    classes = stored(p.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")).filter("rep is not null"), "dup-classes")
+    files = files_for(docs.sparkSession, p.count())
+    classes = p.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")).filter("rep is not null")
+    classes = stored(classes, "dup-classes", files)
     # one of each class goes on
     reps = p.select("id", "digest", "sig", "bands").join(classes, "digest").filter("id = rep").dropDuplicates(["id", "digest"])
-    reps = stored(reps.select("id", "sig", "bands"), "dup-representatives")
+    reps = stored(reps.select("id", "sig", "bands"), "dup-representatives", files)
     sigs = reps.select("id", "sig")
     banded = reps.select("id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(banded.join(shared, "key"), "dup-members")
+    members = stored(banded.join(shared, "key"), "dup-members", files)
     large = members.filter(F.col("n") > SMALL)
     sizes = p.filter("digest is not null").groupBy("id").agg(F.max("n_shingles").alias("size"))
     pairs = small_pairs(members).union(central_pairs(large, sigs, s)).distinct()
-    pairs = stored(unpruned(with_both(pairs, sigs, "sig", "sig"), s), "dup-pairs")
+    pairs = stored(unpruned(with_both(pairs, sigs, "sig", "sig"), s), "dup-pairs", files)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    ids = stored(ids.union(large.select("id")).distinct(), "dup-ids")
+    ids = stored(ids.union(large.select("id")).distinct(), "dup-ids", files)
     sets = stored(shingle_sets(docs, ids, s, id_col, text_col), "dup-sets")
-    links = stored(verified(with_both(pairs, sets, "shingles", "set"), s), "dup-links")
+    links = stored(verified(with_both(pairs, sets, "shingles", "set"), s), "dup-links", files)
     found = components(links, "dup-first")
     placed = large.join(found, "id", "left").join(sizes, "id").select("key", "id", F.coalesce("component", "id").alias("component"), "size")
     by = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("sizes"))
     main = F.max_by(F.struct("component", "count", "sizes"), F.struct("count", "component"))
     by = by.groupBy("key").agg(F.count(F.lit(1)).alias("n_comps"), main.alias("m"), F.sum("count").alias("n_all"), (8 * F.sum("sizes")).alias("all_bytes")).filter("n_comps > 1")
-    by = by.select("key", F.col("m.component").alias("main"), "n_all", "all_bytes", (F.col("n_all") - F.col("m.count")).alias("n_minor"), (F.col("all_bytes") - 8 * F.col("m.sizes")).alias("minor_bytes"))
+    by = by.select(
+        "key", F.col("m.component").alias("main"), "n_all", "all_bytes",
+        (F.col("n_all") - F.col("m.count")).alias("n_minor"), (F.col("all_bytes") - 8 * F.col("m.sizes")).alias("minor_bytes"),
+    )
     open_members = placed.join(by, "key").withColumn("minor", F.col("component") != F.col("main"))
     open_members = open_members.join(sigs, "id").join(sets, "id")
     more = stored(searched(open_members, s), "dup-more-links")
     if not more.isEmpty():
         found = components(links.union(more), "dup-second")
+    dropped(reps, members, pairs, ids, sets, links, more)
     whole = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("_component"))
     out = p.select("id", "n_shingles", "digest").join(whole, "digest", "left")
     component = F.coalesce("_component", "id")
@@ -376,7 +408,19 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
 
 
 def without_near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are the first of their component, with the columns of docs; of rows of one id all stay."""
-    kept = near_duplicates(docs, s, id_col, text_col).filter("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    nulls = docs.filter(F.col(f"`{id_col}`").isNull())
-    return docs.join(kept, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(nulls)
+    """One row of each component, with the columns of docs; all rows without words stay.
+
+    Where every id is there once, that is the row of the smallest id.  Where ids are null or repeated, rows are documents of
+    their own: they are numbered in a written copy, and the first row of a component stays, one with an id before one without.
+    So of exact repeats one row stays, whatever their ids.
+    """
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"))
+    alone = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").isEmpty()
+    row, columns = id_col, docs.columns
+    if not alone:
+        row = new_name(docs, "row")
+        late = F.when(F.col(f"`{id_col}`").isNull(), F.lit(1 << 62)).otherwise(F.lit(0))
+        docs = stored(docs.withColumn(row, F.monotonically_increasing_id() + late), "dup-numbered")
+    gone = stored(near_duplicates(docs, s, row, text_col).filter("not kept").select(F.col("doc_id").alias(row)), "dup-gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in columns])

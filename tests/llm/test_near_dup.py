@@ -72,7 +72,28 @@ def test_odd_rows(odd, none):
     assert [r[3] for r in got if r[0] is None] == [False]
     assert N.near_duplicates(none).collect() == []
     kept = N.without_near_duplicates(odd)
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 4, 5, 7, 8}
+    assert kept.columns == odd.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
+
+
+def test_repeats_of_null_and_equal_ids(spark):
+    """Of exact repeats one row stays, with an id if one has; other rows of one id stay."""
+    same, other = "one two three four five six seven", "all other words in here that are not the same"
+    rows = [(1, same, "x"), (None, same, "x"), (1, same, "x"), (2, other, "y"), (2, "and a third text of quite different words", "y"), (None, "null one two three alone here", "z"), (None, "null one two three alone here", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("_row", N.F.lit(1))
+    got = N.without_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text[:3]) for r in got.collect()) == [(0, "nul"), (1, "one"), (2, "all"), (2, "and")]
+
+
+def test_hubs_and_shuffled_joins(spark, monkeypatch):
+    """Links beyond what is broadcast: hubs by broadcast, the rest by a shuffle."""
+    monkeypatch.setattr(N, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(N, "HUB", 5)
+    links = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 130)] + [(39, 130), (500, 501)]
+    got = {r.id: r.component for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(40), *range(100, 131)]} | {500: 500, 501: 500}
+    docs = spark.createDataFrame(list(enumerate(variants(30, 1, 4))), "doc_id long, text string")
+    assert N.without_near_duplicates(docs).count() == sum(k for *_, k in brute([tuple(r) for r in docs.collect()], 5, 80))
 
 
 def test_pruning_bounds():
