@@ -213,16 +213,9 @@ def decision(x: Column, w: dict[tuple[str, str], float]) -> Column:
     return total
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns `keep`, base and spans: array<struct<kind, start, end>>, one row per row of docs.
-
-    base: the base spans by kind, then start.  spans: these and the candidates that the classifier takes and that overlap no
-    base span.  A null text counts as empty and has no span; without candidates there is no classifier.  An empty table gives
-    an empty result.
-    """
-    kept = [F.col(f"`{c}`") for c in keep]
-    found = candidates(docs.select(F.col(f"`{id_col}`"), *kept, F.col(f"`{text_col}`").alias("_text")), "_text")
-    found = stored(found.select(f"`{id_col}`", *kept, "_found"), "pii-candidates")
+def _spanned(rows: DataFrame) -> DataFrame:
+    """_row, base and spans of rows (_row, _text); _row may hold anything."""
+    found = stored(candidates(rows, "_text").select("_row", "_found"), "pii-candidates")
     counted = found.select(F.explode("_found").alias("c")).groupBy("c.kind", "c.votes").count()
     patterns = {(r.kind, r.votes): r["count"] for r in counted.collect()}  # at most kinds * 3^5 rows
     cell = "array<struct<kind:string,start:int,end:int>>"
@@ -240,7 +233,18 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = F.concat(plain(F.col("_base")), plain(more))
     order = F.array(*[F.lit(k) for k in (*KINDS, *EXTRA_KINDS)])
     ranked = F.array_sort(F.transform(spans, lambda x: F.struct(F.array_position(order, x["kind"]).alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    return found.select(f"`{id_col}`", *kept, plain(F.col("_base")).alias("base"), plain(ranked).alias("spans"))
+    return found.select("_row", plain(F.col("_base")).alias("base"), plain(ranked).alias("spans"))
+
+
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, base and spans: array<struct<kind, start, end>>, one row per row of docs; other columns are not read.
+
+    base: the base spans by kind, then start.  spans: these and the candidates that the classifier takes and that overlap no
+    base span.  A null text counts as empty and has no span; without candidates there is no classifier.  An empty table gives
+    an empty result.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    return _spanned(rows).select(F.col("_row").alias(id_col), "base", "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -271,3 +275,25 @@ def masked(text: Column, spans: Column) -> Column:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     return F.aggregate(by_start, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
+
+
+def masked_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The rows of docs with all spans of their texts masked, in the columns of docs, whatever those are named.
+
+    size_col, if docs has it, follows the text; it stays as it is where the text is null.  A null text stays null.  An empty
+    table gives an empty result.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _spanned(docs.select(row.alias("_row"), F.col(f"`{text_col}`").alias("_text")))
+    old = F.col("_row").getField(text_col)
+    found = found.withColumn("_new", F.when(F.size("spans") > 0, masked(old, F.col("spans"))).otherwise(old))
+
+    def column(c: str) -> Column:
+        value = F.col("_row").getField(c)
+        if c == text_col:
+            value = F.col("_new")
+        elif c == size_col:
+            value = F.coalesce(F.length("_new").cast(docs.schema[c].dataType), value)
+        return value.alias(c)
+
+    return found.select(*[column(c) for c in docs.columns])

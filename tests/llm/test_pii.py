@@ -65,9 +65,10 @@ def test_spans_of_random_texts(spark):
 
 
 def test_odd_rows(odd, none):
-    got = pii.with_spans(odd, keep=("text", "key")).collect()
+    got = pii.with_spans(odd).collect()
     assert len(got) == odd.count()
-    assert [[tuple(x) for x in r.base] for r in got] and all([tuple(x) for x in r.base] == base(r.text) for r in got)
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    assert all([tuple(x) for x in r.base] == base(texts[r.doc_id]) for r in got)
     assert pii.with_spans(none).collect() == []
 
 
@@ -90,5 +91,18 @@ def test_more_spans_are_added(spark):
 
 def test_masking(spark):
     row = [(1, "mail é.x@y.org and x@y.org, 10.20.30.40!")]
-    d = pii.with_spans(spark.createDataFrame(row, "doc_id long, text string"), keep=("text",))
-    assert d.select(pii.masked(F.col("text"), F.col("spans"))).first()[0] == "mail é[EMAIL] and [EMAIL], [IP]!"
+    assert pii.masked_documents(spark.createDataFrame(row, "doc_id long, text string")).first().text == "mail é[EMAIL] and [EMAIL], [IP]!"
+
+
+def test_masking_keeps_all_columns(spark, none):
+    """Columns named like the operator's own, none for the size, null and repeated rows."""
+    rows = [(1, "a@b.org", "x", "y"), (1, "a@b.org", "x", "y"), (None, None, None, None), (3, "", "z", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, base string")
+    for extra in ("_text", "_found", "_row", "_base", "_new", "_placed", "text.size"):
+        df = df.withColumn(extra, F.lit(extra))
+    got = pii.masked_documents(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(str(r).replace("a@b.org", "[EMAIL]") for r in df.collect())
+    sized = spark.createDataFrame([(1, "a@b.org", 7), (2, None, 5)], "doc_id long, text string, n_chars int")
+    assert sorted((r.doc_id, r.n_chars) for r in pii.masked_documents(sized).collect()) == [(1, 7), (2, 5)]
+    assert pii.masked_documents(none).collect() == []
