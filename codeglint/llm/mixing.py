@@ -2,8 +2,9 @@
 
 Each document gets an exponential key -ln(u) / w, with u from a hash of its id and w its quality weight; within a source the
 documents of smallest key come first.  A source's target is met by complete epochs, then by a fractional selection: the prefix
-in key order whose words come nearest to what is left.  Prefix sums run over key bins (about BIN_ROWS rows each), and only the
-bin that holds the cut is sorted, so a source with a third of all rows is never gathered in one task.
+in key order whose words come nearest to what is left.  Prefix sums run over blocks of key bins, then over the bins (about
+BIN_ROWS rows each) of the block that holds the cut, and only the bin with the cut is sorted, so a source with a third of all
+rows is never gathered in one task.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .quality import ANY_SYMBOL, solid_characters
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_EPOCHS = 3
 SEED = "mix"
-#: Rows that a key bin holds on average.
-BIN_ROWS = 1000
+#: Rows that a key bin holds on average, and bins of a block: prefix sums run over a source's blocks, then over one block's bins.
+BIN_ROWS, BLOCK_BINS = 1000, 1000
 #: Up to so many sources, their table (under 100 bytes a row) is broadcast; beyond, the join shuffles.
 BROADCAST_SOURCES = 100_000
 
@@ -74,6 +75,13 @@ def _bin() -> Column:
     return F.floor((1.0 - F.exp(-F.col("_key"))) * F.col("n_bins")).cast("long")
 
 
+def _last_below(sums: DataFrame, place: str, base: Column) -> DataFrame:
+    """Of rows (_source, place, sum, left), each source's last whose words before it are fewer than left; before counts from base."""
+    earlier = Window.partitionBy("_source").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    below = sums.withColumn("before", base + F.coalesce(F.sum("sum").over(earlier), F.lit(0))).filter(F.col("before") < F.col("left"))
+    return below.groupBy("_source").agg(F.max(place).alias(place), F.max_by("before", place).alias("before"))
+
+
 def _place() -> Column:
     """A row's place in its source's order; rows alike in key, id and size are taken together."""
     return F.struct(F.col("_key"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_size"))
@@ -95,12 +103,14 @@ def source_plan(rows: DataFrame, weights: Sequence[float], max_epochs: int) -> t
     targets = stored(targets.withColumn("n_bins", F.ceil(F.col("n_rows") / BIN_ROWS)).drop("n_rows"), "mix-targets")
     small = targets.count() <= BROADCAST_SOURCES
     binned = with_source(rows, targets, small).withColumn("_bin", _bin())
-    bins = binned.groupBy("_source", "_bin").agg(F.sum("_size").alias("bin_size"), F.first("left").alias("left"))
-    earlier = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0)))
-    # the picks end in the last bin that begins below what is left
-    cuts = bins.filter(F.col("before") < F.col("left")).groupBy(F.col("_source").alias("source")).agg(F.max("_bin").alias("cut"), F.max_by("before", "_bin").alias("cut_before"))
-    cuts = stored(cuts, "mix-cuts")
+    binned = binned.withColumn("_block", F.floor(F.col("_bin") / BLOCK_BINS).cast("long"))
+    # the picks end in the last block, and there in the last bin, that begins below what is left
+    blocks = _last_below(binned.groupBy("_source", "_block").agg(F.sum("_size").alias("sum"), F.first("left").alias("left")), "_block", F.lit(0))
+    blocks = stored(blocks.select(F.col("_source").alias("source"), F.col("_block").alias("in_block"), F.col("before").alias("block_before")), "mix-blocks")
+    inside = with_source(binned, blocks, small).filter(F.col("_block") == F.col("in_block"))
+    bins = inside.groupBy("_source", "_bin").agg(F.sum("_size").alias("sum"), F.first("left").alias("left"), F.first("block_before").alias("block_before"))
+    cuts = _last_below(bins, "_bin", F.col("block_before"))
+    cuts = stored(cuts.select(F.col("_source").alias("source"), F.col("_bin").alias("cut"), F.col("before").alias("cut_before")), "mix-cuts")
     running = Window.partitionBy("_source").orderBy(_place()).rowsBetween(Window.unboundedPreceding, -1)
     edge = with_source(binned, cuts, small).filter(F.col("_bin") == F.col("cut"))
     edge = edge.withColumn("start", F.col("cut_before") + F.coalesce(F.sum("_size").over(running), F.lit(0)))
@@ -138,11 +148,12 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs.
 
-    A document of no words is taken as often as its place in the order says.  Texts are not shuffled.
+    A document of no words is taken as often as its place in the order says.  Rows are written once with their sizes and keys,
+    so texts are read once and not shuffled.
     """
     keyed = _keyed(docs, id_col, text_col, source_col, seed)
-    rows = stored(docs.select(*[c.alias(n) for n, c in keyed.items()]), "mix-sizes")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in keyed.items()])
-    out = _with_plan(packed, *source_plan(rows, weights, max_epochs))
+    rows = stored(packed, "mix-rows")
+    out = _with_plan(rows, *source_plan(rows.drop("_row"), weights, max_epochs))
     times = F.col("epochs").cast("int") + F.col("picked").cast("int")
     return out.select("_row", F.explode(F.array_repeat(F.lit(0), times))).select("_row.*")
