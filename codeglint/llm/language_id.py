@@ -1,8 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
 Both directions run over windows of WINDOW bytes, which together cover the whole text; the network gives label probabilities at
-every position, and a document's probabilities are their mean.  Training is backpropagation through time on the driver, over a
-bounded sample of labelled rows; prediction runs on the executors, many windows at a time.
+every position, and a document's probabilities are their mean.  Training is backpropagation through time on the driver, over
+the whole texts of a bounded sample of labelled rows; prediction runs on the executors, many windows at a time.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from .common import fold, slices, text_bytes
 
 UNDETERMINED = "und"
 HIDDEN, WINDOW = 8, 64
-#: Bound of the training sample: about so many rows, and so many windows of each.
-SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 4
+#: Bound of the training sample: about so many rows; fewer if their whole texts would hold more than about so many bytes.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 32 << 20
+#: Hashes of ids are taken modulo this, so a sample can be drawn from any number of rows.
+MODULUS = 1 << 62
 STEPS, BATCH, RATE = 300, 256, 0.02
 #: Windows that prediction advances together.
 WIDE = 1024
@@ -115,7 +117,7 @@ class BiGRU:
         for step in range(1, steps + 1):
             at = r.choice(len(y), size=min(batch, len(y)), p=share)
             mask = (np.arange(windows.shape[1])[:, None] < lengths[at][None, :]).astype(float)
-            value, grads = self.loss(windows[at].T, y[at], mask)
+            value, grads = self.loss(windows[at].T.astype(np.intp), y[at], mask)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             now = rate * min(1.0, step / 20) * (1 - 0.9 * step / steps)
             for k, g in grads.items():
@@ -196,43 +198,52 @@ class Frozen:
         return sums / np.maximum(sizes, 1)[:, None]
 
 
-def windows_of(text: bytes, n: int, seed: int, window: int = WINDOW) -> list[bytes]:
-    """n windows at random places of the whole text."""
-    r = np.random.default_rng(seed)
-    return [text[s : s + window] for s in r.integers(0, max(1, len(text) - window + 1), n)]
+def windows_of(text: bytes, window: int = WINDOW) -> list[bytes]:
+    """The windows that cover the whole text."""
+    return [text[a : a + window] for a in range(0, len(text), window)]
+
+
+def sampled(labelled: DataFrame, rows_there: int, rows: int, id_col: str) -> DataFrame:
+    """About `rows` of the rows_there rows, by a hash of the id."""
+    if rows_there <= rows:
+        return labelled
+    return labelled.filter(F.pmod(F.xxhash64(F.lit("lang"), F.col(f"`{id_col}`")), F.lit(MODULUS)) < MODULUS * rows // rows_there)
 
 
 def train_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, steps: int = STEPS) -> Frozen | None:
-    """Trains on about `rows` rows of labelled, chosen by a hash of the id, SAMPLE_WINDOWS windows of each.
+    """Trains on the whole texts of about `rows` rows of labelled, chosen by a hash of the id.
 
-    Rows without language, or whose text has no letter, are left out; without any row there is no model (None).
+    Of rows whose texts hold more than SAMPLE_BYTES, a share of that size is taken.  Rows without language, or whose text has
+    no letter, are left out; without any row there is no model (None).  A draw without rows from labelled ones is an error.
     """
-    rows_there = labelled.select(lang_col).filter(F.col(lang_col).isNotNull()).count()
-    chosen = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    if rows_there > rows:
-        chosen = chosen.filter(F.pmod(F.xxhash64(F.lit("lang"), F.col(id_col)), F.lit(1_000_003)) < int(1_000_003 * rows / rows_there))
+    text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
+    known = labelled.filter(lang.isNotNull() & text.isNotNull())
+    rows_there = known.count()
+    chosen = sampled(known, rows_there, rows, id_col)
+    size = chosen.agg(F.sum(F.octet_length(text))).first()[0]
+    if rows_there and size is None:
+        raise RuntimeError("no labelled row was drawn")
+    if (size or 0) > SAMPLE_BYTES:
+        chosen = sampled(known, rows_there, max(1, int(min(rows, rows_there) * SAMPLE_BYTES / size)), id_col)
 
     def cut(batches):
         import pyarrow as pa
 
         for b in batches:
-            out = []
-            for i, t, lang in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-                if has_letter(t):
-                    out += [(i, lang, w) for w in windows_of(t, SAMPLE_WINDOWS, hash(i) & 0xFFFFFF)]
-            kinds = [pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["id", "lang", "bytes"])
-
-    got = chosen.select(F.col(id_col).cast("long"), F.col(text_col), F.col(lang_col)).mapInArrow(cut, "id long, lang string, bytes binary").collect()
+            out = [(lang, t) for lang, t in zip(b.column(1).to_pylist(), text_bytes(b.column(0)), strict=True) if has_letter(t)]
+            columns = zip(*out) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.binary()))], names=["lang", "bytes"])
+
+    got = chosen.select(text, lang).mapInArrow(cut, "lang string, bytes binary").collect()
     if not got:
         return None
-    got.sort(key=lambda r: (r.id is None, r.id, r.lang, r.bytes))
-    langs = sorted({r.lang for r in got})
-    x = np.zeros((len(got), WINDOW), np.intp)
-    for i, r in enumerate(got):
-        x[i, : len(r.bytes)] = np.frombuffer(bytes(r.bytes), np.uint8)
+    got = sorted((r.lang, bytes(r.bytes)) for r in got)
+    langs = sorted({lang for lang, _ in got})
+    parts = [(lang, w) for lang, t in got for w in windows_of(t)]
+    raw = np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for _, w in parts), np.uint8).reshape(-1, WINDOW)
+    number = {lang: i for i, lang in enumerate(langs)}
     model = BiGRU(langs)
-    model.train(x, np.array([len(r.bytes) for r in got]), np.array([langs.index(r.lang) for r in got]), steps)
+    model.train(raw, np.array([len(w) for _, w in parts]), np.array([number[lang] for lang, _ in parts]), steps)
     return model.frozen()
 
 

@@ -1,6 +1,7 @@
 """Language identification: gradients, held-out accuracy, odd rows."""
 
 import numpy as np
+import pytest
 
 from codeglint.llm import language_id as L
 from codeglint.llm import registry as queries
@@ -52,6 +53,44 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_sampling_from_any_number_of_rows(spark, monkeypatch):
+    """A share of 3000 in 1e11 rows is drawn at its rate, not rounded to none; a draw without rows is an error."""
+    ids = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    assert 1 <= L.MODULUS * 3000 // 10**11 and 80 < L.sampled(ids, 200_000, 200, "doc_id").count() < 400
+    plan = L.sampled(ids, 10**11, 3000, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert str(L.MODULUS * 3000 // 10**11) in plan
+    few = spark.createDataFrame([(i, "ein Wort", "de") for i in range(5)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(L, "sampled", lambda d, *_: d.limit(0))
+    with pytest.raises(RuntimeError):
+        L.train_language_model(few)
+
+
+def test_whole_texts_are_trained_on(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L.BiGRU, "train", lambda self, windows, lengths, y, steps: seen.append((windows.copy(), lengths, y)))
+    texts = ["a" * 1000, "b" * 64, "c" * 65]
+    L.train_language_model(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    windows, lengths, _ = seen[0]
+    assert sorted(b"".join(bytes(w[:n]) for w, n in zip(windows, lengths))) == sorted("".join(texts).encode())
+
+
+def naive_label(model, text):
+    """Position by position over windows of the text, averaged."""
+    data, rows = text.encode(), []
+    for a in range(0, len(data), L.WINDOW):
+        part = np.frombuffer(data[a : a + L.WINDOW].ljust(L.WINDOW, b"\0"), np.uint8)[:, None].astype(np.intp)
+        rows.append(model.positions(part)[: len(data[a : a + L.WINDOW]), :, 0])
+    return model.langs[int(np.concatenate(rows).mean(axis=0).argmax())]
+
+
+def test_predictions_equal_a_naive_scorer(docs):
+    model = L.train_language_model(docs, steps=40)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in L.predicted(docs, model).collect():
+        t = texts[r.doc_id]
+        assert r.lang_pred == (naive_label(model, t) if t and any(map(str.isalpha, t)) else "und")
+
+
 def test_odd_rows(odd, none):
     got = L.predicted(odd, L.train_language_model(odd, steps=5)).collect()
     texts = {r.text for r in odd.collect()}
