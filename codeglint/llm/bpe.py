@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LATIN_WORD, byte_letters, digest, per_worker, slices, text_bytes, vocabulary_json
+from .common import LATIN_LETTERS, LATIN_WORD, byte_letters, digest, per_worker, slices, splits_at_space, text_bytes, vocabulary_json
 
 #: Entries that a worker keeps of words and of fragments each; it starts afresh beyond.
 CACHE_ENTRIES = 400_000
@@ -40,6 +40,10 @@ class ForcedBoundaryBPE:
         kind = model["model"]
         if kind.get("type", "BPE") != "BPE" or kind.get("dropout") or kind.get("byte_fallback") or kind.get("ignore_merges") or kind.get("continuing_subword_prefix"):
             raise ValueError("only plain BPE vocabularies are known")
+        if model.get("decoder"):
+            raise ValueError("a vocabulary with a decoder isn't known")
+        if not splits_at_space(base):
+            raise ValueError("pre-tokens cross white space")
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in model["added_tokens"]):
             raise ValueError("added tokens must stand for themselves in the raw text")
         self.vocab, self.end = kind["vocab"], kind.get("end_of_word_suffix") or ""
@@ -61,7 +65,8 @@ class ForcedBoundaryBPE:
 
     def latin_words_are_plain(self) -> bool:
         """Whether normaliser and pre-tokenizer make of a word of Latin letters with a stop behind its lower-case bytes and the stop."""
-        for word in ("the", "Straße", "ÉTÉ.", "señorîta,", "ÿþ", "x", "Zz."):
+        letters = [w for x in LATIN_LETTERS for w in (x, f"t{x}e.", f"{x}{x},")]
+        for word in ("the", "Straße", "ÉTÉ.", "señorîta,", "ÿþ", *letters):
             m = LATIN_WORD.fullmatch(word)
             text = self.normalizer.normalize_str(word) if self.normalizer is not None else word
             if [t for t, _ in self.pre_tokenizer.pre_tokenize_str(text)] != [byte_letters(m[1].lower()), *m[2]]:
@@ -146,7 +151,12 @@ def worker_bpe(vocabulary: str) -> ForcedBoundaryBPE:
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """One row per row of docs: the id column and ids array<int>.  Null texts count as empty: no ids.  Nothing is shuffled."""
+    """One row per row of docs, repeats too: the id column and ids array<int>.  Nothing is shuffled, other columns are not read.
+
+    Null and empty texts have no ids; an empty table gives an empty result.  The id column may not be named ids (ValueError).
+    """
+    if id_col.lower() == "ids":
+        raise ValueError("the id column and the ids would have one name")
     vocabulary = vocabulary or vocabulary_json()
 
     def work(batches):
@@ -178,7 +188,8 @@ def decoded(ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabu
 def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 (the decoded text), of every whole text.
 
-    Encodes and decodes in one pass, so ids don't leave the worker.  A null text counts as empty.
+    Encodes and decodes in one pass, so ids don't leave the worker.  A null text counts as empty; null and repeated ids give a row
+    for each row; an empty table gives an empty result; other columns are not read.
     """
     vocabulary = vocabulary or vocabulary_json()
 

@@ -27,7 +27,8 @@ _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 class Mapping:
     """How a layout becomes turns.
 
-    fields: (path, role) pairs of single texts, in order.  Or turns: path of a list whose items have role_key and text_key.
+    fields: (path, role) pairs of single texts, in order; neighbours of one role make one turn, a blank line between them.  Or
+    turns: path of a list whose items have role_key and text_key.
     roles: the layout's role names that differ from system, user and assistant.
     """
 
@@ -48,9 +49,11 @@ MAPPINGS = (
     Mapping("question-answer", ("answer", "question"), (("question", "user"), ("answer", "assistant"))),
     Mapping("system-prompt-response", ("prompt", "response", "system"), (("system", "system"), ("prompt", "user"), ("response", "assistant"))),
     Mapping("instruction", ("instruction", "output"), (("instruction", "user"), ("output", "assistant"))),
-    Mapping("instruction-input", ("input", "instruction", "output"), (("instruction", "system"), ("input", "user"), ("output", "assistant"))),
+    Mapping("instruction-input", ("input", "instruction", "output"), (("instruction", "user"), ("input", "user"), ("output", "assistant"))),
     Mapping("messages", ("messages", "messages[].content", "messages[].role"), turns="messages", role_key="role", text_key="content"),
     Mapping("conversations", ("conversations", "conversations[].from", "conversations[].value"), turns="conversations", role_key="from", text_key="value", roles=_HUMAN),
+    Mapping("no-messages", ("messages",), turns="messages"),
+    Mapping("no-conversations", ("conversations",), turns="conversations"),
     Mapping("nested-turns", ("dialog", "dialog.turns", "dialog.turns[].speaker", "dialog.turns[].text"), turns="dialog.turns", role_key="speaker", text_key="text", roles=_HUMAN),
 )
 
@@ -89,9 +92,16 @@ def canonical(record: dict, known: dict[str, Mapping]) -> list[tuple[str, str]]
         return value
 
     if m.fields:
-        return [(role, at(p) or "") for p, role in m.fields]
+        turns: list[tuple[str, str]] = []
+        for p, role in m.fields:
+            said = at(p) or ""
+            if turns and turns[-1][0] == role:
+                turns[-1] = (role, f"{turns[-1][1]}\n\n{said}" if said else turns[-1][1])
+            else:
+                turns.append((role, said))
+        return turns
     roles = dict(m.roles)
-    return [(roles.get(t[m.role_key], t[m.role_key]) or "", t[m.text_key] or "") for t in at(m.turns)]
+    return [(roles.get(t[m.role_key], t[m.role_key]) or "", t[m.text_key] or "") for t in at(m.turns) or []]
 
 
 def escaped(text: str) -> str:
@@ -160,8 +170,17 @@ def format_chats(records: DataFrame, id_col: str = "conv_id", json_col: str = "r
     return r.mapInArrow(work, f"`{id_col}` {r.schema[id_col].dataType.simpleString()}, layout string, formatted string, spans array<struct<start:bigint,end:bigint>>")
 
 
+def rejected(chats: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """The id column of the records that format_chats() has no layout for."""
+    return chats.filter("layout is null").select(F.col(f"`{id_col}`"))
+
+
 def read_back(chats: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from formatted texts and their spans."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars from formatted texts and their spans.
+
+    One row per row of chats; all but conv_id are null for rejected records.  Null and repeated ids are kept, other columns are
+    not read, and an empty table gives an empty result.
+    """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def work(batches):
@@ -171,20 +190,26 @@ def read_back(chats: DataFrame, id_col: str = "conv_id") -> DataFrame:
         for b in batches:
             out = []
             for i, text, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if text is None:
+                    out.append((i, None, None, None, None, None))
+                    continue
                 turns = parsed(text)
                 loss = "".join(unescaped(text[s["start"] : s["end"]]) for s in spans)
                 whole = "".join(f"{role}\n{said}\n" for role, said in turns)
                 out.append((i, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=[x.split(" ")[0] for x in schema.split(", ")])
 
-    return chats.filter("formatted is not null").select(F.col(id_col).cast("long").alias("conv_id"), "formatted", "spans").mapInArrow(work, schema)
+    return chats.select(F.col(f"`{id_col}`").cast("long").alias("conv_id"), "formatted", "spans").mapInArrow(work, schema)
 
 
 def chat_records(rows: DataFrame) -> DataFrame:
-    """conv_id and record: the turns of conversations (conv_id, turn, role, text) as JSON, in the layout that fits them.
+    """conv_id and record: the turns of conversations (conv_id, turn, role, text) as JSON, in one of the layouts that fit them.
 
-    Turns go by turn, role, text, nulls first.  user + assistant: prompt and response; system + user + assistant: system,
-    prompt, response; others: messages.  Rows of a null conv_id make one conversation.
+    Turns go by turn, role, text, nulls first.  A hash of conv_id chooses: user + assistant in prompt and response, prompt and
+    completion, question and answer, or instruction and output, with an input where the user's text has a blank line inside;
+    system + user + assistant in system, prompt, response; others, and a share of all, in messages, conversations or nested
+    turns.  Rows of a null conv_id make one conversation, repeated rows are turns each, other columns are not read, and an
+    empty table gives an empty result.
     """
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce(F.col("text"), F.lit("")).alias("text"))))
     t = rows.groupBy("conv_id").agg(turns.alias("t"))
@@ -196,10 +221,30 @@ def chat_records(rows: DataFrame) -> DataFrame:
     def fits(*names: str):
         return F.coalesce(roles == F.array(*[F.lit(n) for n in names]), F.lit(False))
 
-    messages = F.transform("t", lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), x["text"].alias("content")))
+    pick = F.pmod(F.xxhash64("conv_id"), F.lit(7))
+
+    def items(role: str, said: str):
+        return F.transform("t", lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias(role), x["text"].alias(said)))
+
+    cut = F.instr(text(0), "\n\n")
+    first, second = F.substr(text(0), F.lit(1), cut - 1), F.substr(text(0), cut + 2)
+    both = fits("user", "assistant")
+    split = both & (cut > 1) & (F.length(second) > 0)
+
+    def pair(said: str, answer: str):
+        return F.to_json(F.struct(text(0).alias(said), text(1).alias(answer)))
+
     record = (
-        F.when(fits("user", "assistant"), F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
+        F.when(pick == 0, F.to_json(F.struct(items("role", "content").alias("messages"))))
+        .when(pick == 1, F.to_json(F.struct(items("from", "value").alias("conversations"))))
+        .when(pick == 2, F.to_json(F.struct(F.struct(items("speaker", "text").alias("turns")).alias("dialog"))))
+        .when(split & (pick == 3), F.to_json(F.struct(first.alias("instruction"), second.alias("input"), text(1).alias("output"))))
+        .when(both & (pick == 3), pair("instruction", "output"))
+        .when(both & (pick == 4), pair("prompt", "completion"))
+        .when(both & (pick == 5), pair("question", "answer"))
+        .when(both, pair("prompt", "response"))
         .when(fits("system", "user", "assistant"), F.to_json(F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response"))))
-        .otherwise(F.to_json(F.struct(messages.alias("messages"))))
+        .when(pick < 5, F.to_json(F.struct(items("from", "value").alias("conversations"))))
+        .otherwise(F.to_json(F.struct(items("role", "content").alias("messages"))))
     )
     return t.select("conv_id", record.alias("record"))

@@ -110,7 +110,8 @@ class Media:
     #: (time, track, cluster position in the file)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     packets: list[tuple[int, int, bool, int, int]] = field(default_factory=list)
-    cluster_offsets: list[int] = field(default_factory=list)
+    #: Where the clusters' elements begin, as cues name them.
+    cluster_starts: list[int] = field(default_factory=list)
 
 
 def read_vint(data: bytes, at: int, keep_marker: bool = False) -> tuple[int | None, int]:
@@ -208,15 +209,16 @@ def read_media(data: bytes) -> Media:
             if types and types[0].rstrip(b"\0") not in (b"matroska", b"webm"):
                 raise MediaError(f"a file of type {types[0]!r}")
         elif kind == SEGMENT:
-            base = a
+            base = begin = a
             for k, x, y in elements(data, a, b):
+                begin, element_at = y, begin
                 if k == INFO:
                     m.scale = next((whole(data, p, q) for i, p, q in elements(data, x, y) if i == TIMESTAMP_SCALE), TICK)
                 elif k == TRACKS:
                     read_tracks(data, x, y, m)
                 elif k == CLUSTER:
                     m.clusters += 1
-                    m.cluster_offsets.append(x)
+                    m.cluster_starts.append(element_at)
                     read_cluster(data, x, y, m)
                 elif k == CUES:
                     read_cues(data, x, y, base, m)
@@ -342,7 +344,11 @@ def feature(payload: bytes, m: Media) -> str:
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored media."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored media.
+
+    One row per row, null and repeated ids too; other columns are not read, and an empty table gives an empty result.  Every
+    cue must name the start of a cluster, and every cluster have a cue (MediaError).
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def work(batches):
@@ -354,6 +360,8 @@ def media_digests(media: DataFrame) -> DataFrame:
             out = []
             for i, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 m = read_media(data)
+                if {at for _, _, at in m.cues} != set(m.cluster_starts):
+                    raise MediaError("a cue points to no cluster, or a cluster has none")
                 p = payload_of(data, m)
                 out.append((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(p, m)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)

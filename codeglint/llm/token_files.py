@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LATIN_WORD, byte_letters, digest, per_worker, shared_path, sized_slices, vocabulary_json
+from .common import LATIN_LETTERS, LATIN_WORD, byte_letters, digest, per_worker, shared_path, sized_slices, splits_at_space, vocabulary_json
 
 #: The id that ends a document.
 END_ID = 1
@@ -30,6 +30,12 @@ END_ID = 1
 CACHE_WORDS = 1_000_000
 #: Documents, and bytes of text, that are encoded together: each of their distinct words is looked up once.
 GROUP, GROUP_BYTES = 1000, 4 << 20
+#: Spark gives a table whose size it doesn't know a size beyond this; its shards are as many as shuffle partitions.
+UNKNOWN_SIZE = 1 << 60
+#: Documents that are read back together.
+READ = 1000
+#: Bytes of the input's files that a shard is made of.
+SHARD_BYTES = 64 << 20
 #: Stands for a null document id, which comes first.
 NULL_ID = -(2**63)
 
@@ -40,8 +46,8 @@ assert sys.byteorder == "little"
 class WordEncoder:
     """ids of whole texts by the tokenizers library, which sees each distinct word once.
 
-    No pre-token of the vocabulary crosses ASCII white space, and its normaliser maps white space to spaces that the
-    pre-tokenizer drops, so the ids of a text are those of its words in order; ``check`` refuses other vocabularies.
+    No pre-token of the vocabulary crosses ASCII white space, which its pre-tokenizer drops, so the ids of a text are those of its
+    words in order; ``check`` refuses other vocabularies.
     """
 
     def __init__(self, vocabulary: str, dtype: str | None = None, cache_words: int = CACHE_WORDS):
@@ -59,11 +65,12 @@ class WordEncoder:
         probe = "Ab, c12 'll\n\td's  é ́x"
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
         parts = [i for w in probe.encode().split() for i in self.tokenizer.encode(w.decode(), add_special_tokens=False).ids]
-        if whole != parts:
+        if whole != parts or not splits_at_space(self.tokenizer):
             raise ValueError("this vocabulary's tokens depend on white space: words can't be encoded alone")
         self.stops = {x: array(self.code, self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in ("", ",", ".")}
         plain = True  # until a probe tells
-        for word in ("the", "Straße", "ÉTÉ.", "señorîta,", "internationalisation", "ÿþ", "x", "Zz."):
+        letters = [w for x in LATIN_LETTERS for w in (x, f"t{x}e.", f"{x}{x},")]
+        for word in ("the", "Straße", "ÉTÉ.", "señorîta,", "internationalisation", "ÿþ", *letters):
             ids = array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
             plain = plain and self.letters(LATIN_WORD.fullmatch(word)) == ids
         self.plain = plain
@@ -161,13 +168,28 @@ def put(uri: str, parts: Iterator[bytes] | list[bytes]) -> None:
     store.move(temporary, path)
 
 
-def mapped(uri: str, dtype: str) -> np.ndarray:
-    """A file's numbers: by memory map from a local folder, else read."""
+class Ranges:
+    """A remote file's numbers, of which only the ranges that are asked for are read."""
+
+    def __init__(self, file, dtype: str):
+        self.file, self.dtype = file, np.dtype(dtype)
+        self.n = file.size() // self.dtype.itemsize
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        a, b, _ = at.indices(self.n)
+        size = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((b - a) * size, a * size), self.dtype) if b > a else np.empty(0, self.dtype)
+
+
+def mapped(uri: str, dtype: str) -> np.ndarray | Ranges:
+    """A file's numbers, to be sliced: by memory map from a local folder, else by reads of ranges."""
     store, path = opened(uri)
     if store.type_name == "local":
         return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+    return Ranges(store.open_input_file(path), dtype)
 
 
 class TokenFiles:
@@ -198,7 +220,7 @@ class TokenFiles:
 
 
 def _shard(uri: str, dtype: str, shard: int):
-    base = f"{uri}/{shard:06d}"
+    base = f"{uri}/{shard:08d}"
     return mapped(f"{base}.tokens", dtype), mapped(f"{base}.offsets", "<u8"), mapped(f"{base}.ids", "<i8")
 
 
@@ -210,11 +232,12 @@ def _digests(uri, dtype, shard, documents, tokens, base):
     import pyarrow as pa
 
     flat, offsets, ids = _shard(uri, dtype, shard)
-    starts = (offsets - np.uint64(base)).astype(np.int64)
-    for a in range(0, documents, 10_000):
-        b = min(documents, a + 10_000)
-        crc = [zlib.crc32(flat[starts[i] : starts[i + 1]].astype("<u4").tobytes()) for i in range(a, b)]
-        columns = [_id_list(ids[a:b]), offsets[a:b].astype(np.int64), np.diff(starts[a : b + 1]), crc]
+    for a in range(0, documents, READ):
+        b = min(documents, a + READ)
+        starts = offsets[a : b + 1].astype(np.int64) - base
+        part, at = flat[int(starts[0]) : int(starts[-1])], starts - starts[0]
+        crc = [zlib.crc32(part[x:y].astype("<u4").tobytes()) for x, y in zip(at.tolist(), at[1:].tolist())]
+        columns = [_id_list(ids[a:b]), starts[:-1] + base, np.diff(starts), crc]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
@@ -222,22 +245,24 @@ def _documents(uri, dtype, shard, documents, tokens, base):
     import pyarrow as pa
 
     flat, offsets, ids = _shard(uri, dtype, shard)
-    starts = (offsets - np.uint64(base)).astype(np.int64)
-    for a in range(0, documents, 1000):
-        b = min(documents, a + 1000)
-        values = pa.array(flat[starts[a] : starts[b]].astype(np.int32))
-        lists = pa.ListArray.from_arrays(pa.array((starts[a : b + 1] - starts[a]).astype(np.int32)), values)
-        yield pa.RecordBatch.from_arrays([pa.array(_id_list(ids[a:b]), pa.int64()), pa.array(offsets[a:b].astype(np.int64)), lists], names=["doc_id", "start", "ids"])
+    for a in range(0, documents, READ):
+        b = min(documents, a + READ)
+        starts = offsets[a : b + 1].astype(np.int64) - base
+        values = pa.array(flat[int(starts[0]) : int(starts[-1])].astype(np.int32))
+        lists = pa.ListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int32)), values)
+        yield pa.RecordBatch.from_arrays([pa.array(_id_list(ids[a:b]), pa.int64()), pa.array(starts[:-1] + base), lists], names=["doc_id", "start", "ids"])
 
 
 def write_token_files(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, uri: str | None = None
-) -> TokenFiles:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, uri: str | None = None,
+    shard_bytes: int = SHARD_BYTES,
+) -> TokenFiles:
     """Encodes every whole text, appends end_id, and writes the shards under uri (default: in the shared folder).
 
-    Documents are dealt by id range, so a document is in one shard, shards ascend, and no task holds more than its range;
-    equal ids go by text.  Null texts count as empty (only end_id), null ids come first.  An empty table gives no shards.
-    Other columns of docs are not read.
+    Documents are dealt by ranges of id and a hash of the text, one shard for about shard_bytes of input and four for each core
+    at least, so a document is in one shard, shards ascend, and rows of one id or of none may fill many.  Equal ids go by the
+    hash.  Null texts count as empty (only end_id), null ids come first.  An empty table gives no shards.  Other columns of
+    docs are not read.
     """
     spark, vocabulary = docs.sparkSession, vocabulary or vocabulary_json()
     uri = uri or shared_path(spark, "tokens")
@@ -261,14 +286,18 @@ def write_token_files(
         first = next(parts, None)
         if first is None:
             return
-        put(f"{uri}/{shard:06d}.tokens", (x for some in ([first], parts) for x in some))
-        put(f"{uri}/{shard:06d}.ids", [x.tobytes() for x in ids])
-        put(f"{uri}/{shard:06d}.lengths", [x.astype("<u8").tobytes() for x in lengths])
+        put(f"{uri}/{shard:08d}.tokens", (x for some in ([first], parts) for x in some))
+        put(f"{uri}/{shard:08d}.ids", [x.tobytes() for x in ids])
+        put(f"{uri}/{shard:08d}.lengths", [x.astype("<u8").tobytes() for x in lengths])
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "documents": pa.array([sum(map(len, ids))], pa.int64()), "tokens": pa.array([int(sum(n.sum() for n in lengths))], pa.int64())})
 
     p = spark._jvm.org.apache.hadoop.fs.Path(uri)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
-    dealt = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    shards_for = -(-size // shard_bytes) if size < UNKNOWN_SIZE else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(4 * spark.sparkContext.defaultParallelism, shards_for)
+    order = [F.col("id"), F.xxhash64("text")]
+    dealt = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
     made = dealt.mapInArrow(write, "shard long, documents long, tokens long").collect()  # one small row a shard
     shards, base = [], 0
     for r in sorted(made):
@@ -284,6 +313,6 @@ def _offsets(uri, dtype, shard, documents, tokens, base):
     """Adds a shard's base to its own starts."""
     import pyarrow as pa
 
-    lengths = mapped(f"{uri}/{shard:06d}.lengths", "<u8")
-    put(f"{uri}/{shard:06d}.offsets", [(np.concatenate([[0], np.cumsum(lengths)]).astype(np.uint64) + np.uint64(base)).astype("<u8").tobytes()])
+    lengths = mapped(f"{uri}/{shard:08d}.lengths", "<u8")[:]
+    put(f"{uri}/{shard:08d}.offsets", [(np.concatenate([[0], np.cumsum(lengths)]).astype(np.uint64) + np.uint64(base)).astype("<u8").tobytes()])
     yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64())})

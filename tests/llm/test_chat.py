@@ -31,6 +31,9 @@ def test_layouts():
         {"dialog": {"turns": [{"speaker": "human", "text": "q"}, {"speaker": "bot", "text": "a"}]}},
     ]
     assert all(chat.canonical(r, known) == said for r in records)
+    assert chat.canonical({"instruction": "do", "input": "this", "output": "a"}, known) == [("user", "do\n\nthis"), ("assistant", "a")]
+    assert chat.canonical({"instruction": "do", "input": None, "output": "a"}, known) == [("user", "do"), ("assistant", "a")]
+    assert chat.canonical({"messages": []}, known) == [] == chat.canonical({"conversations": []}, known)
     assert chat.canonical({"system": "s", "prompt": "q", "response": None}, known) == [("system", "s"), ("user", "q"), ("assistant", "")]
     assert chat.canonical({"unknown": 1}, known) is None
 
@@ -63,4 +66,15 @@ def test_odd_conversations(spark):
     assert {k: r.n_turns for k, r in got.items()} == {1: 2, 2: 2, None: 1, 4: 1} and got[1].loss_chars == 0
     assert chat.read_back(chat.format_chats(chat.chat_records(df.limit(0)))).collect() == []
     bad = spark.createDataFrame([(1, "[1]"), (2, None), (3, "{no"), (4, json.dumps({"zzz": 1}))], "conv_id long, record string")
-    assert {r.layout for r in chat.format_chats(bad).collect()} == {None}
+    made = chat.format_chats(bad)
+    assert {r.layout for r in made.collect()} == {None}
+    assert {r.conv_id for r in chat.rejected(made).collect()} == {1, 2, 3, 4}
+    assert sorted(tuple(r) for r in chat.read_back(made).collect()) == [(i, None, None, None, None, None) for i in (1, 2, 3, 4)]
+
+
+def test_every_layout_is_met(spark):
+    rows = [(i, k, r, t) for i in range(300) for k, (r, t) in enumerate([("system", "s")] * (i % 3 == 0) + [("user", "do\n\nthis" if i % 2 else "q"), ("assistant", "a")])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(chat.chat_records(df))
+    assert {r.layout for r in made.select("layout").distinct().collect()} == {m.name for m in chat.MAPPINGS if not m.name.startswith("no-")}
+    assert sorted(tuple(r)[:5] for r in chat.read_back(made).collect()) == expected(rows)
