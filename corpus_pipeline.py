@@ -7,13 +7,10 @@ All but the last give the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from codeglint.llm import bpe, mixing, near_dup, pii, quality
 from codeglint.llm.common import documents, stored
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the threshold table; the others go."""
@@ -21,17 +18,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of similarity 0.8 or more on 5-word shingles."""
+    """One document of each group of similarity 0.8 or more on 5-word shingles: that of the smallest id.
+
+    Rows of null or repeated ids are documents of their own, so of exact repeats one row stays, whatever their ids.
+    """
     return near_dup.without_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its personal data masked; n_chars follows."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    found = pii.with_spans(docs, keep=rest)
-    text = F.when(F.size("spans") > 0, pii.masked(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    out = found.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Every document with its personal data masked; n_chars, where docs has it, follows."""
+    return pii.masked_documents(docs)
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
