@@ -55,8 +55,8 @@ def nearest_start(edges: DataFrame, starts: DataFrame) -> DataFrame:
         out = out.unionByName(frontier)
 
 
-def reachable(edges: DataFrame, max_depth: int) -> DataFrame:
-    """Distinct (src, dst) joined by a path of at most max_depth edges."""
+def reachable(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Distinct (src, dst) joined by a path, of at most max_depth edges unless None."""
     return distances(edges, max_depth).select("src", "dst")
 
 
@@ -89,11 +89,31 @@ def simple_paths(edges: DataFrame, max_edges: int, sources: DataFrame | None = N
         out = out.join(goal.select(F.col("goal").alias("dst")), "dst", "left_semi").select("src", "dst", "path")
     out = out.withColumn("n", F.size("path").cast("long"))
     if per_pair is not None:
-        rank = F.row_number().over(Window.partitionBy("src", "dst").orderBy("n", F.array_join(F.transform("path", lambda x: x.cast("string")), ">")))
+        rank = F.row_number().over(Window.partitionBy("src", "dst").orderBy("n", "path"))
         out = out.withColumn("_rank", rank).filter(F.col("_rank") <= per_pair).drop("_rank")
     return out
 
 
+def shortest_paths(edges: DataFrame, max_edges: int | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(src, dst, path, n): one shortest path of each reachable pair, the first in the order of its nodes.
+
+    Breadth first: a pair is met once, at its least depth, and keeps the least of the paths that reach it there, so work grows
+    with the pairs and not with the paths between them.  A path of a node to itself is its shortest cycle.
+    """
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
+    first = edges if sources is None else edges.join(sources.select("src").distinct(), "src", "left_semi")
+    frontier = stored(first.withColumn("path", F.array("src", "dst")), "shortest")
+    step, out = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")), frontier
+    for _ in count(2) if max_edges is None else range(2, max_edges + 1):
+        grown = frontier.join(step, "dst").select("src", F.col("next").alias("dst"), F.concat("path", F.array("next")).alias("path"))
+        best = grown.join(out.select("src", "dst"), ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("path").alias("path"))
+        frontier = stored(best, "shortest")
+        if frontier.isEmpty():
+            break
+        out = out.unionByName(frontier)
+    return out.withColumn("n", F.size("path").cast("long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): weakly connected components, named by their smallest node."""
     now = stored(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "links")
@@ -114,8 +134,8 @@ def components(edges: DataFrame) -> DataFrame:
             return out
 
 
-def on_cycles(edges: DataFrame, max_depth: int) -> DataFrame:
-    """(node, length): nodes that reach themselves, and their shortest cycle."""
+def on_cycles(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, length): nodes that reach themselves, and their shortest cycle, of at most max_depth edges unless None."""
     return distances(edges, max_depth).filter("src = dst").select(F.col("src").alias("node"), F.col("depth").cast("long").alias("length"))
 
 
@@ -148,11 +168,24 @@ def degrees(edges: DataFrame) -> DataFrame:
     return d.join(F.broadcast(n)).select("node", "in_degree", "out_degree", F.round(F.col("in_degree") / F.col("others"), 9).alias("in_centrality"), F.round(F.col("out_degree") / F.col("others"), 9).alias("out_centrality"))
 
 
-def statistics(edges: DataFrame, max_cycle: int) -> DataFrame:
-    """One row: nodes, edges, mean degree, components, whether there is a cycle of up to max_cycle edges."""
+def is_cyclic(edges: DataFrame) -> bool:
+    """Whether there is a cycle: nodes without incoming or without outgoing edges go until none does; a cycle stays."""
+    left = stored(edges.select("src", "dst").distinct(), "core")
+    n = left.count()
+    while n:
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = stored(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "core")
+        if (now := left.count()) == n:
+            return True
+        n = now
+    return False
+
+
+def statistics(edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, mean degree, components, whether there is a cycle."""
     e = stored(edges.select("src", "dst").distinct(), "edges")
     parts = components(e).agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("component").alias("components"))
-    cyclic = not on_cycles(e, max_cycle).isEmpty()
+    cyclic = is_cyclic(e)
     n = e.agg(F.count(F.lit(1)).alias("edges"))
     return parts.join(F.broadcast(n)).select("nodes", "edges", F.round(F.col("edges") / F.col("nodes"), 6).alias("mean_degree"), "components", F.lit(cyclic).alias("has_cycle"))
 
@@ -168,9 +201,10 @@ def impact_scope(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return starts.select("node").distinct().join(counted, "node", "left").select("node", *zero)
 
 
-def tainted_flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, code: DataFrame, max_edges: int, per_pair: int = 5) -> DataFrame:
+def tainted_flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, code: DataFrame, max_edges: int = 10, per_pair: int | None = 5) -> DataFrame:
     """Flows from sources (src, source_type, confidence) to sinks (dst, sink_type) with the taint level's rank at the end.
 
+    per_pair keeps the first so many flows of a pair by length, then nodes; None keeps all.
     code: (node, code).  Effects of the nodes within the path, in order, fold the level.
     """
     paths = simple_paths(edges, max_edges, sources, sinks, per_pair).withColumn("flow", F.monotonically_increasing_id())

@@ -85,19 +85,38 @@ def practice_matches(files: DataFrame, text_col: str = "content", language_col:
     return files.withColumn("m", F.explode(F.array_compact(F.array(*found)))).select(*[c for c in files.columns if c != text_col], "m.*")
 
 
-def similar_cases(snippets: DataFrame, cases: DataFrame, threshold: float = 0.3, k: int = 10) -> DataFrame:
-    """(id, case_id, similarity, rank): cases of the snippet's type by token similarity, the best k.
+#: Rows of a rule table that may be broadcast; a larger table is joined by a shuffle.
+RULE_ROWS = 100_000
+
+
+def small(table: DataFrame, rows: int = RULE_ROWS) -> DataFrame:
+    """table, to be broadcast if it was counted to have so many rows at most."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def similar_cases(snippets: DataFrame, cases: DataFrame, threshold: float = 0.3, k: int = 10, by: str = "code", language: str = "python") -> DataFrame:
+    """(id, case_id, similarity, rank): cases of the snippet's type by code similarity (by: code) or token similarity, the best k.
 
     snippets: id, type, code; cases: case_id, type, code.  Types join by equality, and where a type has no case, by one type
-    holding the other; the case table is a rule table and is broadcast.
+    holding the other.  Equal snippets of a type are compared once, and types are matched before their rows are.
     """
-    c = F.broadcast(cases.select("case_id", F.col("type").alias("c_type"), F.col("code").alias("c_code")))
-    exact = snippets.join(c, F.col("type") == F.col("c_type"))
-    orphans = snippets.join(F.broadcast(cases.select("type").distinct()), "type", "left_anti")
-    loose = orphans.join(c, F.contains(F.col("type"), F.col("c_type")) | F.contains(F.col("c_type"), F.col("type")))
-    both = exact.unionByName(loose).withColumn("similarity", F.round(X.token_similarity(F.col("code"), F.col("c_code")), 6)).filter(F.col("similarity") >= threshold)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "case_id"))
-    return both.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("id", "case_id", "similarity", "rank")
+    kinds = snippets.select("type", "code").distinct()
+    own, known = kinds.select("type").distinct(), cases.select(F.col("type").alias("c_type")).distinct()
+    exact = own.join(known, F.col("type") == F.col("c_type"))
+    holds = F.contains(F.col("type"), F.col("c_type")) | F.contains(F.col("c_type"), F.col("type"))
+    types = exact.unionByName(own.join(exact.select("type"), "type", "left_anti").join(small(known), holds))
+    c = cases.select("case_id", F.col("type").alias("c_type"), F.col("code").alias("c_code"))
+    pairs = kinds.join(small(types), "type").join(small(c), "c_type")
+    if by == "code":
+        a, b = (X.normal_code(F.col(x), F.lit(language)) for x in ("code", "c_code"))
+        pairs = with_structure_ratio(pairs.withColumns({"_a": a, "_b": b}), "_a", "_b")
+        score = X.code_similarity(F.col("code"), F.col("c_code"), F.lit(language), F.col("structure"))
+    else:
+        score = X.token_similarity(F.col("code"), F.col("c_code"))
+    near = pairs.withColumn("similarity", F.round(score, 6)).filter(F.col("similarity") >= threshold)
+    rank = F.row_number().over(Window.partitionBy("type", "code").orderBy(F.desc("similarity"), "case_id"))
+    near = near.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("type", "code", "case_id", "similarity", "rank")
+    return snippets.join(near, ["type", "code"]).select("id", "case_id", "similarity", "rank")
 
 
 def structure_ratio(a: str, b: str) -> float:

@@ -113,13 +113,19 @@ def breaker_states(calls: DataFrame, key: str, failures: int = 5, pause: float =
     return c.repartition(key).sortWithinPartitions(key, "at", "call_id").mapInPandas(fold, f"{key} string, call_id long, allowed boolean, state string")
 
 
-def moving_success(outcomes: DataFrame, key: str, alpha: float = 0.1) -> DataFrame:
-    """Exponential moving success rate by key over outcomes (key, ord, ok); the first outcome sets it."""
-    folded = F.aggregate(
-        F.slice("seq", 2, F.greatest(F.size("seq") - 1, F.lit(0))), F.element_at("seq", 1)["ok"].cast("double"), lambda acc, x: acc * (1 - alpha) + x["ok"].cast("double") * alpha
-    )
-    g = outcomes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "ok"))).alias("seq"))
-    return g.select(key, F.size("seq").cast("long").alias("n"), F.round(folded, 6).alias("rate"))
+def moving_success(outcomes: DataFrame, keys: list[str], chunk: str, alpha: float = 0.1) -> DataFrame:
+    """Exponential moving success rate by keys over outcomes (keys, chunk, ord, ok); the first outcome sets it.
+
+    chunk grows with ord and cuts a key's outcomes into parts, such as days.  A part of n outcomes folds to (n, sum), and parts
+    fold in order by (n1, s1) + (n2, s2) = (n1 + n2, s1 * (1 - alpha)^n2 + s2), so no task holds a key's outcomes.
+    """
+    keep = 1.0 - alpha
+    back = F.row_number().over(Window.partitionBy(*keys, chunk).orderBy(F.desc("ord"))) - 1
+    ok = F.col("ok").cast("double")
+    parts = outcomes.withColumn("_s", alpha * ok * F.pow(F.lit(keep), back)).groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("n"), F.sum("_s").alias("s"), F.min_by(ok, "ord").alias("first"))
+    later = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc(chunk)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    folded = parts.withColumn("s", F.col("s") * F.pow(F.lit(keep), later)).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min_by("first", chunk).alias("first"))
+    return folded.select(*keys, "n", F.round(F.col("s") + F.col("first") * F.pow(F.lit(keep), F.col("n")), 6).alias("rate"))
 
 
 def execution_statistics(tasks: DataFrame) -> DataFrame:

@@ -38,19 +38,16 @@ def truncated_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    """Keyword similarity of each document with the one before it in its source, by their first 2000 characters as in the SQL."""
-    return _keyword_jaccard(_docs(spark, sf).withColumn("text", F.substring("text", 1, 2000)))
+    """Keyword similarity of each document with the one before it in its source, by the keywords of their whole texts.
 
-
-def keyword_jaccard_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same by their whole texts."""
-    return _keyword_jaccard(_docs(spark, sf))
-
-
-def _keyword_jaccard(docs: DataFrame) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
-    d = docs.select("doc_id", "source", X.tokens(F.col("text")).alias("k")).withColumn("before", F.lag("k").over(w)).filter("before is not null")
-    return d.select("doc_id", F.round(S.jaccard(F.col("k"), F.col("before"), 1.0, 0.0), 6).alias("jaccard"), F.round(X.keyword_similarity(F.col("k"), F.col("before")), 6).alias("similarity"))
+    The window moves ids only; keywords are joined to them.
+    """
+    docs = _docs(spark, sf)
+    pairs = docs.select("doc_id", F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("other")).filter("other is not null")
+    words = docs.select("doc_id", X.tokens(F.col("text")).alias("k"))
+    d = pairs.join(words, "doc_id").join(words.select(F.col("doc_id").alias("other"), F.col("k").alias("before")), "other")
+    jaccard, similarity = S.jaccard(F.col("k"), F.col("before"), 1.0, 0.0), X.keyword_similarity(F.col("k"), F.col("before"))
+    return d.select("doc_id", F.round(jaccard, 6).alias("jaccard"), F.round(similarity, 6).alias("similarity"))
 
 
 def context_windows_merged(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +100,7 @@ def fp_combined(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def learned_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.createDataFrame([(*x, f"2024-05-{10 * i + 1:02d}", i, 0.5) for i, x in enumerate(rules.LEARNED_PATTERNS[:3])], "pattern_id string, finding_type string, pattern string, confidence double, created string, usage int, success double")
+    p = spark.createDataFrame([(*x, f"2024-05-{10 * i + 1:02d}", i, 0.5) for i, x in enumerate(rules.LEARNED_PATTERNS)], "pattern_id string, finding_type string, pattern string, confidence double, created string, usage int, success double")
     m = V.learned_matches(_findings(spark, sf), p.withColumn("created", F.to_date("created")), "2024-06-15")
     return m.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
 
@@ -125,27 +122,15 @@ def time_decayed_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    v = A.table(spark, sf, "embeddings")
-    q = v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.nearest(v, q, 5).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
-
-
-def l2_topk(spark: SparkSession, sf: str) -> DataFrame:
-    v = A.table(spark, sf, "embeddings")
-    q = v.filter("vec_id between 20 and 29").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.nearest(v, q, 5, "l2").select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
-
-
-def cosine_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
     """The nearest of all vectors to each whose id is divisible by 50."""
-    return _topk_whole(spark, sf, "cosine")
+    return _topk(spark, sf, "cosine")
 
 
-def l2_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _topk_whole(spark, sf, "l2")
+def l2_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _topk(spark, sf, "l2")
 
 
-def _topk_whole(spark, sf, by):
+def _topk(spark, sf, by):
     v = A.table(spark, sf, "embeddings")
     q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return R.nearest(v, q, 5, by).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
@@ -156,10 +141,24 @@ def practice_match(spark: SparkSession, sf: str) -> DataFrame:
     return R.practice_matches(f).groupBy("rule", "type", "severity").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
 
 
+CASES = (
+    ("c1", "sql injection", "cursor.execute(select from where)"), ("c2", "xss", "document write script"), ("c3", "injection", "os.system(cmd)"), ("c4", "sql injection", "execute select or"),
+)
+
+
+def _cases(spark, sf):
+    f = _findings(spark, sf).select("id", "type", F.col("snippet").alias("code"))
+    return f, spark.createDataFrame(CASES, "case_id string, type string, code string")
+
+
 def similar_cases(spark: SparkSession, sf: str) -> DataFrame:
-    f = _findings(spark, sf).filter("start_line % 10 = 1").select("id", "type", F.col("snippet").alias("code"))
-    cases = spark.createDataFrame([("c1", "sql injection", "cursor.execute(select from where)"), ("c2", "xss", "document write script"), ("c3", "injection", "os.system(cmd)"), ("c4", "sql injection", "execute select or")], "case_id string, type string, code string")
-    return R.similar_cases(f, cases).groupBy("case_id", "rank").agg(F.count(F.lit(1)).alias("n"), F.max("similarity").alias("similarity"))
+    """How often each case has which rank among those similar to a finding, by the whole of code similarity."""
+    return R.similar_cases(*_cases(spark, sf)).groupBy("case_id", "rank").agg(F.count(F.lit(1)).alias("n"), F.max("similarity").alias("similarity"))
+
+
+def case_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by tokens alone."""
+    return R.similar_cases(*_cases(spark, sf), by="tokens").groupBy("case_id", "rank").agg(F.count(F.lit(1)).alias("n"), F.max("similarity").alias("similarity"))
 
 
 def planned_tasks(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,8 +183,9 @@ def breaker_states(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ema_success(spark: SparkSession, sf: str) -> DataFrame:
-    m = A.metrics(spark, sf).select("layer", F.struct("ts", "event_id").alias("ord"), (F.col("value") > 50).alias("ok"), "operation")
-    return K.moving_success(m.filter("operation = 1").drop("operation"), "layer")
+    """Moving success rate of each layer and operation over all metrics, folded day by day."""
+    m = A.metrics(spark, sf).select("layer", "operation", F.struct("ts", "event_id").alias("ord"), (F.col("value") > 50).alias("ok"), F.to_date("ts").alias("day"))
+    return K.moving_success(m, ["layer", "operation"], "day")
 
 
 def message_history(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,8 +197,8 @@ def message_history(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, char_chunks, nesting_depth, truncated_texts, keyword_jaccard, keyword_jaccard_whole, context_windows_merged, html_script_blocks, file_risks, fp_rules, fp_rule_rates, fp_combined, learned_patterns, confidence_scores,
-              time_decayed_accuracy, cosine_topk, cosine_topk_whole, l2_topk, l2_topk_whole, practice_match, similar_cases, planned_tasks, task_schedule, task_batches, breaker_states, ema_success, message_history)
+    for f in (token_counts, char_chunks, nesting_depth, truncated_texts, keyword_jaccard, context_windows_merged, html_script_blocks, file_risks, fp_rules, fp_rule_rates, fp_combined, learned_patterns, confidence_scores,
+              time_decayed_accuracy, cosine_topk, l2_topk, practice_match, similar_cases, case_tokens, planned_tasks, task_schedule, task_batches, breaker_states, ema_success, message_history)
 }
 
 _TEXT = "SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents"
@@ -257,14 +257,14 @@ _SIMILAR = """, q AS (SELECT id, type, list_distinct(regexp_extract_all(lower(sn
 
 SQL = {
     "confidence_scores": _confidence_sql(),
-    "similar_cases": _FIND + _SIMILAR,
+    "case_tokens": _FIND + _SIMILAR,
     "token_counts": f"WITH d AS ({_TEXT}), t AS (SELECT lang, CAST(floor(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) * 1.3) AS BIGINT) AS t FROM d) SELECT lang, count(*) AS n, CAST(sum(t) AS BIGINT) AS tokens, max(t) AS most FROM t GROUP BY lang",
     "char_chunks": f"WITH d AS ({_TEXT}), c AS (SELECT doc_id, text, unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - 1000) / 800.0) AS BIGINT)))) AS pos FROM d WHERE length(text) > 0) SELECT doc_id, pos, length(substr(text, pos * 800 + 1, 1000)) AS size, md5(substr(text, pos * 800 + 1, 1000)) AS digest FROM c",
     "nesting_depth": """WITH b AS (SELECT page_id, string_split(regexp_replace(html, '[^{}()\\[\\]]', '', 'g'), '') AS c FROM pages), e AS (SELECT page_id, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM b), s AS (SELECT page_id, i, CASE WHEN c IN ('{', '(', '[') THEN 1 WHEN c IN ('}', ')', ']') THEN -1 ELSE 0 END AS d FROM e),
         r AS (SELECT page_id, i, sum(d) OVER (PARTITION BY page_id ORDER BY i) AS p FROM s), q AS (SELECT page_id, p - least(0, min(p) OVER (PARTITION BY page_id ORDER BY i)) AS depth FROM r) SELECT p.page_id, CAST(coalesce(max(depth), 0) AS BIGINT) AS depth FROM pages p LEFT JOIN q USING (page_id) GROUP BY p.page_id""",
     "truncated_texts": f"""WITH d AS ({_TEXT}), h AS (SELECT doc_id, text, substr(text, 1, 300) AS h FROM d), l AS (SELECT *, CASE WHEN contains(h, chr(10)) THEN 300 - instr(reverse(h), chr(10)) ELSE -1 END AS last FROM h),
         t AS (SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN last > 0 AND 300 - last < 50 THEN substr(h, 1, last) || '...' ELSE h || '...' END AS t FROM l) SELECT doc_id, length(t) AS size, md5(t) AS digest FROM t""",
-    "keyword_jaccard": f"""WITH d AS ({_TEXT}), k AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(substr(text, 1, 2000)), '[\\p{{L}}\\p{{N}}_]+')) AS k FROM d), b AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM k),
+    "keyword_jaccard": f"""WITH d AS ({_TEXT}), k AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS k FROM d), b AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM k),
         j AS (SELECT doc_id, CASE WHEN len(k) = 0 AND len(p) = 0 THEN 1.0 WHEN len(k) = 0 OR len(p) = 0 THEN 0.0 ELSE len(list_intersect(k, p)) * 1.0 / len(list_distinct(list_concat(k, p))) END AS j, len(k) * len(p) AS sized, len(list_intersect(list_intersect(k, p), [{", ".join(f"'{w}'" for w in X.IMPORTANT_WORDS)}])) AS n FROM b WHERE p IS NOT NULL)
         SELECT doc_id, round(j, 6) AS jaccard, round(CASE WHEN sized = 0 THEN 0.0 ELSE least(1.0, j + 0.1 * n) END, 6) AS similarity FROM j""",
     "context_windows_merged": f"""WITH d AS ({_TEXT}), l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
@@ -281,8 +281,8 @@ SQL = {
         g AS (SELECT *, greatest(rc, pc, ic, sc) AS best FROM x), v AS (SELECT coalesce(best >= 0.7, false) AS fp, coalesce(best, 0.0) AS best, CASE WHEN best >= 0.7 THEN CASE best WHEN rc THEN 'rule' WHEN pc THEN 'protection' WHEN ic THEN 'impact' ELSE 'semantics' END ELSE 'none' END AS reason FROM g) SELECT fp AS false_positive, reason, count(*) AS n, round(avg(best), 6) AS mean_confidence FROM v GROUP BY 1, 2""",
     "learned_patterns": f"{_FIND} SELECT 'test_sql_1' AS pattern_id, count(*) AS n, CAST(0.8 AS DOUBLE) AS score FROM f WHERE start_line % 7 = 0 AND (contains(type, 'sql') OR contains(type, 'injection')) HAVING count(*) > 0",
     "time_decayed_accuracy": A.with_roles("metrics") + """, r AS (SELECT layer, CASE WHEN (value / 200 > 0.5) = (operation % 2 = 0) THEN 1.0 ELSE 0.0 END AS ok, exp(-floor((epoch(TIMESTAMP '2025-01-01 00:00:00') - floor(epoch(ts))) / 86400) / 30.0) AS w FROM metrics) SELECT layer, count(*) AS n, round(avg(ok), 6) AS accuracy, round(sum(ok * w) / sum(w), 6) AS decayed FROM r GROUP BY layer""",
-    "cosine_topk": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id < 10), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5",
-    "l2_topk": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(greatest(0.0, 1 - power(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 2) / 100), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id BETWEEN 20 AND 29), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5",
+    "cosine_topk": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5",
+    "l2_topk": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(greatest(0.0, 1 - power(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 2) / 100), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5",
     "practice_match": _FIND + """, t AS (SELECT 'chmod 777 ' || snippet || ' md5(password) SELECT a + ''x''' AS content FROM f), p(rule, type, severity, score, pattern) AS (VALUES ('sql_injection_001', 'sql injection', 'HIGH', 0.9, '(SELECT|INSERT|UPDATE|DELETE).*\\+.*[''"]'), ('owasp_a02_001', 'cryptographic failures', 'MEDIUM', 0.9, '(md5|sha1)\\s*\\([^)]*password'),
         ('owasp_a03_001', 'injection', 'HIGH', 0.85, 'query\\s*=\\s*[''"].*\\$.*[''"]'), ('owasp_a07_001', 'authentication failures', 'MEDIUM', 0.7, 'password\\s*=\\s*[''"][^''"]{1,7}[''"]'), ('nist_ac_001', 'access control', 'HIGH', 0.95, 'chmod\\s+777'), ('nist_sc_001', 'insecure communication', 'MEDIUM', 0.8, 'http://[^/]*password'))
         SELECT rule, type, severity, count(*) AS n, CAST(max(score) AS DOUBLE) AS score FROM t, p WHERE regexp_matches(content, '(?i)' || pattern) GROUP BY 1, 2, 3""",
@@ -291,7 +291,8 @@ SQL = {
         r(node, layer) AS (SELECT task_id, 0 FROM t UNION SELECT e.dst, layer + 1 FROM r JOIN e ON r.node = e.src), l AS (SELECT node, CAST(max(layer) AS BIGINT) AS layer FROM r GROUP BY node) SELECT task_id, task_type, layer, row_number() OVER (ORDER BY layer, priority, seconds DESC, task_id) AS position FROM t JOIN l ON l.node = t.task_id""",
     "task_batches": """WITH g AS (SELECT *, CASE WHEN lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <> o_orderstatus THEN 1 ELSE 0 END AS c FROM orders), r AS (SELECT *, sum(c) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run FROM g), b AS (SELECT *, CAST(run AS BIGINT) || '-' || CAST(floor((row_number() OVER (PARTITION BY o_custkey, run ORDER BY o_orderkey) - 1) / 3.0) AS BIGINT) AS batch FROM r)
         SELECT o_custkey, batch, count(*) AS n, min(o_orderkey) AS first_key FROM b GROUP BY 1, 2""",
-    "ema_success": """WITH RECURSIVE """ + A.SQL["metrics"] + """, o AS (SELECT layer, CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END AS x, row_number() OVER (PARTITION BY layer ORDER BY ts, event_id) AS i FROM metrics WHERE operation = 1), n AS (SELECT layer, count(*) AS n FROM o GROUP BY 1),
-        r AS (SELECT o.layer, sum(x * CASE WHEN i = 1 THEN power(0.9, n - 1) ELSE 0.1 * power(0.9, n - i) END) AS rate, max(n) AS n FROM o JOIN n ON o.layer = n.layer GROUP BY o.layer) SELECT layer, n, round(rate, 6) AS rate FROM r""",
+    "ema_success": A.with_roles("metrics") + """, o AS (SELECT layer, operation, CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END AS x,
+            row_number() OVER (PARTITION BY layer, operation ORDER BY ts DESC, event_id DESC) AS i, count(*) OVER (PARTITION BY layer, operation) AS n FROM metrics)
+        SELECT layer, operation, count(*) AS n, round(CAST(sum(x * power(0.9, i - 1) * CASE WHEN i = n THEN 1.0 ELSE 0.1 END) AS DOUBLE), 6) AS rate FROM o GROUP BY 1, 2""",
     "message_history": "SELECT conv_id, role, turn, length(text) AS size FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text DESC) AS r FROM conversations) x WHERE r <= 3",
 }

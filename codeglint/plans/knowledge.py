@@ -77,11 +77,14 @@ def deduplicated_knowledge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def knowledge_fan_in(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts with their suppliers, orders and brands as sources of knowledge."""
-    p = A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type")).filter("id % 10 = 0")
-    t = A.table(spark, sf, "part")
-    src = lambda k, name, m: t.filter(F.col("p_partkey") % m == k).select(F.col("p_brand").alias("type"), F.concat(F.lit(name), (F.col("p_partkey") % 7).cast("string")).alias(f"{name}_id"))
-    out = R.knowledge_fan_in(p, src(1, "cve", 50), src(2, "practice", 40), src(3, "case", 30))
+    """All parts as findings, with all suppliers, customers and orders as sources of knowledge of their brand."""
+    p = A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"))
+
+    def source(table: str, key: str, name: str, brands: int, ids: int):
+        k = F.col(key)
+        return A.table(spark, sf, table).select(F.concat(F.lit("Brand#"), (k % brands).cast("string")).alias("type"), F.concat(F.lit(name), (k % ids).cast("string")).alias(f"{name}_id"))
+
+    out = R.knowledge_fan_in(p, source("supplier", "s_suppkey", "cve", 20, 7), source("customer", "c_custkey", "practice", 23, 5), source("orders", "o_orderkey", "case", 24, 4))
     return out.select("id", F.array_join("cves", ",").alias("cves"), F.array_join("practices", ",").alias("practices"), F.array_join("suggestions", ",").alias("suggestions"), F.round(F.col("cves_relevance") + F.col("practices_relevance") + F.col("cases_relevance"), 6).alias("relevance"))
 
 
@@ -126,9 +129,14 @@ SQL = {
         UNION ALL SELECT layer, 'error_rate', CASE WHEN e >= 0.2 THEN 'critical' WHEN e >= 0.1 THEN 'error' WHEN e >= 0.05 THEN 'warning' END FROM s) SELECT level, layer, metric, count(*) AS n FROM a WHERE level IS NOT NULL GROUP BY GROUPING SETS ((level), (layer), (metric))""",
     "error_statistics": """WITH c AS (SELECT CASE WHEN value > 100 THEN 'timeout' WHEN value > 50 THEN 'network' WHEN user_id % 3 = 0 THEN 'resource' ELSE 'configuration' END AS category FROM events), s AS (SELECT category, CASE category WHEN 'configuration' THEN 'medium' ELSE 'high' END AS severity FROM c) SELECT category, severity, count(*) AS n FROM s GROUP BY GROUPING SETS ((category), (severity))""",
     "deduplicated_knowledge": "WITH k AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 4 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) SELECT o_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM r WHERE r = 1 AND o_custkey NOT IN (SELECT o_custkey FROM k)",
-    "knowledge_fan_in": """WITH s AS (SELECT p_brand AS type, list_sort(list(DISTINCT 'cve' || (p_partkey % 7)) FILTER (p_partkey % 50 = 1)) AS c, list_sort(list(DISTINCT 'practice' || (p_partkey % 7)) FILTER (p_partkey % 40 = 2)) AS p, list_sort(list(DISTINCT 'case' || (p_partkey % 7)) FILTER (p_partkey % 30 = 3)) AS h FROM part GROUP BY 1),
-        t AS (SELECT q.p_partkey AS id, coalesce(c, []) AS c, coalesce(p, []) AS p, coalesce(h, []) AS h FROM part q JOIN s ON s.type = q.p_brand WHERE q.p_partkey % 10 = 0), g AS (SELECT *, list_concat(p[1:3], h[1:2]) AS g FROM t)
-        SELECT id, array_to_string(c, ',') AS cves, array_to_string(p, ',') AS practices, CASE WHEN len(g) > 0 THEN array_to_string(g, ',') ELSE 'validate input,apply least privilege,review the code' END AS suggestions, round(CAST(CASE WHEN len(c) > 0 THEN 0.9 ELSE 0 END + CASE WHEN len(p) > 0 THEN 0.8 ELSE 0 END + CASE WHEN len(h) > 0 THEN 0.7 ELSE 0 END AS DOUBLE), 6) AS relevance FROM g""",
+    "knowledge_fan_in": """WITH c AS (SELECT 'Brand#' || (s_suppkey % 20) AS type, list_sort(list(DISTINCT 'cve' || (s_suppkey % 7))) AS c FROM supplier GROUP BY 1),
+        p AS (SELECT 'Brand#' || (c_custkey % 23) AS type, list_sort(list(DISTINCT 'practice' || (c_custkey % 5))) AS p FROM customer GROUP BY 1),
+        h AS (SELECT 'Brand#' || (o_orderkey % 24) AS type, list_sort(list(DISTINCT 'case' || (o_orderkey % 4))) AS h FROM orders GROUP BY 1),
+        t AS (SELECT q.p_partkey AS id, coalesce(c, []) AS c, coalesce(p, []) AS p, coalesce(h, []) AS h FROM part q LEFT JOIN c ON c.type = q.p_brand LEFT JOIN p ON p.type = q.p_brand LEFT JOIN h ON h.type = q.p_brand),
+        g AS (SELECT *, list_concat(p[1:3], h[1:2]) AS g FROM t)
+        SELECT id, array_to_string(c, ',') AS cves, array_to_string(p, ',') AS practices,
+            CASE WHEN len(g) > 0 THEN array_to_string(g, ',') ELSE 'validate input,apply least privilege,review the code' END AS suggestions,
+            round(CAST(CASE WHEN len(c) > 0 THEN 0.9 ELSE 0 END + CASE WHEN len(p) > 0 THEN 0.8 ELSE 0 END + CASE WHEN len(h) > 0 THEN 0.7 ELSE 0 END AS DOUBLE), 6) AS relevance FROM g""",
     "message_delivery": "WITH a AS (SELECT DISTINCT role AS agent FROM conversations), d AS (SELECT a.agent FROM conversations c JOIN a ON (c.role <> 'user' AND a.agent = 'user') OR (c.role = 'user' AND a.agent <> 'user')) SELECT agent, count(*) AS n FROM d GROUP BY agent",
     "type_weights": _F + ", w AS (SELECT task_id % 10 AS grp, type, CAST(sum(CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END) AS BIGINT) AS weight FROM findings GROUP BY 1, 2) SELECT grp, type, weight, round(weight * 1.0 / sum(weight) OVER (PARTITION BY grp), 6) AS share FROM w",
 }

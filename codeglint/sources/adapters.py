@@ -5,11 +5,13 @@ Each role is a DataFrame, and ``SQL`` has the same rows as common table expressi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import lookup
 
+#: What orders the lines of an order beyond doubt.
+LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
 TYPES = {"R": "sql injection", "A": "xss"}
 SEVERITIES = {1: "critical", 2: "high", 3: "medium", 4: "low"}
 EXTENSIONS = {"en": ".py", "de": ".js", "fr": ".java"}
@@ -68,16 +70,34 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def calls(spark: SparkSession, sf_dir: str, every: int = 60) -> DataFrame:
-    """Distinct directed edges src, dst: successive parts of orders whose key is divisible by `every` (1: all), no self loops.
+def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node, module, pos, part, size: every order is a module of code, every line of it a function."""
+    order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", F.row_number().over(order).alias("pos"))
+    return t.select(
+        (F.col("l_orderkey") * 100 + F.col("pos")).alias("node"), F.col("l_orderkey").alias("module"), F.col("pos").cast("long").alias("pos"),
+        F.col("l_partkey").alias("part"), F.col("l_quantity").cast("long").alias("size"),
+    )
+
 
-    The SQL has the edges of every=60.
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct directed edges src, dst between the functions of a module, of all modules, no self loops.
+
+    A function calls the next one, every third later one, and one in eleven calls the module's first: chains, branches, cycles.
     """
-    from pyspark.sql import Window
+    f = functions(spark, sf_dir)
+    a = f.select("module", F.col("node").alias("src"), F.col("pos").alias("i"), F.col("part").alias("p"))
+    b = f.select("module", F.col("node").alias("dst"), F.col("pos").alias("j"), F.col("part").alias("q"))
+    called = (F.col("j") == F.col("i") + 1) | ((F.col("j") > F.col("i") + 1) & ((F.col("p") + F.col("q")) % 3 == 0))
+    called = called | ((F.col("j") == 1) & (F.col("i") > 1) & (F.col("p") % 11 == 0))
+    return a.join(b, "module").filter(called).select("src", "dst")
+
 
-    t = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % every == 0)
+def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct directed edges src, dst: successive parts of all orders, no self loops; one dense graph."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return t.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")).filter("dst is not null and src <> dst").distinct()
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    return t.filter("dst is not null and src <> dst").distinct()
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +129,12 @@ SQL = {
         CASE event_type WHEN 'signup' THEN 'user_login' WHEN 'view' THEN 'data_access' WHEN 'error' THEN 'error_occurred' WHEN 'click' THEN 'configuration_changed' ELSE 'security_violation' END AS event_type,
         CASE {_K} % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'failure' ELSE 'partial' END AS result,
         CASE {_K} % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' WHEN 2 THEN 'confidential' ELSE 'restricted' END AS security_level FROM events)""",
-    "calls": """calls AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst
-        FROM lineitem WHERE l_orderkey % 60 = 0) e WHERE dst IS NOT NULL AND src <> dst)""",
+    "functions": f"""functions AS (SELECT l_orderkey * 100 + pos AS node, l_orderkey AS module, pos, l_partkey AS part, CAST(l_quantity AS BIGINT) AS size
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS pos FROM lineitem) l)""",
+    "calls": """calls AS (SELECT a.node AS src, b.node AS dst FROM functions a JOIN functions b ON a.module = b.module
+        WHERE b.pos = a.pos + 1 OR (b.pos > a.pos + 1 AND (a.part + b.part) % 3 = 0) OR (b.pos = 1 AND a.pos > 1 AND a.part % 11 = 0))""",
+    "part_calls": """part_calls AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src,
+        lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst FROM lineitem) e WHERE dst IS NOT NULL AND src <> dst)""",
     "source_files": """source_files AS (SELECT doc_id, source || '/' || doc_id || ext AS path, ext AS extension,
         CASE ext WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.java' THEN 'java' ELSE 'sql' END AS language, n_chars AS size, text AS content
         FROM (SELECT *, CASE lang WHEN 'en' THEN '.py' WHEN 'de' THEN '.js' WHEN 'fr' THEN '.java' ELSE '.sql' END AS ext FROM documents) d)""",

@@ -30,8 +30,8 @@ def test_whole_call_graph(spark, sf):
     size = {r.p_partkey: r.p_size for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
     depth = steps_from(edges, [k for k, s in size.items() if s % 6 == 1])
     want = {b: depth.get(b) for _, b in edges if size[b] % 6 == 0}
-    assert {r.node: r.depth for r in graphs.auth_distance_whole(spark, sf).collect()} == want
-    got = {r.node: (r.in_degree, r.out_degree) for r in graphs.degree_centrality_whole(spark, sf).collect()}
+    assert {r.node: r.depth for r in graphs.auth_distance(spark, sf).collect()} == want
+    got = {r.node: (r.in_degree, r.out_degree) for r in graphs.degree_centrality(spark, sf).collect()}
     assert got == {n: (sum(b == n for _, b in edges), sum(a == n for a, _ in edges)) for n in {x for e in edges for x in e}}
 
 
@@ -56,12 +56,40 @@ def test_keywords_of_whole_texts(spark, sf):
             p = last[source]
             want[i] = 1.0 if not k and not p else len(k & p) / len(k | p)
         last[source] = k
-    got = {r.doc_id: (r.jaccard, r.similarity) for r in analysis.keyword_jaccard_whole(spark, sf).collect()}
+    got = {r.doc_id: (r.jaccard, r.similarity) for r in analysis.keyword_jaccard(spark, sf).collect()}
     assert got.keys() == want.keys()
     for i, j in want.items():
         assert got[i][0] == pytest.approx(j, abs=2e-6)
-    first = {r.doc_id: r.jaccard for r in analysis.keyword_jaccard(spark, sf).collect()}
-    assert any(abs(first[i] - want[i]) > 0.01 for i in want)
+
+
+def test_similar_cases_by_all_of_the_similarity(spark, sf):
+    """Tokens, structure, keywords and patterns of each kind of snippet against each case of its type."""
+    from codeglint.functions import rules
+    from codeglint.operators.retrieval import structure_ratio
+
+    def parts(code):
+        plain = re.sub(r"\b\d+\b", "0", re.sub("[\"'].*?[\"']", '""', re.sub(r"\s+", " ", code).strip()))
+        words = set(re.findall(r"\w+", plain.lower()))
+        shapes = {x.rstrip() for x in re.findall(r"\w+\s*\(", plain) + re.findall(r"\w+\s*=", plain)} | set(re.findall(r"if\s*\(.*?\)", plain))
+        return plain, words, words & {*rules.PROGRAMMING_WORDS, *rules.SECURITY_WORDS}, shapes
+
+    def jaccard(x, y):
+        return 1.0 if not x and not y else len(x & y) / len(x | y) if x and y else 0.0
+
+    def similarity(a, b):
+        (p, *x), (q, *y) = parts(a), parts(b)
+        token, semantic, pattern = (jaccard(m, n) for m, n in zip(x, y))
+        return 0.3 * token + 0.25 * structure_ratio(p, q) + 0.25 * semantic + 0.2 * pattern
+
+    want = {}
+    for f in analysis._findings(spark, sf).collect():
+        near = [c for c in analysis.CASES if c[1] == f.type] or [c for c in analysis.CASES if c[1] in f.type or f.type in c[1]]
+        scored = sorted((-round(similarity(f.snippet, c[2]), 6), c[0]) for c in near)
+        for rank, (s, c) in enumerate([x for x in scored if -x[0] >= 0.3], 1):
+            n, most = want.get((c, rank), (0, 0.0))
+            want[c, rank] = (n + 1, max(most, -s))
+    got = {(r.case_id, r.rank): (r.n, r.similarity) for r in analysis.similar_cases(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in want)
 
 
 def tree(spark, nodes):
@@ -95,7 +123,7 @@ def test_audit_follows_imports(spark):
 def test_nearest_of_every_fiftieth_vector(spark, sf):
     rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()}
     got = {}
-    for r in analysis.cosine_topk_whole(spark, sf).orderBy("query_id", "rank").collect():
+    for r in analysis.cosine_topk(spark, sf).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.similarity)
     assert sorted(got) == [i for i in sorted(rows) if i % 50 == 0]
     for i, s in got.items():
@@ -103,7 +131,7 @@ def test_nearest_of_every_fiftieth_vector(spark, sf):
         every = sorted((float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)) for k, v in rows.items()), reverse=True)
         others = sorted((float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)) for k, v in rows.items() if k != i), reverse=True)
         assert s == pytest.approx((every if s[0] > 0.999999 else others)[: len(s)], abs=2e-6)
-    far = {r.query_id: r.similarity for r in analysis.l2_topk_whole(spark, sf).filter("rank = 5").collect()}
+    far = {r.query_id: r.similarity for r in analysis.l2_topk(spark, sf).filter("rank = 5").collect()}
     assert far.keys() == got.keys()
     for i, s in far.items():
         near = sorted((max(0.0, 1 - float(((rows[i] - v) ** 2).sum()) / 100) for v in rows.values()), reverse=True)
