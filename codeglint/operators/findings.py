@@ -59,12 +59,83 @@ def similar_pairs(findings: DataFrame, block: Sequence[str], threshold: float) -
     return pairs.withColumn("similarity", F.round(similarity, 9)).filter(F.col("similarity") >= threshold).withColumnRenamed("a_type", "type")
 
 
-def greedy_clusters(findings: DataFrame, block: Sequence[str], threshold: float = 0.8) -> DataFrame:
+#: What two findings of one class have in common.
+CLASS = ("type", "file_path", "start_line", "severity", "description", "snippet")
+
+
+def file_stem(path: Column) -> Column:
+    """Name of a file up to its first dot.  Findings of files of different stems reach a similarity of 0.75 at most."""
+    return F.element_at(F.split(F.element_at(F.split(path, "/"), -1), r"\."), 1)
+
+
+def with_class(findings: DataFrame, threshold: float) -> DataFrame:
+    """findings with class: equal for findings that agree in all that similarity sees, if it finds them alike."""
+    w = rules.SIMILARITY_WEIGHTS
+    own = w["type"] + w["location"] + w["severity"] + F.when(F.size(S.word_set(F.col("description"))) > 0, w["description"]).otherwise(0.0)
+    own = own + F.when(F.size(S.code_tokens(F.col("snippet"))) > 0, w["code_pattern"]).otherwise(0.0)
+    return findings.withColumn("class", F.when(F.round(own, 9) >= threshold, F.md5(F.to_json(F.struct(*CLASS)))).otherwise(F.col("id")))
+
+
+def class_heads(findings: DataFrame) -> DataFrame:
+    """A row for each class: CLASS, the id of its most confident finding (then the least id), confidence, n."""
+    head = F.min_by("id", F.struct(-F.col("confidence"), F.col("id"))).alias("id")
+    return findings.groupBy("class", *CLASS).agg(head, F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
+
+
+def similar_classes(findings: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(a, b, n_a, n_b, type, similarity) of classes alike (type: the first of their types), each pair once and each class with itself if it has several findings.
+
+    Findings meet by the stem of their file, which alike ones share from a threshold over 0.75 on.  What depends on texts is
+    compared once for each pair of profiles (type, file, description, snippet); classes of profiles that can reach the
+    threshold are then compared by line and severity alone.  Findings are grouped before any pair is made.
+    """
+    if threshold <= 0.75:
+        raise ValueError("below 0.75 findings of unlike files may be similar")
+    w = rules.SIMILARITY_WEIGHTS
+    heads = class_heads(with_class(findings, threshold)).withColumn("profile", F.md5(F.to_json(F.struct("type", "file_path", "description", "snippet"))))
+    p = heads.select("profile", "type", "file_path", F.col("description"), F.col("snippet")).distinct()
+    p = p.select("profile", "type", "file_path", file_stem(F.col("file_path")).alias("stem"), S.word_set(F.col("description")).alias("words"), S.code_tokens(F.col("snippet")).alias("tokens"))
+    both = p.select("stem", *[F.col(c).alias(f"a_{c}") for c in p.columns if c != "stem"]).join(p.select("stem", *[F.col(c).alias(f"b_{c}") for c in p.columns if c != "stem"]), "stem")
+    texts = (
+        S.type_similarity(F.col("a_type"), F.col("b_type")) * w["type"] + S.jaccard(F.col("a_words"), F.col("b_words")) * w["description"]
+        + S.jaccard(F.col("a_tokens"), F.col("b_tokens")) * w["code_pattern"]
+    )
+    both = both.withColumn("texts", texts).filter(F.round(F.col("texts") + w["location"] + w["severity"], 9) >= threshold)
+    both = both.select("a_profile", "b_profile", "a_file_path", "b_file_path", "texts", F.least("a_type", "b_type").alias("type"))
+    side = lambda x: heads.select(*[F.col(c).alias(f"{x}_{c}") for c in ("profile", "class", "start_line", "severity", "n")])
+    pairs = both.join(side("a"), "a_profile").join(side("b"), "b_profile").filter((F.col("a_class") < F.col("b_class")) | ((F.col("a_class") == F.col("b_class")) & (F.col("a_n") > 1)))
+    place = S.location_similarity(F.col("a_file_path"), F.col("a_start_line"), F.col("b_file_path"), F.col("b_start_line"))
+    score = S.clamp(F.col("texts") + place * w["location"] + S.severity_similarity(F.col("a_severity"), F.col("b_severity")) * w["severity"])
+    pairs = pairs.withColumn("similarity", F.round(score, 9)).filter(F.col("similarity") >= threshold)
+    return pairs.select(F.col("a_class").alias("a"), F.col("b_class").alias("b"), F.col("a_n").alias("n_a"), F.col("b_n").alias("n_b"), "type", "similarity")
+
+
+def finding_links(findings: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(id, class, n_links): one row a finding, with how many others are similar to it."""
+    pairs = similar_classes(findings, threshold)
+    same = F.col("a") == F.col("b")
+    ends = pairs.select(F.col("a").alias("class"), F.when(same, F.col("n_b") - 1).otherwise(F.col("n_b")).alias("n")).union(pairs.filter(~same).select("b", "n_a"))
+    links = ends.groupBy("class").agg(F.sum("n").alias("n_links"))
+    return with_class(findings, threshold).select("id", "class").join(links, "class", "left").select("id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def greedy_clusters(findings: DataFrame, block: Sequence[str] = (), threshold: float = 0.8) -> DataFrame:
     """id and cluster_id: a finding joins the first representative it is similar to, else becomes one.
 
-    Representatives are taken by falling confidence, then id, within a block.  Blocks hold what can be similar at all; each is
-    folded in one task, so choose keys whose blocks are bounded (a file, a batch).
+    Representatives are taken by falling confidence, then id, within a block: that of the file's stem unless named.  Findings of
+    a class join the same representative, so only a class's most confident one is folded; a task holds the classes of a block.
     """
+    classed = with_class(findings, threshold)
+    if not block:
+        block, classed = ["_stem"], classed.withColumn("_stem", file_stem(F.col("file_path")))
+    head = F.min_by(F.struct("id", "confidence"), F.struct(-F.col("confidence"), F.col("id"))).alias("h")
+    heads = classed.groupBy(*block, "class", *CLASS).agg(head).select(*block, "class", *CLASS, "h.id", "h.confidence")
+    folded = _greedy(heads, block, threshold).select(F.col("id").alias("head"), "cluster_id")
+    named = heads.select(*block, "class", F.col("id").alias("head")).join(folded, "head").select(*block, "class", "cluster_id")
+    return classed.select("id", *block, "class").join(named, [*block, "class"]).select("id", "cluster_id")
+
+
+def _greedy(findings: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
     import pandas as pd
 
     weights, related = rules.SIMILARITY_WEIGHTS, rules.RELATED_TYPES

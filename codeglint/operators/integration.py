@@ -14,13 +14,18 @@ from .graph import degrees
 LEAST_CONFIDENCE = 0.3
 
 
-def integrated(findings: DataFrame, block: list[str], threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def clustered(findings: DataFrame, threshold: float = 0.8, block: list[str] = ()) -> DataFrame:
+    """findings of many tasks with cluster_id: weak ones go, similar ones share a cluster."""
+    f = findings.withColumn("confidence", F.coalesce("confidence", F.lit(0.5))).filter(F.col("confidence") >= LEAST_CONFIDENCE)
+    return f.join(O.greedy_clusters(f, block, threshold), "id")
+
+
+def integrated(findings: DataFrame, block: list[str] = (), threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(results, metrics) of findings of many tasks: weak ones go, similar ones are clustered, each cluster gives one.
 
     results: the best member with the confidence that consensus leaves it, cluster size and number of tasks.
     """
-    f = findings.withColumn("confidence", F.coalesce("confidence", F.lit(0.5))).filter(F.col("confidence") >= LEAST_CONFIDENCE)
-    c = f.join(O.greedy_clusters(f, block, threshold), "id")
+    c = clustered(findings, threshold, block)
     outcome = O.resolved_clusters(c, "cluster_id")
     best = c.select(F.col("id").alias("best_id"), "type", "file_path", "start_line", "severity").join(outcome, "best_id")
     results = best.select(F.col("best_id").alias("id"), "type", "file_path", "start_line", "severity", F.col("consensus_confidence").alias("confidence"), "n", "strength")

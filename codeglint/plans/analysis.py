@@ -251,7 +251,7 @@ def _confidence_sql() -> str:
         y AS (SELECT type, severity, round(({total}) / {sum(w[n] for n in factors)}, 6) AS score FROM x) SELECT type, severity, count(*) AS n, round(avg(score), 5) AS mean, round(min(score), 5) AS low, round(max(score), 5) AS high FROM y GROUP BY 1, 2"""
 
 
-_SIMILAR = """, q AS (SELECT id, type, list_distinct(regexp_extract_all(lower(snippet), '[\\p{L}\\p{N}_]+')) AS w FROM f WHERE start_line % 10 = 1), c(case_id, c_type, code) AS (VALUES ('c1', 'sql injection', 'cursor.execute(select from where)'), ('c2', 'xss', 'document write script'), ('c3', 'injection', 'os.system(cmd)'), ('c4', 'sql injection', 'execute select or')),
+_SIMILAR = """, q AS (SELECT id, type, list_distinct(regexp_extract_all(lower(snippet), '[\\p{L}\\p{N}_]+')) AS w FROM f), c(case_id, c_type, code) AS (VALUES ('c1', 'sql injection', 'cursor.execute(select from where)'), ('c2', 'xss', 'document write script'), ('c3', 'injection', 'os.system(cmd)'), ('c4', 'sql injection', 'execute select or')),
     d AS (SELECT *, list_distinct(regexp_extract_all(lower(code), '[\\p{L}\\p{N}_]+')) AS v FROM c), j AS (SELECT id, case_id, round(len(list_intersect(w, v)) * 1.0 / len(list_distinct(list_concat(w, v))), 6) AS s FROM q JOIN d ON type = c_type OR (type NOT IN (SELECT c_type FROM c) AND (contains(type, c_type) OR contains(c_type, type)))),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, case_id) AS rank FROM j WHERE s >= 0.3) SELECT case_id, rank, count(*) AS n, CAST(max(s) AS DOUBLE) AS similarity FROM r WHERE rank <= 10 GROUP BY 1, 2"""
 

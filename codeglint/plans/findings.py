@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import scoring as S
 from ..operators import findings as O
+from ..operators import integration as I
 from ..sources import adapters as A
 
 #: Words that stand for findings in prose.
@@ -71,20 +72,48 @@ def usage_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return r
 
 
+#: Code of findings by their line.
+SNIPPETS = {0: "exec select request", 1: "select update", 2: "system(cmd)"}
+
+
+def _described(spark, sf):
+    f = A.findings(spark, sf).dropDuplicates(["id"])
+    return f.withColumn("description", F.concat_ws(" ", "type", F.lit("in"), "file_path")).withColumn("snippet", S.lookup(F.col("start_line") % 4, SNIPPETS, "x = 1"))
+
+
 def finding_similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    f = A.findings(spark, sf).dropDuplicates(["id"]).filter(F.col("confidence") >= 0.3)
-    s = F.col
-    prepared = f.withColumn("description", F.concat_ws(" ", "type", F.lit("in"), "file_path")).withColumn("snippet", F.lit("exec select request"))
-    pairs = O.similar_pairs(prepared, ["batch"], 0.8)
-    return pairs.groupBy("type").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("similarity"), 6).alias("mean_similarity"), F.round(F.max(s("similarity")), 6).alias("max_similarity"))
+    """Similar pairs among all findings by type: pairs of classes, and of findings."""
+    p = O.similar_classes(_described(spark, sf).filter(F.col("confidence") >= 0.3), 0.8)
+    n = F.when(F.col("a") == F.col("b"), F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b")).cast("long")
+    mean, most = F.round(F.avg("similarity"), 6), F.round(F.max("similarity"), 6)
+    return p.groupBy("type").agg(F.count(F.lit(1)).alias("n_classes"), F.sum(n).alias("n_pairs"), mean.alias("mean_similarity"), most.alias("max_similarity"))
+
+
+def finding_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Every finding with how many others are similar to it."""
+    return O.finding_links(_described(spark, sf).filter(F.col("confidence") >= 0.3), 0.8).select("id", "n_links")
+
+
+def _clusters(spark, sf):
+    return I.clustered(_described(spark, sf))
+
+
+def finding_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every finding with its greedy cluster."""
+    return _clusters(spark, sf).select("id", "cluster_id")
+
+
+def integrated_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """One finding for each cluster, with the confidence that consensus leaves it."""
+    return I.integrated(_described(spark, sf))[0].select("id", "type", "file_path", "start_line", "severity", "confidence", "n", "strength")
 
 
 def conflict_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    return O.resolved_clusters(A.findings(spark, sf), "batch")
+    return O.resolved_clusters(_clusters(spark, sf), "cluster_id")
 
 
 def integration_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return O.integration_metrics(A.findings(spark, sf), "batch")
+    return O.integration_metrics(_clusters(spark, sf), "cluster_id")
 
 
 def severity_bands(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,12 +164,49 @@ QUERIES = {
     "scan_findings_by_type": scan_findings_by_type, "cvss_scores": cvss_scores, "cvss_all_metrics": cvss_all_metrics,
     "severity_grouping_sets": severity_grouping_sets, "file_severity_pivot": file_severity_pivot, "top_types_other": top_types_other,
     "risk_score": risk_score, "usage_rollup": usage_rollup, "finding_similarity_pairs": finding_similarity_pairs,
+    "finding_links": finding_links, "finding_clusters": finding_clusters, "integrated_findings": integrated_findings,
     "conflict_resolution": conflict_resolution, "integration_metrics": integration_metrics, "severity_bands": severity_bands,
     "audit_risk": audit_risk, "security_events": security_events, "model_disagreement": model_disagreement,
     "validation_statistics": validation_statistics, "top_findings_per_file": top_findings_per_file,
 } | {f"consensus_{n}": _consensus(n) for n in O.CONSENSUS}
 
 _W = A.with_roles
+_DESCRIBED = """f AS (SELECT DISTINCT id, file_path, start_line, type, severity, confidence, task_id, start_line % 4 AS kind, md5(concat_ws('|', type, file_path, start_line, severity)) AS class,
+        CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS rank FROM findings WHERE confidence >= 0.3)"""
+
+
+def _alike(a: dict, b: dict) -> str:
+    """Similarity of two findings of one file: what their types, lines, severities and codes (by kind) say."""
+    injections = f"({a['type']} = 'sql injection' AND {b['type']} = 'command injection') OR ({b['type']} = 'sql injection' AND {a['type']} = 'command injection')"
+    words = f"CASE WHEN {a['type']} = {b['type']} THEN 1.0 WHEN {injections} THEN 3.0 / 5 WHEN {a['type']} = 'xss' OR {b['type']} = 'xss' THEN 2.0 / 5 ELSE 0.0 END"
+    gap = f"abs({a['line']} - {b['line']})"
+    place = f"CASE WHEN {gap} = 0 THEN 1.0 WHEN {gap} <= 5 THEN 0.8 WHEN {gap} <= 20 THEN 0.6 ELSE 0.4 END"
+    code = f"CASE WHEN {a['kind']} = 3 OR {b['kind']} = 3 THEN 0.0 WHEN {a['kind']} = {b['kind']} THEN 1.0 WHEN {a['kind']} + {b['kind']} = 1 THEN 0.25 ELSE 0.0 END"
+    kinds = f"CASE WHEN {a['type']} = {b['type']} THEN 1.0 WHEN {injections} THEN 0.7 ELSE 0.0 END"
+    return f"round(CAST(0.3 * {kinds} + 0.25 * {place} + 0.2 * ({words}) + 0.15 * {code} + 0.1 * (1.0 - 0.25 * abs({a['rank']} - {b['rank']})) AS DOUBLE), 9)"
+
+
+def _named(prefix: str) -> dict:
+    return {"type": f"{prefix}.type", "line": f"{prefix}.start_line", "kind": f"{prefix}.kind", "rank": f"{prefix}.rank"}
+
+
+_PAIRS = _W("findings") + f""", {_DESCRIBED}, h AS (SELECT class, type, file_path, start_line, severity, kind, rank, count(*) AS n FROM f GROUP BY ALL),
+    q AS (SELECT a.class AS a, b.class AS b, a.n AS n_a, b.n AS n_b, least(a.type, b.type) AS type, {_alike(_named("a"), _named("b"))} AS s FROM h a JOIN h b ON a.file_path = b.file_path AND (a.class < b.class OR (a.class = b.class AND a.n > 1))),
+    p AS (SELECT * FROM q WHERE s >= 0.8)"""
+_REP = "{'id': i.id, 'type': i.type, 'start_line': i.start_line, 'kind': i.kind, 'rank': i.rank}"
+_CLUSTERS = f"""WITH RECURSIVE {A.SQL["findings"]}, {_DESCRIBED},
+    h AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY confidence DESC, id) AS k FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY confidence DESC, id) AS first FROM f) x WHERE first = 1),
+    r(file_path, k, reps, class, cluster_id) AS (SELECT i.file_path, i.k, [{_REP}], i.class, i.id FROM h i WHERE i.k = 1 UNION ALL
+        SELECT file_path, k, CASE WHEN hit IS NULL THEN list_append(reps, rep) ELSE reps END, class, coalesce(hit, id)
+        FROM (SELECT i.file_path, i.k, r.reps, i.class, i.id, {_REP} AS rep, (list_filter(r.reps, lambda x: {_alike(_named("x"), _named("i"))} >= 0.8))[1].id AS hit
+            FROM r JOIN h i ON i.file_path = r.file_path AND i.k = r.k + 1) y),
+    g AS (SELECT f.*, r.cluster_id FROM f JOIN r ON r.class = f.class)"""
+_RESOLVED = """, v AS (SELECT cluster_id, type, count(*) AS votes, min(id) AS first_id FROM g GROUP BY 1, 2),
+    w AS (SELECT cluster_id, type AS majority_type FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY votes DESC, first_id) AS r FROM v) x WHERE r = 1),
+    c AS (SELECT cluster_id, count(*) AS n, max(confidence) AS high, round(avg(confidence), 6) AS mean, round(count(DISTINCT task_id) * 1.0 / count(*), 6) AS strength FROM g GROUP BY 1),
+    b AS (SELECT cluster_id, id AS best_id FROM (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence DESC, id) AS r FROM g) x WHERE r = 1),
+    o AS (SELECT c.cluster_id, n, best_id, majority_type, high AS highest, mean AS average, strength, round(CASE WHEN strength >= 0.6 THEN high ELSE high * strength END, 6) AS consensus_confidence
+        FROM c JOIN w USING (cluster_id) JOIN b USING (cluster_id))"""
 _CVSS_CASE = "\n".join(f"WHEN contains(lower(type), '{k}') THEN '{v}'" for k, v in rules.CVSS_TEMPLATES)
 _AUDIT_RISK = """round(least(CAST(1.0 AS DOUBLE), CAST(CASE event_type WHEN 'security_violation' THEN 0.9 WHEN 'user_login' THEN 0.3 WHEN 'user_logout' THEN 0.1 WHEN 'configuration_changed' THEN 0.6 WHEN 'data_access' THEN 0.4 WHEN 'error_occurred' THEN 0.5 ELSE 0.3 END AS DOUBLE)
     * CASE result WHEN 'failure' THEN 1.5 WHEN 'partial' THEN 1.2 ELSE 1.0 END * CASE security_level WHEN 'public' THEN 0.5 WHEN 'confidential' THEN 1.5 WHEN 'restricted' THEN 2.0 ELSE 1.0 END), 6)"""
@@ -183,19 +249,14 @@ SQL = {
     "risk_score": _W("findings") + """ SELECT batch, round(least(100.0, 2 * sum(CASE severity WHEN 'critical' THEN CAST(10.0 AS DOUBLE) WHEN 'high' THEN 5.0 WHEN 'medium' THEN 2.0 WHEN 'low' THEN 1.0 ELSE 0.1 END)), 6) AS risk_score, count(*) AS n FROM findings GROUP BY batch""",
     "usage_rollup": _W("metrics") + """ SELECT layer, operation, count(*) AS n, round(sum(value), 2) AS total, round(avg(CASE WHEN failed THEN 0.0 ELSE 1.0 END), 6) AS success_rate, count(DISTINCT operation) AS n_operations,
         CAST(grouping_id(layer, operation) AS BIGINT) AS level FROM metrics GROUP BY ROLLUP (layer, operation)""",
-    "finding_similarity_pairs": _W("findings") + """, f AS (SELECT DISTINCT * FROM findings WHERE confidence >= 0.3), p AS (SELECT a.type, 0.3 * CASE WHEN a.type = b.type THEN 1.0 WHEN (a.type IN ('sql injection') AND b.type = 'command injection') OR (b.type = 'sql injection' AND a.type = 'command injection') THEN 0.7 ELSE 0.0 END
-        + 0.25 * CASE WHEN a.file_path = b.file_path THEN CASE WHEN abs(a.start_line - b.start_line) = 0 THEN 1.0 WHEN abs(a.start_line - b.start_line) <= 5 THEN 0.8 WHEN abs(a.start_line - b.start_line) <= 20 THEN 0.6 ELSE 0.4 END ELSE 0.0 END
-        + 0.2 * (len(list_intersect(a.w, b.w)) * 1.0 / len(list_distinct(list_concat(a.w, b.w)))) + 0.15
-        + 0.1 * (1.0 - 0.25 * abs(a.rank - b.rank)) AS s
-        FROM (SELECT *, list_distinct(string_split(type || ' in ' || file_path, ' ')) AS w, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS rank FROM f) a
-        JOIN (SELECT *, list_distinct(string_split(type || ' in ' || file_path, ' ')) AS w, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 ELSE 1 END AS rank FROM f) b ON a.batch = b.batch AND a.id < b.id)
-        SELECT type, count(*) AS n_pairs, round(avg(s), 6) AS mean_similarity, round(max(s), 6) AS max_similarity FROM p WHERE round(s, 9) >= 0.8 GROUP BY type""",
-    "conflict_resolution": _W("findings") + """, v AS (SELECT batch, type, count(*) AS votes, min(id) AS first_id FROM findings GROUP BY batch, type),
-        w AS (SELECT batch, type AS majority_type FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY votes DESC, first_id) AS r FROM v) x WHERE r = 1),
-        c AS (SELECT batch, count(*) AS n, max(confidence) AS high, round(avg(confidence), 6) AS mean, round(count(DISTINCT task_id) * 1.0 / count(*), 6) AS strength FROM findings GROUP BY batch),
-        b AS (SELECT batch, id AS best_id FROM (SELECT batch, id, row_number() OVER (PARTITION BY batch ORDER BY confidence DESC, id) AS r FROM findings) x WHERE r = 1)
-        SELECT c.batch, n, best_id, majority_type, high AS highest, mean AS average, strength, round(CASE WHEN strength >= 0.6 THEN high ELSE high * strength END, 6) AS consensus_confidence FROM c JOIN w USING (batch) JOIN b USING (batch)""",
-    "integration_metrics": _W("findings") + """, c AS (SELECT batch, count(*) AS n, count(DISTINCT task_id) * 1.0 / count(*) AS strength, max(confidence) AS confidence FROM findings GROUP BY batch)
+    "finding_similarity_pairs": _PAIRS + """ SELECT type, count(*) AS n_classes, CAST(sum(CASE WHEN a = b THEN n_a * (n_a - 1) / 2 ELSE n_a * n_b END) AS BIGINT) AS n_pairs,
+        round(avg(s), 6) AS mean_similarity, round(max(s), 6) AS max_similarity FROM p GROUP BY type""",
+    "finding_links": _PAIRS + """, e AS (SELECT a AS c, CASE WHEN a = b THEN n_b - 1 ELSE n_b END AS n FROM p UNION ALL SELECT b, n_a FROM p WHERE a <> b), l AS (SELECT c, CAST(sum(n) AS BIGINT) AS n_links FROM e GROUP BY c)
+        SELECT id, coalesce(n_links, 0) AS n_links FROM f LEFT JOIN l ON l.c = f.class""",
+    "finding_clusters": _CLUSTERS + " SELECT id, cluster_id FROM g",
+    "conflict_resolution": _CLUSTERS + _RESOLVED + " SELECT * FROM o",
+    "integrated_findings": _CLUSTERS + _RESOLVED + " SELECT g.id, type, file_path, start_line, severity, o.consensus_confidence AS confidence, o.n, o.strength FROM o JOIN g ON g.id = o.best_id",
+    "integration_metrics": _CLUSTERS + """, c AS (SELECT cluster_id, count(*) AS n, count(DISTINCT task_id) * 1.0 / count(*) AS strength, max(confidence) AS confidence FROM g GROUP BY cluster_id)
         SELECT CAST(sum(n) AS BIGINT) AS n_findings, count(*) AS n_clusters, round(1 - count(*) * 1.0 / sum(n), 6) AS dedup_rate, round(avg(n), 6) AS mean_size, max(n) AS largest, count(*) FILTER (n > 1) AS multi,
         round(avg(strength), 6) AS mean_strength, round(avg(confidence), 6) AS mean_confidence, round(coalesce(stddev_samp(confidence), 0), 6) AS stdev_confidence, min(confidence) AS low, max(confidence) AS high FROM c""",
     "severity_bands": _W("findings") + """ SELECT severity, CASE WHEN confidence >= 0.8 THEN 'critical' WHEN confidence >= 0.6 THEN 'high' WHEN confidence >= 0.4 THEN 'medium' ELSE 'low' END AS band,
