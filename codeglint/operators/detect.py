@@ -44,22 +44,45 @@ def cross_file_findings(nodes: DataFrame, edges: DataFrame, max_depth: int | Non
     or not, count as joined if the sink's file imports the input's module and mentions a call of it; their depth is null.
     max_depth bounds the calls of a path; None takes all.
     """
-    out = None
     inputs = matching(nodes, rules.INPUT_PATTERNS, scope).select(F.col("node").alias("src"), F.col("path").alias("source_file"))
+    # one search for all detectors: each has its own copy of the graph without what protects, and the last copy is whole
+    kinds = list(rules.CROSS_FILE)
+    graphs = [_unprotected(nodes, edges.select("src", "dst"), rules.CROSS_FILE[k]["protection"]) for k in kinds]
+    found = stored(_tagged_distances(graphs, inputs, max_depth, first=0), "unprotected")
+    any_path = _tagged_distances([edges.select("src", "dst")], inputs, None, first=len(kinds))
     imported = import_related(nodes).join(inputs.select("src"), "src", "left_semi")
-    imported = stored(imported.join(distances(edges, None, inputs).select("src", "dst"), ["src", "dst"], "left_anti"), "imported")
-    for kind, r in rules.CROSS_FILE.items():
-        safe = nodes.filter(contains_any(F.lower("code"), r["protection"])).select("node")
-        open_edges = edges.select("src", "dst").join(safe.withColumnRenamed("node", "src"), "src", "left_anti").join(safe.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    imported = stored(imported.join(any_path.select("src", "dst"), ["src", "dst"], "left_anti"), "imported")
+    out = None
+    for i, kind in enumerate(kinds):
+        r = rules.CROSS_FILE[kind]
         sinks = matching(nodes, r["sink"], scope).select(F.col("node").alias("dst"), F.col("path").alias("target_file"))
-        open_imports = imported.join(safe.withColumnRenamed("node", "src"), "src", "left_anti").join(safe.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        joined = distances(open_edges.select("src", "dst"), max_depth, inputs).unionByName(open_imports.select("src", "dst", F.lit(None).cast("int").alias("depth")))
+        open_imports = _unprotected(nodes, imported, r["protection"]).select("src", "dst", F.lit(None).cast("int").alias("depth"))
+        joined = found.filter(F.col("graph") == i).select("src", "dst", "depth").unionByName(open_imports)
         pairs = joined.join(inputs, "src").join(sinks, "dst").filter("source_file <> target_file")
-        found = pairs.select(F.lit(kind).alias("type"), F.lit(r["severity"]).alias("severity"), "source_file", "target_file", F.col("src").alias("source"), F.col("dst").alias("target"), "depth", F.lit(r["confidence"]).alias("confidence"), F.lit(r["cwe"]).alias("cwe"), F.lit(r["owasp"]).alias("owasp"))
-        out = found if out is None else out.unionByName(found)
+        said = [F.lit(r[k]).alias(k) for k in ("confidence", "cwe", "owasp")]
+        one = pairs.select(F.lit(kind).alias("type"), F.lit(r["severity"]).alias("severity"), "source_file", "target_file", F.col("src").alias("source"), F.col("dst").alias("target"), "depth", *said)
+        out = one if out is None else out.unionByName(one)
     return out.unionByName(unauthorised(nodes, edges, max_depth, scope))
 
 
+def _unprotected(nodes: DataFrame, edges: DataFrame, words) -> DataFrame:
+    """Edges neither end of which has a protecting word in its code."""
+    safe = nodes.filter(contains_any(F.lower("code"), words)).select("node")
+    return edges.join(safe.withColumnRenamed("node", "src"), "src", "left_anti").join(safe.withColumnRenamed("node", "dst"), "dst", "left_anti")
+
+
+def _tagged_distances(graphs: list[DataFrame], starts: DataFrame, max_depth: int | None, first: int) -> DataFrame:
+    """(graph, src, dst, depth): distances() of several edge tables at once, numbered from first."""
+    tag = lambda c, i: F.concat(F.lit(f"{i}|"), F.col(c)).alias(c)
+    edges = ends = None
+    for i, g in enumerate(graphs, first):
+        e, s = g.select(tag("src", i), tag("dst", i)), starts.select(tag("src", i))
+        edges, ends = (e, s) if edges is None else (edges.unionByName(e), ends.unionByName(s))
+    d = distances(edges, max_depth, ends)
+    plain = lambda c: F.substr(F.col(c), F.locate("|", F.col(c)) + 1).alias(c)
+    return d.select(F.substring_index("src", "|", 1).cast("int").alias("graph"), plain("src"), plain("dst"), "depth")
+
+
 def unauthorised(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None, scope: str = "unit") -> DataFrame:
     """Sensitive nodes that no authenticating node reaches, by calls or by import_related, as findings."""
     sensitive = matching(nodes, rules.SENSITIVE_PATTERNS, scope).select("node", "path")
@@ -86,5 +109,5 @@ def import_related(nodes: DataFrame) -> DataFrame:
 
 def audit(files: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Findings of a tree of files: units, calls, cross-file paths."""
-    nodes = entities(files)
-    return cross_file_findings(nodes, call_edges(files), max_depth)
+    nodes, edges = stored(entities(files), "entities"), stored(call_edges(files), "calls")
+    return cross_file_findings(nodes, edges, max_depth)

@@ -11,9 +11,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 UNIT = "id string, path string, name string, type string, start_line int, end_line int, parent_id string, params array<string>, returns string, visibility string, is_async boolean, is_static boolean, complexity int"
 CALL = "path string, caller string, callee string, type string, confidence double, line int, n_args int, has_kwargs boolean"
 FLOW = "path string, scope string, src string, dst string, line int, kind string, sanitized boolean"
@@ -315,15 +317,25 @@ def call_edges(files: DataFrame) -> DataFrame:
     """(src, dst, type, line): calls between units named path::unit, one edge a pair.
 
     A callee resolves to its own file first, then to the first file by path that has such a unit; others stay as they are named.
+    Units are reduced to one for each name before calls meet them, so a name that many files have multiplies nothing.
     """
     made = calls(files).filter("caller is not null")
-    known = code_units(files).filter(F.col("type").isin("function", "method")).select(F.col("path").alias("u_path"), F.col("name").alias("u_name"), F.element_at(F.split("name", r"\."), -1).alias("short"))
-    wanted = made.withColumn("short", F.element_at(F.split("callee", r"\."), -1)).withColumn("call", F.monotonically_increasing_id())
-    joined = wanted.join(known, "short", "left")
-    best = F.row_number().over(Window.partitionBy("call").orderBy(F.desc(F.col("u_path") == F.col("path")), F.desc(F.col("u_name") == F.col("callee")), "u_path", "u_name"))
-    first = joined.withColumn("r", best).filter("r = 1")
+    units = code_units(files).filter(F.col("type").isin("function", "method"))
+    known = stored(units.select(F.col("path").alias("u_path"), F.col("name").alias("u_name"), F.element_at(F.split("name", r"\."), -1).alias("short")), "units")
+
+    # the least by path and name: of a file's units of a full name, of a short one, then of all files
+    def first(*keys: str) -> DataFrame:
+        return known.groupBy(*keys).agg(F.min(F.struct("u_path", "u_name")).alias("u"))
+
+    wanted = made.withColumn("short", F.element_at(F.split("callee", r"\."), -1))
+    own_full = first("u_path", "u_name").select(F.col("u_path").alias("path"), F.col("u_name").alias("callee"), F.col("u").alias("u1"))
+    own = first("u_path", "short").select(F.col("u_path").alias("path"), "short", F.col("u").alias("u2"))
+    full = first("u_name").select(F.col("u_name").alias("callee"), F.col("u").alias("u3"))
+    any_of = first("short").select("short", F.col("u").alias("u4"))
+    found = wanted.join(own_full, ["path", "callee"], "left").join(own, ["path", "short"], "left").join(full, "callee", "left").join(any_of, "short", "left")
+    resolved = found.withColumn("u", F.coalesce("u1", "u2", "u3", "u4")).withColumns({"u_path": F.col("u.u_path"), "u_name": F.col("u.u_name")})
     dst = F.coalesce(F.concat_ws("::", F.col("u_path"), F.when(F.col("u_path").isNotNull(), F.col("u_name"))), F.lit(""))
-    out = first.select(F.concat_ws("::", "path", "caller").alias("src"), F.when(F.col("u_path").isNull(), F.col("callee")).otherwise(dst).alias("dst"), F.when(F.col("u_path").isNotNull() & (F.concat_ws("::", "path", "caller") == dst), "recursive").otherwise(F.col("type")).alias("type"), "line", "confidence")
+    out = resolved.select(F.concat_ws("::", "path", "caller").alias("src"), F.when(F.col("u_path").isNull(), F.col("callee")).otherwise(dst).alias("dst"), F.when(F.col("u_path").isNotNull() & (F.concat_ws("::", "path", "caller") == dst), "recursive").otherwise(F.col("type")).alias("type"), "line", "confidence")
     return out.groupBy("src", "dst").agg(F.max_by(F.struct("type", "line", "confidence"), "line").alias("e")).select("src", "dst", "e.*")
 
 

@@ -8,36 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..operators import findings as O
 from ..operators import knowledge as N
-from ..operators import parsers as P
 from ..operators import retrieval as R
 from ..operators import telemetry as T
 from ..sources import adapters as A
 
-#: A small tree of code as rows.
-CORPUS = (
-    ("app.py", "import db\ndef handler(request):\n    q = request.args\n    return db.run(q)\n", "python"), ("db.py", "def run(sql):\n    return cursor.execute(sql)\n", "python"),
-    ("cli.py", "import os\ndef main():\n    os.system(argv[1])\n", "python"), ("util.js", "function load(a) {\n  return a;\n}\n", "javascript"), ("A.java", "public class A {\n  public int go(int x) {\n    return x;\n  }\n}\n", "java"),
-)
-
-
-def _corpus(spark):
-    return spark.createDataFrame(CORPUS, "path string, content string, language string")
-
-
-def code_units(spark: SparkSession, sf: str) -> DataFrame:
-    return P.code_units(_corpus(spark)).select("path", "type", "name", "start_line", "end_line")
-
-
-def code_call_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return P.call_edges(_corpus(spark)).select("src", "dst", "type")
-
-
-def cross_file_findings(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators import detect
-
-    return detect.audit(_corpus(spark)).select("type", "severity", "source", "target", "confidence", "cwe")
-
-
 def remediations(spark: SparkSession, sf: str) -> DataFrame:
     return A.findings(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("n")).select("type", "n", N.remediation(F.col("type")).alias("fix"))
 
@@ -101,11 +75,6 @@ def paragraph_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return N.paragraph_chunks(d, "doc_id", "text", 120, 30).select("doc_id", "pos", F.length("chunk").cast("long").alias("size"))
 
 
-def pattern_relations(spark: SparkSession, sf: str) -> DataFrame:
-    w = _corpus(spark).select(F.col("path").alias("id"), F.col("content").alias("text"))
-    return N.relations(w)
-
-
 def type_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted severities by type and task group, and the share of each type within its group."""
     f = A.findings(spark, sf).groupBy((F.col("task_id") % 10).alias("grp"), "type").agg(F.sum(S.severity_rank(F.col("severity"))).cast("long").alias("weight"))
@@ -114,14 +83,11 @@ def type_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (code_units, code_call_edges, cross_file_findings, remediations, finding_summary, score_changes, alert_summary, error_statistics, deduplicated_knowledge, knowledge_fan_in, message_delivery, paragraph_chunks, pattern_relations, type_weights)
+    for f in (remediations, finding_summary, score_changes, alert_summary, error_statistics, deduplicated_knowledge, knowledge_fan_in, message_delivery, paragraph_chunks, type_weights)
 }
 
 _F = A.with_roles("findings")
 SQL = {
-    "code_units": "SELECT * FROM (VALUES ('app.py', 'file', 'app.py', 1, 5), ('app.py', 'function', 'handler', 2, 4), ('db.py', 'file', 'db.py', 1, 3), ('db.py', 'function', 'run', 1, 2), ('cli.py', 'file', 'cli.py', 1, 4), ('cli.py', 'function', 'main', 2, 3), ('util.js', 'file', 'util.js', 1, 4), ('util.js', 'function', 'load', 1, 3), ('A.java', 'file', 'A.java', 1, 6), ('A.java', 'class', 'A', 1, 5), ('A.java', 'method', 'A.go', 2, 4)) u(path, type, name, start_line, end_line)",
-    "code_call_edges": "SELECT * FROM (VALUES ('app.py::handler', 'db.py::run', 'indirect'), ('db.py::run', 'cursor.execute', 'indirect'), ('cli.py::main', 'os.system', 'indirect')) e(src, dst, type)",
-    "cross_file_findings": "SELECT type, severity, source, target, CAST(confidence AS DOUBLE) AS confidence, cwe FROM (VALUES ('Cross-File SQL Injection', 'HIGH', 'app.py::handler', 'db.py::run', 0.8, 'CWE-89')) f(type, severity, source, target, confidence, cwe)",
     "remediations": _F + " SELECT type, count(*) AS n, CASE type WHEN 'sql injection' THEN 'use parameterised queries' WHEN 'xss' THEN 'encode output' ELSE 'pass arguments as a list' END AS fix FROM findings GROUP BY type",
     "finding_summary": _F + " SELECT severity, type, count(*) AS n, round(avg(confidence), 6) AS mean, count(DISTINCT task_id) AS n_tasks, CAST(grouping_id(severity, type) AS BIGINT) AS level FROM findings GROUP BY CUBE (severity, type)",
     "score_changes": A.with_roles("quality_metrics") + ", q AS (SELECT layer, CAST(ts AS DATE) AS day, avg(value) AS score FROM quality_metrics GROUP BY 1, 2) SELECT layer, day, round(score, 6) AS score, round(score - lag(score) OVER (PARTITION BY layer ORDER BY day), 6) AS change FROM q",

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import LANGUAGES
 from ..functions.scoring import lookup
 
 #: What orders the lines of an order beyond doubt.
@@ -93,6 +94,48 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "module").filter(called).select("src", "dst")
 
 
+#: What a Python function of a module does, by its part.
+BODIES = (
+    "q = request.args", "cursor.execute(x)", "x = escape(x)", "x = eval(x)", "for i in x: y = i", "print(x)", "x = open(x)", "x = check_token(x)", "x = drop(x)",
+)
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content, language: a file of code for every module, in Python, JavaScript (keys ending in 3) or Java (in 7).
+
+    A function calls the next one; a Python module's last calls the first function of the module whose key is the next multiple
+    of four below, which it imports; a module whose key is one itself ends with a builtin.
+    """
+    f = functions(spark, sf_dir).groupBy("module").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("f"))
+    m, home = F.col("module").cast("string"), (F.col("module") - F.col("module") % 4).cast("string")
+    is_home = F.col("module") % 4 == 0
+    body = F.array(*[F.lit(b) for b in BODIES])
+    last = F.when(is_home, F.lit("str")).otherwise(F.concat(F.lit("m"), home, F.lit(".f"), home, F.lit("_1")))
+
+    def name(pos):
+        return F.concat(F.lit("f"), m, F.lit("_"), pos.cast("string"))
+
+    def python(x):
+        callee = F.when(x["pos"] < F.size("f"), name(x["pos"] + 1)).otherwise(last)
+        return F.concat(F.lit("def "), name(x["pos"]), F.lit("(x):\n    "), F.get(body, (x["part"] % 9).cast("int")), F.lit("\n    return "), callee, F.lit("(x)\n"))
+
+    def script(x):
+        returned = F.when(x["pos"] < F.size("f"), F.concat(name(x["pos"] + 1), F.lit("(x)"))).otherwise(F.lit("x"))
+        return F.concat(F.lit("function "), name(x["pos"]), F.lit("(x) {\n  return "), returned, F.lit(";\n}\n"))
+
+    def java(x):
+        return F.concat(F.lit("  public int go"), x["pos"].cast("string"), F.lit("(int x) {\n    return x;\n  }\n"))
+
+    def all_of(one):
+        return F.array_join(F.transform("f", one), "")
+
+    digit = F.col("module") % 10
+    head = F.concat(F.lit("import "), F.when(is_home, F.lit("os")).otherwise(F.concat(F.lit("m"), home)), F.lit("\n"))
+    content = F.when(digit == 3, all_of(script)).when(digit == 7, F.concat(F.lit("public class A"), m, F.lit(" {\n"), all_of(java), F.lit("}\n"))).otherwise(F.concat(head, all_of(python)))
+    extension = F.when(digit == 3, ".js").when(digit == 7, ".java").otherwise(".py")
+    return f.select(F.concat(F.lit("src/m"), m, extension).alias("path"), content.alias("content"), lookup(extension, LANGUAGES, "other").alias("language"))
+
+
 def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct directed edges src, dst: successive parts of all orders, no self loops; one dense graph."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -102,8 +145,6 @@ def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, extension, language, size, content from documents."""
-    from ..functions.rules import LANGUAGES
-
     t = table(spark, sf_dir, "documents")
     ext = lookup(F.col("lang"), EXTENSIONS, ".sql")
     return t.select(
@@ -133,6 +174,9 @@ SQL = {
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS pos FROM lineitem) l)""",
     "calls": """calls AS (SELECT a.node AS src, b.node AS dst FROM functions a JOIN functions b ON a.module = b.module
         WHERE b.pos = a.pos + 1 OR (b.pos > a.pos + 1 AND (a.part + b.part) % 3 = 0) OR (b.pos = 1 AND a.pos > 1 AND a.part % 11 = 0))""",
+    "code": """code AS (SELECT f.module, f.pos, f.part % 9 AS kind, n, lang, home, CASE lang WHEN 'javascript' THEN 1 ELSE 2 END + 3 * (f.pos - 1) AS line,
+            'src/m' || f.module || CASE lang WHEN 'javascript' THEN '.js' WHEN 'java' THEN '.java' ELSE '.py' END AS path, CASE lang WHEN 'java' THEN 'A' || f.module || '.go' || f.pos ELSE 'f' || f.module || '_' || f.pos END AS name
+        FROM functions f JOIN (SELECT module, count(*) AS n, CASE module % 10 WHEN 3 THEN 'javascript' WHEN 7 THEN 'java' ELSE 'python' END AS lang, module - module % 4 AS home FROM functions GROUP BY module) m ON m.module = f.module)""",
     "part_calls": """part_calls AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src,
         lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst FROM lineitem) e WHERE dst IS NOT NULL AND src <> dst)""",
     "source_files": """source_files AS (SELECT doc_id, source || '/' || doc_id || ext AS path, ext AS extension,
