@@ -196,3 +196,17 @@ PRACTICE_RULES = (
     ("nist_ac_001", "general", "access control", "HIGH", 0.95, r"chmod\s+777"),
     ("nist_sc_001", "general", "insecure communication", "MEDIUM", 0.8, r"http://[^/]*password"),
 )
+
+# Quality levels of each metric, best first; of a rate of false positives less is better (fixed values).
+METRIC_LEVELS = {
+    "accuracy": (("excellent", 0.95), ("good", 0.85), ("acceptable", 0.70), ("poor", 0.50)),
+    "precision": (("excellent", 0.90), ("good", 0.80), ("acceptable", 0.65), ("poor", 0.45)),
+    "recall": (("excellent", 0.90), ("good", 0.80), ("acceptable", 0.65), ("poor", 0.45)),
+    "f1_score": (("excellent", 0.90), ("good", 0.80), ("acceptable", 0.65), ("poor", 0.45)),
+    "false_positive_rate": (("excellent", 0.05), ("good", 0.10), ("acceptable", 0.20), ("poor", 0.35)),
+    "confidence_score": (("excellent", 0.90), ("good", 0.80), ("acceptable", 0.65), ("poor", 0.45)),
+}
+SUMMARY_LEVELS = ((0.90, "excellent"), (0.80, "good"), (0.65, "acceptable"), (0.45, "poor"))
+#: Factor of a task type's confidence, and relevance of a kind of source (fixed values).
+TASK_FACTORS = {"syntax_check": 0.95, "logic_analysis": 0.85, "security_scan": 0.80, "dependency_analysis": 0.90}
+SOURCE_RELEVANCE = {"cve": 0.9, "practice": 0.8, "case": 0.7, "rag": 0.6}

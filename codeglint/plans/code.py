@@ -106,7 +106,7 @@ SQL = {
         SELECT path, 'file' AS type, split_part(path, '/', 2) AS name, 1 AS start_line, CAST(3 * n + CASE lang WHEN 'python' THEN 2 WHEN 'javascript' THEN 1 ELSE 3 END AS INTEGER) AS end_line FROM f
         UNION ALL SELECT path, 'class', 'A' || module, 1, CAST(3 * n + 2 AS INTEGER) FROM f WHERE lang = 'java'
         UNION ALL SELECT path, CASE lang WHEN 'java' THEN 'method' ELSE 'function' END, name, CAST(line AS INTEGER), CAST(line + 2 AS INTEGER) FROM code""",
-    "function_units": f"{_W} SELECT path, name, 'x' AS params, 'public' AS visibility, false AS is_async, CASE kind WHEN 4 THEN 2 ELSE 1 END AS complexity FROM code WHERE lang = 'python'",
+    "function_units": f"{_W} SELECT path, name, 'val' AS params, 'public' AS visibility, false AS is_async, CASE kind WHEN 4 THEN 2 ELSE 1 END AS complexity FROM code WHERE lang = 'python'",
     "code_call_edges": f"""{_W}, {_CALLS}, r AS (SELECT c.path || '::' || caller AS src, coalesce(u.path || '::' || u.name, callee) AS dst, CASE type WHEN 'js' THEN 'direct' ELSE type END AS type, c.line,
             CASE WHEN type = 'direct' THEN 0.9 ELSE 0.8 END AS confidence FROM calls c LEFT JOIN code u ON u.lang <> 'java' AND u.name = regexp_extract(callee, '([^.]+)$', 1))
         SELECT src, dst, type, CAST(line AS INTEGER) AS line, CAST(confidence AS DOUBLE) AS confidence FROM r""",
@@ -114,7 +114,7 @@ SQL = {
         count(*) AS n, CASE WHEN type = 'js' THEN NULL ELSE count(*) END AS n_args FROM a GROUP BY callee, a.type""",
     "code_imports": f"{_W} SELECT DISTINCT path, CASE WHEN module = home THEN 'os' ELSE 'm' || home END AS module, CASE WHEN module = home THEN 'os' ELSE 'm' || home END AS name, 'direct' AS kind FROM code WHERE lang = 'python'",
     "file_dependencies": f"{_W} SELECT DISTINCT c.path AS src, h.path AS dst FROM code c JOIN code h ON h.module = c.home WHERE c.lang = 'python' AND c.module <> c.home",
-    "assignment_flows": f"""{_W} SELECT path, name AS scope, name || '::' || CASE kind WHEN 0 THEN 'request' WHEN 4 THEN 'i' ELSE 'x' END AS src, name || '::' || CASE kind WHEN 0 THEN 'q' WHEN 4 THEN 'y' ELSE 'x' END AS dst,
+    "assignment_flows": f"""{_W} SELECT path, name AS scope, name || '::' || CASE kind WHEN 0 THEN 'request' WHEN 4 THEN 'i' ELSE 'val' END AS src, name || '::' || CASE kind WHEN 0 THEN 'q' WHEN 4 THEN 'y' ELSE 'val' END AS dst,
         CAST(line + 1 AS INTEGER) AS line, CASE WHEN kind IN (0, 4) THEN 'direct' ELSE 'return' END AS kind, kind = 2 AS sanitized FROM code WHERE lang = 'python' AND kind NOT IN (1, 5)""",
     "line_functions": f"""{_W}, f AS (SELECT path, 3 * any_value(n) + CASE any_value(lang) WHEN 'python' THEN 2 WHEN 'javascript' THEN 1 ELSE 3 END AS size FROM code GROUP BY path),
         p AS (SELECT path, unnest(range(1, size + 1, 3)) AS line FROM f)
@@ -125,7 +125,7 @@ SQL = {
     "import_relations": f"{_W} SELECT h.path || '::' || h.name AS src, c.path || '::' || c.name AS dst FROM code c JOIN code h ON h.module = c.home AND h.pos = 1 WHERE c.lang = 'python' AND c.module <> c.home",
     "pattern_relations": f"""{_W}, {_CALLS}, r AS (SELECT path AS id, 'call' AS kind, name AS target FROM code WHERE lang = 'python'
             UNION SELECT path, 'call', regexp_extract(callee, '([^.]+)$', 1) FROM calls WHERE type <> 'js'
-            UNION SELECT path, 'assignment', CASE kind WHEN 0 THEN 'q' WHEN 4 THEN 'y' ELSE 'x' END FROM code WHERE lang = 'python' AND kind NOT IN (1, 5)
+            UNION SELECT path, 'assignment', CASE kind WHEN 0 THEN 'q' WHEN 4 THEN 'y' ELSE 'val' END FROM code WHERE lang = 'python' AND kind NOT IN (1, 5)
             UNION SELECT path, 'import', CASE WHEN module = home THEN 'os' ELSE 'm' || home END FROM code WHERE lang = 'python'
             UNION SELECT path, 'attribute', 'm' || home FROM code WHERE lang = 'python' AND module <> home AND pos = n
             UNION SELECT path, 'attribute', CASE kind WHEN 0 THEN 'request' ELSE 'cursor' END FROM code WHERE lang = 'python' AND kind IN (0, 1)) SELECT * FROM r""",

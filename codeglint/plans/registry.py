@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, code, findings, graphs, knowledge, telemetry
+from . import analysis, code, findings, graphs, knowledge, reports, telemetry
 
-_MODULES = (findings, graphs, telemetry, analysis, knowledge, code)
+_MODULES = (findings, graphs, telemetry, analysis, knowledge, code, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

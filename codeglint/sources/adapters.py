@@ -96,7 +96,8 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What a Python function of a module does, by its part.
 BODIES = (
-    "q = request.args", "cursor.execute(x)", "x = escape(x)", "x = eval(x)", "for i in x: y = i", "print(x)", "x = open(x)", "x = check_token(x)", "x = drop(x)",
+    "q = request.args", "cursor.execute(val)", "val = escape(val)", "val = eval(val)", "for i in val: y = i", "print(val)", "val = open(val)", "val = check_token(val)",
+    "val = drop(val)",
 )
 
 
@@ -117,7 +118,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def python(x):
         callee = F.when(x["pos"] < F.size("f"), name(x["pos"] + 1)).otherwise(last)
-        return F.concat(F.lit("def "), name(x["pos"]), F.lit("(x):\n    "), F.get(body, (x["part"] % 9).cast("int")), F.lit("\n    return "), callee, F.lit("(x)\n"))
+        return F.concat(F.lit("def "), name(x["pos"]), F.lit("(val):\n    "), F.get(body, (x["part"] % 9).cast("int")), F.lit("\n    return "), callee, F.lit("(val)\n"))
 
     def script(x):
         returned = F.when(x["pos"] < F.size("f"), F.concat(name(x["pos"] + 1), F.lit("(x)"))).otherwise(F.lit("x"))
