@@ -227,6 +227,46 @@ def file_risk(path: Column, content: Column, n_units: Column) -> Column:
     return F.least(score, F.lit(10))
 
 
+#: Kinds of issue that a model's text may name, in English, by pattern (fixed values).
+ISSUE_PATTERNS = (
+    (r"sql\s+injection", "sql injection"), (r"xss|cross-site scripting", "xss"), (r"csrf", "csrf"), (r"command\s*injection", "command injection"), (r"path\s+traversal", "path traversal"),
+    (r"open\s+redirect", "open redirect"), (r"insecure\s+deserialization", "insecure deserialization"), (r"xxe|xml\s+injection", "xml injection"), (r"ssrf", "ssrf"),
+    (r"hard-?coded\s*(?:password|credential|secret|api\s+key)", "hardcoded credential"), (r"sensitive\s+data", "information disclosure"),
+)
+
+
+def named_issues(text: Column) -> Column:
+    """array<struct<type, description>>: kinds of issue that a text names, each with up to 200 characters behind the first mention."""
+    found = [F.struct(F.lit(kind).alias("type"), F.nullif(F.regexp_extract(text, f"(?is)((?:{p}).{{0,200}})", 1), F.lit("")).alias("description")) for p, kind in ISSUE_PATTERNS]
+    return F.filter(F.array(*found), lambda x: x["description"].isNotNull())
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def text_property(text: Column, name: str) -> Column:
+    """A property's value in a model's text: a list entry, a JSON pair, a quoted pair, or a pair up to the line's end; the first
+    of these that is there and at most 100 characters long."""
+    patterns = (rf"(?is)- {name}: ?(.*?)(?=\n- |\n\n|\z)", rf'(?is)"{name}":\s*"(.*?)"(?=[,}}\n]|\z)', rf"(?is){name}:\s*['\"]([^'\"]*)['\"](?=[,\n]|\z)", rf"(?i){name}\s*[:=]\s*([^\n]*)")
+    values = [F.nullif(_stripped(F.regexp_extract(text, p, 1)), F.lit("")) for p in patterns]
+    return F.coalesce(*[F.when(F.length(v) <= 100, v) for v in values])
+
+
+def text_snippet(text: Column) -> Column:
+    """The first piece of code in a text: a fenced block, a code tag, a code quote; over ten characters and with a sign of code."""
+    patterns = (r"(?s)```(?:\w+)?\n(.*?)```", r"(?s)<code>(.*?)</code>", r"`([^`\n]+)`")
+    values = [_stripped(F.regexp_extract(text, p, 1)) for p in patterns]
+    return F.coalesce(*[F.when((F.length(v) > 10) & F.regexp_like(v, F.lit(r"[=(){}\[\];:+*/%-]")), v) for v in values])
+
+
+def guessed_language(path: Column, code: Column) -> Column:
+    """Language by the extension, else by what the code looks like."""
+    known = lookup(F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)), rules.LANGUAGES, None)
+    seen = first_match(((F.contains(code, F.lit("<?php")), "php"), (F.regexp_like(code, F.lit(r"(?m)^\s*def \w+\(")), "python"), (F.regexp_like(code, F.lit(r"\bpublic (?:static )?class\b")), "java"), (F.regexp_like(code, F.lit(r"\bfunction\b|=>")), "javascript")), "text")
+    return F.coalesce(known, seen)
+
+
 def task_seconds(task_type: Column, n_units: Column, n_lines: Column) -> Column:
     factor = F.when(n_units > 50, F.lit(2.0)).when(n_units > 10, F.lit(1.5)).otherwise(F.lit(1.0)) * F.when(n_lines > 1000, F.lit(1.3)).otherwise(F.lit(1.0))
     return lookup(task_type, rules.TASK_SECONDS, rules.TASK_SECONDS_DEFAULT) * factor

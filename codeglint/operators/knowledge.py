@@ -165,3 +165,29 @@ def delivered(messages: DataFrame, agents: DataFrame) -> DataFrame:
 def history_of(messages: DataFrame, agent: str, limit: int) -> DataFrame:
     """An agent's latest messages, sent or received."""
     return messages.filter((F.col("sender") == agent) | (F.col("receiver") == agent)).orderBy(F.desc("ts"), F.desc("message_id")).limit(limit)
+
+
+#: Words that begin an issue in a model's free text (fixed values).
+ISSUE_WORDS = "vulnerability|issue|problem|error"
+
+
+def keyword_issues(replies: DataFrame) -> DataFrame:
+    """(id, n, text): issues of free text, each a line with one of ISSUE_WORDS and the lines behind it, joined by spaces."""
+    l = replies.select("id", F.posexplode(F.split("reply", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    head = F.regexp_like(F.lower("line"), F.lit(ISSUE_WORDS)).cast("int")
+    l = l.withColumn("n", F.sum(head).over(Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).filter("n > 0")
+    g = l.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    return g.select("id", "n", F.array_join(F.transform("l", lambda x: x["line"]), " ").alias("text"))
+
+
+def reply_dependencies(replies: DataFrame) -> DataFrame:
+    """(id, target, kind, line): distinct dependencies that a model's text lists, an entry of "- " a dependency.
+
+    replies: id, reply.  An entry names its target ("target: x"), and may its type and location; others are left out.
+    """
+    from ..functions.text import text_property
+
+    items = F.filter(F.split("reply", r"(?m)^- "), lambda x: F.contains(F.lower(x), F.lit("target")))
+    e = replies.select("id", F.explode(items).alias("item"))
+    e = e.select("id", text_property(F.col("item"), "target").alias("target"), F.coalesce(text_property(F.col("item"), "type"), F.lit("unknown")).alias("kind"), F.regexp_extract(text_property(F.col("item"), "location"), r"(\d+)", 1).try_cast("int").alias("line"))
+    return e.filter("target is not null").groupBy("id", "target", "kind").agg(F.min("line").alias("line"))

@@ -268,6 +268,62 @@ def python_flows(path: str, code: str) -> list[tuple]:
     return out
 
 
+TAINT_CALLS = {"input", "raw_input", "request", "form", "args", "json", "params", "cookies", "headers", "open", "read", "readline", "readlines"}
+CLEAN_CALLS = {"escape", "quote", "sanitize", "validate", "filter", "html_escape", "url_quote", "sql_escape"}
+STATE = "path string, scope string, name string, line int, taint string, kind string, dependencies array<string>, alias string"
+
+
+def python_states(path: str, code: str) -> list[tuple]:
+    """State of each variable behind its assignments: taint, type, the names it depends on, and the name it is an alias of.
+
+    A call of a source taints, one of a sanitiser sanitises; a name passes on its own state; of two operands the worse counts.
+    """
+    try:
+        tree = ast.parse(code)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    order, out = ("safe", "sanitized", "tainted"), []
+
+    def taint(e: ast.expr, known: dict[str, str]) -> str:
+        if isinstance(e, ast.Name):
+            return known.get(e.id, "safe")
+        if isinstance(e, ast.Call) and isinstance(e.func, ast.Name):
+            name = e.func.id.lower()
+            return "tainted" if name in TAINT_CALLS else "sanitized" if name in CLEAN_CALLS else "safe"
+        if isinstance(e, ast.BinOp):
+            return max(taint(e.left, known), taint(e.right, known), key=order.index)
+        return "safe"
+
+    def kind(e: ast.expr) -> str | None:
+        if isinstance(e, ast.Constant):
+            return type(e.value).__name__
+        if isinstance(e, (ast.List, ast.Dict)):
+            return type(e).__name__.lower()
+        if isinstance(e, ast.Call) and isinstance(e.func, ast.Name) and e.func.id in ("str", "int", "float", "bool"):
+            return e.func.id
+        return None
+
+    def visit(node: ast.AST, scope: str, known: dict[str, str]) -> None:
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                visit(child, f"{scope}.{child.name}" if scope else child.name, {})
+                continue
+            if isinstance(child, ast.Assign):
+                level = taint(child.value, known)
+                names = sorted({n.id for n in ast.walk(child.value) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)})
+                for t in (t for target in child.targets for t in ast.walk(target) if isinstance(t, ast.Name)):
+                    known[t.id] = level
+                    out.append((path, scope, t.id, child.lineno, level, kind(child.value), names, child.value.id if isinstance(child.value, ast.Name) else None))
+            visit(child, scope, known)
+
+    visit(tree, "", {})
+    return out
+
+
+def variable_states(files: DataFrame) -> DataFrame:
+    return _rows(files, STATE, lambda p, c, _: python_states(p, c), "python")
+
+
 def _rows(files: DataFrame, schema: str, parse, language: str | None = None) -> DataFrame:
     import pandas as pd
 

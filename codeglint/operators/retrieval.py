@@ -155,3 +155,35 @@ def deduplicated(table: DataFrame, key: str, order: list[Column], existing: Data
     """The first row of each key in an order, without keys that exist already."""
     first = table.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_r = 1").drop("_r")
     return first if existing is None else first.join(existing.select(key).distinct(), key, "left_anti")
+
+
+def hash_embedding(text: str, dim: int = 64) -> list[float]:
+    """A unit vector that the md5 of a text seeds: equal texts have equal vectors, unlike ones nothing in common."""
+    import hashlib
+
+    import numpy as np
+
+    v = np.random.default_rng(int(hashlib.md5(text.encode()).hexdigest()[:8], 16)).normal(size=dim)
+    return (v / np.linalg.norm(v)).astype(np.float32).tolist()
+
+
+def indexed(units: DataFrame, index: DataFrame | None = None, dim: int = 64, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """(chunk_id, unit, pos, embedding): chunks of the texts of units (unit, text) that an index doesn't have yet.
+
+    A unit whose chunks are in the index is skipped; chunks are named by unit and place, so indexing again adds nothing.
+    """
+    new = units.select("unit", "text")
+    if index is not None:
+        new = new.join(index.select("unit").distinct(), "unit", "left_anti")
+    chunks = new.select("unit", F.posexplode(X.char_chunks(F.col("text"), size, overlap)).alias("pos", "chunk"))
+
+    @F.pandas_udf("array<float>")
+    def embed(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: hash_embedding(t, dim))
+
+    return chunks.select(F.concat_ws("#", F.col("unit").cast("string"), F.col("pos").cast("string")).alias("chunk_id"), "unit", "pos", F.length("chunk").alias("size"), embed("chunk").alias("embedding"))
+
+
+def paired(findings: DataFrame, contexts: DataFrame, knowledge: DataFrame) -> DataFrame:
+    """findings with their context and knowledge, joined by id; findings without one keep nulls."""
+    return findings.join(contexts, "id", "left").join(knowledge, "id", "left")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, code, findings, graphs, knowledge, reports, telemetry
+from . import analysis, code, findings, graphs, knowledge, reports, stores, streams, telemetry, texts
 
-_MODULES = (findings, graphs, telemetry, analysis, knowledge, code, reports)
+_MODULES = (findings, graphs, telemetry, analysis, knowledge, code, reports, stores, texts, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

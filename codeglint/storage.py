@@ -21,8 +21,12 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that nothing has yet."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
