@@ -33,10 +33,11 @@ def severity_heatmap(findings: DataFrame, limit: int) -> DataFrame:
 
 
 def top_with_other(df: DataFrame, column: str, k: int, other: str = "other") -> DataFrame:
-    """Counts of the k most frequent values; the rest together."""
+    """Counts of the k most frequent values; the rest together.  The k rows are found by partial top k and broadcast."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), column))
-    return counts.withColumn("label", F.when(rank <= k, F.col(column)).otherwise(F.lit(other))).groupBy("label").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), column).limit(k).select(F.col(column).alias("_top"), F.lit(True).alias("_in"))
+    labelled = counts.join(F.broadcast(top), F.col(column).eqNullSafe(F.col("_top")), "left")
+    return labelled.groupBy(F.when(F.col("_in"), F.col(column)).otherwise(F.lit(other)).alias("label")).agg(F.sum("n").alias("n"))
 
 
 def risk_by(findings: DataFrame, column: str) -> DataFrame:

@@ -29,21 +29,35 @@ def fuzzy_targets(references: DataFrame, units: DataFrame) -> DataFrame:
     """(ref_id, unit): the unit a name refers to.  references: ref_id, target, path; units: unit, name, path.
 
     An equal name wins, in the same file first.  Otherwise 5 points for a unit's name that holds the target, 3 for a target
-    that holds the name, 2 for the same file; 5 points at least.  Names meet by a shared three-character gram, so no pair of
-    unlike names is formed; targets under three characters need an equal name.
+    that holds the name, 2 for the same file; 5 points at least.  Of two names one can hold the other only if it has all its
+    grams (of six characters, or three of shorter names), so they meet by the gram that is rarest on the other side; targets
+    under three characters need an equal name.
     """
     r, u = references.select("ref_id", "target", F.col("path").alias("r_path")), units.select("unit", "name", F.col("path").alias("u_path"))
     same = F.col("r_path") == F.col("u_path")
     first = lambda df, score: df.groupBy("ref_id").agg(F.min_by("unit", F.struct(-score, F.col("unit"))).alias("unit"))
     exact = first(r.join(u, F.col("target") == F.col("name")), same.cast("int"))
 
-    def grams(c: str) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(3))))
-
-    rest = r.join(exact.select("ref_id"), "ref_id", "left_anti").filter(F.length("target") >= 3).withColumn("g", F.element_at(grams("target"), 1))
-    holds = rest.join(u.withColumn("g", F.explode(grams("name"))), "g").filter(F.contains("name", F.col("target"))).withColumn("score", F.lit(5))
-    held = rest.withColumn("g", F.explode(grams("target"))).join(u.filter(F.length("name") >= 3).withColumn("g", F.element_at(grams("name"), 1)), "g").filter(F.contains("target", F.col("name"))).withColumn("score", F.lit(3))
-    both = holds.unionByName(held, allowMissingColumns=True).withColumn("score", F.col("score") + F.when(same, 2).otherwise(0)).filter("score >= 5")
+    def grams(c: str, k: int) -> Column:
+        all_of = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(k)))
+        return F.when(F.length(c) >= k, F.array_distinct(all_of)).otherwise(F.array().cast("array<string>"))
+
+    def holding(inner: DataFrame, c: str, key: str, outer: DataFrame, d: str) -> DataFrame:
+        """Pairs of rows of inner (key, c) and outer where d holds c."""
+        every = F.explode(F.array_union(grams(d, 6), grams(d, 3)))
+        there = outer.withColumn("g", every)
+        counts = there.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
+        own = inner.withColumn("g", F.explode(F.when(F.length(c) >= 6, grams(c, 6)).otherwise(grams(c, 3))))
+        rarest = own.join(counts, "g", "left").groupBy(key).agg(F.min_by("g", F.coalesce("_n", F.lit(0))).alias("g"))
+        return inner.join(rarest, key).join(there, "g").filter(F.contains(F.col(d), F.col(c)))
+
+    rest = r.join(exact.select("ref_id"), "ref_id", "left_anti").filter(F.length("target") >= 3)
+    names = u.select("unit", "name", "u_path").filter(F.length("name") >= 3)
+    holds = holding(rest, "target", "ref_id", names, "name").withColumn("score", F.lit(5))
+    # a target that holds a name needs the same file for five points
+    held = rest.join(names, F.col("r_path") == F.col("u_path")).filter(F.contains("target", F.col("name"))).withColumn("score", F.lit(3))
+    columns = ["ref_id", "target", "r_path", "unit", "name", "u_path", "score"]
+    both = holds.select(*columns).unionByName(held.select(*columns)).withColumn("score", F.col("score") + F.when(same, 2).otherwise(0)).filter("score >= 5")
     return exact.unionByName(first(both, F.col("score")))
 
 

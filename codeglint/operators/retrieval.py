@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as X
 
-#: Query vectors that one block holds; each block meets every vector once, with its own top k kept per task.
-QUERY_BLOCK = 512
+#: Queries and vectors of a block, and vectors that a task compares at once.
+QUERY_BLOCK, VECTOR_BLOCK, TILE = 1024, 32_768, 2048
 
 
 def _numbers(a: Column) -> Column:
@@ -30,45 +30,44 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, by: str = "cosine") -> DataFrame:
     """(query_id, vec_id, similarity, rank): exact top k of vectors (vec_id, embedding) for each query (query_id, embedding).
 
-    Queries go to the vectors in blocks of QUERY_BLOCK vectors; each batch of vectors is one matrix product with the block, and
-    a task passes on k rows a query, so what is shuffled doesn't grow with the vectors of a task.
+    Blocks of QUERY_BLOCK queries meet blocks of VECTOR_BLOCK vectors, each pair of blocks in one task, which passes on k rows a
+    query: nothing goes to the driver, and what a task holds doesn't grow with either table.
     by: cosine, or l2 for 1 - squared distance / 100, not below 0.
     """
     import numpy as np
 
-    out, schema = None, "query_id long, vec_id long, similarity double"
-    ids = [r.query_id for r in queries.select("query_id").orderBy("query_id").collect()]
-    for at in range(0, len(ids), QUERY_BLOCK):
-        part = queries.filter(F.col("query_id").isin(ids[at : at + QUERY_BLOCK])).orderBy("query_id").collect()
-        names, q = np.array([r.query_id for r in part]), np.array([r.embedding for r in part], np.float64)
-        norms = np.linalg.norm(q, axis=1)
-
-        def search(batches, names=names, q=q, norms=norms):
-            best: list = [[] for _ in names]
-            for pdf in batches:
-                v, vid = np.array(pdf.embedding.tolist(), np.float64), pdf.vec_id.to_numpy()
-                if not len(v):
-                    continue
-                dot = q @ v.T
-                length = np.linalg.norm(v, axis=1)
-                if by == "cosine":
-                    scale = norms[:, None] * length[None, :]
-                    score = np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
-                else:
-                    score = np.maximum(0.0, 1 - (norms[:, None] ** 2 + length[None, :] ** 2 - 2 * dot) / 100)
-                score = np.round(score, 9)
-                for i in range(len(names)):
-                    top = np.lexsort((vid, -score[i]))[:k]
-                    best[i] = sorted(best[i] + list(zip(-score[i][top], vid[top])))[:k]
-            rows = [(int(names[i]), int(v), -float(s)) for i, b in enumerate(best) for s, v in b]
-            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "similarity"])
-
-        found = vectors.select("vec_id", "embedding").mapInPandas(search, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank long")
+    n_queries, n_vectors = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (vectors, VECTOR_BLOCK)))
+    q = queries.select("query_id", F.col("embedding").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).alias("qb"))
+    q = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_vectors - 1)).cast("array<bigint>")))
+    v = vectors.select("vec_id", F.col("embedding").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(n_vectors)).alias("vb"))
+    v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)).cast("array<bigint>")))
+    names = ["query_id", "vec_id", "similarity"]
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({n: [] for n in names})
+        right = right.sort_values("vec_id")  # so that ties go by place
+        a, ids = np.array(left.q.tolist(), np.float64), right.vec_id.to_numpy()
+        own, best = np.linalg.norm(a, axis=1), [np.empty((0, 2))] * len(left)
+        for at in range(0, len(right), TILE):
+            b = np.array(right.v.iloc[at : at + TILE].tolist(), np.float64)
+            place = np.arange(at, at + len(b), dtype=np.float64)
+            dot, length = a @ b.T, np.linalg.norm(b, axis=1)
+            if by == "cosine":
+                scale = own[:, None] * length[None, :]
+                score = np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
+            else:
+                score = np.maximum(0.0, 1 - (own[:, None] ** 2 + length[None, :] ** 2 - 2 * dot) / 100)
+            score = np.round(score, 9)
+            for i in range(len(left)):
+                both = np.concatenate([best[i], np.stack([score[i], place], axis=1)])
+                best[i] = both[np.lexsort((both[:, 1], -both[:, 0]))[:k]]
+        rows = np.concatenate([np.column_stack([np.full(len(x), i), x[:, 1], x[:, 0]]) for i, x in enumerate(best)])
+        return pd.DataFrame({"query_id": left.query_id.to_numpy()[rows[:, 0].astype(int)], "vec_id": ids[rows[:, 1].astype(int)], "similarity": rows[:, 2]})
+
+    found = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(search, "query_id long, vec_id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return out.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
 def practice_matches(files: DataFrame, text_col: str = "content", language_col: str = "language") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import scoring as S
 from ..functions import text as X
+from ..storage import numbered
 from .graph import layers
 
 
@@ -21,8 +22,9 @@ def planned_tasks(files: DataFrame, batch: int = 10) -> DataFrame:
     risk = S.banded(X.file_risk(F.col("path"), F.col("content"), F.lit(0)), ((8, "critical"), (6, "high"), (3, "medium")), "low")
     f = files.select("path", risk.alias("risk"), X.file_group(F.col("path"), F.col("content")).alias("grp"), F.size(X.lines(F.col("content"))).alias("n_lines"))
     f = f.withColumn("plan", F.when(F.col("grp").isin("test", "config"), F.col("grp")).otherwise(F.col("risk")))
-    n = F.row_number().over(Window.partitionBy("risk", "grp").orderBy("path"))
-    f = f.withColumn("batch", F.floor((n - 1) / batch))
+    f = numbered(f, ["risk", "grp", "path"], "place")
+    first = f.groupBy("risk", "grp").agg(F.min("place").alias("first"))  # one row a kind of risk and group
+    f = f.join(F.broadcast(first), ["risk", "grp"]).withColumn("batch", F.floor((F.col("place") - F.col("first")) / batch))
     b = f.groupBy("risk", "grp", "plan", "batch").agg(F.array_sort(F.collect_list("path")).alias("files"), F.sum("n_lines").alias("n_lines"))
     plans = F.lit(None).cast("array<struct<task_type:string,priority:int>>")
     for name, tasks in rules.TASK_PLANS.items():
@@ -46,7 +48,7 @@ def schedule(tasks: DataFrame, dependencies: DataFrame, strategy: str = "hybrid"
     order = {
         "priority": ["priority"], "dependency": ["layer", "priority"], "duration": [F.desc("seconds")], "hybrid": ["layer", "priority", F.desc("seconds")],
     }[strategy]
-    return tasks.join(l, "task_id").withColumn("position", F.row_number().over(Window.orderBy(*order, "task_id")).cast("long"))
+    return numbered(tasks.join(l, "task_id"), [*order, "task_id"], "position")
 
 
 def ready_tasks(tasks: DataFrame, dependencies: DataFrame, completed: DataFrame) -> DataFrame:
@@ -137,7 +139,7 @@ def execution_statistics(tasks: DataFrame) -> DataFrame:
 def eviction_order(entries: DataFrame, policy: str) -> DataFrame:
     """Cache entries (entry, created, used, hits, ttl) with the position at which a policy drops them."""
     order = {"lru": ["used"], "lfu": ["hits", "used"], "ttl": [F.col("created") + F.col("ttl")], "fifo": ["created"]}[policy]
-    return entries.withColumn("position", F.row_number().over(Window.orderBy(*order, "entry")).cast("long"))
+    return numbered(entries, [*order, "entry"], "position")
 
 
 def completed_tasks(reports: DataFrame, targets: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -30,3 +31,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list, column: str) -> DataFrame:
+    """df with the place of each row in an order, from 1; the order must leave no ties.
+
+    Rows are dealt by ranges of the order and numbered within each; a range's offset is the sum of those before, a table of one
+    row a range.  No task holds more than its range.
+    """
+    dealt = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    out = dealt.withColumn("_within", within).join(F.broadcast(offsets), "_range")
+    return out.withColumn(column, (F.col("_within") + F.col("_offset")).cast("long")).drop("_range", "_within", "_offset")
