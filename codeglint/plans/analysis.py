@@ -291,6 +291,13 @@ SQL = {
         r(node, layer) AS (SELECT task_id, 0 FROM t UNION SELECT e.dst, layer + 1 FROM r JOIN e ON r.node = e.src), l AS (SELECT node, CAST(max(layer) AS BIGINT) AS layer FROM r GROUP BY node) SELECT task_id, task_type, layer, row_number() OVER (ORDER BY layer, priority, seconds DESC, task_id) AS position FROM t JOIN l ON l.node = t.task_id""",
     "task_batches": """WITH g AS (SELECT *, CASE WHEN lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <> o_orderstatus THEN 1 ELSE 0 END AS c FROM orders), r AS (SELECT *, sum(c) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run FROM g), b AS (SELECT *, CAST(run AS BIGINT) || '-' || CAST(floor((row_number() OVER (PARTITION BY o_custkey, run ORDER BY o_orderkey) - 1) / 3.0) AS BIGINT) AS batch FROM r)
         SELECT o_custkey, batch, count(*) AS n, min(o_orderkey) AS first_key FROM b GROUP BY 1, 2""",
+    "breaker_states": "WITH RECURSIVE " + A.SQL["metrics"] + """, o AS (SELECT operation AS service, epoch(date_trunc('second', ts)) AS sec, NOT failed AS ok,
+            row_number() OVER (PARTITION BY operation ORDER BY date_trunc('second', ts), event_id) AS i FROM metrics),
+        r(service, i, state, failed, since, allowed) AS (SELECT DISTINCT service, CAST(0 AS BIGINT), 'closed', 0, CAST(0 AS DOUBLE), true FROM o UNION ALL
+            SELECT service, i, CASE WHEN blocked THEN 'open' WHEN ok THEN 'closed' WHEN tried OR failed + 1 >= 2 THEN 'open' ELSE 'closed' END, CASE WHEN blocked THEN failed WHEN ok THEN 0 ELSE failed + 1 END,
+                CASE WHEN blocked OR ok THEN since ELSE sec END, NOT blocked
+            FROM (SELECT o.service, o.i, o.sec, o.ok, r.failed, r.since, r.state = 'open' AND o.sec - r.since <= 3600 AS blocked, r.state = 'open' AND o.sec - r.since > 3600 AS tried FROM r JOIN o ON o.service = r.service AND o.i = r.i + 1) x)
+        SELECT CAST(service AS VARCHAR) AS service, state, allowed, count(*) AS n FROM r WHERE i > 0 GROUP BY 1, 2, 3""",
     "ema_success": A.with_roles("metrics") + """, o AS (SELECT layer, operation, CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END AS x,
             row_number() OVER (PARTITION BY layer, operation ORDER BY ts DESC, event_id DESC) AS i, count(*) OVER (PARTITION BY layer, operation) AS n FROM metrics)
         SELECT layer, operation, count(*) AS n, round(CAST(sum(x * power(0.9, i - 1) * CASE WHEN i = n THEN 1.0 ELSE 0.1 END) AS DOUBLE), 6) AS rate FROM o GROUP BY 1, 2""",

@@ -68,7 +68,8 @@ def test_similar_cases_by_all_of_the_similarity(spark, sf):
     from codeglint.operators.retrieval import structure_ratio
 
     def parts(code):
-        plain = re.sub(r"\b\d+\b", "0", re.sub("[\"'].*?[\"']", '""', re.sub(r"\s+", " ", code).strip()))
+        bare = re.sub(r"\s+", " ", re.sub(r"(?m)#.*$", "", code)).strip()
+        plain = re.sub(r"\b\d+\b", "0", re.sub("[\"'].*?[\"']", '""', bare))
         words = set(re.findall(r"\w+", plain.lower()))
         shapes = {x.rstrip() for x in re.findall(r"\w+\s*\(", plain) + re.findall(r"\w+\s*=", plain)} | set(re.findall(r"if\s*\(.*?\)", plain))
         return plain, words, words & {*rules.PROGRAMMING_WORDS, *rules.SECURITY_WORDS}, shapes
@@ -136,3 +137,60 @@ def test_nearest_of_every_fiftieth_vector(spark, sf):
     for i, s in far.items():
         near = sorted((max(0.0, 1 - float(((rows[i] - v) ** 2).sum()) / 100) for v in rows.values()), reverse=True)
         assert s == pytest.approx(near[4], abs=2e-6)
+
+
+def test_validated_findings_add_up(spark, sf):
+    """Every finding once; rules' false positives are rejected, and statuses keep to their bands."""
+    from codeglint.operators import integration
+    from codeglint.plans import texts
+
+    f, v = texts._validation(spark, sf)
+    rows = integration.validated(f, v).collect()
+    assert len(rows) == f.count() == len({r.id for r in rows})
+    assert all(r.status == "rejected" and r.confidence == 0 for r in rows if r.false_positive)
+    assert all(r.confidence >= 0.8 for r in rows if r.status == "validated") and all(r.confidence >= 0.5 for r in rows if r.status == "needs_review")
+    assert any(r.false_positive for r in rows) and any(r.status == "needs_review" for r in rows)
+
+
+def test_links_of_all_findings(spark):
+    """Pairs of findings alike against the measure itself, over files, types, lines and severities."""
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    from codeglint.functions import scoring as S
+    from codeglint.operators import findings as O
+
+    r = random.Random(3)
+    kinds = ("sql injection", "command injection", "xss", "database query")
+    rows = [(f"i{i}", r.choice(kinds), r.choice(("a/x.py", "b/x.js", "a/y.py")), r.randrange(30), r.choice(("high", "low")), r.choice(("some text here", "", "other words")), r.choice(("exec select", "", "system()")), 0.5) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, type string, file_path string, start_line int, severity string, description string, snippet string, confidence double")
+    pairs = [(*a[:7], *b[:7]) for a, b in itertools.combinations(rows, 2)]
+    names = ("id", "type", "path", "line", "severity", "description", "snippet")
+    p = spark.createDataFrame(pairs, [f"a_{n}" for n in names] + [f"b_{n}" for n in names])
+    similarity = S.finding_similarity(*({n: F.col(f"{x}_{n}") for n in names if n != "id"} for x in "ab"))
+    near = p.filter(F.round(similarity, 9) >= 0.8).select("a_id", "b_id").collect()
+    want = dict.fromkeys([x[0] for x in rows], 0)
+    for a, b in near:
+        want[a] += 1
+        want[b] += 1
+    assert {x.id: x.n_links for x in O.finding_links(df, 0.8).collect()} == want and any(want.values())
+    assert {x.id: x.cluster_id for x in O.greedy_clusters(df).collect()} == {x.id: x.cluster_id for x in O._greedy(df.withColumn("stem", F.lit(1)), ["stem"], 0.8).collect()}
+
+
+def test_places_by_ranges(spark):
+    from codeglint.storage import numbered
+
+    df = spark.range(1000).selectExpr("id", "id * 7919 % 1009 AS k")
+    got = {x.id: x.place for x in numbered(df, ["k", "id"], "place").collect()}
+    assert got == {i: n for n, (_, i) in enumerate(sorted((i * 7919 % 1009, i) for i in range(1000)), 1)}
+
+
+def test_names_that_hold_each_other(spark):
+    from codeglint.operators.knowledge import fuzzy_targets
+
+    units = [("u1", "load_user", "a"), ("u2", "load_users_all", "b"), ("u3", "get", "a"), ("u4", "load_user", "b")]
+    refs = [(1, "load_user", "b"), (2, "load_users", "a"), (3, "getter", "a"), (4, "getter", "b"), (5, "al", "a"), (6, "sers_a", "c"), (7, "zzz", "a")]
+    got = {r.ref_id: r.unit for r in fuzzy_targets(spark.createDataFrame(refs, "ref_id int, target string, path string"), spark.createDataFrame(units, "unit string, name string, path string")).collect()}
+    assert got == {1: "u4", 2: "u1", 3: "u3", 6: "u2"}
