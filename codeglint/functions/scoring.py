@@ -163,12 +163,16 @@ def type_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(related, F.lit(0.7)).otherwise(F.lit(0.0))
 
 
-def location_similarity(path_a: Column, line_a: Column, path_b: Column, line_b: Column) -> Column:
+def line_similarity(line_a: Column, line_b: Column) -> Column:
+    """Of two places in one file."""
     gap = F.abs(line_a - line_b)
+    return first_match(((gap == 0, 1.0), (gap <= 5, 0.8), (gap <= 20, 0.6)), 0.4)
+
+
+def location_similarity(path_a: Column, line_a: Column, path_b: Column, line_b: Column) -> Column:
     name_a, name_b = (F.element_at(F.split(p, "/"), -1) for p in (path_a, path_b))
     stem_a, stem_b = (F.element_at(F.split(n, r"\."), 1) for n in (name_a, name_b))
-    same_file = first_match(((gap == 0, 1.0), (gap <= 5, 0.8), (gap <= 20, 0.6)), 0.4)
-    return F.when(path_a == path_b, same_file).when(name_a == name_b, F.lit(0.3)).when(stem_a == stem_b, F.lit(0.2)).otherwise(F.lit(0.0))
+    return F.when(path_a == path_b, line_similarity(line_a, line_b)).when(name_a == name_b, F.lit(0.3)).when(stem_a == stem_b, F.lit(0.2)).otherwise(F.lit(0.0))
 
 
 def jaccard(a: Column, b: Column, none: float = 0.0, one_none: float = 0.0) -> Column:

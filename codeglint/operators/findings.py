@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import scoring as S
+from ..storage import stored
 
 REACHED = 0.6
 
@@ -102,11 +103,16 @@ def similar_classes(findings: DataFrame, threshold: float = 0.8) -> DataFrame:
         + S.jaccard(F.col("a_tokens"), F.col("b_tokens")) * w["code_pattern"]
     )
     both = both.withColumn("texts", texts).filter(F.round(F.col("texts") + w["location"] + w["severity"], 9) >= threshold)
-    both = both.select("a_profile", "b_profile", "a_file_path", "b_file_path", "texts", F.least("a_type", "b_type").alias("type"))
-    side = lambda x: heads.select(*[F.col(c).alias(f"{x}_{c}") for c in ("profile", "class", "start_line", "severity", "n")])
+    # of two files the lines don't count
+    files = (F.col("a_file_path"), F.col("b_file_path"))
+    apart = F.when(files[0] != files[1], S.location_similarity(files[0], F.lit(0), files[1], F.lit(0)))
+    both = both.select("a_profile", "b_profile", apart.alias("apart"), "texts", F.least("a_type", "b_type").alias("type"))
+    heads = heads.select("profile", "class", "start_line", S.severity_rank(F.col("severity")).alias("rank"), "n")
+    side = lambda x: heads.select(*[F.col(c).alias(f"{x}_{c}") for c in heads.columns])
     pairs = both.join(side("a"), "a_profile").join(side("b"), "b_profile").filter((F.col("a_class") < F.col("b_class")) | ((F.col("a_class") == F.col("b_class")) & (F.col("a_n") > 1)))
-    place = S.location_similarity(F.col("a_file_path"), F.col("a_start_line"), F.col("b_file_path"), F.col("b_start_line"))
-    score = S.clamp(F.col("texts") + place * w["location"] + S.severity_similarity(F.col("a_severity"), F.col("b_severity")) * w["severity"])
+    place = F.coalesce("apart", S.line_similarity(F.col("a_start_line"), F.col("b_start_line")))
+    severity = F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("a_rank") - F.col("b_rank")) * 0.25)
+    score = S.clamp(F.col("texts") + place * w["location"] + severity * w["severity"])
     pairs = pairs.withColumn("similarity", F.round(score, 9)).filter(F.col("similarity") >= threshold)
     return pairs.select(F.col("a_class").alias("a"), F.col("b_class").alias("b"), F.col("a_n").alias("n_a"), F.col("b_n").alias("n_b"), "type", "similarity")
 
@@ -129,8 +135,10 @@ def greedy_clusters(findings: DataFrame, block: Sequence[str] = (), threshold: f
     classed = with_class(findings, threshold)
     if not block:
         block, classed = ["_stem"], classed.withColumn("_stem", file_stem(F.col("file_path")))
+    classed = stored(classed.select("id", *block, "class", "confidence", *[c for c in CLASS if c not in block]), "classed")
     head = F.min_by(F.struct("id", "confidence"), F.struct(-F.col("confidence"), F.col("id"))).alias("h")
-    heads = classed.groupBy(*block, "class", *CLASS).agg(head).select(*block, "class", *CLASS, "h.id", "h.confidence")
+    heads = classed.groupBy(*dict.fromkeys((*block, "class", *CLASS))).agg(head)
+    heads = stored(heads.select(*[c for c in heads.columns if c != "h"], "h.id", "h.confidence"), "class-heads")
     folded = _greedy(heads, block, threshold).select(F.col("id").alias("head"), "cluster_id")
     named = heads.select(*block, "class", F.col("id").alias("head")).join(folded, "head").select(*block, "class", "cluster_id")
     return classed.select("id", *block, "class").join(named, [*block, "class"]).select("id", "cluster_id")
@@ -147,33 +155,38 @@ def _greedy(findings: DataFrame, block: Sequence[str], threshold: float) -> Data
         x, y = x.lower(), y.lower()
         return 0.7 if any((k in x and any(w in y for w in ws)) or (k in y and any(w in x for w in ws)) for k, ws in related.items()) else 0.0
 
-    def place_score(a, b) -> float:
-        if a.file_path == b.file_path:
-            gap = abs(a.start_line - b.start_line)
-            return 1.0 if gap == 0 else 0.8 if gap <= 5 else 0.6 if gap <= 20 else 0.4
-        x, y = a.file_path.split("/")[-1], b.file_path.split("/")[-1]
-        return 0.3 if x == y else 0.2 if x.split(".")[0] == y.split(".")[0] else 0.0
-
-    def jaccard(x: set, y: set) -> float:
+    def jaccard(x: frozenset, y: frozenset) -> float:
         return len(x & y) / len(x | y) if x and y else 0.0
 
-    def similarity(a, b) -> float:
-        ranks = [rules.SEVERITY_RANK.get(x.severity.lower(), 3) for x in (a, b)]
-        tokens = [{t for t in rules.CODE_TOKENS if t in x.snippet.lower()} for x in (a, b)]
-        return (
-            weights["type"] * type_score(a.type, b.type) + weights["location"] * place_score(a, b)
-            + weights["description"] * jaccard(set(a.description.lower().split()), set(b.description.lower().split()))
-            + weights["code_pattern"] * jaccard(*tokens) + weights["severity"] * max(0.0, 1 - 0.25 * abs(ranks[0] - ranks[1]))
-        )
-
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["confidence", "id"], ascending=[False, True])
+        texts: dict[tuple, float] = {}
         heads, out = [], []
-        for row in pdf.itertuples(index=False):
+
+        def said(a: tuple, b: tuple) -> float:
+            """What two profiles (type, words, tokens) have in common; there are few of them."""
+            if (a, b) not in texts:
+                texts[a, b] = weights["type"] * type_score(a[0], b[0]) + weights["description"] * jaccard(a[1], b[1]) + weights["code_pattern"] * jaccard(a[2], b[2])
+            return texts[a, b]
+
+        def place(a: tuple, b: tuple) -> float:
+            if a[2] == b[2]:
+                gap = abs(a[3] - b[3])
+                return 1.0 if gap == 0 else 0.8 if gap <= 5 else 0.6 if gap <= 20 else 0.4
+            x, y = a[2].split("/")[-1], b[2].split("/")[-1]
+            return 0.3 if x == y else 0.2 if x.split(".")[0] == y.split(".")[0] else 0.0
+
+        def similarity(a: tuple, b: tuple) -> float:
+            return said(a[1], b[1]) + weights["location"] * place(a, b) + weights["severity"] * max(0.0, 1 - 0.25 * abs(a[4] - b[4]))
+
+        for r in pdf.itertuples(index=False):
+            snippet = r.snippet.lower()
+            profile = (r.type, frozenset(r.description.lower().split()), frozenset(t for t in rules.CODE_TOKENS if t in snippet))
+            row = (r.id, profile, r.file_path, r.start_line, rules.SEVERITY_RANK.get(r.severity.lower(), 3))
             home = next((h for h in heads if round(similarity(h, row), 9) >= threshold), None)
             if home is None:
                 heads.append(home := row)
-            out.append((row.id, home.id))
+            out.append((r.id, home[0]))
         return pd.DataFrame(out, columns=["id", "cluster_id"])
 
     return findings.groupBy(*block).applyInPandas(fold, "id string, cluster_id string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import scoring as S
 from ..functions import text as X
-from ..storage import numbered
+from ..storage import numbered, stored
 from .graph import layers
 
 
@@ -22,7 +22,7 @@ def planned_tasks(files: DataFrame, batch: int = 10) -> DataFrame:
     risk = S.banded(X.file_risk(F.col("path"), F.col("content"), F.lit(0)), ((8, "critical"), (6, "high"), (3, "medium")), "low")
     f = files.select("path", risk.alias("risk"), X.file_group(F.col("path"), F.col("content")).alias("grp"), F.size(X.lines(F.col("content"))).alias("n_lines"))
     f = f.withColumn("plan", F.when(F.col("grp").isin("test", "config"), F.col("grp")).otherwise(F.col("risk")))
-    f = numbered(f, ["risk", "grp", "path"], "place")
+    f = numbered(stored(f, "risks"), ["risk", "grp", "path"], "place")
     first = f.groupBy("risk", "grp").agg(F.min("place").alias("first"))  # one row a kind of risk and group
     f = f.join(F.broadcast(first), ["risk", "grp"]).withColumn("batch", F.floor((F.col("place") - F.col("first")) / batch))
     b = f.groupBy("risk", "grp", "plan", "batch").agg(F.array_sort(F.collect_list("path")).alias("files"), F.sum("n_lines").alias("n_lines"))
