@@ -35,7 +35,7 @@ class Rule:
 
 #: The threshold table.  Ratios are shares of words, of characters in words or of lines.
 RULES = (
-    Rule("n_words", 50, 10_000_000),
+    Rule("n_words", 50, 10**18),
     Rule("mean_word_length", 2.0, 20.0),
     Rule("symbol_ratio", 0.0, 0.10),
     Rule("stop_word_ratio", 0.02, 1.0),
