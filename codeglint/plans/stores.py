@@ -23,9 +23,10 @@ def source_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def project_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    """Hash of the names and times of each module's file."""
-    o = A.table(spark, sf, "orders").filter("o_orderstatus = 'P'")
-    return files.project_hash(o.select(F.format_string("src/m%d.py", "o_orderkey").alias("relative_path"), F.col("o_orderdate").cast("timestamp").alias("modified_time")))
+    """Orders as files of their customer's project: the hash of each project."""
+    o = A.table(spark, sf, "orders")
+    f = o.select("o_custkey", F.format_string("src/m%d.py", "o_orderkey").alias("relative_path"), F.col("o_orderdate").cast("timestamp").alias("modified_time"))
+    return files.project_hash(f, "o_custkey")
 
 
 def _manifests(spark, sf):
@@ -243,7 +244,7 @@ _BARE = "trim(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '\\s+', '
 SQL = {
     "source_tree": """SELECT 'lang=' || coalesce(lang, 'none') AS folder, '.txt' AS extension, 'other' AS language, CAST(sum(1 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), ''))) AS BIGINT) AS n_lines
         FROM documents WHERE lang IS NULL OR lang <> 'fr' GROUP BY 1""",
-    "project_hashes": "SELECT md5(string_agg(l, chr(10) ORDER BY l)) AS hash FROM (SELECT 'src/m' || o_orderkey || '.py:' || CAST(epoch_ms(o_orderdate) AS BIGINT) AS l FROM orders WHERE o_orderstatus = 'P') x",
+    "project_hashes": "SELECT o_custkey, md5(string_agg(l, chr(10) ORDER BY l)) AS hash FROM (SELECT o_custkey, 'src/m' || o_orderkey || '.py:' || CAST(epoch_ms(o_orderdate) AS BIGINT) AS l FROM orders) x GROUP BY 1",
     "dependency_manifests": "SELECT DISTINCT p_brand || '/' || f.name AS relative_path, ecosystem FROM part, (VALUES ('requirements.txt', 'python'), ('pom.xml', 'java'), ('package.json', 'javascript')) f(name, ecosystem)",
     "listed_dependencies": f"""WITH p AS ({_PARTS}) SELECT brand || '/requirements.txt' AS relative_path, 'python' AS ecosystem, name, CASE k % 4 WHEN 0 THEN v WHEN 1 THEN '>=' || v ELSE 'latest' END AS version, 'prod' AS scope FROM p WHERE k % 4 <> 3
         UNION ALL SELECT brand || '/package.json', 'javascript', name, v, CASE k % 2 WHEN 0 THEN 'prod' ELSE 'dev' END FROM p

@@ -51,10 +51,10 @@ def scan(spark: SparkSession, root: str, ignored_directories: Sequence[str] = ()
     return f.select("path", "relative_path", "name", "extension", "language", F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("modificationTime").alias("modified_time"))
 
 
-def project_hash(files: DataFrame) -> DataFrame:
-    """One row: md5 of sorted "path:time" lines."""
+def project_hash(files: DataFrame, *project: str) -> DataFrame:
+    """One row, or one for each project: md5 of sorted "path:time" lines; a project's lines are one string."""
     line = F.concat_ws(":", "relative_path", F.unix_millis("modified_time").cast("string"))
-    return files.agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("hash"))
+    return files.groupBy(*project).agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("hash"))
 
 
 def manifests(files: DataFrame) -> DataFrame:
