@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from .joins import met
 
 #: Remediation by the pattern of a type, in order; the last fits all (fixed values).
 REMEDIATIONS = (
@@ -19,10 +20,10 @@ RELATIONS = {"call": r"(\w+)\s*\(", "assignment": r"(\w+)\s*=[^=]", "import": r"
 
 
 def lookup(queries: DataFrame, knowledge: DataFrame) -> DataFrame:
-    """(query_id, item): knowledge (item, name, description) whose name or description has the query's text; a rule table, broadcast."""
+    """(query_id, item): knowledge (item, name, description) whose name or description has the query's text."""
     q = F.lower(F.col("query"))
     hit = F.contains(F.lower("name"), q) | F.contains(F.lower("description"), q)
-    return queries.filter("query <> ''").join(F.broadcast(knowledge), hit).select("query_id", "item").distinct()
+    return met(queries.filter("query <> ''"), knowledge, hit).select("query_id", "item").distinct()
 
 
 def fuzzy_targets(references: DataFrame, units: DataFrame) -> DataFrame:
@@ -170,9 +171,9 @@ def path_risk(n_nodes: Column, kinds: Column, n_sanitized: Column, severity: Col
 
 
 def delivered(messages: DataFrame, agents: DataFrame) -> DataFrame:
-    """(message_id, agent): a message to one receiver, or without one to every other agent; agents are a bounded table, broadcast."""
+    """(message_id, agent): a message to one receiver, or without one to every other agent."""
     direct = messages.filter("receiver is not null").select("message_id", F.col("receiver").alias("agent"))
-    rest = messages.filter("receiver is null").select("message_id", "sender").join(F.broadcast(agents.select("agent")), F.col("agent") != F.col("sender"))
+    rest = met(messages.filter("receiver is null").select("message_id", "sender"), agents.select("agent"), F.col("agent") != F.col("sender"))
     return direct.unionByName(rest.select("message_id", "agent"))
 
 

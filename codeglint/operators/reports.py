@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import scoring as S
+from .joins import met
 
 
 def latest(rows: DataFrame, since: str | None = None, limit: int | None = None, ts: str = "ts", order: tuple[str, ...] = (), **equal: object) -> DataFrame:
@@ -176,8 +177,6 @@ def first_contexts(hits: DataFrame, limit: int = 10) -> DataFrame:
 def best_practices(findings: DataFrame, exact: DataFrame, simple: DataFrame, default: list[str]) -> DataFrame:
     """(id, practices): those of the index by type, else of the simple table by type, else by one type holding the other, else
     the default ones.  exact, simple: type, practice; types are matched once, and a finding meets one list."""
-    from .retrieval import small
-
     kinds = findings.select(F.lower("type").alias("type")).distinct()
 
     def lists(table: DataFrame) -> DataFrame:
@@ -187,7 +186,7 @@ def best_practices(findings: DataFrame, exact: DataFrame, simple: DataFrame, def
     a = kinds.join(one, kinds.type == one.known).select("type", F.col("practices").alias("a"))
     b = kinds.join(two, kinds.type == two.known).select("type", F.col("practices").alias("b"))
     holds = F.contains(F.col("type"), F.col("known")) | F.contains(F.col("known"), F.col("type"))
-    c = kinds.join(small(two), holds).groupBy("type").agg(F.min_by("practices", "known").alias("c"))
+    c = met(kinds, two, holds).groupBy("type").agg(F.min_by("practices", "known").alias("c"))
     found = kinds.join(a, "type", "left").join(b, "type", "left").join(c, "type", "left")
     found = found.select("type", F.coalesce("a", "b", "c", F.array(*[F.lit(x) for x in default])).alias("practices"))
     return findings.withColumn("_t", F.lower("type")).join(found.withColumnRenamed("type", "_t"), "_t").select("id", "practices")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as X
+from .joins import met, small
 
 #: Queries and vectors of a block, and vectors that a task compares at once.
 QUERY_BLOCK, VECTOR_BLOCK, TILE = 1024, 32_768, 2048
@@ -84,15 +85,6 @@ def practice_matches(files: DataFrame, text_col: str = "content", language_col:
     return files.withColumn("m", F.explode(F.array_compact(F.array(*found)))).select(*[c for c in files.columns if c != text_col], "m.*")
 
 
-#: Rows of a rule table that may be broadcast; a larger table is joined by a shuffle.
-RULE_ROWS = 100_000
-
-
-def small(table: DataFrame, rows: int = RULE_ROWS) -> DataFrame:
-    """table, to be broadcast if it was counted to have so many rows at most."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
-
-
 def similar_cases(snippets: DataFrame, cases: DataFrame, threshold: float = 0.3, k: int = 10, by: str = "code", language: str = "python") -> DataFrame:
     """(id, case_id, similarity, rank): cases of the snippet's type by code similarity (by: code) or token similarity, the best k.
 
@@ -103,7 +95,7 @@ def similar_cases(snippets: DataFrame, cases: DataFrame, threshold: float = 0.3,
     own, known = kinds.select("type").distinct(), cases.select(F.col("type").alias("c_type")).distinct()
     exact = own.join(known, F.col("type") == F.col("c_type"))
     holds = F.contains(F.col("type"), F.col("c_type")) | F.contains(F.col("c_type"), F.col("type"))
-    types = exact.unionByName(own.join(exact.select("type"), "type", "left_anti").join(small(known), holds))
+    types = exact.unionByName(met(own.join(exact.select("type"), "type", "left_anti"), known, holds))
     c = cases.select("case_id", F.col("type").alias("c_type"), F.col("code").alias("c_code"))
     pairs = kinds.join(small(types), "type").join(small(c), "c_type")
     if by == "code":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import scoring as S
+from ..storage import numbered
 
 
 def exclusive_quantile(values: Column, p: float, least: int = 20) -> Column:
@@ -121,11 +122,15 @@ def sessions(events: DataFrame, gap: str, keys: list[str]) -> DataFrame:
 
 
 def ordinary_trend(history: DataFrame, key: str) -> DataFrame:
-    """Least-squares line through scores in time order by key (key, ord, score): slope, direction, forecast a week on."""
-    rank = (F.row_number().over(Window.partitionBy(key).orderBy("ord")) - 1).cast("double")
-    h = history.withColumn("x", rank)
+    """Least-squares line through scores in time order by key (key, ord, score): slope, direction, forecast a week on.
+
+    ord is unique within its key.  Rows are numbered by ranges of (key, ord), so a key's rows may lie in any number of tasks; a
+    line's slope is the same over numbers that start elsewhere, and its intercept is moved to the key's first.
+    """
+    h = numbered(history, [F.col(key), F.col("ord")], "_place").withColumn("x", F.col("_place").cast("double"))
+    start = F.avg("score") - F.regr_slope("score", "x") * (F.avg("x") - F.min("x"))
     g = h.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.regr_slope("score", "x").alias("slope"), F.regr_intercept("score", "x").alias("intercept"), F.avg("score").alias("mean"),
+        F.count(F.lit(1)).alias("n"), F.regr_slope("score", "x").alias("slope"), start.alias("intercept"), F.avg("score").alias("mean"),
         F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("stdev"), F.max_by("score", "x").alias("current"),
     ).filter("n >= 3")
     slope = F.round("slope", 8)
