@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import scoring as S
-from ..storage import numbered
+from ..storage import numbered, stored
+from .joins import small
 
 
 def exclusive_quantile(values: Column, p: float, least: int = 20) -> Column:
@@ -34,6 +35,31 @@ def layer_stats(metrics: DataFrame, window: Column, keys: list[str] | None = Non
     )
 
 
+def ranked_quantiles(rows: DataFrame, key: str, value: str, quantiles: dict[str, float], least: int = 20) -> DataFrame:
+    """(key, n, the quantiles by name): exclusive_quantile() of all values of a key, whose values are in no one task.
+
+    Equal values are counted first, then dealt by ranges of (key, value); a range's first rank comes from one row for each key and
+    range.  n counts all rows, ranks only those with a value; a null key is a key.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_c"))
+    dealt = stored(counts.repartitionByRange("_key", "_value").withColumn("_range", F.spark_partition_id()), "ranked")
+    sizes = dealt.groupBy(F.col("_key").alias("_k"), F.col("_range").alias("_r")).agg(F.sum("_c").alias("_size"))
+    of_key = Window.partitionBy("_k")
+    starts = sizes.select("_k", "_r", (F.sum("_size").over(of_key.orderBy("_r")) - F.col("_size")).alias("_before"), F.sum("_size").over(of_key).alias("_all"))
+    within = F.sum("_c").over(Window.partitionBy("_key", "_range").orderBy("_value"))
+    d = dealt.withColumn("_within", within).join(small(starts), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    last, n = F.col("_before") + F.col("_within"), F.col("_all")
+    rank = {q: F.least(F.greatest(F.floor(p * (n + 1)), F.lit(1)), n - 1) for q, p in quantiles.items()}
+    at = lambda j: F.max(F.when((last - F.col("_c") < j) & (j <= last), F.col("_value")))
+    found = [x for q, j in rank.items() for x in (at(j).alias(f"_low_{q}"), at(j + 1).alias(f"_high_{q}"))]
+    g = d.groupBy("_key").agg(F.max("_all").alias("_all"), *found)
+    part = lambda q, p: p * (F.col("_all") + 1) - rank[q]
+    value_of = lambda q, p: F.when(F.col("_all") >= least, F.col(f"_low_{q}") + part(q, p) * (F.col(f"_high_{q}") - F.col(f"_low_{q}"))).otherwise(F.lit(0.0))
+    g = g.select("_key", *[value_of(q, p).alias(f"_{q}") for q, p in quantiles.items()])
+    totals = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return totals.join(g, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "n", *[F.round(F.coalesce(F.col(f"_{q}"), F.lit(0.0)), 6).alias(q) for q in quantiles])
+
+
 def with_anomalies(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Flags against the mean of all earlier windows of the same key."""
     keys = keys or ["layer"]

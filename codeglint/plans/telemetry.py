@@ -20,7 +20,7 @@ def layer_stats_60s(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def layer_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    return T.layer_stats(A.metrics(spark, sf), F.window("ts", "3650 days"), ["layer"]).groupBy("layer").agg(F.sum("n").alias("n"), F.max("p95").alias("p95"), F.max("p99").alias("p99"))
+    return T.ranked_quantiles(A.metrics(spark, sf), "layer", "value", {"p95": 0.95, "p99": 0.99})
 
 
 def anomaly_vs_history(spark: SparkSession, sf: str) -> DataFrame:

@@ -23,3 +23,15 @@ def test_trend_of_a_key_over_many_ranges(spark):
     rows = [(k, i, 0.1 * k + 0.003 * i) for k in range(4) for i in range(50)]
     got = {r.key: r for r in T.ordinary_trend(spark.createDataFrame(rows, "key long, ord long, score double"), "key").collect()}
     assert {k: (r.slope, r.intercept, r.current) for k, r in got.items()} == {k: (0.003, round(0.1 * k, 6), round(0.1 * k + 0.147, 6)) for k in range(4)}
+
+
+def test_quantiles_by_ranks(spark):
+    """Equal to those of the sorted values: repeated values, null keys and values, keys of few rows."""
+    rows = [(k, float((i * 7919) % (5 if k == "b" else 400))) for k in ("a", "b", None) for i in range(300)] + [("few", 1.0)] * 3 + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "key string, value double")
+    got = {r.key: r for r in T.ranked_quantiles(df, "key", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).collect()}
+    each = df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.collect_list("value").alias("v"))
+    want = each.select("key", "n", *[F.round(T.exclusive_quantile(F.col("v"), p), 6).alias(q) for q, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]).collect()
+    assert len(got) == len(want) == 5
+    assert all(tuple(got[r.key]) == tuple(r) for r in want)
+    assert T.ranked_quantiles(df.limit(0), "key", "value", {"p50": 0.5}).count() == 0
