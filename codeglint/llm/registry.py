@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_id, lm, matroska, mixing, near_dup, pii, quality, token_files
-from .common import documents
+from . import bpe, chat, kmeans, language_id, line_dedup, lm, matroska, mixing, near_dup, pii, quality, token_files, wavelet_search
+from .common import documents, spread
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,19 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(documents(spark, sf_dir))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return wavelet_search.search(wavelet_search.build_index(documents(spark, sf_dir)), items, k=10)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster_digests(spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(documents(spark, sf_dir), min_docs=10, min_chars=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -67,6 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_chat": op9_chat,
         "op10_lm": op10_lm,
+        "op11_search": op11_search,
+        "op12_clusters": op12_clusters,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
@@ -119,6 +135,52 @@ def op7_sql() -> str:
         SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN before < rest AND before + size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""
 
 
+_LOWER_CASE = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op11_sql(k: int = 10) -> str:
+    found = f"regexp_extract_all({_LOWER_CASE.format("coalesce(text, '')")}, '{wavelet_search.TERM}')"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {found} AS t FROM documents),
+        n AS (SELECT r, doc_id, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0),
+        g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+        m AS (SELECT r, doc_id, 100 - 75 + (75 * n * docs) // total AS m FROM n, g),
+        q AS (SELECT b, item_id, term, count(*) AS c FROM (SELECT row_number() OVER () AS b, item_id, unnest({found}) AS term FROM benchmark) x GROUP BY ALL),
+        p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) x WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, g GROUP BY term, docs),
+        s AS (SELECT b, item_id, m.r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) x WHERE rank <= {k}"""
+
+
+def op12_sql(k: int = kmeans.CLUSTERS, rounds: int = kmeans.ROUNDS, width: int = kmeans.DIMENSIONS) -> str:
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({kmeans.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT c, x FROM (SELECT row_number() OVER (ORDER BY sha256('{kmeans.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), 'null')), x) - 1 AS c, x FROM v) y WHERE c < {k})",
+    ]
+    apart = "CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, min({{'d': d, 'c': c}}) AS best FROM (SELECT r, vec_id, v.x, c, {apart} AS d FROM v, c{i} c) y GROUP BY r)")
+        if i < rounds:
+            parts.append(f"""u{i} AS MATERIALIZED (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM
+                (SELECT best.c AS c, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, {width + 1})) AS j) t GROUP BY ALL) y GROUP BY c)""")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(u{i}.x, c.x) AS x FROM c{i} c LEFT JOIN u{i} ON c.c = u{i}.c)")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.best.c = c.c"""
+
+
+def op13_sql(min_docs: int = line_dedup.MIN_DOCS, min_chars: int = line_dedup.MIN_CHARS) -> str:
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        l AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
+        k AS (SELECT *, {_LOWER_CASE.format(f"trim(line, {_SPACES})")} AS key FROM l),
+        s AS (SELECT key FROM k WHERE length(key) >= {min_chars} AND key <> '' GROUP BY key HAVING count(DISTINCT r) >= {min_docs})
+        SELECT doc_id, count(*) AS n_lines, count(s.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE s.key IS NULL), '')) AS kept_sha256
+        FROM k LEFT JOIN s ON k.key = s.key GROUP BY r, doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """op7 and op8; the others need a tokenizer, a codec, a trained model or repeated links, and are tested against brute force."""
-    return {"op7_mixing": op7_sql(), "op8_quality": op8_sql()}
+    """op7, op8 and op11 to op13; the others need a tokenizer, a codec, a trained model or repeated links, and are tested against brute force."""
+    return {"op7_mixing": op7_sql(), "op8_quality": op8_sql(), "op11_search": op11_sql(), "op12_clusters": op12_sql(), "op13_line_dedup": op13_sql()}
