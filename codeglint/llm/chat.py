@@ -29,7 +29,8 @@ class Mapping:
 
     fields: (path, role) pairs of single texts, in order; neighbours of one role make one turn, a blank line between them.  Or
     turns: path of a list whose items have role_key and text_key.
-    roles: the layout's role names that differ from system, user and assistant.
+    roles: the layout's role names that differ from system, user and assistant. Turns whose own roles have such names aren't
+    written in that layout (chat_records), as they would come back renamed.
     """
 
     name: str
@@ -142,7 +143,8 @@ def parsed(text: str) -> list[tuple[str, str]]:
 def format_chats(records: DataFrame, id_col: str = "conv_id", json_col: str = "record", mappings=MAPPINGS, trained: str = "assistant") -> DataFrame:
     """The id column, layout, formatted and spans array<struct<start,end>> of JSON records.
 
-    layout is null, and so are the rest, where a record is null, is no JSON object or has an unknown fingerprint.
+    layout is null, and so are the rest, where a record is null, is no JSON object or has an unknown fingerprint.  One row per row
+    of records: null and repeated ids are kept, other columns are not read, and an empty table gives an empty result.
     """
 
     def work(batches):
@@ -208,8 +210,9 @@ def chat_records(rows: DataFrame) -> DataFrame:
     Turns go by turn, role, text, nulls first.  A hash of conv_id chooses: user + assistant in prompt and response, prompt and
     completion, question and answer, or instruction and output, with an input where the user's text has a blank line inside;
     system + user + assistant in system, prompt, response; others, and a share of all, in messages, conversations or nested
-    turns.  Rows of a null conv_id make one conversation, repeated rows are turns each, other columns are not read, and an
-    empty table gives an empty result.
+    turns.  A conversation with a role that a mapping would rename (human, gpt, bot) goes into messages, so every role comes back
+    as it is; a null role comes back empty.  Rows of a null conv_id make one conversation, repeated rows are turns each, other
+    columns are not read, and an empty table gives an empty result.
     """
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce(F.col("text"), F.lit("")).alias("text"))))
     t = rows.groupBy("conv_id").agg(turns.alias("t"))
@@ -222,6 +225,8 @@ def chat_records(rows: DataFrame) -> DataFrame:
         return F.coalesce(roles == F.array(*[F.lit(n) for n in names]), F.lit(False))
 
     pick = F.pmod(F.xxhash64("conv_id"), F.lit(7))
+    renamed = sorted({name for m in MAPPINGS for name, _ in m.roles})
+    safe = ~F.exists("t", lambda x: F.coalesce(x["role"].isin(renamed), F.lit(False)))
 
     def items(role: str, said: str):
         return F.transform("t", lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias(role), x["text"].alias(said)))
@@ -236,15 +241,15 @@ def chat_records(rows: DataFrame) -> DataFrame:
 
     record = (
         F.when(pick == 0, F.to_json(F.struct(items("role", "content").alias("messages"))))
-        .when(pick == 1, F.to_json(F.struct(items("from", "value").alias("conversations"))))
-        .when(pick == 2, F.to_json(F.struct(F.struct(items("speaker", "text").alias("turns")).alias("dialog"))))
+        .when(safe & (pick == 1), F.to_json(F.struct(items("from", "value").alias("conversations"))))
+        .when(safe & (pick == 2), F.to_json(F.struct(F.struct(items("speaker", "text").alias("turns")).alias("dialog"))))
         .when(split & (pick == 3), F.to_json(F.struct(first.alias("instruction"), second.alias("input"), text(1).alias("output"))))
         .when(both & (pick == 3), pair("instruction", "output"))
         .when(both & (pick == 4), pair("prompt", "completion"))
         .when(both & (pick == 5), pair("question", "answer"))
         .when(both, pair("prompt", "response"))
         .when(fits("system", "user", "assistant"), F.to_json(F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response"))))
-        .when(pick < 5, F.to_json(F.struct(items("from", "value").alias("conversations"))))
+        .when(safe & (pick < 5), F.to_json(F.struct(items("from", "value").alias("conversations"))))
         .otherwise(F.to_json(F.struct(items("role", "content").alias("messages"))))
     )
     return t.select("conv_id", record.alias("record"))

@@ -78,3 +78,13 @@ def test_every_layout_is_met(spark):
     made = chat.format_chats(chat.chat_records(df))
     assert {r.layout for r in made.select("layout").distinct().collect()} == {m.name for m in chat.MAPPINGS if not m.name.startswith("no-")}
     assert sorted(tuple(r)[:5] for r in chat.read_back(made).collect()) == expected(rows)
+
+
+def test_roles_come_back_as_they_are(spark):
+    """Roles that some layout gives another meaning, unknown, empty and null ones, in conversations of every hash."""
+    names = ["human", "gpt", "bot", "tool", "", "user", "assistant", "system", "Human", None]
+    rows = [(i, k, names[(i + k) % len(names)], f"t{k}") for i in range(200) for k in range(1 + i % 4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(chat.chat_records(df))
+    assert sorted(tuple(r)[:5] for r in chat.read_back(made).collect()) == expected([(c, t, r or "", x) for c, t, r, x in rows])
+    assert {"conversations", "nested-turns", "messages"} <= {r.layout for r in made.select("layout").distinct().collect()}
