@@ -4,7 +4,8 @@ Each document gets an exponential key -ln(u) / w, with u from a hash of its id a
 documents of smallest key come first.  A source's target is met by complete epochs, then by a fractional selection: the prefix
 in key order whose words come nearest to what is left.  Prefix sums run over blocks of key bins, then over the bins (about
 BIN_ROWS rows each) of the block that holds the cut, and only the bin with the cut is sorted, so a source with a third of all
-rows is never gathered in one task.
+rows is never gathered in one task.  Rows alike in key, id and size count as one there; where the cut falls among them, it is found
+in the same way by bins of a hash.
 """
 
 from __future__ import annotations
@@ -67,7 +68,9 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, max_e
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> dict[str, Column]:
     text, key = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
-    return {"_id": key, "_source": F.col(f"`{source_col}`"), "_size": word_count(text), "_key": -F.log(uniform(key, seed)) / quality_weight(text)}
+    columns = {"_id": key, "_source": F.col(f"`{source_col}`"), "_size": word_count(text), "_key": -F.log(uniform(key, seed)) / quality_weight(text)}
+    # which of the rows alike in key, id and size comes first; rows alike in text too are told apart by their number
+    return columns | {"_text_hash": F.xxhash64(text), "_number": F.monotonically_increasing_id()}
 
 
 def _bin() -> Column:
@@ -83,10 +86,29 @@ def _last_below(sums: DataFrame, place: str, base: Column) -> DataFrame:
 
 
 def _place() -> Column:
-    """A row's place in its source's order; rows alike in key, id and size are taken together."""
+    """A row's place in its source's order but for rows alike in key, id and size."""
     return F.struct(F.col("_key"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("_size"))
 
 
+def _tie() -> Column:
+    """The place among rows alike in key, id and size: a number from 0 to 1, then the row's own."""
+    bits = F.xxhash64(F.col("_text_hash"), F.col("_number")).bitwiseAND(F.lit(2**52 - 1))
+    return F.struct((bits / F.lit(float(2**52))).alias("u"), F.col("_text_hash"), F.col("_number"))
+
+
+def _cuts(binned: DataFrame, amount: Column, small: bool, name: str) -> DataFrame:
+    """source, cut and cut_before: the bin of each source's rows (_source, _bin, left) in which left is used up, and what the bins
+    before it have of the amount.  Sums run over blocks of bins, then over the bins of the block with the cut."""
+    binned = binned.withColumn("_block", F.floor(F.col("_bin") / BLOCK_BINS).cast("long"))
+    # the picks end in the last block, and there in the last bin, that begins below what is left
+    blocks = _last_below(binned.groupBy("_source", "_block").agg(F.sum(amount).alias("sum"), F.first("left").alias("left")), "_block", F.lit(0))
+    blocks = stored(blocks.select(F.col("_source").alias("source"), F.col("_block").alias("in_block"), F.col("before").alias("block_before")), f"{name}-blocks")
+    inside = with_source(binned, blocks, small).filter(F.col("_block") == F.col("in_block"))
+    bins = inside.groupBy("_source", "_bin").agg(F.sum(amount).alias("sum"), F.first("left").alias("left"), F.first("block_before").alias("block_before"))
+    cuts = _last_below(bins, "_bin", F.col("block_before"))
+    return stored(cuts.select(F.col("_source").alias("source"), F.col("_bin").alias("cut"), F.col("before").alias("cut_before")), f"{name}-cuts")
+
+
 def with_source(df: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
     """df with the columns of its source's row; a table of few sources is broadcast."""
     side = sources.withColumnRenamed("source", "_of")
@@ -94,8 +116,9 @@ def with_source(df: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
 
 
 def source_plan(rows: DataFrame, weights: Sequence[float], max_epochs: int) -> tuple[DataFrame, bool]:
-    """Per source of rows (_id, _source, _size, _key): source_size, target, epochs, left (words beyond the epochs), n_bins, cut
-    (the bin in which the picks end) and last (the last pick there, or null); and whether the table is small."""
+    """Per source of rows from _keyed(): source_size, target, epochs, left (words beyond the epochs), n_bins, cut (the bin in which
+    the picks end), last (the place there at which they end, or null), alike and take (rows of that place, and how many of them are
+    picked) and last_tie (the last of these, where some are and some aren't); and whether the table is small."""
     sums = rows.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     targets = source_targets(sums, weights, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -103,26 +126,39 @@ def source_plan(rows: DataFrame, weights: Sequence[float], max_epochs: int) -> t
     targets = stored(targets.withColumn("n_bins", F.ceil(F.col("n_rows") / BIN_ROWS)).drop("n_rows"), "mix-targets")
     small = targets.count() <= BROADCAST_SOURCES
     binned = with_source(rows, targets, small).withColumn("_bin", _bin())
-    binned = binned.withColumn("_block", F.floor(F.col("_bin") / BLOCK_BINS).cast("long"))
-    # the picks end in the last block, and there in the last bin, that begins below what is left
-    blocks = _last_below(binned.groupBy("_source", "_block").agg(F.sum("_size").alias("sum"), F.first("left").alias("left")), "_block", F.lit(0))
-    blocks = stored(blocks.select(F.col("_source").alias("source"), F.col("_block").alias("in_block"), F.col("before").alias("block_before")), "mix-blocks")
-    inside = with_source(binned, blocks, small).filter(F.col("_block") == F.col("in_block"))
-    bins = inside.groupBy("_source", "_bin").agg(F.sum("_size").alias("sum"), F.first("left").alias("left"), F.first("block_before").alias("block_before"))
-    cuts = _last_below(bins, "_bin", F.col("block_before"))
-    cuts = stored(cuts.select(F.col("_source").alias("source"), F.col("_bin").alias("cut"), F.col("before").alias("cut_before")), "mix-cuts")
-    running = Window.partitionBy("_source").orderBy(_place()).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = _cuts(binned, F.col("_size"), small, "mix")
     edge = with_source(binned, cuts, small).filter(F.col("_bin") == F.col("cut"))
-    edge = edge.withColumn("start", F.col("cut_before") + F.coalesce(F.sum("_size").over(running), F.lit(0)))
-    last = edge.filter(F.col("start") + F.col("_size") / 2.0 <= F.col("left")).groupBy("_source").agg(F.max(_place()).alias("last"))
+    # rows alike are one before they meet in a window, so however many share an id, a bin stays small
+    edge = edge.groupBy("_source", _place().alias("last"), "_size", "left", "cut_before").agg(F.count(F.lit(1)).alias("alike"))
+    running = Window.partitionBy("_source").orderBy("last").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("start", F.col("cut_before") + F.coalesce(F.sum(F.col("_size") * F.col("alike")).over(running), F.lit(0)))
+    fits = F.floor((F.col("left") - F.col("start")) / F.col("_size") + 0.5).cast("long")
+    edge = edge.withColumn("take", F.when(F.col("_size") > 0, F.least(fits, F.col("alike"))).otherwise(F.col("alike")))
+    ends = edge.filter(F.col("start") < F.col("left")).groupBy("_source").agg(F.max(F.struct("last", "alike", "take")).alias("end"))
     plan = with_source(targets.withColumn("_source", F.col("source")).drop("source"), cuts.select("source", "cut"), small)
-    plan = with_source(plan, last.withColumnRenamed("_source", "source"), small)
-    return stored(plan.withColumnRenamed("_source", "source"), "mix-plan"), small
+    plan = with_source(plan, ends.select(F.col("_source").alias("source"), "end.*"), small)
+    plan = stored(plan.withColumnRenamed("_source", "source"), "mix-plan")
+    return _with_last_tie(rows, plan, small), small
+
+
+def _with_last_tie(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
+    """plan with last_tie, found among the rows of the place at which a source's picks end as the cut is among all: by bins."""
+    split = plan.filter((F.col("take") > 0) & (F.col("take") < F.col("alike"))).select("source", "last", F.col("alike").alias("n"), F.col("take").alias("left"))
+    if split.isEmpty():
+        return plan.withColumn("last_tie", F.lit(None).cast("struct<u:double,_text_hash:bigint,_number:bigint>"))
+    tied = with_source(rows, split, small).filter(_place() == F.col("last")).withColumn("_tie", _tie())
+    tied = tied.withColumn("_bin", F.floor(F.col("_tie.u") * F.ceil(F.col("n") / BIN_ROWS)).cast("long"))
+    cuts = _cuts(tied, F.lit(1), small, "mix-tie")
+    edge = with_source(tied, cuts, small).filter(F.col("_bin") == F.col("cut"))
+    at = F.row_number().over(Window.partitionBy("_source").orderBy("_tie")) + F.col("cut_before")
+    last = edge.withColumn("_at", at).filter(F.col("_at") <= F.col("left")).groupBy("_source").agg(F.max("_tie").alias("last_tie"))
+    return stored(with_source(plan.withColumnRenamed("source", "_source"), last.withColumnRenamed("_source", "source"), small).withColumnRenamed("_source", "source"), "mix-tied-plan")
 
 
 def _with_plan(df: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
-    b = _bin()
-    picked = (b < F.col("cut")) | ((b == F.col("cut")) & F.col("last").isNotNull() & (_place() <= F.col("last")))
+    b, whole = _bin(), F.col("take") == F.col("alike")
+    inside = (_place() < F.col("last")) | ((_place() == F.col("last")) & (whole | (_tie() <= F.col("last_tie"))))
+    picked = (b < F.col("cut")) | ((b == F.col("cut")) & F.col("last").isNotNull() & inside)
     return with_source(df, plan, small).withColumn("picked", F.coalesce(picked, F.lit(False)))
 
 
@@ -133,8 +169,9 @@ def mixed(
     """One row per row of docs: doc_id, source, size, source_size, target, epochs, picked, taken.
 
     size: the text's words (null: 0).  taken = size * (epochs + picked).  The picks of a source are the prefix in key order
-    whose end is nearest to what is left.  Null ids and equal ids draw the same u as their equals.  An empty table gives an
-    empty result.  Texts are read once and never shuffled.
+    whose end is nearest to what is left.  Null ids and equal ids draw the same u as their equals; of rows alike in key, id and size
+    as many are picked as come nearest, told apart by hashes of their texts and, alike in these, of their numbers.  An empty table
+    gives an empty result.  Texts are read once and never shuffled.
     """
     rows = stored(docs.select(*[c.alias(n) for n, c in _keyed(docs, id_col, text_col, source_col, seed).items()]), "mix-sizes")
     out = _with_plan(rows, *source_plan(rows, weights, max_epochs))
@@ -148,8 +185,9 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs.
 
-    A document of no words is taken as often as its place in the order says.  Rows are written once with their sizes and keys,
-    so texts are read once and not shuffled.
+    A document of no words is taken as often as its place in the order says.  Nulls, repeated ids and rows, and an empty table as
+    in mixed(); columns of docs may have any names.  Rows are written once with their sizes and keys, so texts are read once and
+    not shuffled.
     """
     keyed = _keyed(docs, id_col, text_col, source_col, seed)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in keyed.items()])

@@ -65,6 +65,33 @@ def same(got, want):
         assert (*g[:3], g[4]) == (*w[:3], w[4]) and g[3] == pytest.approx(w[3])
 
 
+def ties():
+    """Sources of rows of one id, of none, of a few ids, and with empty texts."""
+    rows = [(7, "one two three four five", "x")] * 200 + [(None, "a b c", "y")] * 150 + [(i % 3, "a b c d", "z") for i in range(90)]
+    return rows + [(None, None, "z")] * 40 + [(5, f"w{i} w w", "v") for i in range(77)] + [(i, "own words of its own", None) for i in range(50)]
+
+
+def test_ties_are_cut_inside(spark):
+    df = spark.createDataFrame(ties(), "doc_id long, text string, source string").repartition(5)
+    got = mixing.mixed(df).collect()
+    same([(r.doc_id, r.size, r.source_size, r.target, r.taken) for r in got], brute_mix(ties()))
+    taken, goal = defaultdict(int), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 5 for s in goal)
+    assert sorted(map(str, mixing.mixed(df).collect())) == sorted(map(str, got))
+    copies = Counter((r.doc_id, r.text, r.source) for r in mixing.mixed_documents(df).collect())
+    assert {s: sum(n * len(words(t)) for (_, t, x), n in copies.items() if x == s) for s in goal} == dict(taken)
+
+
+def test_many_rows_of_no_id(spark):
+    """A third of all rows share no id and one text, and the cut falls inside."""
+    df = spark.range(100_000).selectExpr("cast(null as long) AS doc_id", "'a b c' AS text", "'x' AS source").union(spark.range(200_000).selectExpr("id", "'a b c d'", "'y'"))
+    sums = {r.source: r for r in mixing.mixed(df).groupBy("source").agg({"taken": "sum", "target": "max", "taken": "sum"}).collect()}
+    goals = {r.source: r.target for r in mixing.mixed(df).select("source", "target").distinct().collect()}
+    assert all(abs(sums[s]["sum(taken)"] - goals[s]) <= 4 for s in goals)
+
+
 def test_op7(spark, sf, docs):
     got = queries.op7_mixing(spark, sf).collect()
     same(got, brute_mix([(r.doc_id, r.text, r.source) for r in docs.collect()]))
@@ -127,7 +154,8 @@ def test_quality_odd_rows(odd, none):
 def test_sql_agrees(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, sf)
         res = con.execute(sql)
