@@ -52,22 +52,78 @@ CONTEXT = {
 AGAINST = "version|section|isbn|page|chapter|article|§|license"
 
 
+#: Prefixes are taken within groups of so many elements, groups of groups, and so on for LEVELS levels; code points of a piece of text.
+GROUP, LEVELS, PIECE = 32, 4, 1024
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _prefixes(values: Column, zero: Column, both, level: int = 0) -> Column:
+    """What both() makes of all elements before each; values isn't empty.
+
+    No accumulator grows: an element meets those before it in its group, and the groups before as one element each.  The work is
+    GROUP / 2 steps an element and level, up to GROUP^LEVELS elements.
+    """
+
+    def within(x: Column, start: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.aggregate(F.slice(x, F.lit(1), i), start, both))
+
+    def spread(groups: Column) -> Column:
+        before = _prefixes(F.transform(groups, lambda g: F.aggregate(g, zero, both)), zero, both, level + 1)
+        return F.flatten(F.zip_with(groups, before, within))
+
+    def whole(x: Column) -> Column:
+        if level == LEVELS:
+            return within(x, zero)
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / GROUP).cast("int")), lambda g: F.slice(x, g * GROUP + 1, F.lit(GROUP)))
+        # a single group needs no level above it
+        return F.when(F.size(x) <= GROUP, within(x, zero)).otherwise(_bound(groups, spread))
+
+    return _bound(values, whole)
+
+
+def _sums(values: Column) -> Column:
+    return _prefixes(values, F.lit(0), lambda a, x: a + x)
+
+
+def _maxima(values: Column) -> Column:
+    """The largest element before each, -1 for the first; elements aren't negative."""
+    return _prefixes(values, F.lit(-1), lambda a, x: F.greatest(a, x))
+
+
+def _pieces(text: Column) -> Column:
+    """A text in pieces of PIECE code points, so that a part of it is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points of a text from start to end (exclusive, both within it), by its pieces."""
+    a, b = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    head = F.coalesce(F.get(pieces, a), F.lit(""))
+    one = F.substr(head, start - a * PIECE + 1, end - start)
+    inside = F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), "")
+    many = F.concat(F.substr(head, start - a * PIECE + 1, F.lit(PIECE)), inside, F.substr(F.coalesce(F.get(pieces, b), F.lit("")), F.lit(1), end - b * PIECE))
+    return F.when(a == b, one).otherwise(many)
+
+
 def _spans(text: Column, name: str, pattern: str, kind: str) -> Column:
     """array<struct<kind, start, end, s, name>> of all matches; positions count code points, the end is exclusive."""
     cell = "struct<kind:string,start:int,end:int,s:string,name:string>"
 
     def placed(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            a = acc["at"] + F.length(F.get(x["gaps"], i))
-            b = a + F.length(F.get(x["found"], i))
-            one = F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), F.get(x["found"], i).alias("s"), F.lit(name).alias("name"))
-            return F.struct(b.alias("at"), F.concat(acc["out"], F.array(one)).cast(f"array<{cell}>").alias("out"))
+        found, lengths = x["found"], F.transform(F.sequence(F.lit(0), F.size(x["found"]) - 1), lambda i: F.length(F.get(x["gaps"], i)) + F.length(F.get(x["found"], i)))
 
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{cell}>").alias("out"))
-        return F.when(F.size(x["found"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), none, step, lambda a: a["out"]))
+        def one(i: Column, before: Column) -> Column:
+            a = before + F.length(F.get(x["gaps"], i))
+            return F.struct(F.lit(kind).alias("kind"), a.alias("start"), (a + F.length(F.get(found, i))).alias("end"), F.get(found, i).alias("s"), F.lit(name).alias("name"))
+
+        return F.when(F.size(found) > 0, F.zip_with(F.sequence(F.lit(0), F.size(found) - 1), _bound(lengths, _sums), one).cast(f"array<{cell}>"))
 
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
-    out = F.element_at(F.transform(F.array(both), placed), 1)
+    out = _bound(both, placed)
     return F.coalesce(F.when(F.regexp_like(text, F.lit(GATES[name])), out), F.array().cast(f"array<{cell}>"))
 
 
@@ -98,11 +154,10 @@ def _valid(x: Column) -> Column:
     )
 
 
-def _votes(x: Column, text: Column) -> Column:
+def _votes(x: Column, pieces: Column) -> Column:
     """One character of VOTES for each labeler."""
     s, name, digits = x["s"], x["name"], _digits(x["s"])
-    start = F.greatest(x["start"] - 32, F.lit(0))
-    before = F.lower(F.substr(text, start + 1, x["start"] - start))
+    before = F.lower(_part(pieces, F.greatest(x["start"] - 32, F.lit(0)), x["start"]))
 
     def vote(yes: Column, no: Column | None = None) -> Column:
         return F.when(yes, F.lit("+")).when(F.lit(True) if no is None else no, F.lit("-")).otherwise(F.lit("0"))
@@ -142,8 +197,12 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     placed = docs.withColumn("_placed", F.concat(*parts))
     judged = F.transform("_placed", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), x["name"].alias("name"), _valid(x).alias("ok")))
     placed = placed.withColumn("_judged", judged)
-    found = F.transform("_judged", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["ok"].alias("ok"), _votes(x, text).alias("votes")))
-    return placed.withColumn("_found", found).drop("_placed", "_judged")
+
+    def voted(pieces: Column) -> Column:
+        return F.transform("_judged", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["ok"].alias("ok"), _votes(x, pieces).alias("votes")))
+
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,ok:boolean,votes:string>>")
+    return placed.withColumn("_found", F.when(F.size("_judged") > 0, _bound(_pieces(text), voted)).otherwise(none)).drop("_placed", "_judged")
 
 
 # Aggregation of votes: small arithmetic on the driver over pattern counts ---------------------------------------------
@@ -213,6 +272,25 @@ def decision(x: Column, w: dict[tuple[str, str], float]) -> Column:
     return total
 
 
+def _clear(base: Column, more: Column) -> Column:
+    """Of more, in order of their ends, what overlaps no span of base.
+
+    Ends of more and starts of base in one order: x overlaps if some base span that starts before x's end ends behind x's start.
+    """
+
+    def kept(both: Column) -> Column:
+        starts = F.transform(both["base"], lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("kind"), b["end"].alias("end"), F.lit(None).cast("int").alias("i")))
+        ends = F.transform(both["more"], lambda x, i: F.struct(x["end"].alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("end"), i.alias("i")))
+
+        def judged(events: Column) -> Column:
+            return F.zip_with(events, _maxima(F.transform(events, lambda e: e["end"])), lambda e, m: F.struct(F.get(both["more"], e["i"]).alias("x"), m.alias("last")))
+
+        fine = F.filter(_bound(F.array_sort(F.concat(starts, ends)), judged), lambda j: j["x"].isNotNull() & (j["last"] <= j["x"]["start"]))
+        return F.when((F.size(both["more"]) > 0) & (F.size(both["base"]) > 0), F.transform(fine, lambda j: j["x"])).otherwise(both["more"])
+
+    return _bound(F.struct(base.alias("base"), more.alias("more")), kept)
+
+
 def _spanned(rows: DataFrame) -> DataFrame:
     """_row, base and spans of rows (_row, _text); _row may hold anything."""
     found = stored(candidates(rows, "_text").select("_row", "_found"), "pii-candidates")
@@ -224,7 +302,7 @@ def _spanned(rows: DataFrame) -> DataFrame:
     if patterns:
         w = span_classifier(patterns, reliabilities(patterns)[2])
         clear = F.filter("_found", lambda x: ~x["ok"] & (decision(x, w) > 0))
-        more = F.filter(clear, lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        more = _clear(F.col("_base"), clear)
     found = found.withColumn("_base", base)
 
     def plain(a: Column) -> Column:
@@ -253,7 +331,11 @@ def joined(spans: Column) -> Column:
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every whole text."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every whole text.
+
+    One row per row of docs, also of a null or repeated id; a null or empty text has no span, other columns are not read, and an
+    empty table gives an empty result.
+    """
     d = with_spans(docs)
 
     def count(kind: str) -> Column:
@@ -265,16 +347,20 @@ def span_digests(docs: DataFrame) -> DataFrame:
 
 def masked(text: Column, spans: Column) -> Column:
     """text with each span replaced by its kind in brackets; of overlapping spans the first stands for all."""
-    by_start = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        gap = F.substr(text, acc["at"] + 1, x["start"] - acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    def groups(x: Column) -> Column:
+        """The first span of each run of overlapping ones, with the end of what is masked before it."""
+        past = F.zip_with(x, _maxima(F.transform(x, lambda s: s["end"])), lambda s, m: F.struct(s.alias("s"), F.greatest(m, F.lit(0)).alias("past")))
+        return F.filter(past, lambda p: p["s"]["start"] >= p["past"])
+
+    def replaced(x: Column) -> Column:
+        by_start = F.array_sort(F.transform(x["spans"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        marks = F.transform(_bound(by_start, groups), lambda p: F.concat(_part(x["pieces"], p["past"], p["s"]["start"]), F.lit("["), F.upper(p["s"]["kind"]), F.lit("]")))
+        rest = _bound(F.array_max(F.transform(x["spans"], lambda s: s["end"])), lambda last: _part(x["pieces"], last, x["size"]))
+        return F.concat(F.array_join(marks, ""), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(by_start, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
+    parts = F.struct(spans.alias("spans"), _pieces(text).alias("pieces"), F.length(text).alias("size"))
+    return F.when(F.size(spans) > 0, _bound(parts, replaced)).otherwise(text)
 
 
 def masked_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:

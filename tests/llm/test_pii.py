@@ -1,6 +1,7 @@
 """Personal data against brute force, the aggregation of votes, masking."""
 
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
@@ -106,3 +107,53 @@ def test_masking_keeps_all_columns(spark, none):
     sized = spark.createDataFrame([(1, "a@b.org", 7), (2, None, 5)], "doc_id long, text string, n_chars int")
     assert sorted((r.doc_id, r.n_chars) for r in pii.masked_documents(sized).collect()) == [(1, 7), (2, 5)]
     assert pii.masked_documents(none).collect() == []
+
+
+def test_thousands_of_matches(spark):
+    """Ten thousand addresses, numbers and more in one text: spans, other candidates and masks as in small texts, in seconds."""
+    import time
+
+    draw = random.Random(4)
+    part = lambda i: draw.choice([f"é mail u{i}@h{i}.org", f"{i % 256}.2.3.4", f"+49 30 {1000000 + i}", f"tel 415-555-{1000 + i % 9000}", "\U0001f600 words", f'token = "abcdef0123456789{i:06d}"'])
+    text = " ".join(part(i) for i in range(15_000))
+    df = spark.createDataFrame([(1, text), (2, "a@b.org " * 10_000)], "doc_id long, text string")
+    pii.masked_documents(df.limit(0)).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in pii.with_spans(df).collect()}
+    plain = base(text)
+    assert [tuple(x) for x in got[1].base] == plain and len(got[2].base) == 10_000
+    known = set(plain)
+    more = [x for x in got[1].spans if tuple(x) not in known] if len(got[1].spans) > len(plain) else []
+    assert more and not any(a < y.end and y.start < b for _, a, b in plain[:300] for y in more)
+    masks = {r.doc_id: r.text for r in pii.masked_documents(df).collect()}
+    assert masks[2] == "[EMAIL] " * 10_000 and masks[1] == mask(text, got[1].spans)
+    assert time.time() - began < 60
+
+
+def mask(text, spans):
+    out, at = [], 0
+    for s in sorted(spans, key=lambda s: (s.start, s.end, s.kind)):
+        if s.start >= at:
+            out += [text[at : s.start], f"[{s.kind.upper()}]"]
+        at = max(at, s.end)
+    return "".join(out) + text[at:]
+
+
+def test_prefixes_parts_and_masks(spark):
+    """Prefixes over several levels, parts across pieces, masks of overlapping spans, candidates that touch base spans."""
+    draw = random.Random(9)
+    values = [[draw.randrange(50) for _ in range(n)] for n in (1, 15, 16, 17, 256, 257, 5000)]
+    df = spark.createDataFrame([(v,) for v in values], "v array<int>")
+    for r in df.select("v", pii._sums(F.col("v")).alias("s"), pii._maxima(F.col("v")).alias("m")).collect():
+        assert r.s == [sum(r.v[:i]) for i in range(len(r.v))] and r.m == [max([-1, *r.v[:i]]) for i in range(len(r.v))]
+    text = "".join(draw.choices("aé\U0001f600\n ", k=5000))
+    cuts = [(a, b) for a, b in (sorted(draw.choices(range(5001), k=2)) for _ in range(60))] + [(0, 0), (5000, 5000), (0, 5000), (1024, 2048), (1023, 1025)]
+    parts = spark.createDataFrame([(text, a, b) for a, b in cuts], "t string, a int, b int").select(pii._part(pii._pieces(F.col("t")), F.col("a"), F.col("b")).alias("p"), "a", "b")
+    assert all(r.p == text[r.a : r.b] for r in parts.collect())
+    kind = "array<struct<kind:string,start:int,end:int>>"
+    sets = [[(k, a, min(5000, a + draw.randrange(1, 90))) for k in draw.choices(("email", "ip"), k=n) for a in [draw.randrange(4900)]] for n in (1, 3, 40, 300)]
+    for r in spark.createDataFrame([(text, s) for s in sets], f"t string, s {kind}").select("s", pii.masked(F.col("t"), F.col("s")).alias("m")).collect():
+        assert r.m == mask(text, r.s)
+    pairs = [(sets[1], sets[2]), (sets[2], sets[3]), ([], sets[1]), (sets[1], [])]
+    for r in spark.createDataFrame(pairs, f"b {kind}, m {kind}").select("b", "m", pii._clear(F.col("b"), F.col("m")).alias("k")).collect():
+        assert sorted(map(tuple, r.k)) == sorted(tuple(x) for x in r.m if not any(b.start < x.end and x.start < b.end for b in r.b))
