@@ -6,7 +6,9 @@ pairs once, so every token of the corpus gets its exactly normalised probability
 
 The model knows the most frequent words; the others share a class, within which a word has its smoothed share of training
 counts.  Counts and training cover the whole training part, every word of every document: each partition trains its own copy of
-the parameters on an executor, and their mean starts the next round.  The number of words that the model knows grows with the
+the parameters on an executor, and their mean starts the next round.  At every size training goes over the text once: each round
+takes the documents of another share of ids, by hash.  The parameters depend on how the rows are dealt to partitions, so clusters
+that deal them otherwise get other scores; base scores and counts don't depend on it.  The number of words that the model knows grows with the
 square root of the training tokens, up to MOST_CLASSES.  The HEAD most frequent words, a bounded table, go to every worker; counts of
 all other words are found by a join, whose keys can't be hot as the hot words are in the head.
 """
@@ -34,8 +36,8 @@ REST, END = 0, 1
 MOST_CLASSES = 2048
 #: Noise words are drawn once a batch and shared by its targets.
 DIM, NOISE = 24, 64
-#: Rounds of training.  A training part of fewer than SMALL tokens is gone over in every round, a larger one once in all of them.
-ROUNDS, SMALL = 4, 4_000_000
+#: Rounds of training, each over another share of the documents.
+ROUNDS = 4
 BATCH, RATE = 2048, 0.1
 #: States of parameters that a task averages, and that the driver does; a state has at most 0.8 MB.
 MEANS, LAST_MEANS = 32, 8
@@ -292,8 +294,8 @@ def averaged(states: DataFrame, parts: int) -> tuple[int, np.ndarray | None]:
 
 
 def trained_model(docs: DataFrame, id_col: str, text_col: str, folds: int, held: int, empty: Scorer, unigram: np.ndarray, total: int) -> tuple[LogBilinear, int]:
-    """The model after ROUNDS rounds over all rows outside fold `held`, and the tokens it was trained on in all."""
-    model, id_of_index, small, trained = LogBilinear(unigram), uuid.uuid4().hex, total < SMALL, 0
+    """The model after ROUNDS rounds, together one pass over all rows outside fold `held`, and the tokens it was trained on in all."""
+    model, id_of_index, trained = LogBilinear(unigram), uuid.uuid4().hex, 0
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("_text"))
     parts = d.rdd.getNumPartitions()
     for at in range(ROUNDS if total else 0):
@@ -317,7 +319,7 @@ def trained_model(docs: DataFrame, id_col: str, text_col: str, folds: int, held:
             n = mine.train_texts(texts(), seed=1_000_003 * at + part)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([mine.state().tobytes()], pa.binary())], names=["part", "n", "state"])
 
-        now = d if small else d.filter(F.pmod(F.xxhash64(F.lit("lm"), "id"), F.lit(ROUNDS)) == at)
+        now = d.filter(F.pmod(F.xxhash64(F.lit("lm"), "id"), F.lit(ROUNDS)) == at)
         n, mean = averaged(now.mapInArrow(work, "part int, n long, state binary"), parts)
         if n:
             model.load(mean)
@@ -343,7 +345,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per row of docs.
 
     Learns from the rows whose fold isn't `held`, scores all.  A null text counts as empty: the end alone.  Null ids count as
-    empty text for the fold.  An empty table gives an empty result; without training rows every count is 0.
+    empty text for the fold.  Rows of one id, or alike in all, are documents each; other columns are not read.  An empty table gives
+    an empty result; without training rows every count is 0.
     """
     counts = stored(word_counts(docs, id_col, text_col, folds, held), "lm-counts")
     scorer, total = trained_scorer(docs, counts, id_col, text_col, folds, held, head, classes)
