@@ -35,6 +35,8 @@ BROADCAST_IDS = 1_000_000
 #: An id is a hub from HUB links on, or from one link in HUBS of all ids on if that is more: so there are at most HUBS times the
 #: mean number of links of an id.
 HUB, HUBS = 100_000, 100_000
+#: A key is hot from HOT rows on, or from one row in HUBS of all on if that is more: so there are at most HUBS hot keys.
+HOT = 1000
 #: Distinct words that a worker keeps with their hashes.
 CACHE_WORDS = 300_000
 _ONE = np.uint64(1)
@@ -243,6 +245,18 @@ def looked_up(rows: DataFrame, key: str, table: DataFrame, value: str, n: int) -
     return found.filter(F.col(value).isNotNull()).unionByName(found.filter(F.col(value).isNull()).drop(value).join(side, key))
 
 
+def met(rows: DataFrame, key: str, table: DataFrame, n: str, total: int) -> DataFrame:
+    """rows with the columns of table (key, ...), which has a row a key at most; rows of other keys go.
+
+    n: the table's column of how many of the `total` rows, about, have the key.  Hot keys are broadcast, and their rows stay where
+    they are; the others meet by a shuffle that has no hot key.
+    """
+    many = F.col(n) >= max(HOT, total // HUBS)
+    hot = table.filter(many)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(~many), key)
+    return rows.join(F.broadcast(hot), key).unionByName(others)
+
+
 def components(links: DataFrame, name: str = "component") -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id reachable.
 
@@ -285,12 +299,12 @@ def small_pairs(members: DataFrame) -> DataFrame:
     return m.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def central_pairs(large: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
+def central_pairs(large: DataFrame, total: int, sigs: DataFrame, s: Settings) -> DataFrame:
     """Pairs of each large bucket's members with its central one: of a bounded sample, that nearest to the sample's most
     frequent hashes.  Which it is changes the work that is left, not the result."""
     k = s.hashes
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id", "key"), "id"))
-    sample = large.select("key", "id").distinct().withColumn("rank", rank).filter(F.col("rank") <= CENTRAL_SAMPLE).join(sigs, "id").select("key", "id", "sig")
+    sample = large.select("key", "n", "id").distinct().withColumn("rank", rank).filter(F.col("rank") <= CENTRAL_SAMPLE).join(sigs, "id").select("key", "n", "id", "sig")
 
     def central(key, table):
         import pyarrow as pa
@@ -298,10 +312,10 @@ def central_pairs(large: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
         order = np.argsort(table.column("id").to_numpy())
         ids, x = table.column("id").to_numpy()[order], np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, k)[order]
         score = (x[:, None, :] == x[None, :, :]).sum(axis=(1, 2))
-        return pa.table({"key": pa.array([key[0].as_py()], pa.int64()), "hub": pa.array([int(ids[score.argmax()])], pa.int64())})
+        return pa.table({"key": pa.array([key[0].as_py()], pa.int64()), "n": table.column("n")[:1].combine_chunks(), "hub": pa.array([int(ids[score.argmax()])], pa.int64())})
 
-    hubs = sample.groupBy("key").applyInArrow(central, "key long, hub long")
-    pairs = large.select("key", "id").join(hubs, "key").filter("id != hub")
+    hubs = stored(sample.groupBy("key").applyInArrow(central, "key long, n long, hub long"), "dup-central")
+    pairs = met(large.select("key", "id"), "key", hubs, "n", total).filter("id != hub")
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
@@ -369,18 +383,19 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     """
     p = stored(prepared(docs, s, id_col, text_col), "dup-prepared")
     files = files_for(docs.sparkSession, p.count())
-    classes = p.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")).filter("rep is not null")
+    classes = p.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = stored(classes, "dup-classes", files)
-    # one of each class goes on
-    reps = p.select("id", "digest", "sig", "bands").join(classes, "digest").filter("id = rep").dropDuplicates(["id", "digest"])
+    # one of each class goes on, met by its id and set together: neither the copies of a text nor the rows of an id are one key
+    one = classes.filter("rep is not null").select(F.col("rep").alias("id"), "digest")
+    reps = p.select("id", "digest", "sig", "bands").join(one, ["id", "digest"]).dropDuplicates(["id", "digest"])
     reps = stored(reps.select("id", "sig", "bands"), "dup-representatives", files)
-    sigs = reps.select("id", "sig")
+    sigs, total = reps.select("id", "sig"), reps.count() * s.bands
     banded = reps.select("id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(banded.join(shared, "key"), "dup-members", files)
+    shared = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "dup-shared", files)
+    members = stored(met(banded, "key", shared, "n", total), "dup-members", files)
     large = members.filter(F.col("n") > SMALL)
     sizes = p.filter("digest is not null").groupBy("id").agg(F.max("n_shingles").alias("size"))
-    pairs = small_pairs(members).union(central_pairs(large, sigs, s)).distinct()
+    pairs = small_pairs(members).union(central_pairs(large, total, sigs, s)).distinct()
     pairs = stored(unpruned(with_both(pairs, sigs, "sig", "sig"), s), "dup-pairs", files)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     ids = stored(ids.union(large.select("id")).distinct(), "dup-ids", files)
@@ -395,14 +410,17 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
         "key", F.col("m.component").alias("main"), "n_all", "all_bytes",
         (F.col("n_all") - F.col("m.count")).alias("n_minor"), (F.col("all_bytes") - 8 * F.col("m.sizes")).alias("minor_bytes"),
     )
-    open_members = placed.join(by, "key").withColumn("minor", F.col("component") != F.col("main"))
+    open_members = met(placed, "key", stored(by, "dup-open", files), "n_all", total).withColumn("minor", F.col("component") != F.col("main"))
     open_members = open_members.join(sigs, "id").join(sets, "id")
     more = stored(searched(open_members, s), "dup-more-links")
     if not more.isEmpty():
         found = components(links.union(more), "dup-second")
-    dropped(reps, members, pairs, ids, sets, links, more)
-    whole = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("_component"))
-    out = p.select("id", "n_shingles", "digest").join(whole, "digest", "left")
+    dropped(reps, shared, members, pairs, ids, sets, links, more)
+    nothing = F.lit(None).cast("long").alias("_component")
+    whole = classes.filter("rep is not null").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("_component"))
+    whole = stored(whole.unionByName(classes.filter("rep is null").select("digest", "n", nothing)), "dup-whole", files)
+    rows = p.select("id", "n_shingles", "digest")
+    out = met(rows.filter("digest is not null"), "digest", whole, "n", rows.count()).drop("n").unionByName(rows.filter("digest is null").withColumn("_component", nothing))
     component = F.coalesce("_component", "id")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
