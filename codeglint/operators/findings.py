@@ -197,8 +197,10 @@ def resolved_clusters(findings: DataFrame, cluster: str) -> DataFrame:
     best = F.min_by("id", F.struct(-F.col("confidence"), F.col("id")))
     by_type = findings.groupBy(cluster, "type").agg(F.count(F.lit(1)).alias("votes"), F.min("id").alias("first_id"))
     majority = by_type.groupBy(cluster).agg(F.min_by("type", F.struct(-F.col("votes"), F.col("first_id"))).alias("majority_type"))
+    # millionths are added up as integers and rounded once, halves up, so the mean depends on no order
+    millionths, n = F.sum(F.round(F.col("confidence") * 1_000_000).cast("long")), F.count(F.lit(1))
     c = findings.groupBy(cluster).agg(
-        F.count(F.lit(1)).alias("n"), best.alias("best_id"), F.max("confidence").alias("highest"), F.round(F.avg("confidence"), 6).alias("average"),
+        n.alias("n"), best.alias("best_id"), F.max("confidence").alias("highest"), (F.floor((2 * millionths + n) / (2 * n)) / 1_000_000).alias("average"),
         F.round(F.countDistinct("task_id") / F.count(F.lit(1)), 6).alias("strength"),
     )
     adjusted = F.when(F.col("strength") >= REACHED, F.col("highest")).otherwise(F.col("highest") * F.col("strength"))

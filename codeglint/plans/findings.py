@@ -203,7 +203,7 @@ _CLUSTERS = f"""WITH RECURSIVE {A.SQL["findings"]}, {_DESCRIBED},
     g AS (SELECT f.*, r.cluster_id FROM f JOIN r ON r.class = f.class)"""
 _RESOLVED = """, v AS (SELECT cluster_id, type, count(*) AS votes, min(id) AS first_id FROM g GROUP BY 1, 2),
     w AS (SELECT cluster_id, type AS majority_type FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY votes DESC, first_id) AS r FROM v) x WHERE r = 1),
-    c AS (SELECT cluster_id, count(*) AS n, max(confidence) AS high, round(avg(confidence), 6) AS mean, round(count(DISTINCT task_id) * 1.0 / count(*), 6) AS strength FROM g GROUP BY 1),
+    c AS (SELECT cluster_id, count(*) AS n, max(confidence) AS high, CAST((2 * CAST(sum(CAST(round(confidence * 1000000) AS BIGINT)) AS BIGINT) + count(*)) // (2 * count(*)) AS DOUBLE) / 1000000 AS mean, round(count(DISTINCT task_id) * 1.0 / count(*), 6) AS strength FROM g GROUP BY 1),
     b AS (SELECT cluster_id, id AS best_id FROM (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence DESC, id) AS r FROM g) x WHERE r = 1),
     o AS (SELECT c.cluster_id, n, best_id, majority_type, high AS highest, mean AS average, strength, round(CASE WHEN strength >= 0.6 THEN high ELSE high * strength END, 6) AS consensus_confidence
         FROM c JOIN w USING (cluster_id) JOIN b USING (cluster_id))"""

@@ -298,7 +298,7 @@ def rag_confidences(spark: SparkSession, sf: str) -> DataFrame:
     pick = lambda flag: F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == flag, F.round(F.col("l_discount") * 10, 6))))
     o = l.groupBy("l_orderkey").agg(pick("A").alias("a"), pick("N").alias("n"), pick("R").alias("r"), F.round(F.avg(F.col("l_tax") * 10), 6).alias("validation"))
     o = o.withColumn("evidence", R.rag_evidence(F.col("a"), F.col("n"), F.col("r")))
-    return o.select(F.col("l_orderkey").alias("id"), F.round("evidence", 6).alias("evidence"), F.round(R.integrated_confidence(F.col("validation"), F.col("evidence")), 6).alias("confidence"))
+    return o.select(F.col("l_orderkey").alias("id"), F.round("evidence", 9).alias("evidence"), F.round(R.integrated_confidence(F.col("validation"), F.col("evidence")), 9).alias("confidence"))
 
 
 def source_health(spark: SparkSession, sf: str) -> DataFrame:
@@ -556,7 +556,7 @@ SQL = {
     "rag_confidences": """WITH o AS (SELECT l_orderkey AS id, coalesce(max(round(l_discount * 10, 6)) FILTER (l_returnflag = 'A'), 0) AS a, coalesce(max(round(l_discount * 10, 6)) FILTER (l_returnflag = 'N'), 0) AS n,
             coalesce(avg(round(l_discount * 10, 6)) FILTER (l_returnflag = 'R'), 0) AS r, round(avg(l_tax * 10), 6) AS v FROM lineitem GROUP BY 1),
         e AS (SELECT *, CASE WHEN a > 0 OR n > 0 OR r > 0 THEN (a + n + r) / ((a > 0)::INT + (n > 0)::INT + (r > 0)::INT) ELSE 0.0 END AS e FROM o)
-        SELECT id, round(e, 6) AS evidence, round(CASE WHEN e > 0 THEN 0.7 * v + 0.3 * e ELSE v END, 6) AS confidence FROM e""",
+        SELECT id, round(e, 9) AS evidence, round(CASE WHEN e > 0 THEN 0.7 * v + 0.3 * e ELSE v END, 9) AS confidence FROM e""",
     "source_health": """WITH l AS (SELECT user_id AS source, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
         SELECT source, CASE WHEN event_type <> 'error' THEN 'healthy' ELSE 'unhealthy' END AS status, CASE WHEN event_type <> 'error' THEN round(value, 6) ELSE 0.0 END AS response_time FROM l WHERE k = 1""",
     "named_paths": f"""{_REC}, p(src, dst, path, n) AS (SELECT src, dst, [src, dst], 2 FROM calls UNION ALL SELECT p.src, e.dst, list_append(path, e.dst), n + 1 FROM p JOIN calls e ON p.dst = e.src WHERE NOT list_contains(path, e.dst)),

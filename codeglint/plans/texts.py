@@ -317,10 +317,11 @@ _SCORE = """x AS (SELECT node, part % 6 AS a, part % 9 AS b, part % 4 AS c, part
 
 SQL = {
     "code_measures": f"""{_CODE}, d AS (SELECT id, code FROM c UNION ALL SELECT -page_id - 1, html FROM pages),
-        b AS (SELECT id, unnest(string_split(regexp_replace(code, '[^{{}}()\\[\\]]', '', 'g'), '')) AS c, generate_subscripts(string_split(regexp_replace(code, '[^{{}}()\\[\\]]', '', 'g'), ''), 1) AS i FROM d),
-        s AS (SELECT id, i, sum(CASE WHEN c IN ('{{', '(', '[') THEN 1 WHEN c IN ('}}', ')', ']') THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS p FROM b),
-        m AS (SELECT id, max(q) AS depth FROM (SELECT id, p - least(0, min(p) OVER (PARTITION BY id ORDER BY i)) AS q FROM s) y GROUP BY id),
-        z AS (SELECT d.id, code, len(string_split(code, chr(10))) AS n_lines, coalesce(depth, 0) AS depth FROM d LEFT JOIN m ON m.id = d.id)
+        k AS (SELECT id, code, regexp_replace(code, '[^{{}}()\\[\\]]', '', 'g') AS marks FROM d),
+        b AS (SELECT marks, unnest(string_split(marks, '')) AS c, generate_subscripts(string_split(marks, ''), 1) AS i FROM (SELECT DISTINCT marks FROM k) x),
+        s AS (SELECT marks, i, sum(CASE WHEN c IN ('{{', '(', '[') THEN 1 WHEN c IN ('}}', ')', ']') THEN -1 ELSE 0 END) OVER (PARTITION BY marks ORDER BY i) AS p FROM b),
+        m AS (SELECT marks, max(q) AS depth FROM (SELECT marks, p - least(0, min(p) OVER (PARTITION BY marks ORDER BY i)) AS q FROM s) y GROUP BY marks),
+        z AS (SELECT d.id, code, len(string_split(code, chr(10))) AS n_lines, coalesce(depth, 0) AS depth FROM k AS d LEFT JOIN m ON m.marks = d.marks)
         SELECT id, round(least(10.0, CAST(n_lines * 0.1 + {_n("code", "(?i)\\b(if|for|while|switch|try)\\b")} * 0.5 + {_n("code", "\\w+\\s*\\(")} * 0.2 + depth * 0.3 AS DOUBLE)), 4) AS complexity,
             1 + {_n("code", "\\b(if|while|for|switch)\\b")} + {_n("code", "\\bcatch\\b")} + {_n("code", "\\?\\s*.*\\s*:")} AS branches,
             greatest(1, n_lines + 2 * {_n("code", "\\b(if|else|elif|for|while|try|except|catch|switch|case)\\b")} + {_n("code", "\\w+\\(")}) AS unit, {", ".join(f"{v} AS {k}" for k, v in _FLAGS.items())},
