@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import scoring as S
+from ..functions import statistics as T
 from .joins import met
 
 
@@ -229,3 +230,22 @@ def unit_complexity(code: Column, n_lines: Column) -> Column:
     """Lines, two points a branch word, one a call; 1 at least."""
     branches = F.regexp_count(code, F.lit(r"\b(if|else|elif|for|while|try|except|catch|switch|case)\b"))
     return F.greatest(F.lit(1), n_lines + 2 * branches + F.regexp_count(code, F.lit(r"\w+\(")))
+
+
+def t_tests(groups: DataFrame, alpha: float, least_effect: float) -> DataFrame:
+    """metric, t, df, p_value, effect, low, high, power, significant: Student's t test of rows of two groups' means, variances and sizes.
+
+    groups: metric, c_mean, c_var, c_n (control) and t_mean, t_var, t_n (treatment), sizes of 2 at least.  The interval is that of the
+    difference of the means; the effect is the difference by the root of the mean variance, the power that of finding it.
+    """
+    c = F.col
+    df, difference = c("c_n") + c("t_n") - 2, c("t_mean") - c("c_mean")
+    pooled = F.sqrt(((c("c_n") - 1) * c("c_var") + (c("t_n") - 1) * c("t_var")) / df)
+    t = F.when(pooled > 0, difference / (pooled * F.sqrt(1 / c("c_n") + 1 / c("t_n")))).otherwise(0.0)
+    spread = F.sqrt((c("c_var") + c("t_var")) / 2)
+    g = groups.withColumns({"_t": t, "_df": df, "_effect": F.when(spread > 0, difference / spread).otherwise(0.0), "_crit": T.t_critical(alpha, df)})
+    g = g.withColumns({"_p": T.t_two_sided(c("_t"), c("_df")), "_power": T.t_power(c("_crit"), c("_df"), c("_effect") * F.sqrt((c("c_n") + c("t_n")) / 2)), "_margin": c("_crit") * F.sqrt(c("c_var") / c("c_n") + c("t_var") / c("t_n"))})
+    return g.select(
+        "metric", F.round("_t", 6).alias("t"), c("_df").cast("long").alias("df"), F.round("_p", 6).alias("p_value"), F.round("_effect", 6).alias("effect"), F.round(difference - c("_margin"), 2).alias("low"),
+        F.round(difference + c("_margin"), 2).alias("high"), F.round("_power", 6).alias("power"), ((c("_p") < alpha) & (F.abs(c("_effect")) >= least_effect)).alias("significant"),
+    )

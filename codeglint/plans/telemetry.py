@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import scoring as S
+from ..operators import reports as R
 from ..operators import telemetry as T
 from ..sources import adapters as A
 
@@ -139,10 +140,17 @@ def ab_test_report(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("metric", F.round("control_mean", 4).alias("control_mean"), F.round("treatment_mean", 4).alias("treatment_mean"), F.round("effect", 6).alias("effect"), p.alias("p_value"), power.alias("power"), ((p < 0.05) & (F.abs(c("effect")) >= 0.1)).alias("significant"))
 
 
+def ab_t_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Two halves of orders compared by priority and status: Student's t with pooled variance, interval, significance, power."""
+    o = A.table(spark, sf, "orders").select("o_orderpriority", "o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, "c").otherwise("t").alias("grp"), "o_totalprice")
+    g = o.groupBy(F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("metric")).pivot("grp", ["c", "t"]).agg(F.avg("o_totalprice").alias("mean"), F.var_samp("o_totalprice").alias("var"), F.count(F.lit(1)).alias("n"))
+    return R.t_tests(g.filter("c_n > 1 AND t_n > 1"), 0.05, 0.1)
+
+
 QUERIES = {
     f.__name__: f
     for f in (layer_stats_hourly, layer_stats_60s, layer_quantiles, anomaly_vs_history, performance_alerts, performance_scores, tuning_advice, trend_windows, retain_last_n, quality_assessments, quality_metric_summary,
-              quality_alerts, log_window_agg, sliding_quality, audit_grouping_sets, user_sessions, health_status, quality_trend_ols, confusion_metrics, calibration, quality_dimensions, ab_test_report)
+              quality_alerts, log_window_agg, sliding_quality, audit_grouping_sets, user_sessions, health_status, quality_trend_ols, confusion_metrics, calibration, quality_dimensions, ab_test_report, ab_t_test)
 }
 
 _M, _Q = A.with_roles("metrics"), A.with_roles("quality_metrics")
@@ -171,6 +179,28 @@ def _banded(x: str, bands, default: str) -> str:
     return "CASE " + " ".join(f"WHEN {x} >= {low} THEN '{label}'" for low, label in bands) + f" ELSE '{default}' END"
 
 
+def _simpson(f: str, low: str, high: str, k: int, i: str = "i") -> str:
+    """Integral of f([x]) from low to high by Simpson's rule over k parts."""
+    at = f"(({low}) + (({high}) - ({low})) * {i} / CAST({k} AS DOUBLE))"
+    return f"(({high}) - ({low})) / {3 * k} * list_sum(list_transform(range({k + 1}), lambda {i}: (CASE WHEN {i} = 0 OR {i} = {k} THEN 1 WHEN {i} % 2 = 1 THEN 4 ELSE 2 END) * {f.replace('[x]', at)}))"
+
+
+_DENSITY = "exp(lgamma((df + 1) / 2) - lgamma(df / 2) - (df + 1) / 2 * ln(1 + [x] * [x] / df)) / sqrt(pi() * df)"
+_SPREAD = "exp(ln(2) + df / 2 * ln(df / 2) + (df - 1) * ln([x]) - df * [x] * [x] / 2 - lgamma(df / 2))"
+_NORMAL = _simpson("exp(-([x]) * ([x]) / 2)", "0", "(crit * [s] - shift)", 200, "j").replace("[s]", "[x]")
+#: By integration of densities: t's for the probability, and by halving for the critical value; for the power that of the spread s times the normal distribution of t * s - shift.
+_T_TEST = f"""WITH RECURSIVE g AS (SELECT o_orderpriority || '/' || o_orderstatus AS metric, avg(o_totalprice) FILTER (o_orderkey % 2 = 0) AS cm, avg(o_totalprice) FILTER (o_orderkey % 2 = 1) AS tm, var_samp(o_totalprice) FILTER (o_orderkey % 2 = 0) AS cv,
+        var_samp(o_totalprice) FILTER (o_orderkey % 2 = 1) AS tv, CAST(count(*) FILTER (o_orderkey % 2 = 0) AS DOUBLE) AS cn, CAST(count(*) FILTER (o_orderkey % 2 = 1) AS DOUBLE) AS tn FROM orders GROUP BY 1),
+    e AS (SELECT *, cn + tn - 2 AS df, sqrt(((cn - 1) * cv + (tn - 1) * tv) / (cn + tn - 2)) AS pooled FROM g WHERE cn > 1 AND tn > 1),
+    t AS (SELECT *, (tm - cm) / (pooled * sqrt(1 / cn + 1 / tn)) AS t, (tm - cm) / sqrt((cv + tv) / 2) AS effect FROM e),
+    h(metric, df, k, low, high) AS (SELECT metric, df, 0, CAST(0 AS DOUBLE), CAST(40 AS DOUBLE) FROM t UNION ALL
+        SELECT metric, df, k + 1, CASE WHEN p > 0.05 THEN m ELSE low END, CASE WHEN p > 0.05 THEN high ELSE m END FROM (SELECT *, 1 - 2 * {_simpson(_DENSITY, "0", "m", 400)} AS p FROM (SELECT *, (low + high) / 2 AS m FROM h WHERE k < 45) x) y),
+    c AS (SELECT t.*, h.low AS crit, effect * sqrt((cn + tn) / 2) AS shift FROM t JOIN h ON h.metric = t.metric AND h.k = 45),
+    p AS (SELECT *, 1 - 2 * {_simpson(_DENSITY, "0", "abs(t)", 1000)} AS p_value,
+        {_simpson(_SPREAD + " * (0.5 - " + _NORMAL + " / sqrt(2 * pi()))", "greatest(1e-6, 1 - 12 / sqrt(2 * df))", "1 + 12 / sqrt(2 * df)", 400)} AS power FROM c)
+    SELECT metric, round(t, 6) AS t, CAST(df AS BIGINT) AS df, round(p_value, 6) AS p_value, round(effect, 6) AS effect, round(tm - cm - crit * sqrt(cv / cn + tv / tn), 2) AS low, round(tm - cm + crit * sqrt(cv / cn + tv / tn), 2) AS high,
+        round(power, 6) AS power, p_value < 0.05 AND abs(effect) >= 0.1 AS significant FROM p"""
+
 SQL = {
     "layer_stats_hourly": f"{_stats(_HOUR)} SELECT * FROM s",
     "layer_stats_60s": _M + " SELECT date_trunc('minute', ts) AS start, layer, count(*) AS n, count(*) FILTER (failed) AS failures, round(avg(value), 6) AS mean, round(count(*) FILTER (failed) * 1.0 / count(*), 6) AS error_rate FROM metrics GROUP BY 1, 2",
@@ -218,4 +248,5 @@ SQL = {
     "ab_test_report": """WITH g AS (SELECT o_orderpriority AS metric, avg(o_totalprice) FILTER (o_orderkey % 2 = 0) AS cm, avg(o_totalprice) FILTER (o_orderkey % 2 = 1) AS tm, stddev_samp(o_totalprice) FILTER (o_orderkey % 2 = 0) AS cs, stddev_samp(o_totalprice) FILTER (o_orderkey % 2 = 1) AS ts, count(*) FILTER (o_orderkey % 2 = 0) AS cn FROM orders GROUP BY 1),
         e AS (SELECT *, (tm - cm) / sqrt((cs * cs + ts * ts) / 2) AS effect, abs(tm - cm) / (((cs + ts) / 2) / sqrt(cn)) AS z FROM g), p AS (SELECT *, CAST(CASE WHEN z > 2.58 THEN 0.01 WHEN z > 1.96 THEN 0.05 WHEN z > 1.64 THEN 0.1 ELSE 0.5 END AS DOUBLE) AS p_value FROM e)
         SELECT metric, round(cm, 4) AS control_mean, round(tm, 4) AS treatment_mean, round(effect, 6) AS effect, p_value, CAST(CASE WHEN abs(effect) > 0.8 THEN 0.9 WHEN abs(effect) > 0.5 THEN 0.7 WHEN abs(effect) > 0.2 THEN 0.5 ELSE 0.3 END AS DOUBLE) AS power, p_value < 0.05 AND abs(effect) >= 0.1 AS significant FROM p""",
+    "ab_t_test": _T_TEST,
 }
