@@ -94,6 +94,46 @@ def simple_paths(edges: DataFrame, max_edges: int, sources: DataFrame | None = N
     return out
 
 
+def first_paths(edges: DataFrame, max_edges: int, sources: DataFrame, sinks: DataFrame, k: int) -> DataFrame:
+    """(src, dst, path, n): the first k simple paths of each pair of a source (src) and a sink (dst), by length, then nodes.
+
+    The result of simple_paths() with per_pair, without listing all: a round grows all paths by an edge, a pair that has its k
+    paths is closed, and a path stays only while its end reaches the sink of an open pair in the edges left.
+    """
+    edges = stored(edges.select("src", "dst").filter("src <> dst").distinct(), "edges")
+    goals = sinks.select(F.col("dst").alias("src")).distinct()
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    # how far each node is from each sink that it reaches
+    reach = stored(distances(back, max_edges, goals).select(F.col("dst").alias("node"), F.col("src").alias("goal"), "depth").filter("node <> goal"), "reach")
+    wanted = stored(reach.join(sources.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("src"), "goal", F.lit(0).alias("have")), "wanted")
+    now = edges.join(wanted.select("src").distinct(), "src", "left_semi").withColumn("path", F.array("src", "dst"))
+    now, step, out = stored(now, "paths"), edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")), None
+    for n in range(1, max_edges + 1):
+        place = F.row_number().over(Window.partitionBy("src", "dst").orderBy("path"))
+        found = now.join(wanted.withColumnRenamed("goal", "dst"), ["src", "dst"]).withColumn("place", place).filter(F.col("place") <= k - F.col("have"))
+        found = stored(found.select("src", "dst", "path"), "found")
+        out = found if out is None else out.unionByName(found)
+        if n == max_edges:
+            break
+        more = found.groupBy("src", F.col("dst").alias("goal")).agg(F.count(F.lit(1)).cast("int").alias("more"))
+        wanted = wanted.join(more, ["src", "goal"], "left").select("src", "goal", (F.col("have") + F.coalesce("more", F.lit(0))).alias("have")).filter(F.col("have") < k)
+        wanted = stored(wanted, "wanted")
+        near = reach.filter(F.col("depth") <= max_edges - n).select(F.col("node").alias("dst"), "goal")
+        ends = now.select("src", "dst").distinct().join(near, "dst").join(wanted, ["src", "goal"], "left_semi").select("src", "dst").distinct()
+        grown = now.join(ends, ["src", "dst"]).join(step, "dst").filter(~F.array_contains("path", F.col("next")))
+        now = stored(grown.select("src", F.col("next").alias("dst"), F.concat("path", F.array("next")).alias("path")), "paths")
+        if now.isEmpty():
+            break
+    return out.withColumn("n", F.size("path").cast("long"))
+
+
+def best_flows(flows: DataFrame) -> DataFrame:
+    """(src, dst, n_paths, path, steps, level, risk): the shortest of each pair's flows (src, dst, path, n, level, risk), then the first by nodes."""
+    first = F.min_by(F.struct("path", "n", "level", "risk"), F.struct("n", "path"))
+    best = flows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n_paths"), first.alias("b"))
+    return best.select("src", "dst", "n_paths", "b.path", (F.col("b.n") - 1).cast("long").alias("steps"), "b.level", "b.risk")
+
+
 def shortest_paths(edges: DataFrame, max_edges: int | None = None, sources: DataFrame | None = None) -> DataFrame:
     """(src, dst, path, n): one shortest path of each reachable pair, the first in the order of its nodes.
 
@@ -159,6 +199,64 @@ def layers(nodes: DataFrame, dependencies: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().withColumn("layer", F.lit(0).cast("long")).limit(0) if placed is None else placed
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """edges without those that are on no cycle by their ends: nodes without an edge in, or without one out, go until none does."""
+    left = stored(edges, "core")
+    n = left.count()
+    while n:
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = stored(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "core")
+        if (now := left.count()) == n:
+            return left
+        n = now
+    return left
+
+
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """(node, component): nodes that reach each other both ways share a component, named by its smallest node.
+
+    Rounds of trimming, then colouring: every node left takes the smallest node that reaches it as its colour, along edges until
+    nothing changes; the nodes that reach their colour's node backward within the colour are that node's component and go.
+    Only nodes and edges are kept, never pairs of nodes that reach each other.
+    """
+    every = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    left, done = _trimmed(edges.select("src", "dst").filter("src <> dst").distinct()), None
+    while not left.isEmpty():
+        nodes = left.select(F.col("src").alias("node")).distinct()
+        colour = stored(nodes.withColumn("colour", F.col("node")), "colours")
+        while True:
+            sent = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("got"))
+            now = stored(colour.join(sent, "node").select("node", F.least("colour", "got").alias("colour"), (F.col("got") < F.col("colour")).alias("changed")), "colours")
+            colour = now.drop("changed")
+            if now.filter("changed").isEmpty():
+                break
+        ends = colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), colour.select(F.col("node").alias("dst"), F.col("colour").alias("b"))
+        inside = stored(left.join(ends[0], "src").join(ends[1], "dst").filter("a = b").select("src", "dst"), "coloured")
+        frontier = stored(colour.filter("node = colour").select("node", F.col("colour").alias("component")), "component")
+        found = frontier
+        while not frontier.isEmpty():
+            back = inside.join(frontier.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "component").distinct()
+            frontier = stored(back.join(found, "node", "left_anti"), "component")
+            found = found.unionByName(frontier)
+        found = stored(found, "components")
+        done = found if done is None else done.unionByName(found)
+        gone = found.select("node")
+        left = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = _trimmed(left.select("src", "dst"))
+    if done is None:
+        return every.select("node", F.col("node").alias("component"))
+    return every.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def condensed_layers(edges: DataFrame) -> DataFrame:
+    """(node, component, layer): the layers of the graph whose nodes are the components; it has no cycle, so every node has one."""
+    named = stored(strongly_connected(edges), "strong")
+    ends = named.select(F.col("node").alias("src"), F.col("component").alias("a")), named.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    between = edges.select("src", "dst").distinct().join(ends[0], "src").join(ends[1], "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    layer = layers(named.select(F.col("component").alias("node")), between)
+    return named.join(layer.withColumnRenamed("node", "component"), "component").select("node", "component", "layer")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, in_degree, out_degree, in_centrality, out_centrality); centrality is the degree by the number of other nodes."""
     e = edges.select("src", "dst").distinct()
@@ -170,15 +268,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def is_cyclic(edges: DataFrame) -> bool:
     """Whether there is a cycle: nodes without incoming or without outgoing edges go until none does; a cycle stays."""
-    left = stored(edges.select("src", "dst").distinct(), "core")
-    n = left.count()
-    while n:
-        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        left = stored(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "core")
-        if (now := left.count()) == n:
-            return True
-        n = now
-    return False
+    return not _trimmed(edges.select("src", "dst").distinct()).isEmpty()
 
 
 def statistics(edges: DataFrame) -> DataFrame:
@@ -207,7 +297,8 @@ def tainted_flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, code:
     per_pair keeps the first so many flows of a pair by length, then nodes; None keeps all.
     code: (node, code).  Effects of the nodes within the path, in order, fold the level.
     """
-    paths = simple_paths(edges, max_edges, sources, sinks, per_pair).withColumn("flow", F.monotonically_increasing_id())
+    paths = simple_paths(edges, max_edges, sources, sinks) if per_pair is None else first_paths(edges, max_edges, sources, sinks, per_pair)
+    paths = paths.withColumn("flow", F.monotonically_increasing_id())
     paths = stored(paths, "flows")
     inner = paths.select("flow", F.posexplode(F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0)))).alias("pos", "node"))
     effects = inner.join(code.select("node", taint_effect(F.col("code")).alias("effect")), "node", "left").groupBy("flow").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("effect", F.lit("propagate")).alias("effect")))).alias("effects"))

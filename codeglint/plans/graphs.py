@@ -72,6 +72,16 @@ def topo_layers(spark: SparkSession, sf: str) -> DataFrame:
     return G.layers(e.select(F.col("src").alias("node")).union(e.select("dst")), e)
 
 
+def cycle_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Every function's component of functions that call each other in cycles, and its size."""
+    c = G.strongly_connected(A.calls(spark, sf))
+    return c.join(c.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("node", "component", "size")
+
+
+def condensed_layers(spark: SparkSession, sf: str) -> DataFrame:
+    return G.condensed_layers(A.calls(spark, sf))
+
+
 def degree_centrality(spark: SparkSession, sf: str) -> DataFrame:
     """Degrees in the dense graph of parts of all orders."""
     return G.degrees(A.part_calls(spark, sf))
@@ -100,6 +110,14 @@ def taint_flows(spark: SparkSession, sf: str) -> DataFrame:
     return f.filter("risk > 0.3")
 
 
+def best_flow_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The shortest flow of each pair of source and sink, out of up to five, with its steps and its risk."""
+    f = _flows(spark, sf, 5)
+    risk = S.taint_risk(F.col("source_type"), F.col("sink_type"), F.col("level"), F.col("n"), F.col("confidence"))
+    best = G.best_flows(f.select("src", "dst", "path", "n", F.col("level").cast("long").alias("level"), F.round(risk, 6).alias("risk")))
+    return best.select("src", "dst", "n_paths", _text("path").alias("path"), "steps", "level", "risk")
+
+
 def sanitisation_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Share of sanitised flows by source type, over all flows."""
     n, clean = F.count(F.lit(1)), F.count_if(F.col("level") == 1)
@@ -176,6 +194,7 @@ def unit_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 _ALL = (
     reachability, bfs_depth, simple_paths, shortest_paths, components, cycles, topo_layers, degree_centrality, graph_statistics, impact_scope, taint_flows,
     sanitisation_coverage, unprotected_pairs, missing_auth, auth_distance, flow_report, flow_findings, entry_exit, maximal_paths, impact_levels, unit_neighbours,
+    best_flow_paths, cycle_components, condensed_layers,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -209,7 +228,7 @@ def _flow(kept: str) -> str:
     f AS (SELECT c.*, w.level FROM c JOIN w ON c.flow = w.flow AND w.i = c.n)"""
 
 
-_TAINT = f"""{_flow("r <= 5")}, g AS (SELECT src, dst, CAST(n AS BIGINT) AS n, CAST(level AS BIGINT) AS level, source_type || '/' || sink_type AS kind,
+_TAINT = f"""{_flow("r <= 5")}, g AS (SELECT src, dst, path, CAST(n AS BIGINT) AS n, CAST(level AS BIGINT) AS level, source_type || '/' || sink_type AS kind,
         round(least(CAST(1.0 AS DOUBLE), CAST(CASE source_type WHEN 'user_input' THEN 0.8 WHEN 'file_input' THEN 0.6 ELSE 0.7 END
         + CASE sink_type WHEN 'sql_query' THEN 0.9 WHEN 'command_exec' THEN 1.0 WHEN 'file_write' THEN 0.6 WHEN 'template_render' THEN 0.7 WHEN 'response_output' THEN 0.5 ELSE 0.3 END AS DOUBLE)
         * CASE level WHEN 0 THEN 0.0 WHEN 1 THEN 0.2 WHEN 2 THEN 0.7 ELSE 1.0 END * greatest(0.3, 1.0 - (n - 2) * 0.1) * 0.9), 6) AS risk FROM f),
@@ -220,7 +239,17 @@ _SCOPE = f"""{_REC}, b AS (SELECT dst AS src, src AS dst FROM calls), {_dist(5)}
     z AS (SELECT s.node, count(DISTINCT other) AS affected, count(*) FILTER (way = 'up') AS callers, count(*) FILTER (way = 'down') AS callees
         FROM functions s LEFT JOIN x ON x.node = s.node AND x.node <> x.other GROUP BY s.node)"""
 
+_STRONG = f"""{_REC}, {_dist()}, n AS (SELECT src AS node FROM calls UNION SELECT dst FROM calls),
+    m AS (SELECT a.src AS node, min(a.dst) AS low FROM d a JOIN d b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+    s AS (SELECT n.node, least(n.node, coalesce(low, n.node)) AS component FROM n LEFT JOIN m ON m.node = n.node)"""
+
 SQL = {
+    "best_flow_paths": f"""{_TAINT} SELECT src, dst, n_paths, {_PATH} AS path, n - 1 AS steps, level, risk
+        FROM (SELECT *, count(*) OVER (PARTITION BY src, dst) AS n_paths, row_number() OVER (PARTITION BY src, dst ORDER BY n, path) AS r FROM g) x WHERE r = 1""",
+    "cycle_components": f"{_STRONG} SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM s",
+    "condensed_layers": f"""{_STRONG}, e AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM calls c JOIN s a ON a.node = c.src JOIN s b ON b.node = c.dst WHERE a.component <> b.component),
+        r(node, layer) AS (SELECT component, 0 FROM s UNION SELECT e.dst, layer + 1 FROM r JOIN e ON r.node = e.src), l AS (SELECT node, max(layer) AS layer FROM r GROUP BY node)
+        SELECT s.node, s.component, CAST(l.layer AS BIGINT) AS layer FROM s JOIN l ON l.node = s.component""",
     "reachability": f"{_REC}, {_dist()} SELECT src, dst FROM d",
     "bfs_depth": f"{_REC}, {_dist()} SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n, CAST(sum(src + dst) AS BIGINT) AS checksum FROM d GROUP BY depth",
     "simple_paths": f"{_REC}, {_paths(10)} SELECT src, dst, CAST(n AS BIGINT) AS n, {_PATH} AS path FROM p",
