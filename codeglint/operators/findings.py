@@ -12,6 +12,10 @@ from ..functions import scoring as S
 from ..storage import stored
 
 REACHED = 0.6
+#: Findings of a block, the first in order, among which representatives are elected in a round.
+LEADERS = 256
+#: Representatives of a round that are broadcast at most.
+BROADCAST_LEADERS = 100_000
 
 
 def pattern_findings(files: DataFrame, lexicon: Mapping[str, str], text_col: str = "content") -> DataFrame:
@@ -130,7 +134,7 @@ def greedy_clusters(findings: DataFrame, block: Sequence[str] = (), threshold: f
     """id and cluster_id: a finding joins the first representative it is similar to, else becomes one.
 
     Representatives are taken by falling confidence, then id, within a block: that of the file's stem unless named.  Findings of
-    a class join the same representative, so only a class's most confident one is folded; a task holds the classes of a block.
+    a class join the same representative, so only a class's most confident one is placed; see elected().
     """
     classed = with_class(findings, threshold)
     if not block:
@@ -139,11 +143,38 @@ def greedy_clusters(findings: DataFrame, block: Sequence[str] = (), threshold: f
     head = F.min_by(F.struct("id", "confidence"), F.struct(-F.col("confidence"), F.col("id"))).alias("h")
     heads = classed.groupBy(*dict.fromkeys((*block, "class", *CLASS))).agg(head)
     heads = stored(heads.select(*[c for c in heads.columns if c != "h"], "h.id", "h.confidence"), "class-heads")
-    folded = _greedy(heads, block, threshold).select(F.col("id").alias("head"), "cluster_id")
+    folded = elected(heads, block, threshold).select(F.col("id").alias("head"), "cluster_id")
     named = heads.select(*block, "class", F.col("id").alias("head")).join(folded, "head").select(*block, "class", "cluster_id")
     return classed.select("id", *block, "class").join(named, [*block, "class"]).select("id", "cluster_id")
 
 
+def elected(findings: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
+    """id and cluster_id of greedy clusters within blocks, by rounds, whatever the size of a block.
+
+    A round folds the first LEADERS findings of each block that have no cluster; no finding left can come before those, so their
+    representatives are final.  Then all others that are similar to one join the first such, by a join, and are done.
+    """
+    order = [-F.col("confidence"), F.col("id")]
+    names = {"type": "type", "path": "file_path", "line": "start_line", "words": "words", "tokens": "tokens", "severity": "severity"}
+    sets = {"words": S.word_set(F.col("description")), "tokens": S.code_tokens(F.col("snippet"))}
+    left, out = stored(findings, "unplaced"), None
+    while not left.isEmpty():
+        rank = F.row_number().over(Window.partitionBy(*block).orderBy(*order))
+        first = left.withColumn("_rank", rank).filter(F.col("_rank") <= LEADERS).drop("_rank")
+        folded = stored(_greedy(first, block, threshold), "folded")
+        leaders = left.join(folded.filter("id = cluster_id").select("id"), "id", "left_semi").withColumns(sets)
+        leaders = stored(leaders.select(*block, *[F.col(c).alias(f"a_{c}") for c in ["id", "confidence", *names.values()]]), "leaders")
+        others = left.join(folded.select("id"), "id", "left_anti").withColumns(sets).select(*block, *[F.col(c).alias(f"b_{c}") for c in ["id", *names.values()]])
+        pairs = others.join(F.broadcast(leaders) if leaders.count() <= BROADCAST_LEADERS else leaders, list(block))
+        similarity = S.finding_similarity({k: F.col(f"a_{c}") for k, c in names.items()}, {k: F.col(f"b_{c}") for k, c in names.items()})
+        pairs = pairs.filter(F.round(similarity, 9) >= threshold)
+        joined = pairs.groupBy(F.col("b_id").alias("id")).agg(F.min_by("a_id", F.struct(-F.col("a_confidence"), F.col("a_id"))).alias("cluster_id"))
+        placed = stored(folded.unionByName(joined), "placed")
+        out = placed if out is None else out.unionByName(placed)
+        left = stored(left.join(placed.select("id"), "id", "left_anti"), "unplaced")
+    return findings.select("id", F.col("id").alias("cluster_id")).limit(0) if out is None else out
+
+
 def _greedy(findings: DataFrame, block: Sequence[str], threshold: float) -> DataFrame:
     import pandas as pd
 

@@ -152,7 +152,7 @@ def test_validated_findings_add_up(spark, sf):
     assert any(r.false_positive for r in rows) and any(r.status == "needs_review" for r in rows)
 
 
-def test_links_of_all_findings(spark):
+def test_links_of_all_findings(spark, monkeypatch):
     """Pairs of findings alike against the measure itself, over files, types, lines and severities."""
     import itertools
     import random
@@ -176,7 +176,13 @@ def test_links_of_all_findings(spark):
         want[a] += 1
         want[b] += 1
     assert {x.id: x.n_links for x in O.finding_links(df, 0.8).collect()} == want and any(want.values())
-    assert {x.id: x.cluster_id for x in O.greedy_clusters(df).collect()} == {x.id: x.cluster_id for x in O._greedy(df.withColumn("stem", F.lit(1)), ["stem"], 0.8).collect()}
+    want = {x.id: x.cluster_id for x in O._greedy(df.withColumn("stem", F.lit(1)), ["stem"], 0.8).collect()}
+    assert {x.id: x.cluster_id for x in O.greedy_clusters(df).collect()} == want
+    # the same by rounds of few leaders, broadcast or not
+    monkeypatch.setattr(O, "LEADERS", 7)
+    monkeypatch.setattr(O, "BROADCAST_LEADERS", 3)
+    assert {x.id: x.cluster_id for x in O.greedy_clusters(df).collect()} == want
+    assert O.greedy_clusters(df.limit(0)).collect() == []
 
 
 def test_places_by_ranges(spark):
