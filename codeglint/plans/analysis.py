@@ -11,7 +11,9 @@ from ..functions import text as X
 from ..operators import retrieval as R
 from ..operators import tasks as K
 from ..operators import validation as V
+from ..operators import vector_index as VI
 from ..sources import adapters as A
+from ..storage import new_path
 
 
 def _docs(spark, sf):
@@ -126,6 +128,23 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _topk(spark, sf, "cosine")
 
 
+def _indexed(spark, sf, probes):
+    v, path = A.table(spark, sf, "embeddings"), new_path(spark, "vector-index")
+    VI.build(v, path)
+    found = VI.search(spark, path, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, probes)
+    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest to each vector whose id is divisible by 50 that an index of all vectors finds in the cells nearest to it."""
+    return _indexed(spark, sf, None)
+
+
+def index_search_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with all cells opened: every vector is in the index."""
+    return _indexed(spark, sf, VI.MOST_CELLS)
+
+
 def l2_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _topk(spark, sf, "l2")
 
@@ -198,7 +217,7 @@ def message_history(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (token_counts, char_chunks, nesting_depth, truncated_texts, keyword_jaccard, context_windows_merged, html_script_blocks, file_risks, fp_rules, fp_rule_rates, fp_combined, learned_patterns, confidence_scores,
-              time_decayed_accuracy, cosine_topk, l2_topk, practice_match, similar_cases, case_tokens, planned_tasks, task_schedule, task_batches, breaker_states, ema_success, message_history)
+              time_decayed_accuracy, cosine_topk, index_search, index_search_exact, l2_topk, practice_match, similar_cases, case_tokens, planned_tasks, task_schedule, task_batches, breaker_states, ema_success, message_history)
 }
 
 _TEXT = "SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents"
@@ -281,6 +300,7 @@ SQL = {
         g AS (SELECT *, greatest(rc, pc, ic, sc) AS best FROM x), v AS (SELECT coalesce(best >= 0.7, false) AS fp, coalesce(best, 0.0) AS best, CASE WHEN best >= 0.7 THEN CASE best WHEN rc THEN 'rule' WHEN pc THEN 'protection' WHEN ic THEN 'impact' ELSE 'semantics' END ELSE 'none' END AS reason FROM g) SELECT fp AS false_positive, reason, count(*) AS n, round(avg(best), 6) AS mean_confidence FROM v GROUP BY 1, 2""",
     "learned_patterns": f"{_FIND} SELECT 'test_sql_1' AS pattern_id, count(*) AS n, CAST(0.8 AS DOUBLE) AS score FROM f WHERE start_line % 7 = 0 AND (contains(type, 'sql') OR contains(type, 'injection')) HAVING count(*) > 0",
     "time_decayed_accuracy": A.with_roles("metrics") + """, r AS (SELECT layer, CASE WHEN (value / 200 > 0.5) = (operation % 2 = 0) THEN 1.0 ELSE 0.0 END AS ok, exp(-floor((epoch(TIMESTAMP '2025-01-01 00:00:00') - floor(epoch(ts))) / 86400) / 30.0) AS w FROM metrics) SELECT layer, count(*) AS n, round(avg(ok), 6) AS accuracy, round(sum(ok * w) / sum(w), 6) AS decayed FROM r GROUP BY layer""",
+    "index_search_exact": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 10",
     "cosine_topk": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5",
     "l2_topk": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(greatest(0.0, 1 - power(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 2) / 100), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 5",
     "practice_match": _FIND + """, t AS (SELECT 'chmod 777 ' || snippet || ' md5(password) SELECT a + ''x''' AS content FROM f), p(rule, type, severity, score, pattern) AS (VALUES ('sql_injection_001', 'sql injection', 'HIGH', 0.9, '(SELECT|INSERT|UPDATE|DELETE).*\\+.*[''"]'), ('owasp_a02_001', 'cryptographic failures', 'MEDIUM', 0.9, '(md5|sha1)\\s*\\([^)]*password'),
