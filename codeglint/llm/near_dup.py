@@ -403,6 +403,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     links = stored(verified(with_both(pairs, sets, "shingles", "set"), s), "dup-links", files)
     found = components(links, "dup-first")
     placed = large.join(found, "id", "left").join(sizes, "id").select("key", "id", F.coalesce("component", "id").alias("component"), "size")
+    placed = stored(placed, "dup-placed", files)
     by = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("sizes"))
     main = F.max_by(F.struct("component", "count", "sizes"), F.struct("count", "component"))
     by = by.groupBy("key").agg(F.count(F.lit(1)).alias("n_comps"), main.alias("m"), F.sum("count").alias("n_all"), (8 * F.sum("sizes")).alias("all_bytes")).filter("n_comps > 1")
@@ -415,7 +416,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     more = stored(searched(open_members, s), "dup-more-links")
     if not more.isEmpty():
         found = components(links.union(more), "dup-second")
-    dropped(reps, shared, members, pairs, ids, sets, links, more)
+    dropped(reps, shared, members, placed, pairs, ids, sets, links, more)
     nothing = F.lit(None).cast("long").alias("_component")
     whole = classes.filter("rep is not null").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("_component"))
     whole = stored(whole.unionByName(classes.filter("rep is null").select("digest", "n", nothing)), "dup-whole", files)
