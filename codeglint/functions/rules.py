@@ -210,3 +210,5 @@ SUMMARY_LEVELS = ((0.90, "excellent"), (0.80, "good"), (0.65, "acceptable"), (0.
 #: Factor of a task type's confidence, and relevance of a kind of source (fixed values).
 TASK_FACTORS = {"syntax_check": 0.95, "logic_analysis": 0.85, "security_scan": 0.80, "dependency_analysis": 0.90}
 SOURCE_RELEVANCE = {"cve": 0.9, "practice": 0.8, "case": 0.7, "rag": 0.6}
+#: Words in names that make a flow across files risky (fixed values).
+FLOW_RISK_WORDS = ("auth", "login", "password", "token", "admin", "delete", "execute", "sql")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.scoring import contains_any
+from ..functions.scoring import banded, contains_any
 from ..functions.text import matches_any
 from ..storage import stored
 from .graph import distances, nearest_start
@@ -111,3 +111,19 @@ def audit(files: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Findings of a tree of files: units, calls, cross-file paths."""
     nodes, edges = stored(entities(files), "entities"), stored(call_edges(files), "calls")
     return cross_file_findings(nodes, edges, max_depth)
+
+
+def united(cross_file: DataFrame, flows: DataFrame, least_risk: float = 0.6) -> DataFrame:
+    """origin, type, severity, source, target, confidence of a whole security run: all cross-file findings, and the flows (src, dst,
+    type, risk) whose risk is least_risk or more, with the severity of their risk."""
+    names = ("type", "severity", "source", "target", "confidence")
+    severity = banded(F.col("risk"), ((0.8, "critical"), (0.6, "high"), (0.4, "medium")), "low")
+    risky = flows.filter(F.col("risk") >= least_risk)
+    risky = risky.select(F.lit("flow").alias("origin"), "type", severity.alias("severity"), F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), F.col("risk").alias("confidence"))
+    return cross_file.select(F.lit("cross file").alias("origin"), *names).unionByName(risky)
+
+
+def risk_by_name(source: Column, target: Column) -> Column:
+    """high, medium or low risk of a flow from one named unit to another: a risky word in the target's name, in the source's, or in neither."""
+    risky = lambda c: contains_any(F.lower(c), rules.FLOW_RISK_WORDS)
+    return F.when(risky(target), "high").when(risky(source), "medium").otherwise("low")

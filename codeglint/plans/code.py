@@ -11,6 +11,7 @@ from ..operators import knowledge as N
 from ..operators import parsers as P
 from ..sources import adapters as A
 from ..storage import stored
+from . import graphs
 
 
 def _files(spark, sf):
@@ -79,6 +80,12 @@ def cross_file_findings(spark: SparkSession, sf: str) -> DataFrame:
     return D.audit(_files(spark, sf)).select("type", "severity", "source", "target", F.col("depth").cast("long").alias("depth"), "confidence", "cwe", "owasp")
 
 
+def security_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Cross-file findings and risky flows together, by origin, type and severity."""
+    u = D.united(cross_file_findings(spark, sf), graphs.taint_flows(spark, sf))
+    return u.groupBy("origin", "type", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"), F.round(F.max("confidence"), 6).alias("most"))
+
+
 def pattern_relations(spark: SparkSession, sf: str) -> DataFrame:
     """Relations that patterns find in the Python files."""
     return N.relations(_files(spark, sf).filter("language = 'python'").select(F.col("path").alias("id"), F.col("content").alias("text")), limit=100)
@@ -86,7 +93,7 @@ def pattern_relations(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = (
     code_units, function_units, code_call_edges, call_sites, code_imports, file_dependencies, assignment_flows, line_functions, taint_ends, input_functions,
-    import_relations, cross_file_findings, pattern_relations,
+    import_relations, cross_file_findings, security_run, pattern_relations,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -138,3 +145,6 @@ SQL = {
         SELECT type, severity, source, target, CAST(depth AS BIGINT) AS depth, CAST(confidence AS DOUBLE) AS confidence, cwe, owasp FROM j
         UNION ALL SELECT 'Cross-File Authorization Bypass', 'CRITICAL', node, node, 0, 0.6, 'CWE-285', 'A01:2021' FROM s""",
 }
+SQL["security_run"] = f"""WITH u AS (SELECT 'cross file' AS origin, type, severity, source, confidence FROM ({SQL["cross_file_findings"]}) a
+    UNION ALL SELECT 'flow', type, CASE WHEN risk >= 0.8 THEN 'critical' WHEN risk >= 0.6 THEN 'high' ELSE 'medium' END, CAST(src AS VARCHAR), risk FROM ({graphs.SQL["taint_flows"]}) b WHERE risk >= 0.6)
+    SELECT origin, type, severity, count(*) AS n, count(DISTINCT source) AS sources, round(max(confidence), 6) AS most FROM u GROUP BY origin, type, severity"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import scoring as S
+from ..operators import detect as D
 from ..operators import graph as G
 from ..operators import integration as I
 from ..operators import knowledge as N
@@ -191,10 +192,19 @@ def unit_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return N.unit_context(f, e).select("unit", F.array_join("siblings", ",").alias("siblings"), F.array_join("successors", ",").alias("successors"))
 
 
+def call_risks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every call with the risk that the names of its ends show."""
+    f, part = A.functions(spark, sf), F.col("part")
+    name = F.when(part % 7 == 0, "delete_User").when(part % 7 == 1, "adminPanel").when(part % 7 == 2, "check_TOKEN").otherwise("helper")
+    names = f.select("node", name.alias("name"))
+    e = A.calls(spark, sf).join(names.select(F.col("node").alias("src"), F.col("name").alias("a")), "src").join(names.select(F.col("node").alias("dst"), F.col("name").alias("b")), "dst")
+    return e.select("src", "dst", D.risk_by_name(F.col("a"), F.col("b")).alias("risk"))
+
+
 _ALL = (
     reachability, bfs_depth, simple_paths, shortest_paths, components, cycles, topo_layers, degree_centrality, graph_statistics, impact_scope, taint_flows,
     sanitisation_coverage, unprotected_pairs, missing_auth, auth_distance, flow_report, flow_findings, entry_exit, maximal_paths, impact_levels, unit_neighbours,
-    best_flow_paths, cycle_components, condensed_layers,
+    best_flow_paths, cycle_components, condensed_layers, call_risks,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -250,6 +260,7 @@ SQL = {
     "condensed_layers": f"""{_STRONG}, e AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM calls c JOIN s a ON a.node = c.src JOIN s b ON b.node = c.dst WHERE a.component <> b.component),
         r(node, layer) AS (SELECT component, 0 FROM s UNION SELECT e.dst, layer + 1 FROM r JOIN e ON r.node = e.src), l AS (SELECT node, max(layer) AS layer FROM r GROUP BY node)
         SELECT s.node, s.component, CAST(l.layer AS BIGINT) AS layer FROM s JOIN l ON l.node = s.component""",
+    "call_risks": f"""{_W} SELECT c.src, c.dst, CASE WHEN b.part % 7 < 3 THEN 'high' WHEN a.part % 7 < 3 THEN 'medium' ELSE 'low' END AS risk FROM calls c JOIN functions a ON a.node = c.src JOIN functions b ON b.node = c.dst""",
     "reachability": f"{_REC}, {_dist()} SELECT src, dst FROM d",
     "bfs_depth": f"{_REC}, {_dist()} SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n, CAST(sum(src + dst) AS BIGINT) AS checksum FROM d GROUP BY depth",
     "simple_paths": f"{_REC}, {_paths(10)} SELECT src, dst, CAST(n AS BIGINT) AS n, {_PATH} AS path FROM p",
