@@ -95,14 +95,21 @@ CVSS_IMPACT = {"H": 0.0, "L": 0.1, "N": 0.2}
 CVSS_MATURITY = {"X": 1.0, "U": 0.91, "P": 0.94, "F": 0.97, "H": 1.0}
 CVSS_REQUIREMENT = {"X": 1.0, "L": 0.5, "M": 1.0, "H": 1.5}
 CVSS_METRICS = ("av", "ac", "at", "pr", "ui", "vc", "vi", "va", "sc", "si", "sa")
+# Metrics of each type of finding (fixed values).
 CVSS_TEMPLATES = (
-    ("sql injection", "NLNNNHHLHHN"),
-    ("command injection", "NLNLNHHHHHH"),
-    ("path traversal", "NLNNNHNNLNN"),
-    ("xss", "NLNNALLNLLN"),
-    ("authorization bypass", "NLNLNHHNHHN"),
+    ("sql injection", "AV:N/AC:L/AT:N/PR:N/UI:N/VC:H/VI:H/VA:L/SC:H/SI:H/SA:N"),
+    ("command injection", "AV:N/AC:L/AT:N/PR:L/UI:N/VC:H/VI:H/VA:H/SC:H/SI:H/SA:H"),
+    ("path traversal", "AV:N/AC:L/AT:N/PR:N/UI:N/VC:H/VI:N/VA:N/SC:L/SI:N/SA:N"),
+    ("xss", "AV:N/AC:L/AT:N/PR:N/UI:A/VC:L/VI:L/VA:N/SC:L/SI:L/SA:N"),
+    ("authorization bypass", "AV:N/AC:L/AT:N/PR:L/UI:N/VC:H/VI:H/VA:N/SC:H/SI:H/SA:N"),
 )
-CVSS_DEFAULT = "NLNLNLLNNNN"
+CVSS_DEFAULT = "AV:N/AC:L/AT:N/PR:L/UI:N/VC:L/VI:L/VA:N/SC:N/SI:N/SA:N"
+
+
+def cvss_letters(vector: str) -> str:
+    """The values of a vector's metrics, one letter each, in the order of CVSS_METRICS."""
+    return "".join(metric.split(":")[1] for metric in vector.split("/"))
+
 
 # Similarity of findings (fixed values).
 SIMILARITY_WEIGHTS = {"type": 0.3, "location": 0.25, "description": 0.2, "code_pattern": 0.15, "severity": 0.1}

@@ -105,7 +105,7 @@ def cvss_vector(m: Mapping[str, Column], extra: Mapping[str, Column] | None = No
 def cvss_template(finding_type: Column) -> Column:
     """The metrics, one letter each in CVSS_METRICS order, of the first template whose key is in the type."""
     t = F.lower(finding_type)
-    return first_match(((F.contains(t, F.lit(k)), v) for k, v in rules.CVSS_TEMPLATES), rules.CVSS_DEFAULT)
+    return first_match(((F.contains(t, F.lit(k)), rules.cvss_letters(v)) for k, v in rules.CVSS_TEMPLATES), rules.cvss_letters(rules.CVSS_DEFAULT))
 
 
 def cvss_metrics(template: Column) -> dict[str, Column]:

@@ -11,6 +11,7 @@ from .scoring import any_regex, contains_any, contains_count, first_match, jacca
 #: A word in the sense of Unicode letters, digits and the underscore.
 WORDS = r"[\p{L}\p{N}_]+"
 IDENTIFIER = r"[a-zA-Z_][a-zA-Z0-9_]*"
+#: Reserved words, words that weigh more in similarity, and words that a pattern keeps (fixed values).
 PYTHON_WORDS = (
     "and", "as", "assert", "break", "class", "continue", "def", "del", "elif", "else", "except", "exec", "finally", "for", "from", "global",
     "if", "import", "in", "is", "lambda", "not", "or", "pass", "print", "raise", "return", "try", "while", "with", "yield", "True", "False", "None",

@@ -268,6 +268,7 @@ def python_flows(path: str, code: str) -> list[tuple]:
     return out
 
 
+#: Names of calls that taint a variable, and that clean it (fixed values).
 TAINT_CALLS = {"input", "raw_input", "request", "form", "args", "json", "params", "cookies", "headers", "open", "read", "readline", "readlines"}
 CLEAN_CALLS = {"escape", "quote", "sanitize", "validate", "filter", "html_escape", "url_quote", "sql_escape"}
 STATE = "path string, scope string, name string, line int, taint string, kind string, dependencies array<string>, alias string"

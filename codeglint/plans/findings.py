@@ -207,7 +207,7 @@ _RESOLVED = """, v AS (SELECT cluster_id, type, count(*) AS votes, min(id) AS fi
     b AS (SELECT cluster_id, id AS best_id FROM (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence DESC, id) AS r FROM g) x WHERE r = 1),
     o AS (SELECT c.cluster_id, n, best_id, majority_type, high AS highest, mean AS average, strength, round(CASE WHEN strength >= 0.6 THEN high ELSE high * strength END, 6) AS consensus_confidence
         FROM c JOIN w USING (cluster_id) JOIN b USING (cluster_id))"""
-_CVSS_CASE = "\n".join(f"WHEN contains(lower(type), '{k}') THEN '{v}'" for k, v in rules.CVSS_TEMPLATES)
+_CVSS_CASE = "\n".join(f"WHEN contains(lower(type), '{k}') THEN '{rules.cvss_letters(v)}'" for k, v in rules.CVSS_TEMPLATES)
 _AUDIT_RISK = """round(least(CAST(1.0 AS DOUBLE), CAST(CASE event_type WHEN 'security_violation' THEN 0.9 WHEN 'user_login' THEN 0.3 WHEN 'user_logout' THEN 0.1 WHEN 'configuration_changed' THEN 0.6 WHEN 'data_access' THEN 0.4 WHEN 'error_occurred' THEN 0.5 ELSE 0.3 END AS DOUBLE)
     * CASE result WHEN 'failure' THEN 1.5 WHEN 'partial' THEN 1.2 ELSE 1.0 END * CASE security_level WHEN 'public' THEN 0.5 WHEN 'confidential' THEN 1.5 WHEN 'restricted' THEN 2.0 ELSE 1.0 END), 6)"""
 
@@ -233,7 +233,7 @@ _BAND = "CASE WHEN base_score = 0 THEN 'NONE' WHEN base_score BETWEEN 0.1 AND 3.
 SQL = {
     "scan_findings_by_type": _W("source_files") + """ SELECT language, type, count(*) AS n, count(DISTINCT path) AS n_files FROM source_files, (VALUES ('secret', 'token\\s*='), ('license', 'licen[sc]e'), ('markup', '[<>|]'), ('shout', '!!')) r(type, pattern)
         WHERE regexp_matches(content, '(?i)' || pattern) GROUP BY language, type""",
-    "cvss_scores": _W("findings") + f""", t AS (SELECT type, count(*) AS n, CASE {_CVSS_CASE} ELSE '{rules.CVSS_DEFAULT}' END AS t FROM findings GROUP BY type),
+    "cvss_scores": _W("findings") + f""", t AS (SELECT type, count(*) AS n, CASE {_CVSS_CASE} ELSE '{rules.cvss_letters(rules.CVSS_DEFAULT)}' END AS t FROM findings GROUP BY type),
         s AS (SELECT *, {_E1} AS e, {_I1} AS i FROM t), b AS (SELECT *, round(least(10.0, e + i), 1) AS base_score FROM s)
         SELECT type, n, round(e, 6) AS exploitability, round(i, 6) AS impact, base_score, {_BAND} AS severity,
         'CVSS:4.0/AV:' || substr(t,1,1) || '/AC:' || substr(t,2,1) || '/AT:' || substr(t,3,1) || '/PR:' || substr(t,4,1) || '/UI:' || substr(t,5,1) || '/VC:' || substr(t,6,1) || '/VI:' || substr(t,7,1) || '/VA:' || substr(t,8,1) || '/SC:' || substr(t,9,1) || '/SI:' || substr(t,10,1) || '/SA:' || substr(t,11,1) AS vector,
