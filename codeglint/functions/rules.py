@@ -219,3 +219,10 @@ TASK_FACTORS = {"syntax_check": 0.95, "logic_analysis": 0.85, "security_scan": 0
 SOURCE_RELEVANCE = {"cve": 0.9, "practice": 0.8, "case": 0.7, "rag": 0.6}
 #: Words in names that make a flow across files risky (fixed values).
 FLOW_RISK_WORDS = ("auth", "login", "password", "token", "admin", "delete", "execute", "sql")
+
+#: Lines that begin a unit in a language without a parser: pattern, kind (fixed values).
+GENERIC_UNITS = (
+    (r"(?:function|def|func)\s+([a-zA-Z0-9_]+)\s*\(", "function"),
+    (r"(?:class|interface|struct)\s+([a-zA-Z0-9_]+)", "class"),
+    (r"(?:public|private|protected)?\s+(?:static)?\s+(?:[a-zA-Z0-9_<>]+)\s+([a-zA-Z0-9_]+)\s*\(", "method"),
+)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..operators import blocks as B
 from ..operators import detect as D
 from ..operators import knowledge as N
 from ..operators import parsers as P
@@ -28,6 +29,11 @@ def function_units(spark: SparkSession, sf: str) -> DataFrame:
     return u.select("path", "name", F.array_join("params", ",").alias("params"), "visibility", "is_async", "complexity")
 
 
+def block_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Units of all files by line patterns, indent and brackets, as of languages without a parser."""
+    return B.block_units(A.code_files(spark, sf))
+
+
 def code_call_edges(spark: SparkSession, sf: str) -> DataFrame:
     return P.call_edges(_files(spark, sf)).select("src", "dst", "type", "line", "confidence")
 
@@ -92,7 +98,7 @@ def pattern_relations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    code_units, function_units, code_call_edges, call_sites, code_imports, file_dependencies, assignment_flows, line_functions, taint_ends, input_functions,
+    code_units, function_units, block_units, code_call_edges, call_sites, code_imports, file_dependencies, assignment_flows, line_functions, taint_ends, input_functions,
     import_relations, cross_file_findings, security_run, pattern_relations,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -113,6 +119,12 @@ SQL = {
         SELECT path, 'file' AS type, split_part(path, '/', 2) AS name, 1 AS start_line, CAST(3 * n + CASE lang WHEN 'python' THEN 2 WHEN 'javascript' THEN 1 ELSE 3 END AS INTEGER) AS end_line FROM f
         UNION ALL SELECT path, 'class', 'A' || module, 1, CAST(3 * n + 2 AS INTEGER) FROM f WHERE lang = 'java'
         UNION ALL SELECT path, CASE lang WHEN 'java' THEN 'method' ELSE 'function' END, name, CAST(line AS INTEGER), CAST(line + 2 AS INTEGER) FROM code""",
+    "block_units": f"""{_W}, f AS (SELECT DISTINCT path, module, lang, n FROM code), s AS (SELECT *, lang = 'javascript' AS js FROM code WHERE lang <> 'java')
+        SELECT path, 'file' AS type, split_part(path, '/', 2) AS name, 1 AS start_line, CAST(3 * n + CASE lang WHEN 'python' THEN 1 WHEN 'javascript' THEN 0 ELSE 2 END AS INTEGER) AS end_line FROM f
+        UNION ALL SELECT path, 'class', 'A' || module, 1, CAST(3 * n + 1 AS INTEGER) FROM f WHERE lang = 'java'
+        UNION ALL SELECT path, 'function', name, CAST(line AS INTEGER), CAST(line + CASE WHEN js THEN 1 ELSE 2 END AS INTEGER) FROM s
+        UNION ALL SELECT path, 'method', CASE WHEN pos < n THEN 'f' || module || '_' || (pos + 1) ELSE 'str' END, CAST(line + CASE WHEN js THEN 1 ELSE 2 END AS INTEGER), CAST(line + CASE WHEN js THEN 1 ELSE 2 END AS INTEGER)
+            FROM s WHERE pos < n OR (module = home AND NOT js)""",
     "function_units": f"{_W} SELECT path, name, 'val' AS params, 'public' AS visibility, false AS is_async, CASE kind WHEN 4 THEN 2 ELSE 1 END AS complexity FROM code WHERE lang = 'python'",
     "code_call_edges": f"""{_W}, {_CALLS}, r AS (SELECT c.path || '::' || caller AS src, coalesce(u.path || '::' || u.name, callee) AS dst, CASE type WHEN 'js' THEN 'direct' ELSE type END AS type, c.line,
             CASE WHEN type = 'direct' THEN 0.9 ELSE 0.8 END AS confidence FROM calls c LEFT JOIN code u ON u.lang <> 'java' AND u.name = regexp_extract(callee, '([^.]+)$', 1))
