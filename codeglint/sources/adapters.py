@@ -56,9 +56,13 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts, layer, operation, metric_type, value in 0..1."""
-    t = table(spark, sf_dir, "events")
+    return quality_rows(table(spark, sf_dir, "events"))
+
+
+def quality_rows(events: DataFrame) -> DataFrame:
+    """The same of a table or stream of events."""
     kind = lookup(_k() % 4, {0: "accuracy", 1: "precision", 2: "false_positive_rate"}, "confidence_score")
-    return t.select("event_id", "ts", F.col("event_type").alias("layer"), (_k() % 5).alias("operation"), kind.alias("metric_type"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 300.0)).alias("value"))
+    return events.select("event_id", "ts", F.col("event_type").alias("layer"), (_k() % 5).alias("operation"), kind.alias("metric_type"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 300.0)).alias("value"))
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
