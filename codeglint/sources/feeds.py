@@ -45,13 +45,13 @@ def _bare(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), r"\s+", " "))
 
 
-def list_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """cve_id, title, cwe_type, disclosed, cvss, detail_url of the table rows of list pages; rows under five cells or without a link go."""
+def list_rows(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of pages to keep, cve_id, title, cwe_type, disclosed, cvss, detail_url of the table rows of list pages; rows under five cells or without a link go."""
     rows = F.regexp_extract_all(html_col, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    r = pages.select(F.explode(rows).alias("row")).withColumn("c", F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)))
+    r = pages.select(*keep, F.explode(rows).alias("row")).withColumn("c", F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)))
     r = r.filter((F.size("c") >= 5) & F.regexp_like(F.get("c", 0), F.lit("(?i)<a[^>]*>")))
     cell = lambda i: _bare(F.get("c", i))
-    return r.select(cell(0).alias("cve_id"), cell(1).alias("title"), cell(2).alias("cwe_type"), cell(3).alias("disclosed"), cell(4).alias("cvss"), F.regexp_extract(F.get("c", 0), r"""(?i)href=["']([^"']*)""", 1).alias("detail_url"))
+    return r.select(*keep, cell(0).alias("cve_id"), cell(1).alias("title"), cell(2).alias("cwe_type"), cell(3).alias("disclosed"), cell(4).alias("cvss"), F.regexp_extract(F.get("c", 0), r"""(?i)href=["']([^"']*)""", 1).alias("detail_url"))
 
 
 def detail_fields(pages: DataFrame, html_col: str = "html") -> DataFrame:
