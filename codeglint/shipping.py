@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
+from types import ModuleType
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
@@ -25,3 +29,13 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+@contextmanager
+def by_value(module: ModuleType) -> Iterator[None]:
+    """What is pickled inside takes the module's classes along: processes that Spark starts on the driver for streams don't see shipped files."""
+    cloudpickle.register_pickle_by_value(module)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)

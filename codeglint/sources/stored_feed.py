@@ -9,6 +9,7 @@ appears, and stay: what is added to a day that was read is not seen, and without
 from __future__ import annotations
 
 import datetime
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..shipping import by_value
 from . import feeds
 
 FORMAT = "stored_feed"
@@ -110,7 +112,8 @@ def _is_day(name: str) -> bool:
 
 def stream(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """day, file, body of the responses stored from a day on (all without one), as a stream."""
-    spark.dataSource.register(StoredFeed)
+    with by_value(sys.modules[__name__]):
+        spark.dataSource.register(StoredFeed)
     s = spark.readStream.format(FORMAT).option("path", path)
     return (s.option("since", since) if since else s).load()
 

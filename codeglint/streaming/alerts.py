@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..functions import scoring as S
+from ..shipping import by_value
 
 KEYS = ["layer", "operation", "metric_type"]
 WIDTH = "300 seconds"
@@ -89,7 +91,8 @@ def alerting(stream: DataFrame, path: str, checkpoint: str, late: str = "2 minut
     """
     spark = stream.sparkSession
     windows = assessed(stream.withWatermark("ts", late), width)
-    news = windows.groupBy(*KEYS).transformWithStateInPandas(LastLevel(forget), ALERTS, "append", "EventTime")
+    with by_value(sys.modules[__name__]):
+        news = windows.groupBy(*KEYS).transformWithStateInPandas(LastLevel(forget), ALERTS, "append", "EventTime")
     name, before = _ROCKS[0], spark.conf.get(_ROCKS[0], None)
     spark.conf.set(*_ROCKS)
     try:
