@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from .joins import met
+from .postings import containing
 
 #: Remediation by the pattern of a type, in order; the last fits all (fixed values).
 REMEDIATIONS = (
@@ -21,9 +22,9 @@ RELATIONS = {"call": r"(\w+)\s*\(", "assignment": r"(\w+)\s*=[^=]", "import": r"
 
 def lookup(queries: DataFrame, knowledge: DataFrame) -> DataFrame:
     """(query_id, item): knowledge (item, name, description) whose name or description has the query's text."""
-    q = F.lower(F.col("query"))
-    hit = F.contains(F.lower("name"), q) | F.contains(F.lower("description"), q)
-    return met(queries.filter("query <> ''"), knowledge, hit).select("query_id", "item").distinct()
+    k = knowledge.withColumnRenamed("item", "text_id")
+    texts = k.select("text_id", F.col("name").alias("text")).unionByName(k.select("text_id", F.col("description").alias("text")))
+    return containing(queries, texts).select("query_id", F.col("text_id").alias("item"))
 
 
 def fuzzy_targets(references: DataFrame, units: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..operators import postings as P
 from ..sources import adapters as A
 from ..sources import feeds, files, sinks
 from ..storage import new_path
@@ -114,6 +115,18 @@ def stored_cves(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.stored_cves(spark, path, "CVE-1", 100).select("cve_id", "severity", "cvss_score")
 
 
+def cve_keyword_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every brand, and some words of suppliers' names, as keywords in three sources of CVEs: parts, orders, suppliers."""
+    part, orders, supplier = (A.table(spark, sf, t) for t in ("part", "orders", "supplier"))
+    columns = lambda n, key, text, day: [F.lit(n).alias("source"), F.concat(F.lit("CVE-"), key).alias("cve_id"), text.alias("description"), F.date_add(F.lit("2020-01-01").cast("date"), day.cast("int")).alias("published")]
+    sources = part.select(*columns(1, F.col("p_partkey").cast("string"), F.concat_ws(" ", "p_name", "p_brand"), F.col("p_partkey") % 700))
+    sources = sources.unionByName(orders.select(*columns(2, F.col("o_orderkey").cast("string"), F.concat(F.lit("of brand#"), (F.col("o_custkey") % 30).cast("string"), F.lit(" "), F.col("o_orderpriority")), F.col("o_orderkey") % 900)))
+    sources = sources.unionByName(supplier.select(*columns(3, F.concat(F.lit("S"), F.col("s_suppkey").cast("string")), F.col("s_name"), F.col("s_suppkey") % 50)))
+    q = part.select(F.col("p_brand").alias("query_id"), F.col("p_brand").alias("query")).distinct()
+    q = q.unionByName(supplier.select(F.col("s_name").alias("query_id"), F.substring("s_name", -3, 3).alias("query")))
+    return P.keyword_search(q, sources).withColumn("published", F.date_format("published", "yyyy-MM-dd"))
+
+
 def knowledge_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Two batches appended to a store and its index, read back."""
     path, c = new_path(spark, "knowledge"), _cves(spark, sf).drop("p_brand")
@@ -228,7 +241,7 @@ def vulnerability_cwe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    source_tree, project_hashes, dependency_manifests, listed_dependencies, nvd_feed, cve_list, cve_list_since, cve_details, stored_cves, knowledge_batches, saved_run, saved_runs, text_report, json_report,
+    source_tree, project_hashes, dependency_manifests, listed_dependencies, nvd_feed, cve_list, cve_list_since, cve_details, stored_cves, cve_keyword_search, knowledge_batches, saved_run, saved_runs, text_report, json_report,
     html_report, graph_dot, graph_gexf, graph_json, vector_store, pattern_store, usage_export, vulnerability_cwe,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -254,6 +267,16 @@ SQL = {
     "cve_list": """WITH o AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN CAST(5 AS DOUBLE) ELSE least(10.0, o_orderkey % 120 / CAST(10 AS DOUBLE)) END AS s FROM orders WHERE o_orderkey % 7 <> 0)
         SELECT 'CVE-' || o_orderkey AS cve_id, 'order of ' || o_custkey AS title, 'CWE-79' AS cwe_type, strftime(o_orderdate, '%Y-%m-%d') AS disclosed, CAST(s AS DOUBLE) AS cvss_score,
             CASE WHEN s >= 9 THEN 'CRITICAL' WHEN s >= 7 THEN 'HIGH' WHEN s >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS severity, '/d/' || o_orderkey AS detail_url FROM o""",
+    "cve_keyword_search": """WITH s AS (SELECT 1 AS source, 'CVE-' || p_partkey AS cve_id, concat_ws(' ', p_name, p_brand) AS description, DATE '2020-01-01' + CAST(p_partkey % 700 AS INTEGER) AS published FROM part
+            UNION ALL SELECT 2, 'CVE-' || o_orderkey, 'of brand#' || (o_custkey % 30) || ' ' || o_orderpriority, DATE '2020-01-01' + CAST(o_orderkey % 900 AS INTEGER) FROM orders
+            UNION ALL SELECT 3, 'CVE-S' || s_suppkey, s_name, DATE '2020-01-01' + CAST(s_suppkey % 50 AS INTEGER) FROM supplier),
+        q AS (SELECT DISTINCT p_brand AS query_id, p_brand AS query FROM part UNION ALL SELECT s_name, substr(s_name, -3, 3) FROM supplier),
+        f AS (SELECT DISTINCT query_id, source, cve_id, published FROM q JOIN s ON contains(lower(cve_id), lower(query)) OR contains(lower(description), lower(query))),
+        n AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY published DESC, cve_id) AS n, least(5, count(*) FILTER (source = 1) OVER (PARTITION BY query_id)) AS n1, count(*) FILTER (source = 2) OVER (PARTITION BY query_id) AS all2 FROM f),
+        k AS (SELECT *, least(all2, greatest(1, 10 - n1)) AS n2 FROM n), t AS (SELECT * FROM k WHERE n <= CASE source WHEN 1 THEN n1 WHEN 2 THEN n2 ELSE 10 - n1 - n2 END),
+        o AS (SELECT query_id, cve_id, arg_min(published, source) AS published, min(source) AS source FROM t GROUP BY 1, 2),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY published DESC, cve_id) AS INTEGER) AS rank, cve_id, source, strftime(published, '%Y-%m-%d') AS published FROM o)
+        SELECT * FROM r WHERE rank <= 10""",
     "cve_list_since": "SELECT 'CVE-' || o_orderkey AS cve_id, strftime(o_orderdate, '%Y-%m-%d') AS disclosed FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 2 <> 0 AND o_orderdate >= TIMESTAMP '2000-01-01'",
     "cve_details": f"""WITH h AS (SELECT page_id, html || '<p>CWE-79 CWE-89 CWE-79 CVSS:3.1/AV:N/AC:L <a href=''https://x.org/1''>x</a></p>' AS html FROM pages),
         t AS (SELECT page_id, html, {_BARE.format("regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g')")} AS t FROM h)
