@@ -73,8 +73,11 @@ def control_windows(findings: DataFrame | None, files: DataFrame, limit: int = 3
 
 def dependency_windows(findings: DataFrame | None, files: DataFrame, limit: int = 4) -> DataFrame:
     """Windows around other lines that assign a variable of the snippet or pass it to a call, by line, assignments first."""
-    assigned = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(\w+)\s*="), F.lit(1)))
-    passed = lambda t: F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"\w+\(([^)]*)\)"), F.lit(1)), _words)))
+    # a line without the sign has no match, and a word that one fails on is not tried again from its middle
+    empty = F.array().cast("array<string>")
+    assigned = lambda t: F.when(F.contains(t, F.lit("=")), F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(\w++)\s*+="), F.lit(1)))).otherwise(empty)
+    calls = lambda t: F.regexp_extract_all(t, F.lit(r"(?<!\w)\w++\(([^)]*+)\)"), F.lit(1))
+    passed = lambda t: F.when(F.contains(t, F.lit("(")), F.array_distinct(F.flatten(F.transform(calls(t), _words)))).otherwise(empty)
     read = lambda t: F.struct(assigned(t).alias("assignment"), passed(t).alias("call"))
 
     def hit(x, f):
