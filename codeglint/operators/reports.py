@@ -218,18 +218,19 @@ def named_paths(edges: DataFrame, nodes: DataFrame, source: str, target: str) ->
 def structure_metrics(units: DataFrame, edges: DataFrame) -> DataFrame:
     """units (unit, start_line, end_line, code) with lines, complexity, dependencies and dependents of the graph of edges."""
     e = edges.select("src", "dst").distinct()
-    out = e.groupBy(F.col("src").alias("unit")).agg(F.count(F.lit(1)).alias("dependencies"))
-    back = e.groupBy(F.col("dst").alias("unit")).agg(F.count(F.lit(1)).alias("dependents"))
+    # both ends of an edge in one reading and one shuffle
+    end = lambda c, o, i: F.struct(F.col(c).alias("unit"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = e.select(F.explode(F.array(end("src", 1, 0), end("dst", 0, 1))).alias("x")).select("x.*")
+    counts = ends.groupBy("unit").agg(F.sum("o").alias("dependencies"), F.sum("i").alias("dependents"))
     size = F.col("end_line") - F.col("start_line") + 1
     u = units.select("unit", size.alias("lines"), unit_complexity(F.col("code"), size).alias("complexity"))
-    j = u.join(out, "unit", "left").join(back, "unit", "left")
-    return j.select("unit", "lines", "complexity", F.coalesce("dependencies", F.lit(0)).alias("dependencies"), F.coalesce("dependents", F.lit(0)).alias("dependents"))
+    return u.join(counts, "unit", "left").select("unit", "lines", "complexity", F.coalesce("dependencies", F.lit(0)).alias("dependencies"), F.coalesce("dependents", F.lit(0)).alias("dependents"))
 
 
 def unit_complexity(code: Column, n_lines: Column) -> Column:
     """Lines, two points a branch word, one a call; 1 at least."""
     branches = F.regexp_count(code, F.lit(r"\b(if|else|elif|for|while|try|except|catch|switch|case)\b"))
-    return F.greatest(F.lit(1), n_lines + 2 * branches + F.regexp_count(code, F.lit(r"\w+\(")))
+    return F.greatest(F.lit(1), n_lines + 2 * branches + F.regexp_count(code, F.lit(r"(?<!\w)\w++\(")))
 
 
 def t_tests(groups: DataFrame, alpha: float, least_effect: float) -> DataFrame:
